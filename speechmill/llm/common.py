@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechmill.sources.shared import cut
+
+__all__ = ["cut", "documents", "id_text", "partitions", "rows_of", "single_threaded", "sized_groups"]
+
 #: Python's form of the ASCII white space class [\x20\x09-\x0D].
 WS_BYTES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,21 +57,3 @@ def single_threaded() -> None:
 def partitions(df: DataFrame) -> int:
     """How many partitions a shuffle should have: what the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one is set only where none is, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="speechmill-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
