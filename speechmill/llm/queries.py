@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechmill.llm import bpe, exact_dedup, jaccard, packing, pii, quality, secrets, token_counts
+from speechmill.llm import bpe, exact_dedup, jaccard, packing, pii, pitman_yor, quality, secrets, token_counts
 from speechmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.lm_scores(documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
@@ -60,5 +64,6 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_jaccard_join": op10_jaccard_join,
 }
