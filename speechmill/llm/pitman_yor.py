@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from speechmill.llm.common import cut, id_text, partitions, rows_of
 from speechmill.llm.jaccard import _groups, packed, unpacked
 from speechmill.llm.shingles import mix, word_hashes
+from speechmill.sources.shared import release
 
-FLUSH, HOT, SAMPLES, BURN = 3_000_000, 256, 2, 2
+FLUSH, HOT, SAMPLES, BURN = 1_500_000, 256, 2, 2
 BOS, END = np.uint64(1), np.uint64(2)
 ROWS = "part long, p long, a binary, b binary"
 
@@ -296,6 +297,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     words = base.mapInArrow(_send("words", bits, nothing), ROWS)
     counted = cut(dealt(words, "part", "p").mapInArrow(_counted, ROWS))
+    release(docs.sparkSession)
     n = v = 0
     top: dict[int, int] = {}
     for row in counted.where("p = -1").select("a", "b").toLocalIterator():  # a bounded row for each part
@@ -308,9 +310,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     pairs = base.mapInArrow(_send("bigrams", bits, hot_words), ROWS)
     sampled = cut(dealt(pairs, "part", "p").mapInArrow(_sampled(discount, strength, hot_words, hot_counts, bits, seed), ROWS))
+    release(docs.sparkSession)
     sums = sampled.where("part < 0").selectExpr("-1 - part as part", "p", "a", "b", "1 as kind")
     vocabularies = counted.where("p >= 0").selectExpr("part", "p", "a", "cast(null as binary) as b", "0 as kind")
     parent = cut(dealt(vocabularies.unionByName(sums), "part", "kind", "p").mapInArrow(_parent(parent_discount, parent_strength, v, 1 << bits, seed), ROWS))
+    release(docs.sparkSession)
     totals = [0] * (1 + 3 * SAMPLES)
     for row in parent.where("part = -1").select("a").toLocalIterator():
         totals = [a + int(b) for a, b in zip(totals, unpacked(bytes(row["a"]), "|u1", "<u8")[1], strict=True)]
