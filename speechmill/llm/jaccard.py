@@ -46,7 +46,7 @@ def packed(*columns: np.ndarray) -> bytes:
         c = np.ascontiguousarray(c)
         if k == 0 and len(c):
             c = np.r_[c[:1], np.diff(c)]
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes())
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts)) if len(columns[0]) else b""
 
 
@@ -296,3 +296,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     named = rows.join(joined, "entity", "left").withColumn("root", F.coalesce("component", "entity"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the smallest id, then the first place.
+
+    Rows without shingles stay. ``docs`` must read the same rows in the same order
+    each time, as a scan of files does: rows are told apart by their place.
+    """
+    keyed = docs.withColumn("_place", F.monotonically_increasing_id())
+    found = jaccard_components(keyed, k, percent, "_place", text_col).select(F.col("doc_id").alias("_place"), "component_id")
+    ids = keyed.select("_place", F.col(id_col).alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_place").alias("place"))
+    stay = ids.join(found, "_place").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.place").alias("_place"))
+    return keyed.join(stay, "_place", "left_semi").drop("_place")
