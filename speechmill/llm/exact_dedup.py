@@ -20,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import WS_BYTES, cut, id_text, partitions, rows_of
+from speechmill.llm.common import WS_BYTES, cut, partitions
 
-REF = "struct<row:struct<id:long,chars:int,sha:string,n:int>,pos:int>"
+REF = "struct<row:struct<id:long,key:long,chars:int,sha:string,n:int>,pos:int>"
 
 
 def _blocks(size: int):
-    ref = pa.struct([("row", pa.struct([("id", pa.int64()), ("chars", pa.int32()), ("sha", pa.string()), ("n", pa.int32())])), ("pos", pa.int32())])
+    ref = pa.struct([("row", pa.struct([("id", pa.int64()), ("key", pa.int64()), ("chars", pa.int32()), ("sha", pa.string()), ("n", pa.int32())])), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches):
+        for batch in batches:
             refs: dict[bytes, list] = {}
-            for i, t in zip(ids, texts, strict=True):
+            for i, t, key in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 b = t.encode().translate(None, WS_BYTES)
-                row = {"id": i, "chars": len(t), "sha": hashlib.sha256(b).hexdigest(), "n": max(1, -(-len(b) // size))}
+                row = {"id": i, "key": key, "chars": len(t), "sha": hashlib.sha256(b).hexdigest(), "n": max(1, -(-len(b) // size))}
                 for pos in range(row["n"]):
                     refs.setdefault(b[pos * size : (pos + 1) * size], []).append({"row": row, "pos": pos})
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.binary()), pa.array(refs.values(), pa.list_(ref))], ["block", "refs"])
@@ -48,12 +48,14 @@ def _named(keys: DataFrame, on: list[str], n: int) -> DataFrame:
     return shard.withColumn("name", rank.cast("long") * n + F.col("_shard")).drop("_shard")
 
 
-def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
-    """(doc_id, chars, text_sha256, level, name) of every row: equal (level, name), equal normalised text."""
+def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, key_col: str | None = None) -> DataFrame:
+    """(doc_id, key, chars, text_sha256, level, name) of every row: equal (level, name), equal normalised text."""
     n = max(partitions(docs), 1)
-    blocks = id_text(docs, id_col, text_col).mapInArrow(_blocks(block_bytes), f"block binary, refs array<{REF}>")
+    key = F.col(key_col).cast("long") if key_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    blocks = rows.mapInArrow(_blocks(block_bytes), f"block binary, refs array<{REF}>")
     names = cut(_named(blocks, ["block"], n).select(F.explode("refs").alias("r"), "name").select("r.row.*", "r.pos", "name"))
-    row = ["id", "sha", "chars"]  # rows alike in these are one text; "copies" tells how often the table has it
+    row = ["id", "key", "sha", "chars"]  # rows alike in these are one text; "copies" tells how often the table has it
     level, most = 0, names.agg(F.max("n")).first()[0] or 1
     done = names.where("n = 1").select(*row, F.lit(0).alias("level"), "name")
     parts = names.where("n > 1").groupBy(*row, "n", "pos", "name").agg(F.count(F.lit(1)).alias("copies"))
@@ -69,22 +71,36 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = cut(half.join(pairs, ["a", "b"]).select(*row, "n", "pos", "name", "copies"))
         done = done.unionByName(parts.where("n = 1").select(*row, F.lit(level).alias("level"), "name", F.explode(F.expr("sequence(1L, copies)")).alias("_")).drop("_"))
         parts = parts.where("n > 1")
-    return done.select(F.col("id").alias("doc_id"), "chars", F.col("sha").alias("text_sha256"), "level", "name")
+    return done.select(F.col("id").alias("doc_id"), "key", "chars", F.col("sha").alias("text_sha256"), "level", "name")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, key_col: str | None = None) -> DataFrame:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Of equal normalised texts the one with the most code points before
     normalisation stays, then the smallest id; a null id loses ties. A null text
     counts as empty; all texts of white space alone are equal. Rows that repeat
-    an id and a text count as often as they come and share one verdict. An
-    empty table gives an empty result.
+    an id and a text count as often as they come and share one verdict, unless
+    ``key_col`` names a column that tells rows apart: then the smallest key stays,
+    and the result has the column ``key``. An empty table gives an empty result.
     """
-    named = block_names(docs, id_col, text_col, block_bytes)
+    named = block_names(docs, id_col, text_col, block_bytes, key_col)
     groups = named.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("neg"))).alias("best"),
+        F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("neg"), (-F.col("key")).alias("negkey"))).alias("best"),
     )
     keep = -F.col("best.neg")
-    return named.join(groups, ["level", "name"]).select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    kept = F.col("doc_id").eqNullSafe(keep) & F.col("key").eqNullSafe(-F.col("best.negkey"))
+    out = named.join(groups, ["level", "name"]).select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "key")
+    return out if key_col else out.drop("key")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class of equal texts, with all their columns.
+
+    ``docs`` must read the same rows in the same order each time, as a scan of
+    files does: rows are told apart by their place.
+    """
+    keyed = docs.withColumn("_place", F.monotonically_increasing_id())
+    stay = exact_dedup(keyed, id_col, text_col, block_bytes, "_place").where("kept").select(F.col("key").alias("_place"))
+    return keyed.join(stay, "_place", "left_semi").drop("_place")

@@ -59,27 +59,34 @@ def _n_repeat_words(words: str, k: int = WINDOW) -> str:
     return _let(words, "w", f"if(size(w) <= {k}, 0, " + _let(grams, "g", f"if(size(array_distinct(g)) = size(g), 0, {slow})") + ")")
 
 
+#: SQL of each measure over the columns text, words and lines.
+MEASURES = {
+    "n_words": "size(words)",
+    "word_chars": r"length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ''))",
+    "n_symbols": r"length(regexp_replace(text, '[^#*$%&|<>]+', ''))",
+    "n_lines": "size(lines)",
+    "n_dup_lines": "size(lines) - size(array_distinct(lines))",
+    "n_repeat_words": _n_repeat_words("words"),
+    "n_stop": f"size(filter(words, x -> lower(x) in ({', '.join(repr(w) for w in dict.fromkeys(STOP_WORDS))})))",
+    "n_letter_words": r"size(filter(words, x -> x rlike '\\p{L}'))",
+    "n_alpha": r"length(regexp_replace(text, '[^\\p{L}]+', ''))",
+    "n_upper": r"length(regexp_replace(text, '[^\\p{Lu}]+', ''))",
+}
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of every row, all as long."""
-    split = id_text(docs, id_col, text_col).select(
-        "doc_id", "text",
+    """The id, the counts of every row as long, and the whole row as the struct ``row``."""
+    held = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.struct("*").alias("row"),
+    )
+    split = held.select(
+        "doc_id", "text", "row",
         F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)").alias("words"),
         F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
     )
-    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
-    made = {
-        "n_words": "size(words)",
-        "word_chars": r"length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ''))",
-        "n_symbols": r"length(regexp_replace(text, '[^#*$%&|<>]+', ''))",
-        "n_lines": "size(lines)",
-        "n_dup_lines": "size(lines) - size(array_distinct(lines))",
-        "n_repeat_words": _n_repeat_words("words"),
-        "n_stop": f"size(filter(words, x -> lower(x) in ({stops})))",
-        "n_letter_words": r"size(filter(words, x -> x rlike '\\p{L}'))",
-        "n_alpha": r"length(regexp_replace(text, '[^\\p{L}]+', ''))",
-        "n_upper": r"length(regexp_replace(text, '[^\\p{Lu}]+', ''))",
-    }
-    return split.select("doc_id", *[F.expr(f"cast({e} as long)").alias(n) for n, e in made.items()])
+    return split.select("doc_id", "row", *[F.expr(f"cast({e} as long)").alias(n) for n, e in MEASURES.items()])
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> str:
@@ -91,6 +98,15 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> str:
     return f"array_compact(array({', '.join(parts)}))"
 
 
+def judged(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...], min_words: int, max_repeat_percent: int) -> DataFrame:
+    return (
+        measures(docs, id_col, text_col)
+        .withColumn("base_failed", F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words"))
+        .withColumn("broken", F.expr(f"if(n_words = 0, cast(array() as array<string>), {compiled(rules)})"))
+        .withColumn("kept", F.expr("not base_failed and size(broken) = 0"))
+    )
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """Measures, ``base_failed``, ``broken`` (names of broken rules) and ``kept`` of every row.
 
@@ -98,10 +114,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     evaluated. Rows stay one to one, repeated rows and null ids included; an
     empty table gives an empty result.
     """
-    base = F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words")
-    return (
-        measures(docs, id_col, text_col)
-        .withColumn("base_failed", base)
-        .withColumn("broken", F.expr(f"if(n_words = 0, cast(array() as array<string>), {compiled(rules)})"))
-        .withColumn("kept", F.expr("not base_failed and size(broken) = 0"))
-    )
+    return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).drop("row")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, in the same pass."""
+    return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).where("kept").select("row.*")
