@@ -24,7 +24,7 @@ from speechmill.llm.common import cut, id_text, partitions, rows_of
 from speechmill.llm.jaccard import _groups, packed, unpacked
 from speechmill.llm.shingles import _BASE, _BYTE, mix
 
-ANCHOR, CHUNK, FLUSH, BATCH = 64, 1 << 20, 12_000_000, 1_500_000
+ANCHOR, CHUNK, FLUSH, BATCH = 64, 1 << 20, 8_000_000, 600_000
 ROWS = "part long, p long, a binary, b binary"
 
 
@@ -131,7 +131,7 @@ def _segments(length: int, k: int, bits: int):
                 if a < b:
                     size = f.end[a:b] - f.start[a:b] + length - 1
                     ends = np.cumsum(size)
-                    spot = np.arange(ends[-1]) + np.repeat(f.start[a:b] - (ends - size), size)
+                    spot = np.arange(ends[-1], dtype=np.int32) + np.repeat((f.start[a:b] - (ends - size)).astype(np.int32), size)
                     yield _batch([(part, p, packed(f.hash[a:b], size.astype(np.uint32)), _zip(f.buffer[spot].tobytes()))])
 
     return run
@@ -152,14 +152,14 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, longest: int) -> tuple[n
     are in the order of their segments.
     """
     n, width = len(symbols), 7
-    padded = np.r_[symbols, np.zeros(width, np.int64)]
+    padded = np.r_[symbols, np.zeros(width, symbols.dtype)]
     key = np.zeros(n, np.int64)
     for j in range(width):
-        key = (key << 9) | np.where(left > j, padded[j : j + n], 0)
-    sa = np.argsort(key, kind="stable")
+        key = (key << 9) | np.where(left > j, padded[j : j + n], np.int16(0))
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     key = key[sa]
     new = np.r_[True, key[1:] != key[:-1]]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
     h = width
     while h < longest:
@@ -168,7 +168,7 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, longest: int) -> tuple[n
             break
         sub = sa[tied]
         more = left[sub] > h
-        key = rank[sub] * (n + 1)
+        key = rank[sub].astype(np.int64) * (n + 1)
         key[more] += rank[sub[more] + h] + 1
         order = np.argsort(key, kind="stable")
         sub, key = sub[order], key[order]
@@ -177,8 +177,8 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, longest: int) -> tuple[n
         new[tied] = fresh
         rank[sub] = tied[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         h *= 2
-    inverse = np.empty(n, np.int64)
-    inverse[sa] = np.arange(n)
+    inverse = np.empty(n, np.int32)
+    inverse[sa] = np.arange(n, dtype=np.int32)
     return sa, inverse
 
 
@@ -194,14 +194,14 @@ def boundaries(sa: np.ndarray, inverse: np.ndarray, symbols: np.ndarray, marks:
     done[: marks + 1] = True
     before = np.where(sa > 0, symbols[sa - 1], 0)
     open_ = before > 0  # an end mark before it: nothing to extend by
-    lf = np.where(open_, inverse[np.maximum(sa - 1, 0)], -1)
+    lf = np.where(open_, inverse[np.maximum(sa - 1, 0)], np.int32(-1))
     first = symbols[sa]
-    follows = np.full(n, n, np.int64)  # the next row with the same symbol before it
+    follows = np.full(n, n, np.int32)  # the next row with the same symbol before it
     rows = np.flatnonzero(open_)
     r = lf[rows]
     same = (r + 1 < n) & (first[np.minimum(r + 1, n - 1)] == first[r])
     follows[rows[same]] = inverse[sa[r[same] + 1] + 1]
-    precedes = np.full(n, -1, np.int64)
+    precedes = np.full(n, -1, np.int32)
     ok = follows < n
     precedes[follows[ok]] = np.flatnonzero(ok)
     lo, hi = np.r_[0, np.arange(marks)], np.r_[n - 1, np.arange(marks)]
@@ -219,14 +219,14 @@ def boundaries(sa: np.ndarray, inverse: np.ndarray, symbols: np.ndarray, marks:
         if len(a):
             size = b - a + 1
             ends = np.cumsum(size)
-            spot = np.arange(ends[-1]) + np.repeat(a - (ends - size), size)
-            owner = np.repeat(np.arange(len(a)), size)
+            spot = np.arange(ends[-1], dtype=np.int32) + np.repeat((a - (ends - size)).astype(np.int32), size)
+            owner = np.repeat(np.arange(len(a), dtype=np.int32), size)
             keep = open_[spot]
             spot, owner = spot[keep], owner[keep]
             last, head = follows[spot] > b[owner], precedes[spot] < a[owner]
             tail_rows, head_rows = lf[spot[last]], lf[spot[head]]
-            ot = np.argsort(owner[last] * 512 + first[tail_rows], kind="stable")
-            oh = np.argsort(owner[head] * 512 + first[head_rows], kind="stable")
+            ot = np.argsort(owner[last].astype(np.int64) * 512 + first[tail_rows], kind="stable")
+            oh = np.argsort(owner[head].astype(np.int64) * 512 + first[head_rows], kind="stable")
             a2, b2 = head_rows[oh], tail_rows[ot]
             a1, b1 = np.r_[a1, a2], np.r_[b1, b2]
         fresh = ~done[b1 + 1]
@@ -244,10 +244,10 @@ def repeated(segments: list[bytes], weights: list[int], length: int) -> list[np.
     """For each segment, which of its windows occur twice or more, weights counted."""
     sizes = np.array([len(s) for s in segments], np.int64)
     begin = np.r_[0, np.cumsum(sizes + 1)]
-    symbols = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8).astype(np.int64) + 1
+    symbols = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8).astype(np.int16) + np.int16(1)
     symbols[begin[1:] - 1] = 0
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    left = begin[1:][owner] - np.arange(len(symbols))
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes + 1)
+    left = (begin[1:][owner] - np.arange(len(symbols))).astype(np.int32)
     sa, inverse = suffix_order(symbols, left, int(sizes.max()) + 1)
     parted = boundaries(sa, inverse, symbols, len(segments), length)
     parted[0] = True
@@ -278,13 +278,13 @@ def _matched(length: int):
             order = np.argsort(h, kind="stable")
             new = np.r_[True, h[order][1:] != h[order][:-1]]
             shared = order[~(new & np.r_[new[1:], True])]
-            found: list = [None] * len(h)  # runs of a segment
+            found: dict = {}  # runs of a segment
             text, weight, members, batch = [], [], [], 0
 
             def settle(text: list, weight: list, members: list) -> None:
                 for mask, who in zip(repeated(text, weight, length), members, strict=True):
                     if mask.any():
-                        runs = _runs(mask)
+                        runs = [x.tolist() for x in _runs(mask)]
                         for i in who:
                             found[i] = runs
 
@@ -294,7 +294,7 @@ def _matched(length: int):
                 if i < 0 or h[i] != now:
                     if len(group) == 1:  # all alike: nothing to compare
                         (s, who), = group.items()
-                        runs = (np.zeros(1, np.int64), np.array([len(s) - length + 1]))
+                        runs = ([0], [len(s) - length + 1])
                         for x in who:
                             found[x] = runs
                     else:
@@ -313,10 +313,8 @@ def _matched(length: int):
                 group.setdefault(data[source[i]][e - int(size[i]) : e], []).append(i)
             out, at = [], 0
             for r, n in zip(rows, count.tolist(), strict=True):
-                hits = [(k, f) for k, f in enumerate(found[at : at + n]) if f is not None]
-                who = np.repeat(np.array([k for k, _ in hits], np.int64), [len(f[0]) for _, f in hits])
-                some = hits or [(0, (np.zeros(0, np.int64), np.zeros(0, np.int64)))]
-                a, b = np.concatenate([f[0] for _, f in some]), np.concatenate([f[1] for _, f in some])
+                hits = [(k, lo, hi) for k in range(n) if (f := found.get(at + k)) for lo, hi in zip(*f, strict=True)]
+                who, a, b = np.array(hits, np.int64).reshape(-1, 3).T
                 out.append((r[1], part, packed(who.astype(np.uint64), a.astype(np.uint32), b.astype(np.uint32)), np.array([n, 0], np.int64).tobytes()))
                 at += n
             yield _batch(out)
@@ -379,7 +377,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     checked.
     """
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
-    bits, k = max(n - 1, 1).bit_length(), min(anchor, length)
+    bits, k = max(n - 1, 1).bit_length() + 1, min(anchor, length)
     segments = base.mapInArrow(_segments(length, k, bits), ROWS)
     matched = cut(segments.repartition(n, "part").sortWithinPartitions("part", "p").mapInArrow(_matched(length), ROWS))
     texts = base.mapInArrow(_texts, ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
