@@ -1,10 +1,8 @@
-"""Every registered query, and its SQL for DuckDB."""
+"""Every registered query of the engine, and its SQL for DuckDB."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from speechmill.plans.oracles import ORACLES
+from speechmill.plans.queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,24 +1,16 @@
-"""Schemas of the entities. Order is data, so every entity carries an ordinal (``seq`` or ``pos``)."""
+"""Schemas of the entities, as DDL. Order is data, so every entity carries an ordinal (``seq`` or ``pos``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 LOG_VERSION = 1
 
-LOG = T.StructType.fromDDL(
-    "v INT, type STRING, id STRING, session STRING, audio STRING, seconds DOUBLE, text STRING, dictated STRING, continues BOOLEAN"
-)
-UTTERANCES = T.StructType.fromDDL(
-    "id STRING, session STRING, audio STRING, seconds DOUBLE, `index` INT, of INT, continues BOOLEAN, phone STRING, refined STRING, status STRING, dictated STRING, field STRING"
-)
-HYPOTHESES = T.StructType.fromDDL("system STRING, id STRING, hyp STRING")
-REVIEWED = T.StructType.fromDDL("id STRING, grade STRING, text STRING")
-LABELS = T.StructType.fromDDL(
-    "id STRING, session STRING, audio STRING, seconds DOUBLE, text STRING, grade STRING, source STRING, joins ARRAY<STRING>, `group` INT, fold INT"
-)
-MANIFEST = T.StructType.fromDDL("id STRING, audio STRING, text STRING, `group` STRING")
-REPLAY = T.StructType.fromDDL("id STRING, audio STRING, text STRING, seconds DOUBLE")
-TERMS = T.StructType.fromDDL("pos BIGINT, term STRING")
-WEIGHTS = T.StructType.fromDDL("name STRING, is_float BOOLEAN, values ARRAY<FLOAT>")
-FRAMES = T.StructType.fromDDL("id STRING, t INT, feat ARRAY<FLOAT>")
+LOG = "v INT, type STRING, id STRING, session STRING, audio STRING, seconds DOUBLE, text STRING, dictated STRING, continues BOOLEAN"
+UTTERANCES = "id STRING, session STRING, audio STRING, seconds DOUBLE, `index` INT, of INT, continues BOOLEAN, phone STRING, refined STRING, status STRING, dictated STRING, field STRING"
+HYPOTHESES = "system STRING, id STRING, hyp STRING"
+REVIEWED = "id STRING, grade STRING, text STRING"
+LABELS = "id STRING, session STRING, audio STRING, seconds DOUBLE, text STRING, grade STRING, source STRING, joins ARRAY<STRING>, `group` INT, fold INT"
+MANIFEST = "id STRING, audio STRING, text STRING, `group` STRING"
+REPLAY = "id STRING, audio STRING, text STRING, seconds DOUBLE"
+TERMS = "pos BIGINT, term STRING"
+WEIGHTS = "name STRING, is_float BOOLEAN, values ARRAY<FLOAT>"
+FRAMES = "id STRING, t INT, feat ARRAY<FLOAT>"
