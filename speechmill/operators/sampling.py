@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechmill.functions import text as tx
 from speechmill.functions.portable import order_key
+from speechmill.sources.shared import cut
 
 TEST, DEV = 300, 100
 SHORTEST, LONGEST = 1.0, 15.0
@@ -74,10 +75,11 @@ def dense(rows: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """Adds dense numbers from 0 in the given order without gathering rows in one task.
 
     Rows are range-partitioned and numbered inside partitions; the offset of each
-    partition comes from one row a partition.
+    partition comes from one row a partition. The ranges are drawn from a sample, so
+    what they came out as is written down before it is read twice.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     inside = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -123,7 +123,7 @@ def term_hits(spark: SparkSession, d: str) -> DataFrame:
 def merged_systems(spark: SparkSession, d: str) -> DataFrame:
     rows = ad.utterances(spark, d)
     first = ad.hypotheses(rows).withColumn("ord", F.lit(0))
-    later = rows.where(F.col("continues")).select(F.lit("large").alias("system"), "id", F.upper("text").alias("hyp"), F.lit(1).alias("ord"))
+    later = rows.where(F.col("continues")).select(F.lit("large").alias("system"), "id", F.lower("text").alias("hyp"), F.lit(1).alias("ord"))
     return scoring.merged_systems(first.unionByName(later)).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("hyp")).cast("bigint").alias("chars"), F.max("hyp").alias("last"))
 
 
