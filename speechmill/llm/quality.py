@@ -86,7 +86,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)").alias("words"),
         F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
     )
-    return split.select("doc_id", "row", *[F.expr(f"cast({e} as long)").alias(n) for n, e in MEASURES.items()])
+    # the place keeps a filter on measures from being moved below them, where each reference would compute them again
+    return split.select("doc_id", "row", *[F.expr(f"cast({e} as long)").alias(n) for n, e in MEASURES.items()], F.monotonically_increasing_id().alias("place"))
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> str:
@@ -114,9 +115,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     evaluated. Rows stay one to one, repeated rows and null ids included; an
     empty table gives an empty result.
     """
-    return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).drop("row")
+    return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).drop("row", "place")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with all their columns, in the same pass."""
-    return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).where("kept").select("row.*")
+    return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).where("kept and place >= 0").select("row.*")
