@@ -116,7 +116,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[i
     """Rows of a partition sorted by its key column, a key at a time."""
     name, rows = None, []
     for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for i in range(b.num_rows):  # a row at a time: the blobs of a batch are not copied at once
+            row = tuple(c[i].as_py() for c in b.columns)
             if rows and row[key] != name:
                 yield name, rows
                 rows = []

@@ -46,7 +46,10 @@ def _gram_hashes(a: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, end, anchor's hash. ``a`` has at least ``length`` bytes."""
+    """Runs of windows with one anchor: first window, end, anchor's hash. ``a`` has at least ``length`` bytes.
+
+    Least hashes are small, so they are mixed again to be spread over the parts.
+    """
     h = _gram_hashes(a, k)
     low = np.uint64(0xFFFFFFFF)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -58,7 +61,7 @@ def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
         m = np.minimum(m[: len(m) - (w - size)], m[w - size :])
     at = (m & low).astype(np.int64)
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return start, np.r_[start[1:], len(at)], h[at[start]]
+    return start, np.r_[start[1:], len(at)], mix(h[at[start]] + np.uint64(1))
 
 
 class Flush:
