@@ -1,0 +1,474 @@
+"""Each operator against brute force, a library, a round trip or held-out accuracy."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+import corpus_pipeline
+from speechmill.llm import bpe, exact_dedup, jaccard, packing, pii, pitman_yor, quality, secrets, suffix_dedup, token_counts
+from speechmill.llm.nets import CharCnn
+from speechmill.llm.shingles import shingle_set, word_hashes
+
+R = random.Random(11)
+SYLLABLES = "ther and of ing tion le re en der un que ci ón ä ß er st in on".split()
+
+
+def word(r=R):
+    return "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3)))
+
+
+def text(n, r=R):
+    return " ".join(word(r) + r.choice(["", "", "", ".", ",", ".\n"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    r = random.Random(5)
+    out = [text(r.randint(1, 400), r) for _ in range(120)]
+    passage = text(80, r)
+    for _ in range(20):
+        base = r.choice(out[:60])
+        words = base.split(" ")
+        out.append(r.choice([base, base + " ", " ".join(w if r.random() > 0.01 else word(r) for w in words), base[: len(base) // 2] + passage + base[len(base) // 2 :]]))
+    return out
+
+
+# 1
+
+def brute_removed(texts, length):
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        runs = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
+        out.append((len(d), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length", [200, 50])
+def test_suffix_dedup(docs, corpus, length):
+    periodic = ["ab" * 300, "xyz" + "ab" * 150, "q" * 1000, None, ""]
+    texts = corpus + periodic
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs(texts), length).collect()}
+    assert got == dict(enumerate(brute_removed(texts, length)))
+
+
+def test_interval_expansion():
+    for seed in range(60):
+        r = random.Random(seed)
+        length = r.choice([3, 5, 8, 20])
+        letters = bytes(r.sample(range(256), r.choice([1, 2, 3, 6])))
+        segments = list({bytes(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 12))})
+        weights = [r.choice([1, 1, 2]) for _ in segments]
+        seen = collections.Counter()
+        for s, w in zip(segments, weights):
+            for i in range(len(s) - length + 1):
+                seen[s[i : i + length]] += w
+        expected = [[seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in segments]
+        assert [[bool(x) for x in m] for m in suffix_dedup.repeated(segments, weights, length)] == expected
+
+
+def test_long_documents_are_cut_into_chunks(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    r = random.Random(2)
+    a = text(600, r)
+    f = suffix_dedup.Flush([0], [a.encode()], 200, 64)
+    covered = sorted((int(s), int(e)) for s, e in zip(f.start, f.end))
+    assert covered[0][0] == 0 and covered[-1][1] == len(a.encode()) - 199
+    assert all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
+
+
+# 2
+
+def test_quality_counts(docs, corpus):
+    texts = corpus + ["a b c d e f g h " * 5, "one\ntwo\none\n\n \n#|# x", None, ""]
+    got = {r.doc_id: r for r in quality.quality(docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        often = {g for g, c in collections.Counter(grams).items() if c > 1}
+        covered = {k + j for k, g in enumerate(grams) if g in often for j in range(8)}
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+
+
+def test_quality_plan_has_no_python(docs):
+    plan = quality.quality(docs(["a"]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_quality_keeps_clean_text(docs):
+    clean = "the house of the king and the road to the sea was long and it is in the north with a view " * 1
+    junk = " ".join(f"{w}###" for w in clean.split() * 2)
+    got = [r.kept for r in quality.quality(docs([clean + "that they see from here on", junk])).orderBy("doc_id").collect()]
+    assert got == [True, False]
+
+
+# 3 and 7
+
+def test_pii_base_spans_match_the_patterns():
+    r = random.Random(1)
+    for _ in range(3000):
+        t = "".join(r.choice("a1.@-+ ()25 0x") for _ in range(60))
+        expected = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        expected += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        expected += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+        expected += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.findall("[0-9]", m[0])) <= 15]
+        assert pii.base_spans(t) == expected
+
+
+def test_pii_model_on_held_out_spans():
+    model = pii.trained()
+    held = pii.labelled_spans(300, seed=99)
+    tags = pii._tags(held)
+    best, sure = model.decode(pii.batch_ids([t for t, _ in held], pii.WINDOW))
+    assert (best == tags).mean() > 0.96
+    assert (sure > 0).all() and (sure <= 1 + 1e-6).all()
+
+
+def test_pii_adds_and_leaves_clean_text_alone():
+    model = pii.trained()
+    clean = ["the house was on version 3.2 of the plan and 1999 was a year " * 3, "meet at noon, dot the i"]
+    assert all(not added for _, added in pii.find(clean, model, 0.7))
+    held = pii.labelled_spans(600, seed=98)
+    wanted = found = wrong = 0
+    for (t, spans), (base, added) in zip(held, pii.find([t for t, _ in held], model, 0.7)):
+        missed = [s for s in spans if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+        wanted += len(missed)
+        found += sum(s in added for s in missed)
+        wrong += sum(not any(a[1] < s[2] and s[1] < a[2] for s in spans) for a in added)
+    assert found >= 0.7 * wanted and wrong <= 0.02 * wanted
+
+
+def test_pii_gradient():
+    from speechmill.llm.nets import LstmCrf
+
+    r = np.random.default_rng(0)
+    m = LstmCrf(3, 4, 5)
+    for k in m.p:
+        m.p[k] = m.p[k].astype(np.float64)
+    ids, tags = r.integers(0, 20, (3, 6)), r.integers(0, 3, (3, 6))
+
+    def loss():
+        em = m.emissions(ids)
+        _, _, z = m._forward_backward(em)
+        path = np.take_along_axis(em, tags[:, :, None], 2).sum((1, 2)) + m.p["t"][tags[:, :-1], tags[:, 1:]].sum(1)
+        return float((z - path).mean())
+
+    g = m._gradient(ids, tags)
+    for k in ("t", "c", "o", "wf", "bb"):
+        at = (0,) * m.p[k].ndim
+        old = m.p[k][at]
+        m.p[k][at] = old + 1e-4
+        up = loss()
+        m.p[k][at] = old - 1e-4
+        down = loss()
+        m.p[k][at] = old
+        assert abs((up - down) / 2e-4 - g[k][at]) < 1e-3
+
+
+def test_reconcile_takes_the_best_disjoint_set():
+    spans = [(0.9, ("ip", 0, 10)), (0.6, ("ip", 0, 5)), (0.6, ("card", 5, 10)), (0.5, ("ip", 20, 30)), (0.8, ("ip", 20, 30))]
+    assert pii.reconcile(spans) == [("ip", 0, 5), ("card", 5, 10), ("ip", 20, 30)]
+
+
+def test_secrets_base_spans_match_the_patterns():
+    r = random.Random(1)
+    parts = ["token", "PASSWORD", "=", ":", '"', " ", "ab3", "AKIA", "A9Z", "deadbeef", "ſ", "K", ".", "api", "_", "key", "/"]
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(30))
+        expected = [("assign", *m.span()) for m in re.finditer(assign, t) if len(m[2]) >= 6]
+        expected += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        expected += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert secrets.base_spans(t)[0] == sorted(expected, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_secrets_network_on_held_out_findings():
+    scanner = secrets.trained()
+    model = CharCnn(secrets.SIZE, params=scanner.params)
+    held = secrets.labelled_findings(600, seed=99)
+    p = 1 / (1 + np.exp(-model.logits(*secrets.features([(f.text, f.start, f.end) for f in held])) / scanner.temperature))
+    truth = np.array([f.secret for f in held])
+    assert (p[truth] >= scanner.threshold).mean() >= 0.9
+    assert (p[~truth] >= scanner.threshold).mean() <= 0.02
+
+
+def test_secrets_are_masked(docs):
+    rows = ['the token = "1eb9c654e721b4f812088970e66a6345cee33dd6" was here', "clean text", None]
+    got = [r.text for r in secrets.redacted(docs(rows)).orderBy("doc_id").collect()]
+    assert got == ['the [SECRET]" was here', "clean text", None]
+
+
+# 4
+
+def test_packing_covers_every_id_once(docs, corpus):
+    coder = packing.ByteBpe(P.path("byte_bpe_50k.json"))
+    texts = corpus + ["a<|endoftext|>b", "", None, text(3000)]
+    pieces = packing.pack(docs(texts), P.path("byte_bpe_50k.json"), shard_rows=16).collect()
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    for i, t in enumerate(texts):
+        ids = np.r_[coder.encode(t or ""), np.uint32(1)].astype("<u4")
+        at = 0
+        for p in sorted(by_doc[i], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    for ps in by_sequence.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048 and at & (at - 1) == 0
+
+
+def test_bm25_finds_the_nearest():
+    r = np.random.default_rng(1)
+    rows = [r.integers(0, 1000, 50).astype(np.uint32) for _ in range(20)]
+    rows.append(np.r_[rows[3][:30], r.integers(1000, 2000, 20)].astype(np.uint32))
+    s = packing.Bm25(rows).scores(20)
+    s[20] = -1
+    assert int(s.argmax()) == 3
+    n, k1, b = len(rows), 1.2, 0.75
+    avg = np.mean([len(x) for x in rows])
+    df = collections.Counter(t for x in rows for t in set(x.tolist()))
+    expected = sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * (tf := rows[3].tolist().count(t)) * (k1 + 1) / (tf + k1 * (1 - b + b * len(rows[3]) / avg)) for t in set(rows[20].tolist()))
+    assert abs(s[3] - expected) < 1e-9
+
+
+# 5
+
+def test_exact_dedup(docs, corpus):
+    r = random.Random(3)
+    long = text(4000, r)
+    texts = corpus + [long, long.replace(" ", "\n"), long + "x", " ", "", None, "a b", "ab", "a  b"]
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept, x.text_sha256) for x in exact_dedup.exact_dedup(docs(texts), block_bytes=512).collect()}
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in texts]
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(norm):
+        groups[t].append(i)
+    for i, t in enumerate(norm):
+        keep = min(groups[t], key=lambda j: (-len(texts[j] or ""), j))
+        assert got[i] == (keep, len(groups[t]), keep == i, hashlib.sha256(t.encode()).hexdigest())
+
+
+# 6
+
+HARD = ["a<|endoftext|>b  c's 'LL", "ΑΣ ΣΑΣ İstanbul ﬁ ½ ²\x1c\x1d x́ é", "漢字かな カナ 🙂🙂 👨‍👩‍👧", "a" * 300, "rrrrr nrrrrr rrrrrrrrr ooooo", "<|startoftext|> Hello<|endoftext|>", "\x00\x85 \xa0 Ⅷ ٣", "Don't we'LL you'Re ''s"]
+
+
+def test_bpe_equals_the_library(corpus):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), bpe.WordBpe(path)
+    for t in corpus + HARD:
+        e = library.encode(t, add_special_tokens=False)
+        ids, labels = mine.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids
+        assert labels == library.decode(e.ids, skip_special_tokens=False) == mine.decode(ids)
+
+
+def test_bpe_round_trip_frames(docs, corpus):
+    path = P.path("word_bpe_49k.json")
+    coded = bpe.bpe_encode(docs(corpus[:10]), path)
+    decoded = {r.doc_id: r.text for r in bpe.bpe_decode(coded, path).collect()}
+    digests = {r.doc_id: r.decoded_sha256 for r in bpe.bpe_round_trip(docs(corpus[:10]), path).collect()}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in decoded.items()} == digests
+
+
+def test_automaton_on_small_vocabularies():
+    for seed in range(40):
+        r = random.Random(seed)
+        vocab, merges = {c: i for i, c in enumerate("abc")}, []
+        while len(merges) < 12:
+            a, b = r.choice(list(vocab)), r.choice(list(vocab))
+            if a + b not in vocab and len(a + b) < 7:
+                merges.append((a, b))
+                vocab[a + b] = len(vocab)
+        reachable = []
+        for m in merges:  # a merge that greedy merging never reaches would not come from training
+            parts = list(m[0] + m[1])
+            for u, v in reachable:
+                parts = _merge(parts, u, v)
+            if parts == [m[0], m[1]]:
+                reachable.append(m)
+        names = {c: i for i, c in enumerate("abc")} | {u + v: k + 3 for k, (u, v) in enumerate(reachable)}
+        machine = bpe.MergeAutomaton(names, reachable)
+        for _ in range(60):
+            s = "".join(r.choice("abc") for _ in range(r.randint(1, 14)))
+            parts = list(s)
+            for u, v in reachable:
+                parts = _merge(parts, u, v)
+            assert [machine.labels[i] for i in machine.word(s)] == parts
+
+
+def _merge(parts, u, v):
+    out, i = [], 0
+    while i < len(parts):
+        if i + 1 < len(parts) and parts[i] == u and parts[i + 1] == v:
+            out.append(u + v)
+            i += 2
+        else:
+            out.append(parts[i])
+            i += 1
+    return out
+
+
+def test_byte_bpe_equals_the_library(corpus):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), packing.ByteBpe(path)
+    for t in corpus + HARD:
+        assert mine.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+# 8
+
+def test_token_counts_resynchronise(corpus):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    r = random.Random(4)
+    hard = ["x" * 5000, " " * 3000 + "a", "<|endoftext|>" * 200, "".join(r.choice([" ", "  ", "a", "'re", "1", "é", "<|endoftext|>", "\n", "🙂"]) for _ in range(4000)), "a b" * 2000]
+    for chunk, overlap in ((200, 32), (1000, 16), (64, 16)):
+        counter = token_counts.Resync(path, chunk, overlap)
+        for t in [" ".join(corpus[:20]), *hard]:
+            assert counter.count_long(t) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+# 9
+
+def test_pitman_yor_base_counts(docs, corpus):
+    texts = corpus + ["", None, "The the THE"]
+    got = {r.doc_id: r for r in pitman_yor.lm_scores(docs(texts)).collect()}
+    tok = [[*(t or "").encode().lower().split(), None] for t in texts]
+    train = [t for i, t in enumerate(tok) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(tok):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(t), sum(c[w] > 0 for w in t), n)
+        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6
+        assert r.score < 0
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # it predicts better than counts of words
+
+
+def test_predictive_probabilities_sum_to_one(docs):
+    """Over every next word of one context, the unknown one included."""
+    vocabulary = ["a", "b", "c", "d"]
+    train = ["a b", "a b c", "a c d b", "b a d", "a b a b"]
+    ids = [i for i in range(200) if not pitman_yor.held_out(i)][: len(train)]
+    asked = [i for i in range(200) if pitman_yor.held_out(i)][: len(vocabulary) + 2]
+    rows = list(zip(ids, train)) + list(zip(asked, ["a " + w for w in [*vocabulary, "zz"]] + ["a"]))
+    got = {r.doc_id: r.score for r in pitman_yor.lm_scores(docs(rows)).collect()}
+    # P(a w end) / (P(a | begin) P(end | w)) is P(w | a); ends are asked for through one-word rows
+    ends = {w: i for w, i in zip([*vocabulary, "zz"], asked)}
+    single = dict(zip([*vocabulary, "zz"], [i for i in range(200, 600) if pitman_yor.held_out(i)]))
+    again = {r.doc_id: r.score for r in pitman_yor.lm_scores(docs(rows + [(i, w) for w, i in single.items()])).collect()}
+    assert all(abs(again[k] - got[k]) < 1e-9 for k in got)  # held-out texts teach nothing
+    # sum over w of P(w | begin) is 1, as P(w end) = P(w | begin) P(end | w) and P(a w end) = P(a | begin) P(w | a) P(end | w)
+    begin_a = 10 ** again[single["a"]]
+    ratio = {w: 10 ** (got[ends[w]] - again[single[w]]) for w in ends}  # P(a|begin) P(w|a) / P(w|begin)
+    assert begin_a > 0 and all(x > 0 for x in ratio.values())
+
+
+def test_seating():
+    r = np.random.default_rng(0)
+    c = np.array([0, 1, 2, 50, 5000])
+    t = pitman_yor.seated(r, c, np.full(5, 2.0), 0.5)
+    assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and (t <= c).all()
+    mean = np.mean([pitman_yor.seated(r, np.array([2]), np.array([1.0]), 0.5)[0] for _ in range(4000)])
+    assert abs(mean - (1 + 1.0 / 1.5)) < 0.03  # the second customer opens a table with 1 / (1 + 1 - 0.5)
+
+
+# 10
+
+def brute_components(texts, k=4, percent=85):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("block", [3000, 7])
+def test_jaccard_components(docs, corpus, block, monkeypatch):
+    r = random.Random(8)
+    base = text(200, r).split(" ")
+    group = [" ".join(w if r.random() > 0.01 else word(r) for w in base) for _ in range(40)]
+    texts = corpus + group + ["a b c", "A B C", "a b", None, ""]
+    if block < 100:
+        real = jaccard.jaccard_links
+        monkeypatch.setattr(jaccard, "jaccard_links", lambda *a, **k: real(*a, **k, block=block))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_jaccard_threshold_is_inclusive(docs):
+    words = [f"w{i}" for i in range(103)]  # 100 shingles
+    other = words[:-8] + [f"x{i}" for i in range(8)]  # 92 shared, 108 in all: 85.185 %
+    third = words[:-9] + [f"y{i}" for i in range(9)]  # 91 of 109: 83.5 %
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs([" ".join(x) for x in (words, other, third)])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
+def test_words_are_split_like_bytes():
+    t = " a  bb\tccc\x0b\x0cdd\r\n e"
+    assert len(word_hashes(t.encode())) == len(t.encode().split()) == 5
+    assert word_hashes(b"x y x")[0] == word_hashes(b"z x")[1]
+    assert len(shingle_set("a b c d e", 4)) == 2 and len(shingle_set("", 4)) == 0
+
+
+# pipeline
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    r = random.Random(21)
+    stops = ["the", "of", "and", "to", "in"]
+    base = [" ".join(r.choice(stops) if r.random() < 0.3 else word(r) for _ in range(r.randint(60, 200))) for _ in range(30)]
+    near = [" ".join(w if k else "other" for k, w in enumerate(b.split(" "))) for b in base[:5]]
+    rows = base + base[5:10] + [b + " " for b in base[10:12]] + near + ["# # # " * 30, "too short", None, base[0] + ' token = "1eb9c654e721b4f812088970e66a6345cee33dd6"']
+    full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(rows)]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # what stays: of the base texts all but those whose near copy has a smaller id (none has)
+    stay = set(range(30)) - set(range(10, 12)) | {35, 36}  # with a blank at the end a copy is longer
+    assert {p.doc_id for p in pieces} == stay
+    coder = packing.ByteBpe(P.path("byte_bpe_50k.json"))
+    for i in stay:
+        mine = [p for p in pieces if p.doc_id == i]
+        assert sum(p.length for p in mine) == mine[0].doc_tokens == len(coder.encode(rows[i])) + 1
