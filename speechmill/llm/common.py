@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from speechmill.sources.shared import cut
 
-__all__ = ["cut", "documents", "id_text", "partitions", "rows_of", "single_threaded", "sized_groups"]
+__all__ = ["cut", "documents", "id_text", "join_skewed", "partitions", "rows_of", "single_threaded", "sized_groups"]
 
 #: Python's form of the ASCII white space class [\x20\x09-\x0D].
 WS_BYTES = b" \t\n\x0b\x0c\r"
@@ -57,3 +57,15 @@ def single_threaded() -> None:
 def partitions(df: DataFrame) -> int:
     """How many partitions a shuffle should have: what the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``groups``, one row a key, whose column ``size`` tells how many rows a key has.
+
+    Keys of more than one in ``share`` rows are fewer than ``share``, so they are
+    broadcast; the others are shuffled, and no task gets a large group.
+    """
+    hot = groups.where(F.col(size) * share > total)
+    cold = groups.where(F.col(size) * share <= total)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import WS_BYTES, cut, partitions
+from speechmill.llm.common import WS_BYTES, cut, join_skewed, partitions
 
 REF = "struct<row:struct<id:long,key:long,chars:int,sha:string,n:int>,pos:int>"
 
@@ -85,13 +85,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the result has the column ``key``. An empty table gives an empty result.
     """
     named = block_names(docs, id_col, text_col, block_bytes, key_col)
-    groups = named.groupBy("level", "name").agg(
+    named = named.withColumn("identity", F.struct("level", "name"))
+    groups = named.groupBy("identity").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("neg"), (-F.col("key")).alias("negkey"))).alias("best"),
     )
     keep = -F.col("best.neg")
     kept = F.col("doc_id").eqNullSafe(keep) & F.col("key").eqNullSafe(-F.col("best.negkey"))
-    out = named.join(groups, ["level", "name"]).select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "key")
+    out = join_skewed(named, cut(groups), "identity", "group_size", named.count()).select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "key")
     return out if key_col else out.drop("key")
 
 

@@ -8,8 +8,9 @@
    first and need not be kept: an entity whose prefix holds none that are shared
    is linked with nothing.
 3. What shares a prefix shingle and fits in size is chained into groups, a
-   superset of the wanted components. The sets of a group meet in one task, or,
-   if the group is large, in one task for each pair of blocks. There the order is
+   superset of the wanted components. The sets of a group meet in one task; a large
+   group is dealt to blocks that share some leaders, and only what those leave
+   unlinked is compared with every block. In a task the order is
    cut into fragments; overlaps are counted fragment by fragment and summed per
    pair, and pairs that cannot reach the threshold any more are left out. Only
    links that join something new leave the task, never all pairs.
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import cut, id_text, partitions, rows_of
+from speechmill.llm.common import cut, id_text, join_skewed, partitions, rows_of
 from speechmill.llm.shingles import mix, shingle_set
 from speechmill.operators.components import connected_components
+from speechmill.sources.shared import release
 
 FLUSH = 4_000_000
 
@@ -253,29 +255,55 @@ def _linked(percent: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 3000) -> DataFrame:
+def _compared(units: DataFrame, kept: DataFrame, percent: int, n: int) -> DataFrame:
+    """(src, dst): links found in each unit; ``units`` is (unit, entity)."""
+    rows = units.distinct().join(kept, "entity").select("unit", "entity", "n", "grams")
+    return cut(rows.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(_linked(percent), "src long, dst long"))
+
+
+def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, leaders: int, n: int) -> DataFrame:
+    """Links of groups that do not fit in one unit; ``large`` is (component, entity, blocks, mine).
+
+    First every block is compared within itself and with a few leaders that all
+    blocks of the group get. What that leaves outside of a group's largest part is
+    then compared with every block: a few members at most in a group of copies,
+    while nothing that could link is left out.
+    """
+    least = large.groupBy("component", "mine").agg(F.min("entity").alias("entity"), F.first("blocks").alias("blocks"))
+    led = least.groupBy("component").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_list("entity")), 1, leaders).alias("l"))
+    everywhere = led.select("component", F.explode("l").alias("entity"), "blocks").select("component", "entity", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mine"))
+    within = large.select("component", "entity", "mine").unionByName(everywhere)
+    first = _compared(within.select(F.xxhash64("component", "mine").alias("unit"), "entity"), kept, percent, n)
+
+    parts = connected_components(first).withColumnRenamed("node", "entity").withColumnRenamed("component", "sub")
+    known = cut(large.join(parts, "entity", "left").withColumn("sub", F.coalesce("sub", "entity")))
+    main = known.groupBy("component", "sub").agg(F.count(F.lit(1)).alias("size")).groupBy("component").agg(F.max_by("sub", F.struct("size", "sub")).alias("main"))
+    outside = known.join(main, "component").where("sub <> main").select("component", "entity", "blocks")
+    sizes = outside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("others"))
+    outside = outside.join(sizes, "component").withColumn("theirs", F.pmod(F.xxhash64("entity", F.lit(1)), F.col("others")).cast("int"))
+    unit = F.xxhash64("component", "mine", "theirs").alias("unit")
+    members = known.join(sizes, "component").select("component", "entity", "mine", F.explode(F.expr("sequence(0, others - 1)")).alias("theirs")).select(unit, "entity")
+    guests = outside.select("component", "entity", "theirs", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mine")).select(unit, "entity")
+    return first.unionByName(_compared(members.unionByName(guests), kept, percent, n))
+
+
+def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 256, leaders: int = 8) -> DataFrame:
     """(src, dst): entities linked so that the components of all links come out; see ``entities`` for their rows."""
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits = max(n - 1, 1).bit_length()
     grams = base.mapInArrow(_parts(k, bits), "part int, grams binary, entities binary")
     shared = grams.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared(2 * n), "dest int, blob binary")
     kept = cut(shared.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(_prefixes(percent), "entity long, n long, prefix array<long>, grams binary"))
+    release(docs.sparkSession)
     postings = kept.select("entity", "n", F.explode("prefix").alias("gram"))
     by_size = Window.partitionBy("gram").orderBy("n", "entity")
     chain = postings.select("entity", "n", F.lag("entity").over(by_size).alias("before"), F.lag("n").over(by_size).alias("less")).where(f"before is not null and 100 * less >= {percent} * n")
-    groups = cut(connected_components(chain.select(F.col("entity").alias("src"), F.col("before").alias("dst")).distinct()).withColumnRenamed("node", "entity"))
-    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    blocks = (
-        groups.join(size, "component")
-        .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
-        # a task for each pair of blocks, in which this entity's block is one of the two
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .where("blocks = 1 or other <> mine")
-        .withColumn("unit", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
-    )
-    units = blocks.join(kept, "entity").select("unit", "entity", "n", "grams")
-    return cut(units.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(_linked(percent), "src long, dst long"))
+    groups = connected_components(chain.select(F.col("entity").alias("src"), F.col("before").alias("dst")).distinct()).withColumnRenamed("node", "entity")
+    size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = cut(groups.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")))
+    links = _compared(dealt.where("blocks = 1").select(F.col("component").alias("unit"), "entity"), kept, percent, n)
+    large = dealt.where("blocks > 1")
+    return links if large.isEmpty() else links.unionByName(_large_groups(large, kept, percent, block, leaders, n))
 
 
 def entities(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,9 +322,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     """
     rows = cut(entities(docs, k, id_col, text_col))
     joined = connected_components(jaccard_links(docs, k, percent, id_col, text_col)).withColumnRenamed("node", "entity")
-    named = rows.join(joined, "entity", "left").withColumn("root", F.coalesce("component", "entity"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets = rows.where("entity is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    rooted = cut(sets.join(joined, "entity", "left").withColumn("root", F.coalesce("component", "entity")).drop("component"))
+    roots = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("least").alias("component_id")))
+    named = cut(join_skewed(rooted, roots, "root", "members", rooted.count()).select("entity", "copies", "component_id"))
+    found = join_skewed(rows.where("entity is not null"), named, "entity", "copies", rows.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.unionByName(rows.where("entity is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
