@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechmill.sources.shared import cut
+from speechmill.sources.shared import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,9 +37,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(f"{src} is not null and {dst} is not null").where("u <> v").distinct()
     now = cut(now)
-    before, told = None, _sum(now)
+    before, told, rounds = None, _sum(now), 0
     while told != before:
         now = cut(_small_star(_large_star(now)))
-        before, told = told, _sum(now)
+        before, told, rounds = told, _sum(now), rounds + 1
+        if rounds % 3 == 0:
+            release(now.sparkSession)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
