@@ -287,7 +287,7 @@ def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, l
     return first.unionByName(_compared(members.unionByName(guests), kept, percent, n))
 
 
-def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 256, leaders: int = 8) -> DataFrame:
+def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1000, leaders: int = 32) -> DataFrame:
     """(src, dst): entities linked so that the components of all links come out; see ``entities`` for their rows."""
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits = max(n - 1, 1).bit_length()
@@ -299,6 +299,7 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     by_size = Window.partitionBy("gram").orderBy("n", "entity")
     chain = postings.select("entity", "n", F.lag("entity").over(by_size).alias("before"), F.lag("n").over(by_size).alias("less")).where(f"before is not null and 100 * less >= {percent} * n")
     groups = connected_components(chain.select(F.col("entity").alias("src"), F.col("before").alias("dst")).distinct()).withColumnRenamed("node", "entity")
+    release(docs.sparkSession)
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = cut(groups.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")))
     links = _compared(dealt.where("blocks = 1").select(F.col("component").alias("unit"), "entity"), kept, percent, n)
@@ -322,6 +323,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     """
     rows = cut(entities(docs, k, id_col, text_col))
     joined = connected_components(jaccard_links(docs, k, percent, id_col, text_col)).withColumnRenamed("node", "entity")
+    release(docs.sparkSession)
     sets = rows.where("entity is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     rooted = cut(sets.join(joined, "entity", "left").withColumn("root", F.coalesce("component", "entity")).drop("component"))
     roots = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("least").alias("component_id")))

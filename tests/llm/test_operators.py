@@ -426,7 +426,7 @@ def brute_components(texts, k=4, percent=85):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("block", [256, 7])
+@pytest.mark.parametrize("block", [1000, 7])
 def test_jaccard_components(docs, corpus, block, monkeypatch):
     r = random.Random(8)
     base = text(200, r).split(" ")
