@@ -30,7 +30,7 @@ from speechmill.llm.shingles import mix, shingle_set
 from speechmill.operators.components import connected_components
 from speechmill.sources.shared import release
 
-FLUSH = 4_000_000
+FLUSH, HOT, HOT_LEAST = 4_000_000, 128, 1000
 
 
 def _entity(s: np.ndarray) -> int:
@@ -69,16 +69,51 @@ def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
 
 
 def _sets(k: int):
+    """Kind 0: size and entity of each row. Kind 1: how many sets of a flush have a frequent gram. Kind 2: sets of a flush."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def batch(kind: int, ids: list, n, entity: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(entity, pa.int64())], ["kind", "doc_id", "n_shingles", "entity"])
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n * 2 * HOT > len(held)
+            yield batch(1, grams[often].view(np.int64), n[often], [None] * int(often.sum()))
+            yield batch(2, [None], [len(held)], [None])
+
         for ids, texts in rows_of(batches):
             sets = [shingle_set(t, k) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "entity"])
+            yield batch(0, ids, [len(s) for s in sets], [_entity(s) if len(s) else None for s in sets])
+            for s in sets:
+                if len(s):
+                    held.append(s)
+                    size += len(s)
+                    if size >= FLUSH:
+                        yield from counts()
+                        held, size = [], 0
+        if held:
+            yield from counts()
 
     return run
 
 
-def _parts(k: int, bits: int):
-    """(part, blob of shingle, entity, size) of all that a task reads, each entity once a flush."""
+def _hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams that more than one in ``HOT`` sets have, and their counts: at most ``HOT`` times the mean size of a set."""
+    total = rows.where("kind = 2").agg(F.sum("n_shingles")).first()[0] or 0
+    often = rows.where("kind = 1").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).where((F.col("n") * HOT > total) & (F.col("n") >= HOT_LEAST))
+    found = sorted((int(np.int64(r[0]).view(np.uint64)), r[1]) for r in often.toLocalIterator())
+    return np.array([g for g, _ in found], np.uint64), np.array([n for _, n in found], np.uint32)
+
+
+def _parts(k: int, bits: int, dests: int, hot: np.ndarray, hot_count: np.ndarray):
+    """(part, blob of shingle, entity, size) of all that a task reads, each entity once a flush.
+
+    Hot shingles, whose counts are known, go straight to their entities' shards,
+    under part -1 - shard; so no part gets all entities that have one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -88,10 +123,22 @@ def _parts(k: int, bits: int):
             ids, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int32)
             h = np.concatenate(list(sets.values()))
             who = np.repeat(np.arange(len(ids)), sizes)
+            names, blobs = [], []
+            slot = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+            if len(hot) and (known := hot[slot] == h).any():
+                e, g, df, n = ids[who[known]], h[known], hot_count[slot[known]], sizes[who[known]]
+                order = np.lexsort((e, e % dests))
+                e, g, df, n = e[order], g[order], df[order], n[order]
+                at = np.searchsorted(e % dests, np.arange(dests + 1))
+                for d in range(dests):
+                    a, b = at[d], at[d + 1]
+                    if a < b:
+                        names.append(-1 - d)
+                        blobs.append([packed(e[a:b], g[a:b], df[a:b], n[a:b]), b""])
+                h, who = h[~known], who[~known]
             order = np.argsort(h)
             h, who = h[order], who[order]
             ends = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-            names, blobs = [], []
             for p, (a, b) in enumerate(zip(np.r_[0, ends], np.r_[ends, len(h)], strict=True)):
                 if a < b:
                     at, slot = np.unique(who[a:b], return_inverse=True)
@@ -133,7 +180,10 @@ def _shared(dests: int):
     """Shingles of a part that two entities or more have: (dest, blob of entity, shingle, frequency, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        for part, rows in _groups(batches):
+            if part < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["dest", "blob"])
+                continue
             hs, es, ns = [], [], []
             for _, grams, entities in rows:
                 h, slot = unpacked(grams, "<u8", "<u4")
@@ -174,8 +224,10 @@ def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             e, h, df, n = map(np.concatenate, zip(*[unpacked(r[1], "<i8", "<u8", "<u4", "<i4") for r in rows], strict=True))
-            order = np.argsort(e, kind="stable")
+            order = np.lexsort((h, e))
             e, h, df, n = e[order], h[order], df[order], n[order]
+            once = np.r_[True, (e[1:] != e[:-1]) | (h[1:] != h[:-1])]  # several flushes may have sent a hot shingle
+            e, h, df, n = e[once], h[once], df[once], n[once]
             first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
             held = np.diff(np.r_[first, len(e)])
             size = n[first].astype(np.int64)
@@ -287,11 +339,15 @@ def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, l
     return first.unionByName(_compared(members.unionByName(guests), kept, percent, n))
 
 
-def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1000, leaders: int = 32) -> DataFrame:
-    """(src, dst): entities linked so that the components of all links come out; see ``entities`` for their rows."""
+def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1000, leaders: int = 32, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(src, dst): entities linked so that the components of all links come out; see ``entities`` for their rows.
+
+    ``hot`` has frequent shingles and their counts, if they are known already.
+    """
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits = max(n - 1, 1).bit_length()
-    grams = base.mapInArrow(_parts(k, bits), "part int, grams binary, entities binary")
+    hot_grams, hot_counts = hot or _hot_grams(entities(docs, k, id_col, text_col))
+    grams = base.mapInArrow(_parts(k, bits, 2 * n, hot_grams, hot_counts), "part int, grams binary, entities binary")
     shared = grams.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared(2 * n), "dest int, blob binary")
     kept = cut(shared.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(_prefixes(percent), "entity long, n long, prefix array<long>, grams binary"))
     release(docs.sparkSession)
@@ -308,8 +364,8 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
 
 def entities(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, entity) of every row; rows with equal sets share an entity, empty sets have none."""
-    return id_text(docs, id_col, text_col).mapInArrow(_sets(k), "doc_id long, n_shingles long, entity long")
+    """Kind 0: (doc_id, n_shingles, entity) of every row; rows with equal sets share an entity, empty sets have none. Other kinds count frequent shingles."""
+    return id_text(docs, id_col, text_col).mapInArrow(_sets(k), "kind int, doc_id long, n_shingles long, entity long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,15 +377,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     its members have none. An empty table gives an empty result. Sets and
     shingles are told apart by hashes of 62 and 64 bits.
     """
-    rows = cut(entities(docs, k, id_col, text_col))
-    joined = connected_components(jaccard_links(docs, k, percent, id_col, text_col)).withColumnRenamed("node", "entity")
+    found = cut(entities(docs, k, id_col, text_col))
+    rows = found.where("kind = 0").drop("kind")
+    joined = connected_components(jaccard_links(docs, k, percent, id_col, text_col, hot=_hot_grams(found))).withColumnRenamed("node", "entity")
     release(docs.sparkSession)
     sets = rows.where("entity is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     rooted = cut(sets.join(joined, "entity", "left").withColumn("root", F.coalesce("component", "entity")).drop("component"))
     roots = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("least").alias("component_id")))
     named = cut(join_skewed(rooted, roots, "root", "members", rooted.count()).select("entity", "copies", "component_id"))
-    found = join_skewed(rows.where("entity is not null"), named, "entity", "copies", rows.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return found.unionByName(rows.where("entity is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = join_skewed(rows.where("entity is not null"), named, "entity", "copies", rows.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.unionByName(rows.where("entity is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

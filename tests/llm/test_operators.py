@@ -433,6 +433,8 @@ def test_jaccard_components(docs, corpus, block, monkeypatch):
     group = [" ".join(w if r.random() > 0.01 else word(r) for w in base) for _ in range(40)]
     texts = corpus + group + ["a b c", "A B C", "a b", None, ""]
     if block < 100:
+        monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
+        monkeypatch.setattr(jaccard, "FLUSH", 2000)
         real = jaccard.jaccard_links
         monkeypatch.setattr(jaccard, "jaccard_links", lambda *a, **k: real(*a, **k, block=block))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(texts)).collect()}
