@@ -18,11 +18,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechmill.llm.common import cut, id_text, join_skewed, partitions, rows_of
@@ -307,6 +308,24 @@ def _linked(percent: int):
     return run
 
 
+def _candidates(kept: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): edges that put entities with a common prefix shingle and fitting sizes into one group.
+
+    Sizes are cut into bands so narrow that two fitting ones lie in one band or in
+    two neighbours. The entities of a shingle and band are joined to one of them,
+    and those of neighbouring bands to each other.
+    """
+    band = F.floor(F.log("n") / -math.log(percent / 100 - 1e-6))
+    slots = kept.select("entity", F.explode("prefix").alias("gram"), band.alias("band"))
+    slots = slots.select("entity", F.xxhash64("gram", "band").alias("slot"), F.xxhash64("gram", F.col("band") + 1).alias("next"))
+    leads = cut(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("held"), F.min("entity").alias("lead"), F.first("next").alias("next")))
+    total = leads.agg(F.sum("held")).first()[0] or 0
+    inside = join_skewed(slots.select("entity", "slot"), leads.where("held > 1").select("slot", "held", "lead"), "slot", "held", total)
+    edges = inside.where("entity <> lead").select(F.col("entity").alias("src"), F.col("lead").alias("dst"))
+    beside = leads.select(F.col("next").alias("slot"), F.col("lead").alias("src")).join(leads.select("slot", F.col("lead").alias("dst")), "slot").select("src", "dst")
+    return edges.unionByName(beside).distinct()
+
+
 def _compared(units: DataFrame, kept: DataFrame, percent: int, n: int) -> DataFrame:
     """(src, dst): links found in each unit; ``units`` is (unit, entity)."""
     rows = units.distinct().join(kept, "entity").select("unit", "entity", "n", "grams")
@@ -351,10 +370,7 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     shared = grams.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared(2 * n), "dest int, blob binary")
     kept = cut(shared.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(_prefixes(percent), "entity long, n long, prefix array<long>, grams binary"))
     release(docs.sparkSession)
-    postings = kept.select("entity", "n", F.explode("prefix").alias("gram"))
-    by_size = Window.partitionBy("gram").orderBy("n", "entity")
-    chain = postings.select("entity", "n", F.lag("entity").over(by_size).alias("before"), F.lag("n").over(by_size).alias("less")).where(f"before is not null and 100 * less >= {percent} * n")
-    groups = connected_components(chain.select(F.col("entity").alias("src"), F.col("before").alias("dst")).distinct()).withColumnRenamed("node", "entity")
+    groups = connected_components(_candidates(kept, percent)).withColumnRenamed("node", "entity")
     release(docs.sparkSession)
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = cut(groups.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")))
