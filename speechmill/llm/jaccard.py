@@ -109,43 +109,46 @@ def _hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g for g, _ in found], np.uint64), np.array([n for _, n in found], np.uint32)
 
 
-def _parts(k: int, bits: int, dests: int, hot: np.ndarray, hot_count: np.ndarray):
-    """(part, blob of shingle, entity, size) of all that a task reads, each entity once a flush.
+ROWS = "key long, p long, kind int, blob binary"
 
-    Hot shingles, whose counts are known, go straight to their entities' shards,
-    under part -1 - shard; so no part gets all entities that have one.
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "p", "kind", "blob"])
+
+
+def _parts(k: int, bits: int, hot: np.ndarray, hot_count: np.ndarray):
+    """Sets of a flush p, each entity once. Kind 2, by part: shingles, and the places of their sets in the flush.
+
+    What is for the flush itself goes under negative keys: kind 0, its entities and
+    their sizes; kind 1, places, shingles and counts of the hot shingles, which so
+    never meet in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        p = (context.partitionId() if context else 0) << 24
         sets: dict[int, np.ndarray] = {}
         held = 0
 
         def flush() -> pa.RecordBatch:
             ids, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int32)
             h = np.concatenate(list(sets.values()))
-            who = np.repeat(np.arange(len(ids)), sizes)
-            names, blobs = [], []
+            who = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+            out = [(-1 - p, p, 0, packed(ids, sizes))]
             slot = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
             if len(hot) and (known := hot[slot] == h).any():
-                e, g, df, n = ids[who[known]], h[known], hot_count[slot[known]], sizes[who[known]]
-                order = np.lexsort((e, e % dests))
-                e, g, df, n = e[order], g[order], df[order], n[order]
-                at = np.searchsorted(e % dests, np.arange(dests + 1))
-                for d in range(dests):
-                    a, b = at[d], at[d + 1]
-                    if a < b:
-                        names.append(-1 - d)
-                        blobs.append([packed(e[a:b], g[a:b], df[a:b], n[a:b]), b""])
+                out.append((-1 - p, p, 1, packed(who[known], h[known], hot_count[slot[known]])))
                 h, who = h[~known], who[~known]
             order = np.argsort(h)
             h, who = h[order], who[order]
             ends = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-            for p, (a, b) in enumerate(zip(np.r_[0, ends], np.r_[ends, len(h)], strict=True)):
+            for part, (a, b) in enumerate(zip(np.r_[0, ends], np.r_[ends, len(h)], strict=True)):
                 if a < b:
-                    at, slot = np.unique(who[a:b], return_inverse=True)
-                    names.append(p)
-                    blobs.append([packed(h[a:b], slot.astype(np.uint32)), packed(ids[at], sizes[at])])
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], ["part", "grams", "entities"])
+                    out.append((part, p, 2, packed(h[a:b], who[a:b])))
+            return _rows(out)
 
         for _, texts in rows_of(batches):
             for t in texts:
@@ -155,7 +158,7 @@ def _parts(k: int, bits: int, dests: int, hot: np.ndarray, hot_count: np.ndarray
                     held += len(s)
                     if held >= FLUSH:
                         yield flush()
-                        sets, held = {}, 0
+                        sets, held, p = {}, 0, p + 1
         if sets:
             yield flush()
 
@@ -177,67 +180,51 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[i
         yield name, rows
 
 
-def _shared(dests: int):
-    """Shingles of a part that two entities or more have: (dest, blob of entity, shingle, frequency, size)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _groups(batches):
-            if part < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["dest", "blob"])
-                continue
-            hs, es, ns = [], [], []
-            for _, grams, entities in rows:
-                h, slot = unpacked(grams, "<u8", "<u4")
-                ids, sizes = unpacked(entities, "<i8", "<i4")
-                hs.append(h)
-                es.append(ids[slot])
-                ns.append(sizes[slot])
-            h, e, n = map(np.concatenate, (hs, es, ns))
-            order = np.argsort(h)
-            h = h[order]
-            new = np.r_[True, h[1:] != h[:-1]]
-            alone = new & np.r_[new[1:], True]
-            order, h = order[~alone], h[~alone]
-            e, n = e[order], n[order]
-            order = np.lexsort((e, h))  # an entity that several flushes had counts once
-            h, e, n = h[order], e[order], n[order]
-            once = np.r_[True, (h[1:] != h[:-1]) | (e[1:] != e[:-1])] if len(h) else np.zeros(0, bool)
-            h, e, n = h[once], e[once], n[once]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            count = np.diff(np.r_[first, len(h)])
-            df = np.repeat(count, count)
-            keep = df > 1
-            h, e, n, df = h[keep], e[keep], n[keep], df[keep]
-            dest = e % dests
-            order = np.lexsort((e, dest))
-            h, e, n, df, dest = h[order], e[order], n[order], df[order], dest[order]
-            at = np.searchsorted(dest, np.arange(dests + 1))
-            names = [d for d in range(dests) if at[d] < at[d + 1]]
-            blobs = [packed(e[a:b], h[a:b], df[a:b].astype(np.uint32), n[a:b]) for a, b in ((at[d], at[d + 1]) for d in names)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
-
-    return run
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back to each flush: places, shingles and counts of what two sets or more have (kind 1); and what was for it anyway."""
+    for key, rows in _groups(batches):
+        if key < 0:
+            yield _rows([(0, *r[1:]) for r in rows])
+            continue
+        parts = [unpacked(r[3], "<u8", "<u4") for r in rows]
+        h, who = map(np.concatenate, zip(*parts, strict=True))
+        source = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(x) for x, _ in parts])
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        count = np.diff(np.r_[first, len(h)])
+        df = np.repeat(count, count)
+        keep = df > 1
+        order, h, df = order[keep], h[keep], df[keep].astype(np.uint32)
+        who, source = who[order], source[order]
+        order = np.lexsort((who, source))
+        h, df, who = h[order], df[order], who[order]
+        at = np.searchsorted(source[order], np.arange(len(rows) + 1))
+        yield _rows([(0, r[1], 1, packed(who[a:b], h[a:b], df[a:b])) for r, a, b in zip(rows, at[:-1], at[1:], strict=True) if a < b])
 
 
 def _prefixes(percent: int):
-    """Entities whose prefix has shared shingles: (entity, n, prefix, grams in global order)."""
+    """Entities of a flush whose prefix has shared shingles: (entity, n, prefix, grams in global order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
-            e, h, df, n = map(np.concatenate, zip(*[unpacked(r[1], "<i8", "<u8", "<u4", "<i4") for r in rows], strict=True))
-            order = np.lexsort((h, e))
-            e, h, df, n = e[order], h[order], df[order], n[order]
-            once = np.r_[True, (e[1:] != e[:-1]) | (h[1:] != h[:-1])]  # several flushes may have sent a hot shingle
-            e, h, df, n = e[once], h[once], df[once], n[once]
-            first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            held = np.diff(np.r_[first, len(e)])
-            size = n[first].astype(np.int64)
+            tables = [unpacked(r[2], "<i8", "<i4") for r in rows if r[1] == 0]
+            found = [unpacked(r[2], "<u4", "<u8", "<u4") for r in rows if r[1] == 1]
+            if not tables or not found:
+                continue
+            ids, sizes = tables[0]
+            who, h, df = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(who, kind="stable")
+            who, h, df = who[order], h[order], df[order]
+            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            held = np.diff(np.r_[first, len(who)])
+            size = sizes[who[first]].astype(np.int64)
             wanted = size - (percent * size + 99) // 100 + 1 - (size - held)
             out = []
             for i in np.flatnonzero(wanted > 0):
                 a, b = first[i], first[i] + held[i]
                 ranked = h[a:b][np.lexsort((h[a:b], df[a:b]))]
-                out.append((int(e[a]), int(size[i]), ranked[: wanted[i]].astype(np.int64).tolist(), ranked.tobytes()))
+                out.append((int(ids[who[a]]), int(size[i]), ranked[: wanted[i]].astype(np.int64).tolist(), ranked.tobytes()))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], ["entity", "n", "prefix", "grams"])
 
@@ -366,9 +353,10 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits = max(n - 1, 1).bit_length()
     hot_grams, hot_counts = hot or _hot_grams(entities(docs, k, id_col, text_col))
-    grams = base.mapInArrow(_parts(k, bits, 2 * n, hot_grams, hot_counts), "part int, grams binary, entities binary")
-    shared = grams.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared(2 * n), "dest int, blob binary")
-    kept = cut(shared.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(_prefixes(percent), "entity long, n long, prefix array<long>, grams binary"))
+    grams = base.mapInArrow(_parts(k, bits, hot_grams, hot_counts), ROWS)
+    shared = grams.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, ROWS).drop("key")
+    found = shared.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_prefixes(percent), "entity long, n long, prefix array<long>, grams binary")
+    kept = cut(found.dropDuplicates(["entity"]))  # of flushes that have equal sets
     release(docs.sparkSession)
     groups = connected_components(_candidates(kept, percent)).withColumnRenamed("node", "entity")
     release(docs.sparkSession)
