@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import os
 import sys
 
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from speechmill import schemas
 from speechmill.functions.text import score_tokens
-from speechmill.operators import consensus, scoring, sessions, similarity, training
-from speechmill.sources import archive, files
+from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
+from speechmill.sources import archive, audio, files, fingerprint
 from speechmill.sources.recognizers import FakeRecognizer, transcribed
 
 
@@ -38,14 +40,123 @@ def _utterances(spark: SparkSession, work: str) -> DataFrame:
     return files.numbered(spark, os.path.join(work, "utterances.jsonl"), schemas.UTTERANCES).withColumnRenamed("seq", "pos")
 
 
+def recognizer(a: argparse.Namespace):
+    """A factory of the recognizer that ``--recognizer module:name`` names; else the fake one."""
+    if not a.recognizer:
+        return lambda: FakeRecognizer(a.seed, a.percent)
+    module, _, name = a.recognizer.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def hypotheses(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Transcripts of a recognizer; without a model of one's own the fake one corrupts what the phone wrote."""
+    """Transcripts of a recognizer; without one of your own the fake one corrupts what the phone wrote."""
     rows = _utterances(spark, a.work)
-    heard = transcribed(rows, lambda: FakeRecognizer(a.seed, a.percent), "phone")
+    if a.recognizer:
+        waves = audio.read_waves(spark, os.path.join(a.work, "export")).withColumn("audio", F.regexp_replace("path", "^[a-z]+:/+", "/"))
+        heard = transcribed(rows.join(waves, "audio"), recognizer(a), "wave", length="seconds")
+    else:
+        heard = transcribed(rows, recognizer(a), "phone")
     files.write_map(heard, os.path.join(a.work, f"hyp_{a.name}.json"))
     scoring.agreement(rows.where("not continues").join(heard, "id")).show()
 
 
+def transcribe(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Transcripts of a manifest, or of one fold of labels."""
+    rows = spark.read.json(a.manifest)
+    if a.fold is not None:
+        rows = rows.where(F.col("fold") == a.fold)
+    heard = transcribed(rows, recognizer(a), a.column)
+    files.write_map(heard, a.out)
+
+
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a corpus with ``wave`` and ``seconds``; what cannot be decoded is left out."""
+    raw = spark.read.parquet(path).withColumn("_key", F.monotonically_increasing_id())
+    column = "context" if "context" in raw.columns else "audio"
+    clips = raw.select(F.col("_key").cast("string").alias("path"), F.col(f"{column}.bytes").alias("content")).where("content is not null")
+    return raw.join(audio.waves(clips).withColumnRenamed("path", "_k"), F.col("_key").cast("string") == F.col("_k")).drop("_k")
+
+
+def public(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Test and dev manifests, with waves, of each corpus in a folder."""
+    spark.conf.set("spark.sql.caseSensitive", "true")  # corpora have both text and Text
+    paths = sorted(os.path.join(a.bench, n) for n in os.listdir(a.bench) if n.endswith(".parquet"))
+    for path, name in zip(paths, sampling.corpus_names(paths), strict=True):
+        rows = sampling.benchmark_rows(_decoded(spark, path), name.startswith("ascend"))
+        split = sampling.test_dev(rows, F.col("_key")).withColumn("id", F.format_string(f"{name}-%03d", F.col("rank") - 1))
+        saved = audio.write_waves(split.select("id", "wave"), os.path.join(a.out, name), "id").withColumnRenamed("name", "id")
+        out = split.join(saved, "id").select("rank", "id", saved["audio"], F.col("said").alias("text"), F.when(F.col("who").isNotNull(), F.concat(F.lit(f"{name}-"), "who")).alias("group"), "split")
+        out = out.persist()
+        for part in ("test", "dev"):
+            files.write_jsonl(out.where(F.col("split") == part).drop("split"), os.path.join(a.out, f"{part}_{name}.jsonl"), "rank")
+        out.unpersist()
+
+
+def replay(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rehearsal rows of corpora, ``path[:N]`` each, transcribed by the recognizer as it is."""
+    specs = [c.rpartition(":") if c.rpartition(":")[2].isdigit() else (c, "", "400") for c in a.corpora]
+    pools = None
+    for (path, _, n), name in zip(specs, sampling.corpus_names([s[0] for s in specs]), strict=True):
+        rows = _decoded(spark, path).select(F.lit(name).alias("corpus"), F.col("_key").alias("key"), "wave", "seconds").where(F.col("seconds").between(sampling.SHORTEST, sampling.LONGEST))
+        texts = transcribed(rows, recognizer(a), "wave", "key", "seconds").select(F.col("id").cast("bigint").alias("key"), F.col("hyp").alias("text"))
+        one = sampling.replay_pool(rows.join(texts, "key"), int(n))
+        saved = audio.write_waves(one.select("id", "wave"), os.path.join(a.out, name), "id").withColumnRenamed("name", "id")
+        out = one.join(saved, "id").select("corpus", "rank", "id", "audio", "text", "seconds")
+        pools = out if pools is None else pools.unionByName(out)
+    files.write_jsonl(pools.withColumn("o", F.struct("corpus", "rank")).drop("corpus", "rank"), os.path.join(a.out, "replay.jsonl"), "o")
+
+
+def mix(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Weights between two tables of (name, is_float, values)."""
+    base, tuned = spark.read.parquet(a.base), spark.read.parquet(a.tuned)
+    foreign = training.foreign_weights(base, tuned)
+    if foreign:
+        raise SystemExit(f"the tuned weights have names that the base lacks: {foreign}")
+    training.mixed(base, tuned, a.weight).write.mode("overwrite").parquet(a.out)
+
+
+def check_export(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Compares transcripts of two exports, pair by pair of map files; any difference is an exit code of 1."""
+    wrong = 0
+    for pair in a.pairs:
+        first, second = pair.split(",")
+        r = scoring.identical(files.read_system(spark, f"a={first}"), files.read_system(spark, f"a={second}"), ["id"]).first()
+        print(f"{first}: {r['same']} of {r['total']} the same")
+        wrong += r["total"] - r["same"]
+    if wrong:
+        raise SystemExit(1)
+
+
+def check_phone(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Error rates against the field under seven loudness conditions."""
+    from speechmill.functions import signal
+    from speechmill.functions.distance import error_counts
+
+    rows = _utterances(spark, a.work).where("of = 1 and field is not null and status <> 'undone'")
+    waves = audio.read_waves(spark, os.path.join(a.work, "export")).withColumn("audio", F.regexp_replace("path", "^[a-z]+:/+", "/")).drop("seconds")
+    heard = rows.join(waves, "audio").withColumn("wave", F.transform("wave", lambda v: v.cast("double")))
+    conditions = {"as recorded": F.col("wave")} | {f"+{db} dB": signal.gain_clip(F.col("wave"), db) for db in (10, 20, 30)} | {f"peak at {p}": signal.peak_normalize(F.col("wave"), p) for p in (0.1, 0.3, 0.9)}
+    every = heard.select("id", "field", F.explode(F.map_from_arrays(F.array(*map(F.lit, conditions)), F.array(*conditions.values()))).alias("condition", "wave"))
+    keyed = every.withColumn("key", F.concat_ws("/", "condition", "id"))
+    texts = transcribed(keyed, recognizer(a), "wave", "key").withColumnRenamed("id", "key")
+    counted = keyed.join(texts, "key").withColumn("c", error_counts(score_tokens(F.col("field")), score_tokens(F.col("hyp"))))
+    counted.groupBy("condition").agg(scoring.rate(F.col("c.errors"), F.col("c.tokens")).alias("rate"), F.count(F.lit(1)).alias("utterances")).orderBy("condition").show(truncate=False)
+
+
+def cross_validate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Transcribes each fold that is not done yet, into a folder that belongs to these inputs; then merges the folds."""
+    labels_path = os.path.join(a.work, "labels.jsonl")
+    inputs = [os.path.join(d, n) for d, _, names in os.walk(labels_path) for n in names if n.startswith("part-")] or [labels_path]
+    fingerprint.claim(a.out, fingerprint.digest(inputs, {"recognizer": a.recognizer, "seed": a.seed, "percent": a.percent, "column": a.column}))
+    labels = files.read_jsonl(spark, labels_path, schemas.LABELS)
+    for fold in fingerprint.pending(a.out, range(a.folds)):
+        rows = transcribed(labels.where(F.col("fold") == fold), recognizer(a), a.column)
+        whole = rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "hyp")))))).first()[0]  # one fold of one speaker's labels, as its file holds it
+        fingerprint.finish(a.out, fold, whole)
+    merged = {k: v for fold in range(a.folds) for k, v in json.load(open(os.path.join(a.out, f"fold{fold}.json"), encoding="utf-8")).items()}
+    print(f"{len(merged)} transcripts of {a.folds} folds")
+
+
 def label(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _utterances(spark, a.work)
     names = sorted(n for n in os.listdir(a.work) if n.startswith("hyp_") and n.endswith(".json"))
@@ -120,15 +231,26 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(run, *arguments: tuple) -> None:
-        c = sub.add_parser(run.__name__)
+        c = sub.add_parser(run.__name__.replace("_", "-"))
         c.set_defaults(run=run)
         for names, options in arguments:
             c.add_argument(*names, **options)
+        if any(n == ("--recognizer",) for n, _ in arguments):
+            c.add_argument("--seed", type=int, default=0)
+            c.add_argument("--percent", type=int, default=10)
 
     word = lambda n, **o: ((n,), o)
     number = lambda n, d: ((n,), {"type": int, "default": d})
     command(prepare, word("source"), word("work"))
-    command(hypotheses, word("work"), word("name", nargs="?", default=consensus.PRIMARY), number("--seed", 0), number("--percent", 10))
+    model = word("--recognizer", help="module:name of a factory; without it the fake recognizer")
+    command(hypotheses, word("work"), word("name", nargs="?", default=consensus.PRIMARY), model)
+    command(transcribe, word("manifest"), word("out"), ((("--fold",), {"type": int})), word("--column", default="text"), model)
+    command(public, word("bench"), word("out"))
+    command(replay, word("out"), word("corpora", nargs="+"), model)
+    command(mix, word("base"), word("tuned"), (("weight",), {"type": float}), word("out"))
+    command(check_export, word("pairs", nargs="+"))
+    command(check_phone, word("work"), model)
+    command(cross_validate, word("work"), word("out"), number("--folds", 5), word("--column", default="text"), model)
     command(label, word("work"), word("--manual"), number("--folds", 5), number("--seed", 0))
     command(score, word("args", nargs="+"), word("--manifest"), word("--grade", default="A"), word("--errors"), word("--no-digits", action="store_true"), word("--common", action="store_true"))
     command(terms, word("work"), word("terms"), word("specs", nargs="+"))

@@ -41,8 +41,11 @@ def encode_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def read_waves(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(path, seconds, wave) of files; without ``strict`` what cannot be decoded is skipped."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(path, seconds, wave) of files, or of all files under a folder; without ``strict`` what cannot be decoded is skipped."""
+    reader = spark.read.format("binaryFile")
+    if not path.endswith(".wav"):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav")
+    files = reader.load(path).select("path", "content")
     return waves(files, "content", strict)
 
 

@@ -157,3 +157,73 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["items", work])
     assert "thing" in capsys.readouterr().out
     assert spark.read.parquet(f"{work}/items.parquet").agg(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_corpora(spark, tmp_path):
+    def clip(level, seconds=1.5):
+        return (audio.encode_wav(np.full(int(16000 * seconds), level)),)
+
+    bench, out = tmp_path / "bench", str(tmp_path / "out")
+    rows = [(clip(0.9), "a", "s1"), (clip(0.1), "b", None), ((b"broken",), "c", "s2"), (clip(0.1, 0.5), "d", "s3")]
+    spark.createDataFrame(rows, "audio struct<bytes:binary>, sentence string, client_id string").coalesce(1).write.parquet(str(bench / "cv.parquet"))
+    cli.main(["public", str(bench), out])
+    got = files.read_jsonl(spark, f"{out}/test_cv.jsonl", schemas.MANIFEST).collect()
+    assert sorted((r.text, r.group) for r in got) == [("a", "cv-s1"), ("b", None)] and all(os.path.exists(r.audio) for r in got)
+    cli.main(["replay", str(tmp_path / "pool"), f"{bench}/cv.parquet:5", "--recognizer", "speechmill.sources.recognizers:LoudnessRecognizer"])
+    pool = files.read_jsonl(spark, f"{tmp_path}/pool/replay.jsonl", schemas.REPLAY).collect()
+    assert sorted(r.text for r in pool) == ["loud", "quiet"] and {r.seconds for r in pool} == {1.5}
+    spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_weights_exports_and_folds(spark, tmp_path):
+    w = spark.createDataFrame([("a", True, [0.0, 2.0])], schemas.WEIGHTS)
+    w.write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame([("a", True, [1.0, 4.0])], schemas.WEIGHTS).write.parquet(str(tmp_path / "t"))
+    cli.main(["mix", str(tmp_path / "w"), str(tmp_path / "t"), "0.5", str(tmp_path / "m")])
+    assert spark.read.parquet(str(tmp_path / "m")).first()["values"] == [0.5, 3.0]
+    (tmp_path / "x.json").write_text('{"a": "1"}')
+    (tmp_path / "y.json").write_text('{"a": "2"}')
+    cli.main(["check-export", f"{tmp_path}/x.json,{tmp_path}/x.json"])
+    with pytest.raises(SystemExit):
+        cli.main(["check-export", f"{tmp_path}/x.json,{tmp_path}/y.json"])
+    work = tmp_path / "work"
+    work.mkdir()
+    (work / "labels.jsonl").write_text("\n".join(json.dumps({"id": f"i{i}", "text": "one two", "fold": i % 2}) for i in range(5)))
+    for _ in range(2):
+        cli.main(["cross-validate", str(work), str(tmp_path / "cv"), "--folds", "2", "--percent", "0"])
+    assert json.loads((tmp_path / "cv" / "fold1.json").read_text()) == {"i1": "one two", "i3": "one two"}
+    with pytest.raises(ValueError, match="other inputs"):
+        cli.main(["cross-validate", str(work), str(tmp_path / "cv"), "--folds", "2", "--percent", "5"])
+    cli.main(["transcribe", str(work / "labels.jsonl"), str(tmp_path / "hyp.json"), "--fold", "0", "--percent", "0"])
+    assert set(json.loads("".join(p.read_text() for p in (tmp_path / "hyp.json").glob("part-*")))) == {"i0", "i2", "i4"}
+
+
+def test_phone_conditions(spark, tmp_path, capsys):
+    export = tmp_path / "work" / "export"
+    export.mkdir(parents=True)
+    (export / "a.wav").write_bytes(audio.encode_wav(np.full(1600, 0.3)))
+    row = {"id": "a", "session": "a", "audio": str(export / "a.wav"), "seconds": 0.1, "index": 0, "of": 1, "continues": False, "phone": "x", "status": "accepted", "dictated": "quiet", "field": "quiet"}
+    (tmp_path / "work" / "utterances.jsonl").write_text(json.dumps(row))
+    cli.main(["check-phone", str(tmp_path / "work"), "--recognizer", "speechmill.sources.recognizers:LoudnessRecognizer"])
+    shown = [line.split("|") for line in capsys.readouterr().out.splitlines() if line.count("|") == 4]
+    rates = {x[1].strip(): x[2].strip() for x in shown[1:]}
+    assert rates == {"as recorded": "0.0", "+10 dB": "100.0", "+20 dB": "100.0", "+30 dB": "100.0", "peak at 0.1": "0.0", "peak at 0.3": "0.0", "peak at 0.9": "100.0"}
+
+
+def test_features():
+    from speechmill.sources import features as ft
+
+    t = np.arange(32000) / 32000
+    x = np.sin(2 * np.pi * 440 * t)
+    y = ft.to_rate(x, 32000)
+    assert len(y) == 16000 and np.abs(y[500:-500] - np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)[500:-500]).max() < 0.02
+    assert len(ft.speed(x, 1.1)) == -(-32000 * 10 // 11) and len(ft.speed(x, 1.0)) == 32000
+    m = ft.log_mel(y)
+    assert m.shape == (1 + (16000 - 400) // 160, 80)
+    peak = int(m.mean(0).argmax())
+    centres = np.linspace(ft._mel(20.0), ft._mel(8000.0), 82)[1:-1]
+    assert abs(peak - int(np.abs(centres - ft._mel(440.0)).argmin())) <= 1
+    batch, lengths = ft.padded([np.ones((3, 2)), np.ones((1, 2))])
+    assert batch.shape == (2, 3, 2) and batch[1, 1:].sum() == 0 and lengths.tolist() == [3, 1]
+    both, longer = ft.prompted(batch, lengths, np.zeros((4, 2), np.float32))
+    assert both.shape == (2, 7, 2) and longer.tolist() == [7, 5]
