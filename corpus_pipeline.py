@@ -2,7 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir). Between stages the rows are written as
 Parquet and read again, so a lost executor costs one stage at most and no plan
-grows. All stages but the last return the columns of ``documents``.
+grows. All stages but the last return the columns of ``documents``, whatever other
+columns there are.
+
+Defined cases: a null, empty or blank text has no words and goes with the quality
+rules; given to a later stage alone, such texts are one class for exact dedup, are
+linked with nothing in the Jaccard join, stay as they are in the secret scan, and are
+the end id alone when packed. Of ties and repeated rows one stays: the smallest id,
+a null id last, then the first place. Empty tables give empty results. Very long
+texts are read whole.
 """
 
 from __future__ import annotations

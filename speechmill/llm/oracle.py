@@ -52,4 +52,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op5_exact_dedup": _op5()}
+def _op1(length: int = 200) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * length}) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM d)),
+twice AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE s IN (SELECT s FROM twice)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - before <= {length} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+runs AS (SELECT doc_id, k, min(i) AS a, max(i) + {length} AS b FROM g GROUP BY ALL),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+k AS (
+  SELECT d.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+
+def _op10(n: int = 4, percent: int = 85) -> str:
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{WS}]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {n - 1}, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN c p ON p.doc_id = x JOIN c q ON q.doc_id = y WHERE 100 * o >= {percent} * (p.n + q.n - o)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+m AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id FROM w LEFT JOIN c USING (doc_id) JOIN m ON m.x = w.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": _op1(), "op2_quality_rules": _op2(), "op5_exact_dedup": _op5(), "op10_jaccard_join": _op10()}
