@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechmill.functions.text import score_tokens
 
-PRIMARY = "sensevoice"
+PRIMARY = "small"
 
 
 def hypothesis_lists(hyps: DataFrame, primary: str = PRIMARY) -> DataFrame:

@@ -52,7 +52,7 @@ U = f"""raw AS (
     CASE WHEN {draw(10, "'grade:' || printf('%d-%02d', conv_id, n)")} < 8 THEN 'A' ELSE 'B' END AS grade FROM num
 )"""
 
-H = ", h AS (" + " UNION ALL ".join(f"SELECT '{s}' AS system, id, {corrupted(s)} AS hyp FROM u" + (f" WHERE {draw(50, chr(39) + 'lost:' + chr(39) + ' || id')} > 0" if s == "qwen" else "") for s in SYSTEMS) + ")"
+H = ", h AS (" + " UNION ALL ".join(f"SELECT '{s}' AS system, id, {corrupted(s)} AS hyp FROM u" + (f" WHERE {draw(50, chr(39) + 'lost:' + chr(39) + ' || id')} > 0" if s == "other" else "") for s in SYSTEMS) + ")"
 HALL = ", h AS (" + " UNION ALL ".join(f"SELECT '{s}' AS system, id, {corrupted(s)} AS hyp FROM u" for s in SYSTEMS) + ")"
 KEPT = ", kept AS (SELECT u.* FROM u WHERE grade = 'A' AND id IN (SELECT id FROM h GROUP BY id HAVING count(DISTINCT system) = 3))"
 
@@ -68,10 +68,10 @@ SUBSETS = """, s AS (SELECT *, unnest(list_filter(['all', CASE WHEN status = 'co
  r AS (SELECT subset, system, count(*) AS utterances, sum(tokens)::BIGINT AS tokens, 100.0::DOUBLE * sum(errors) / greatest(sum(tokens), 1) AS rate, count(*) FILTER (errors > 0) AS wrong FROM s GROUP BY ALL)"""
 
 BOOT = f"""{CELLS}, per AS (SELECT grp, system, sum(errors) AS e, sum(tokens) AS t FROM c GROUP BY ALL),
- base AS (SELECT grp, e AS ea, t AS ta, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS n FROM per WHERE system = 'sensevoice'),
+ base AS (SELECT grp, e AS ea, t AS ta, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS n FROM per WHERE system = 'small'),
  d AS (SELECT id // n AS round, {draw('n', "'0:' || id")} AS g FROM (SELECT max(n) AS n FROM base), range(2000 * n) r(id)),
  x AS (SELECT p.system, d.round, 100.0::DOUBLE * sum(p.e) / greatest(sum(p.t), 1) - 100.0::DOUBLE * sum(b.ea) / greatest(sum(b.ta), 1) AS v
-   FROM d JOIN base b USING (g) JOIN per p ON p.grp = b.grp AND p.system <> 'sensevoice' GROUP BY ALL)
+   FROM d JOIN base b USING (g) JOIN per p ON p.grp = b.grp AND p.system <> 'small' GROUP BY ALL)
 SELECT system, round(list_sort(list(v))[51], 6) AS low, round(list_sort(list(v))[1950], 6) AS high FROM x GROUP BY system"""
 
 LOG = """log AS (
@@ -92,7 +92,7 @@ CHAIN = """SELECT id, array_to_string(coalesce(list(id) OVER (PARTITION BY sessi
 
 EV = f"""{U}{HALL}, ev AS (
   SELECT *, CASE WHEN {draw(3, "'refined:' || id")} = 0 THEN text END AS refined, CASE WHEN status <> 'unconfirmed' THEN text END AS field FROM u
-), hl AS (SELECT id, max(hyp) FILTER (system = 'sensevoice') AS h1, list(hyp ORDER BY system) FILTER (system <> 'sensevoice') AS hs FROM h GROUP BY id
+), hl AS (SELECT id, max(hyp) FILTER (system = 'small') AS h1, list(hyp ORDER BY system) FILTER (system <> 'small') AS hs FROM h GROUP BY id
 ), op AS (
   SELECT ev.* , h1, hs, list_concat([{tokens('h1')}], list_transform(hs, lambda x: {tokens('x')}),
     CASE WHEN of = 1 AND field IS NOT NULL AND status <> 'undone' THEN [{tokens('field')}] ELSE [] END, CASE WHEN refined IS NOT NULL THEN [{tokens('refined')}] ELSE [] END) AS said
@@ -153,7 +153,7 @@ ORACLES: dict[str, str] = {
     "speaker_key": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN page_id::VARCHAR WHEN page_id % 2 = 0 THEN url || '_S' || page_id WHEN page_id % 3 = 0 THEN 'k' || page_id END AS speaker FROM pages",
     "joined_turns": f"WITH {U}, p AS (SELECT session, list(text ORDER BY idx) AS parts FROM u GROUP BY session) SELECT session, len(parts) AS parts, md5({joined('parts', False)}) AS separate, md5({joined('parts', True)}) AS continued FROM p",
     "error_rate_by_subset": f"{CELLS}{SUBSETS} SELECT subset, system, utterances, tokens, round(rate, 6) AS rate, wrong FROM r",
-    "error_rate_diff": f"{CELLS}{SUBSETS} SELECT r.subset, r.system, round(r.rate - b.rate, 6) AS difference FROM r JOIN r b ON r.subset = b.subset AND b.system = 'sensevoice' WHERE r.system <> 'sensevoice'",
+    "error_rate_diff": f"{CELLS}{SUBSETS} SELECT r.subset, r.system, round(r.rate - b.rate, 6) AS difference FROM r JOIN r b ON r.subset = b.subset AND b.system = 'small' WHERE r.system <> 'small'",
     "bootstrap_ci": BOOT,
     "wrong_utterances": f"{CELLS} SELECT id, grade, text, string_agg(system || ': ' || hyp, ' | ' ORDER BY system) AS wrong FROM c WHERE errors > 0 GROUP BY id, grade, text",
     "completeness_report": f"WITH {U}{H}, k AS (SELECT unnest({NAMES}) AS system), m AS (SELECT k.system, u.id, u.pos FROM u, k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.system = k.system AND h.id = u.id)) SELECT system, count(*) AS missing, (SELECT count(*) FROM u) AS total, arg_min(id, pos) AS example FROM m GROUP BY system",
@@ -166,7 +166,7 @@ ORACLES: dict[str, str] = {
     + " FROM t LEFT JOIN y USING (pos) GROUP BY ALL) SELECT pos, term, said, " + ", ".join(NAMES) + " FROM z UNION ALL SELECT NULL, NULL, sum(said)::BIGINT, " + ", ".join(f"sum({s})::BIGINT" for s in NAMES) + " FROM z",
     "merged_systems": f"WITH {U}{H}, m AS (SELECT h.system, h.id, CASE WHEN h.system = 'large' AND u.continues THEN lower(u.text) ELSE h.hyp END AS hyp FROM h JOIN u USING (id)) SELECT system, count(*) AS n, sum(length(hyp))::BIGINT AS chars, max(hyp) AS last FROM m GROUP BY system",
     "agreement_counts": f"WITH {U}, x AS (SELECT regexp_replace(trim(regexp_replace({corrupted('large')}, ' +', ' ', 'g')), '[。．.，,、；;：:？?！!… ]+$', '') AS a, regexp_replace(text, '[。．.，,、；;：:？?！!… ]+$', '') AS b FROM u WHERE NOT continues) SELECT count(*) FILTER (a = b) AS same, count(*) AS total FROM x",
-    "export_identity": f"WITH {U}{H} SELECT count(*) FILTER (a.hyp = b.hyp) AS same, count(*) AS total FROM (SELECT * FROM h WHERE system = 'sensevoice') a FULL JOIN (SELECT * FROM h WHERE system = 'qwen') b USING (id)",
+    "export_identity": f"WITH {U}{H} SELECT count(*) FILTER (a.hyp = b.hyp) AS same, count(*) AS total FROM (SELECT * FROM h WHERE system = 'small') a FULL JOIN (SELECT * FROM h WHERE system = 'other') b USING (id)",
     "session_status": f"WITH {LOG} SELECT session, status, dictated, field FROM ss",
     "session_positions": f"WITH {LOG}, rf AS (SELECT id, arg_max(text, seq) AS refined FROM log WHERE type = 'refined' GROUP BY id) SELECT l.id, session, row_number() OVER (PARTITION BY session ORDER BY seq) - 1 AS index, count(*) OVER (PARTITION BY session) AS of, l.text AS phone, rf.refined, ss.status, ss.dictated, ss.field FROM log l JOIN ss USING (session) LEFT JOIN rf ON rf.id = l.id WHERE type = 'utterance'",
     "status_counts_minutes": f"WITH {LOG}, x AS (SELECT CASE WHEN seq % 7 = 0 THEN 'audio missing' ELSE status END AS status, CASE WHEN seq % 7 = 0 THEN NULL ELSE seconds END AS seconds FROM log JOIN ss USING (session) WHERE type = 'utterance') SELECT status, count(*) AS utterances, round(coalesce(sum(seconds), 0) / 60, 6) AS minutes FROM x GROUP BY status",
@@ -174,7 +174,7 @@ ORACLES: dict[str, str] = {
     "consensus_grade": f"WITH {EV} SELECT id, outcome, source, text FROM o",
     "label_counts": f"WITH {EV} SELECT k.outcome, count(o.id) AS n FROM (SELECT unnest(['A', 'B', 'dropped', 'unreviewed']) AS outcome) k LEFT JOIN o ON k.outcome = o.outcome GROUP BY k.outcome",
     "review_report": f"""WITH {EV}, b AS (SELECT pos, '## ' || id || '  ' || status || '  ' || seconds || ' s  ' || (idx + 1) || '/' || of || CASE WHEN continues THEN '  continues' ELSE '' END || chr(10)
-      || '  ' || rpad('sensevoice', 12, ' ') || ' ' || h1 || chr(10) || '  ' || rpad('large', 12, ' ') || ' ' || hs[1] || chr(10) || '  ' || rpad('qwen', 12, ' ') || ' ' || hs[2] || chr(10)
+      || '  ' || rpad('small', 12, ' ') || ' ' || h1 || chr(10) || '  ' || rpad('large', 12, ' ') || ' ' || hs[1] || chr(10) || '  ' || rpad('other', 12, ' ') || ' ' || hs[2] || chr(10)
       || '  ' || rpad('large model', 12, ' ') || ' ' || coalesce(refined, 'None')
       || CASE WHEN field IS NOT NULL THEN chr(10) || '  ' || rpad('dictated', 12, ' ') || ' ' || field || chr(10) || '  ' || rpad('field', 12, ' ') || ' ' || field ELSE '' END AS block FROM o WHERE outcome = 'unreviewed')
       SELECT pos, md5(block) AS digest, length(block) AS n FROM b""",

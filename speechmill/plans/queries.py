@@ -9,7 +9,7 @@ from speechmill.functions import signal, text as tx
 from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
 from speechmill.plans import adapters as ad
 
-FIRST = "sensevoice"
+FIRST = "small"
 ROUND = 6
 
 
@@ -135,7 +135,7 @@ def agreement_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def export_identity(spark: SparkSession, d: str) -> DataFrame:
     hyps = ad.hypotheses(ad.utterances(spark, d))
-    return scoring.identical(hyps.where("system = 'sensevoice'"), hyps.where("system = 'qwen'"), ["id"])
+    return scoring.identical(hyps.where("system = 'small'"), hyps.where("system = 'other'"), ["id"])
 
 
 # sessions and labels

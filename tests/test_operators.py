@@ -64,14 +64,14 @@ def test_consensus(spark):
         out = consensus.graded(rows.join(consensus.hypothesis_lists(h), "id"), r).first()
         return out.outcome, out.text
 
-    one, two = {"sensevoice": "Hello, you"}, {"sensevoice": "Hello, you", "qwen": "hello you"}
+    one, two = {"small": "Hello, you"}, {"small": "Hello, you", "other": "hello you"}
     assert graded(two) == ("A", "Hello, you")
     assert graded(one) == ("unreviewed", None)
     assert graded(one, field_="hello you!") == ("A", "Hello, you")
     assert graded(one, field_="hello you!", of=2) == ("unreviewed", None)
     assert graded(one, field_="hello you!", status="undone") == ("unreviewed", None)
     assert graded(two, refined="") == ("unreviewed", None)  # an empty refined text is an opinion
-    assert graded({"sensevoice": "", "qwen": ""}) == ("unreviewed", None)
+    assert graded({"small": "", "other": ""}) == ("unreviewed", None)
     assert graded(two, review=[("a", "X", "")]) == ("dropped", "")
     assert graded(one, review=[("a", "B", "yes")]) == ("B", "yes")
 

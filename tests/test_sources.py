@@ -150,10 +150,10 @@ def test_commands(spark, tmp_path, capsys):
     part = tmp_path / "part.json"
     part.write_text(json.dumps({f"s{i}-00": texts[i] for i in range(3)}))
     with pytest.raises(ValueError, match="no transcript for 1 of 4"):
-        cli.main(["score", work, f"x={work}/hyp_sensevoice.json", f"y={part}"])
-    cli.main(["score", work, f"x={work}/hyp_sensevoice.json", f"y={part}", "--common", "--errors", str(tmp_path / "errors")])
+        cli.main(["score", work, f"x={work}/hyp_small.json", f"y={part}"])
+    cli.main(["score", work, f"x={work}/hyp_small.json", f"y={part}", "--common", "--errors", str(tmp_path / "errors")])
     (tmp_path / "terms").write_text("thing\n")
-    cli.main(["terms", work, str(tmp_path / "terms"), f"x={work}/hyp_sensevoice.json"])
+    cli.main(["terms", work, str(tmp_path / "terms"), f"x={work}/hyp_small.json"])
     cli.main(["items", work])
     assert "thing" in capsys.readouterr().out
     assert spark.read.parquet(f"{work}/items.parquet").agg(F.count(F.lit(1))).first()[0] == 4
