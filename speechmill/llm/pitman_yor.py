@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from speechmill.llm.common import cut, id_text, partitions, rows_of
 from speechmill.llm.jaccard import _groups, packed, unpacked

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import id_text
-
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
     "the of and to in is that for with on are was by it be as at from this or an "
