@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from speechmill.sources.shared import cut
 
-__all__ = ["cut", "documents", "id_text", "join_skewed", "partitions", "rows_of", "single_threaded", "sized_groups"]
+__all__ = ["cut", "documents", "id_text", "join_skewed", "partitions", "rows_of", "single_threaded", "sized_groups", "tidy"]
 
 #: Python's form of the ASCII white space class [\x20\x09-\x0D].
 WS_BYTES = b" \t\n\x0b\x0c\r"
@@ -69,3 +70,18 @@ def join_skewed(rows: DataFrame, groups: DataFrame, on: str, size: str, total: i
     cold = groups.where(F.col(size) * share <= total)
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a reused worker gives the memory it no longer needs back to the machine."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import WS_BYTES, cut, join_skewed, partitions
+from speechmill.llm.common import WS_BYTES, cut, join_skewed, partitions, tidy
 
 REF = "struct<row:struct<id:long,key:long,chars:int,sha:string,n:int>,pos:int>"
 
@@ -53,7 +53,7 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(partitions(docs), 1)
     key = F.col(key_col).cast("long") if key_col else F.lit(None).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("key"))
-    blocks = rows.mapInArrow(_blocks(block_bytes), f"block binary, refs array<{REF}>")
+    blocks = rows.mapInArrow(tidy(_blocks(block_bytes)), f"block binary, refs array<{REF}>")
     names = cut(_named(blocks, ["block"], n).select(F.explode("refs").alias("r"), "name").select("r.row.*", "r.pos", "name"))
     row = ["id", "key", "sha", "chars"]  # rows alike in these are one text; "copies" tells how often the table has it
     level, most = 0, names.agg(F.max("n")).first()[0] or 1

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import cut, id_text, join_skewed, partitions, rows_of
+from speechmill.llm.common import cut, id_text, join_skewed, partitions, rows_of, tidy
 from speechmill.llm.shingles import mix, shingle_set
 from speechmill.operators.components import connected_components
 from speechmill.sources.shared import release
@@ -329,7 +329,7 @@ def _candidates(kept: DataFrame, percent: int) -> DataFrame:
 def _compared(units: DataFrame, kept: DataFrame, percent: int, n: int) -> DataFrame:
     """(src, dst): links found in each unit; ``units`` is (unit, entity)."""
     rows = units.distinct().join(kept, "entity").select("unit", "entity", "n", "grams")
-    return cut(rows.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(_linked(percent), "src long, dst long"))
+    return cut(rows.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(tidy(_linked(percent)), "src long, dst long"))
 
 
 def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, leaders: int, n: int) -> DataFrame:
@@ -366,9 +366,9 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits = max(n - 1, 1).bit_length()
     hot_grams, hot_counts = hot or _hot_grams(entities(docs, k, id_col, text_col))
-    grams = base.mapInArrow(_parts(k, bits, 2 * n, hot_grams, hot_counts), "part int, grams binary, entities binary")
-    shared = grams.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared(2 * n), "dest int, blob binary")
-    kept = cut(shared.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(_prefixes(percent), "entity long, n long, prefix array<long>, grams binary"))
+    grams = base.mapInArrow(tidy(_parts(k, bits, 2 * n, hot_grams, hot_counts)), "part int, grams binary, entities binary")
+    shared = grams.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_shared(2 * n)), "dest int, blob binary")
+    kept = cut(shared.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(tidy(_prefixes(percent)), "entity long, n long, prefix array<long>, grams binary"))
     release(docs.sparkSession)
     groups = connected_components(_candidates(kept, percent)).withColumnRenamed("node", "entity")
     release(docs.sparkSession)
@@ -381,7 +381,7 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
 def entities(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Kind 0: (doc_id, n_shingles, entity) of every row; rows with equal sets share an entity, empty sets have none. Other kinds count frequent shingles."""
-    return id_text(docs, id_col, text_col).mapInArrow(_sets(k), "kind int, doc_id long, n_shingles long, entity long")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(_sets(k)), "kind int, doc_id long, n_shingles long, entity long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

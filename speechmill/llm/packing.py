@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from speechmill.llm.bpe import byte_symbols
-from speechmill.llm.common import id_text, rows_of
+from speechmill.llm.common import id_text, rows_of, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The pre-split pattern of the byte-level vocabulary (a fixed value).
@@ -187,4 +187,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         packer.end()
         yield packer.taken()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from speechmill.llm.common import cut, id_text, partitions, rows_of
+from speechmill.llm.common import cut, id_text, partitions, rows_of, tidy
 from speechmill.llm.jaccard import _groups, packed, unpacked
 from speechmill.llm.shingles import mix, word_hashes
 from speechmill.sources.shared import release
@@ -294,8 +294,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     def dealt(df: DataFrame, key: str, *more: str) -> DataFrame:
         return df.repartition(n_parts, key).sortWithinPartitions(key, *more)
 
-    words = base.mapInArrow(_send("words", bits, nothing), ROWS)
-    counted = cut(dealt(words, "part", "p").mapInArrow(_counted, ROWS))
+    words = base.mapInArrow(tidy(_send("words", bits, nothing)), ROWS)
+    counted = cut(dealt(words, "part", "p").mapInArrow(tidy(_counted), ROWS))
     release(docs.sparkSession)
     n = v = 0
     top: dict[int, int] = {}
@@ -307,20 +307,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     hot = sorted((a, top.get(int(END), 0) if a == int(BOS) else c) for a, c in {**top, int(BOS): n}.items() if c * HOT > n)
     hot_words, hot_counts = np.array([a for a, _ in hot], np.uint64), np.array([c for _, c in hot], np.float64)
 
-    pairs = base.mapInArrow(_send("bigrams", bits, hot_words), ROWS)
-    sampled = cut(dealt(pairs, "part", "p").mapInArrow(_sampled(discount, strength, hot_words, hot_counts, bits, seed), ROWS))
+    pairs = base.mapInArrow(tidy(_send("bigrams", bits, hot_words)), ROWS)
+    sampled = cut(dealt(pairs, "part", "p").mapInArrow(tidy(_sampled(discount, strength, hot_words, hot_counts, bits, seed)), ROWS))
     release(docs.sparkSession)
     sums = sampled.where("part < 0").selectExpr("-1 - part as part", "p", "a", "b", "1 as kind")
     vocabularies = counted.where("p >= 0").selectExpr("part", "p", "a", "cast(null as binary) as b", "0 as kind")
-    parent = cut(dealt(vocabularies.unionByName(sums), "part", "kind", "p").mapInArrow(_parent(parent_discount, parent_strength, v, 1 << bits, seed), ROWS))
+    parent = cut(dealt(vocabularies.unionByName(sums), "part", "kind", "p").mapInArrow(tidy(_parent(parent_discount, parent_strength, v, 1 << bits, seed)), ROWS))
     release(docs.sparkSession)
     totals = [0] * (1 + 3 * SAMPLES)
     for row in parent.where("part = -1").select("a").toLocalIterator():
         totals = [a + int(b) for a, b in zip(totals, unpacked(bytes(row["a"]), "|u1", "<u8")[1], strict=True)]
 
-    tokens = base.mapInArrow(_send("tokens", bits, hot_words), ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
+    tokens = base.mapInArrow(tidy(_send("tokens", bits, hot_words)), ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
     back = tokens.unionByName(counted.where("p >= 0").selectExpr("p", "1 as kind", "part", "a", "b"))
     back = back.unionByName(parent.where("part >= 0").selectExpr("part as p", "2 as kind", "p as part", "a", "b"))
     back = back.unionByName(sampled.where("part >= 0").selectExpr("part as p", "3 as kind", "p as part", "a", "b"))
     run = _scored(bits, hot_words, n, v, totals, (discount, parent_discount), (strength, parent_strength))
-    return dealt(back, "p", "kind", "part").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt(back, "p", "kind", "part").mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

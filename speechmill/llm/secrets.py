@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from speechmill.llm.common import id_text, rows_of
+from speechmill.llm.common import id_text, rows_of, tidy
 from speechmill.llm.nets import CharCnn, batch_ids
 
 KINDS = ("assign", "access", "hex")
@@ -193,7 +193,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
                 spans.append(told(merged(base, added)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(spans, pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", sample: int = 3000, epochs: int = 8) -> DataFrame:
@@ -215,4 +215,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", sa
                 out.append("".join([*parts, t[at:]]) if parts else t)
             yield b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from speechmill.llm.common import cut, id_text, partitions, rows_of
+from speechmill.llm.common import cut, id_text, partitions, rows_of, tidy
 from speechmill.llm.jaccard import _groups, packed, unpacked
 from speechmill.llm.shingles import _BASE, _BYTE, mix
 
@@ -381,9 +381,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     """
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits, k = max(n - 1, 1).bit_length() + 1, min(anchor, length)
-    segments = base.mapInArrow(_segments(length, k, bits), ROWS)
-    matched = cut(segments.repartition(n, "part").sortWithinPartitions("part", "p").mapInArrow(_matched(length), ROWS))
-    texts = base.mapInArrow(_texts, ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
+    segments = base.mapInArrow(tidy(_segments(length, k, bits)), ROWS)
+    matched = cut(segments.repartition(n, "part").sortWithinPartitions("part", "p").mapInArrow(tidy(_matched(length)), ROWS))
+    texts = base.mapInArrow(tidy(_texts), ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
     back = texts.unionByName(matched.selectExpr("part as p", "1 as kind", "p as part", "a", "b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return back.repartition(n, "p").sortWithinPartitions("p", "kind").mapInArrow(_removed(length, k, bits, with_text), schema)
+    return back.repartition(n, "p").sortWithinPartitions("p", "kind").mapInArrow(tidy(_removed(length, k, bits, with_text)), schema)
