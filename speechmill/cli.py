@@ -118,6 +118,9 @@ def mix(spark: SparkSession, a: argparse.Namespace) -> None:
 def check_export(spark: SparkSession, a: argparse.Namespace) -> None:
     """Compares transcripts of two exports, pair by pair of map files; any difference is an exit code of 1."""
     wrong = 0
+    if a.tokens and not fingerprint.same_bytes(*a.tokens.split(",")):
+        print(f"{a.tokens}: the token files differ")
+        wrong += 1
     for pair in a.pairs:
         first, second = pair.split(",")
         r = scoring.identical(files.read_system(spark, f"a={first}"), files.read_system(spark, f"a={second}"), ["id"]).first()
@@ -248,7 +251,7 @@ def parser() -> argparse.ArgumentParser:
     command(public, word("bench"), word("out"))
     command(replay, word("out"), word("corpora", nargs="+"), model)
     command(mix, word("base"), word("tuned"), (("weight",), {"type": float}), word("out"))
-    command(check_export, word("pairs", nargs="+"))
+    command(check_export, word("pairs", nargs="+"), word("--tokens", help="two token files that have to be the same, joined by a comma"))
     command(check_phone, word("work"), model)
     command(cross_validate, word("work"), word("out"), number("--folds", 5), word("--column", default="text"), model)
     command(label, word("work"), word("--manual"), number("--folds", 5), number("--seed", 0))

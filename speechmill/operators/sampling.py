@@ -66,9 +66,10 @@ def corpus_names(paths: list[str]) -> list[str]:
     return names
 
 
-def sampled(rows: DataFrame, wanted: Column | int, key: Column, seed: object = 0) -> DataFrame:
-    """``wanted`` rows without replacement, or all if there are fewer."""
-    return shuffled(rows, key, seed).where(F.col("rank") <= wanted).drop("rank")
+def sampled(rows: DataFrame, wanted: int, key: Column, seed: object = 0) -> DataFrame:
+    """``wanted`` rows without replacement, or all if there are fewer; no task and no driver gets them all."""
+    keyed = rows.withColumn("_o", order_key(seed, key)).withColumn("_k", key)
+    return dense(keyed, "_o", "_k", name="_n").where(F.col("_n") < wanted).drop("_o", "_k", "_n")
 
 
 def dense(rows: DataFrame, *order: str, name: str = "pos") -> DataFrame:

@@ -59,9 +59,8 @@ def epoch(train: DataFrame, seed: int, number: int, hard: int = 3, pairs: float
     paired = both.select("pos", F.concat("ids", "_ids").alias("ids"), F.concat("audio", "_audio").alias("audio"), tx.join_texts(F.array("text", "_text"), False).alias("text"), (F.col("seconds") + F.col("_seconds")).alias("seconds"), "hard", F.lit("pair").alias("kind"))
     made = plain.unionByName(again).unionByName(paired)
     if replay is not None:
-        wanted = made.agg(F.bround(F.lit(float(ratio)) * F.count(F.lit(1))).cast("bigint").alias("_wanted"))
-        pool = replay.crossJoin(F.broadcast(wanted))  # one row
-        drawn = sampled(pool, F.col("_wanted"), F.col("id"), f"{seed}:{number}").select(F.lit(None).cast("bigint").alias("pos"), F.array("id").alias("ids"), F.array("audio").alias("audio"), "text", "seconds", F.lit(False).alias("hard"), F.lit("replay").alias("kind"))
+        wanted = round(ratio * made.count())  # half to even
+        drawn = sampled(replay, wanted, F.col("id"), f"{seed}:{number}").select(F.lit(None).cast("bigint").alias("pos"), F.array("id").alias("ids"), F.array("audio").alias("audio"), "text", "seconds", F.lit(False).alias("hard"), F.lit("replay").alias("kind"))
         made = made.unionByName(drawn)
     return made.drop("hard")
 

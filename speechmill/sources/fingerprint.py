@@ -24,6 +24,17 @@ def digest(paths: Iterable[str], options: dict | None = None) -> str:
     return h.hexdigest()
 
 
+def same_bytes(first: str, second: str, step: int = 1 << 20) -> bool:
+    """Whether two files are byte for byte the same; read in steps, and sizes first."""
+    if os.path.getsize(first) != os.path.getsize(second):
+        return False
+    with open(first, "rb") as a, open(second, "rb") as b:
+        while part := a.read(step):
+            if part != b.read(step):
+                return False
+    return True
+
+
 def claim(folder: str, fingerprint: str) -> None:
     """Marks a folder as this run's; raises if another run's results are in it."""
     os.makedirs(folder, exist_ok=True)

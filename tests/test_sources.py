@@ -183,7 +183,8 @@ def test_weights_exports_and_folds(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).first()["values"] == [0.5, 3.0]
     (tmp_path / "x.json").write_text('{"a": "1"}')
     (tmp_path / "y.json").write_text('{"a": "2"}')
-    cli.main(["check-export", f"{tmp_path}/x.json,{tmp_path}/x.json"])
+    cli.main(["check-export", f"{tmp_path}/x.json,{tmp_path}/x.json", "--tokens", f"{tmp_path}/x.json,{tmp_path}/x.json"])
+    assert not fingerprint.same_bytes(str(tmp_path / "x.json"), str(tmp_path / "y.json"))
     with pytest.raises(SystemExit):
         cli.main(["check-export", f"{tmp_path}/x.json,{tmp_path}/y.json"])
     work = tmp_path / "work"
