@@ -165,11 +165,16 @@ def _sampled(discount: float, strength: float, hot: np.ndarray, hot_count: np.nd
                 us.append(u)
                 ws.append(unpacked(row[3], "<u8")[0][slot])
                 cs.append(c)
+            sizes = [len(x) for x in us]
             words, wi = np.unique(np.concatenate(ws), return_inverse=True)
+            del ws
             contexts, ui = np.unique(np.concatenate(us), return_inverse=True)
+            del us
             types, inverse = np.unique(ui * len(words) + wi, return_inverse=True)
-            u, w = types // len(words), types % len(words)
+            del ui, wi
+            u, w, inverse = (types // len(words)).astype(np.int32), (types % len(words)).astype(np.int32), inverse.astype(np.int32)
             c = np.bincount(inverse, np.concatenate(cs).astype(np.float64), len(types)).astype(np.int64)
+            del types, cs
             cu = np.bincount(u, c, len(contexts))
             share = np.ones(len(contexts))
             where = np.searchsorted(hot, contexts)
@@ -186,10 +191,10 @@ def _sampled(discount: float, strength: float, hot: np.ndarray, hot_count: np.nd
                     samples.append(t.astype(np.uint64))
             out, at = [], 0
             c = c.astype(np.uint64)
-            for row, x in zip(rows, us, strict=True):
-                mine = inverse[at : at + len(x)]
-                out.append((row[1], part, packed(np.zeros(len(x), np.uint8), c[mine], *[s[mine] for s in samples]), b""))
-                at += len(x)
+            for row, x in zip(rows, sizes, strict=True):
+                mine = inverse[at : at + x]
+                out.append((row[1], part, packed(np.zeros(x, np.uint8), c[mine], *[s[mine] for s in samples]), b""))
+                at += x
             sums = [np.bincount(w, s, len(words)).astype(np.uint64) for s in samples]
             byu = [np.bincount(u, s, len(contexts)).astype(np.uint64) for s in (c, *samples)]
             aw, au = _bounds(words, bits), _bounds(contexts, bits)
@@ -288,7 +293,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     scan of files does; this is checked. Words are told apart by 64-bit hashes.
     """
     base, n_parts = id_text(docs, id_col, text_col), max(partitions(docs), 1)
-    bits = max(n_parts - 1, 1).bit_length()
+    bits = max(n_parts - 1, 1).bit_length() + 1  # about two parts a partition: a task holds one at a time
     nothing = np.zeros(0, np.uint64)
 
     def dealt(df: DataFrame, key: str, *more: str) -> DataFrame:
