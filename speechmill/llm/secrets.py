@@ -2,7 +2,8 @@
 
 Fixed patterns give base spans. Every other run of token characters that is long
 enough and has a digit is a candidate: the network reads it with the text around
-it, and its logit is calibrated by temperature. The threshold is the highest that
+it, in overlapping windows where it is long, and its logit is calibrated by
+temperature; a run counts by its most suspicious window. The threshold is the highest that
 still recalls the wanted share of held-out labelled findings, and never one that
 lets through more than the allowed share of held-out clean candidates.
 """
@@ -109,14 +110,49 @@ def labelled_findings(n: int, seed: int = 7) -> list[Finding]:
     return out
 
 
-def features(found: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each candidate and its context; which of them are the candidate, and how long it is."""
+def views(length: int, s: int, e: int) -> list[int]:
+    """Where the windows over a candidate begin: the last one has the context to its right, or the text's end."""
+    out = [max(0, s - CONTEXT)]
+    while out[-1] + SIZE < min(e + CONTEXT, length):
+        out.append(out[-1] + SIZE - 2 * CONTEXT)
+    return out
+
+
+def labelled_windows(n: int, seed: int = 7) -> list[tuple[str, int, int, int, bool]]:
+    """n windows of long runs: text, run, where the window begins, and whether it has (20 characters of) a secret."""
+    r, out = random.Random(seed + 1), []
+    while len(out) < n:
+        parts: list[str] = []
+        while sum(map(len, parts)) < r.randint(30, 160):
+            parts.append(r.choice([lambda: _words(r, 1), lambda: _words(r, 1), lambda: f"{_words(r, 1)}{r.randint(1, 99)}", lambda: str(r.randint(1, 9999)), lambda: _negative(r)[1].strip("/")])())
+        run, value = r.choice(["/", "/", "-", "_"]).join(parts), ""
+        s = e = 0
+        if r.random() < 0.6:
+            value = _positive(r)[1]
+            joint, tail = r.choice(["/", "=", "-"]), r.choice(["", "", "/" + _words(r, 2).replace(" ", "/")])
+            s = len(run) + 1
+            run, e = run + joint + value + tail, len(run) + 1 + len(value)
+        before = _words(r, r.randint(0, 6)) + r.choice([" ", ".\n", ", ", " https:", " see "])
+        text = before + run + r.choice([" ", ". ", "\n", ", "]) + _words(r, r.randint(0, 6))
+        at, end = len(before), len(before) + len(run)
+        for a in views(len(text), at, end):
+            seen = min(at + e, a + SIZE) - max(at + s, a)
+            if not value or seen <= 0 or seen >= min(len(value), 20):
+                out.append((text, at, end, a, bool(value) and seen > 0))
+    return out[:n]
+
+
+def features(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each candidate and its context; which of them are the candidate, and how long it is.
+
+    ``found`` has text, start and end, and where the window begins if it is not the first one.
+    """
     texts, marks = [], np.zeros((len(found), SIZE, 2), np.float32)
-    for i, (t, s, e) in enumerate(found):
-        a = max(0, s - CONTEXT)
+    for i, (t, s, e, *at) in enumerate(found):
+        a = at[0] if at else max(0, s - CONTEXT)
         texts.append(t[a : a + SIZE])
-        marks[i, s - a : min(e - a, SIZE), 0] = 1
-        marks[i, s - a : min(e - a, SIZE), 1] = min(e - s, 200) / 100
+        marks[i, max(s - a, 0) : min(e - a, SIZE), 0] = 1
+        marks[i, max(s - a, 0) : min(e - a, SIZE), 1] = min(e - s, 200) / 100
     return batch_ids(texts, SIZE), marks
 
 
@@ -129,11 +165,11 @@ class Scanner:
 
 @functools.lru_cache(maxsize=4)
 def trained(sample: int = 3000, epochs: int = 8, recall: float = 0.95, seed: int = 7) -> Scanner:
-    """Trained on two thirds of ``sample`` labelled findings, calibrated on the rest."""
-    data = labelled_findings(sample, seed)
-    ids, marks = features([(f.text, f.start, f.end) for f in data])
-    y = np.array([f.secret for f in data], np.float64)
-    part = sample * 2 // 3
+    """Trained on two thirds of ``sample`` labelled findings and as many windows of long runs, calibrated on the rest."""
+    data = [x for f, w in zip(labelled_findings(sample, seed), labelled_windows(sample, seed), strict=True) for x in ((f.text, f.start, f.end, max(0, f.start - CONTEXT), f.secret), w)]
+    ids, marks = features([x[:4] for x in data])
+    y = np.array([x[4] for x in data], np.float64)
+    part = len(data) * 2 // 3
     model = CharCnn(SIZE, seed=seed)
     model.train(ids[:part], marks[:part], y[:part], epochs, seed=seed)
     logits, truth = model.logits(ids[part:], marks[part:]), y[part:]
@@ -153,13 +189,15 @@ def find(texts: list[str], model: CharCnn, scanner: Scanner) -> list[tuple[list[
         base.append(spans)
         asked += [(i, s, e) for s, e in runs if not any(b[1] < e and s < b[2] for b in spans)]
     added: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(asked), 1024):
-        part = asked[at : at + 1024]
-        logits = model.logits(*features([(texts[i], s, e) for i, s, e in part]))
-        p = 1 / (1 + np.exp(-logits / scanner.temperature))
-        for (i, s, e), x in zip(part, p, strict=True):
-            if x >= scanner.threshold:
-                added[i].append((ADDED, s, e))
+    seen = [(k, a) for k, (i, s, e) in enumerate(asked) for a in views(len(texts[i]), s, e)]
+    most = np.zeros(len(asked))
+    for at in range(0, len(seen), 1024):
+        part = seen[at : at + 1024]
+        logits = model.logits(*features([(texts[asked[k][0]], *asked[k][1:], a) for k, a in part]))
+        np.maximum.at(most, [k for k, _ in part], 1 / (1 + np.exp(-logits / scanner.temperature)))
+    for (i, s, e), x in zip(asked, most, strict=True):
+        if x >= scanner.threshold:
+            added[i].append((ADDED, s, e))
     return list(zip(base, added, strict=True))
 
 

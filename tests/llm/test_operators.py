@@ -208,6 +208,18 @@ def test_secrets_network_on_held_out_findings():
     assert (p[~truth] >= scanner.threshold).mean() <= 0.02
 
 
+def test_secrets_at_the_end_of_long_runs():
+    scanner = secrets.trained()
+    model = CharCnn(secrets.SIZE, params=scanner.params)
+    r = random.Random(3)
+    paths = ["/".join(word(r).encode("ascii", "ignore").decode() + str(r.randint(1, 99)) for _ in range(24)) for _ in range(100)]
+    keys = [p + "/ghp_" + "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(36)) for p in paths]
+    assert min(map(len, paths)) > 68
+    hit = lambda runs: sum(added == [("secret", 4, 4 + len(x))] for x, (_, added) in zip(runs, secrets.find([f"see {x} for more" for x in runs], model, scanner)))
+    assert hit(keys) >= 90 and hit(paths) <= 5
+    assert secrets.views(1000, 100, 130) == [72] and secrets.views(1000, 100, 200) == [72, 112, 152]
+
+
 def test_secrets_are_masked(docs):
     rows = ['the token = "1eb9c654e721b4f812088970e66a6345cee33dd6" was here', "clean text", None]
     got = [r.text for r in secrets.redacted(docs(rows)).orderBy("doc_id").collect()]
