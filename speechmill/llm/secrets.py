@@ -1,7 +1,9 @@
 """Secret scans by a character convolutional network over candidates and their context.
 
 Fixed patterns give base spans. Every other run of token characters that is long
-enough and has a digit is a candidate: the network reads it with the text around
+enough and has a digit or mixed case is a candidate; a shorter or plainer one if a
+word for credentials stands before it; and so is what base spans leave of a run.
+The network reads it with the text around
 it, in overlapping windows where it is long, and its logit is calibrated by
 temperature; a run counts by its most suspicious window. The threshold is the highest that
 still recalls the wanted share of held-out labelled findings, and never one that
@@ -27,14 +29,39 @@ from speechmill.llm.nets import CharCnn, batch_ids
 KINDS = ("assign", "access", "hex")
 ADDED = "secret"
 Span = tuple[str, int, int]
-CONTEXT, SIZE, LEAST = 28, 96, 16
+CONTEXT, SIZE, LEAST, SHORT = 28, 96, 16, 6
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_DIGIT = re.compile(r"[0-9]")
+_PLAIN = re.compile(r"[A-Z]?[a-z=_/+-]*|[A-Z=_/+-]*", re.A)
+_CREDENTIAL = re.compile(r"(?:pass|pwd|key|bearer|auth|cred|login|secret|token|access|signing|private)", re.I | re.A)
+#: A shorter run; it may begin after an equals sign.
+_SHORT = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{%d,}" % (SHORT - 1))
+_ASSIGNED = re.compile(r"[:=]\x20?[\"']?\Z")
+_TOKEN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+
+
+def _short_runs(text: str) -> list[tuple[int, int]]:
+    """Runs too short for a candidate elsewhere that begin within ``CONTEXT`` characters after a word for credentials.
+
+    A plain word is one only after a colon or an equals sign.
+    """
+    out: dict[tuple[int, int], None] = {}
+    for c in _CREDENTIAL.finditer(text):
+        for m in _SHORT.finditer(text, c.end(), c.end() + CONTEXT + LEAST):
+            s, e = m.span()
+            if s > c.end() + CONTEXT:
+                break
+            a = s
+            while a and e - a < LEAST and text[a - 1] in _TOKEN:
+                a -= 1
+            plain = _PLAIN.fullmatch(m[0]) and not _ASSIGNED.search(text, max(0, s - 4), s)
+            if e - a < LEAST and not plain and (e == len(text) or text[e] not in _TOKEN):
+                out[s, e] = None
+    return list(out)
 
 
 def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
@@ -50,10 +77,22 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
             out += [("access", at + x.start(), at + x.end()) for x in _ACCESS.finditer(run) if len(x[0]) >= 20]
         if len(run) >= 24:
             out += [("hex", at + x.start(), at + x.end()) for x in _HEX.finditer(run)]
-        if _DIGIT.search(run):
+        if not _PLAIN.fullmatch(run) or _CREDENTIAL.search(text, max(0, at - CONTEXT), at) or any(x[1] < m.end() and at < x[2] for x in out):
             runs.append(m.span())
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return out, runs
+    return out, sorted(runs + _short_runs(text))
+
+
+def uncovered(run: tuple[int, int], base: list[Span]) -> list[tuple[int, int]]:
+    """What base spans leave of a run. A short part right before an assignment is the name's beginning, not a value."""
+    out, at = [], run[0]
+    for kind, s, e in base:
+        if s >= run[1]:
+            break
+        if s > at and (kind != "assign" or s - at >= LEAST):
+            out.append((at, s))
+        at = max(at, e)
+    return [*out, (at, run[1])] if at < run[1] else out
 
 
 # Labelled findings
@@ -118,6 +157,57 @@ def views(length: int, s: int, e: int) -> list[int]:
     return out
 
 
+_WORDS_FOR = ["key", "pwd", "password", "bearer", "access", "login", "credential", "private key", "auth", "signing key", "pass"]
+
+
+def labelled_rest(n: int, seed: int = 7) -> list[tuple[str, int, int, int, bool]]:
+    """n short or digit-free candidates, and parts that a base span leaves of a run: text, candidate, where its window begins, and whether it is a secret."""
+    r, out = random.Random(seed + 2), []
+    word = lambda: _words(r, 1).replace(" ", "")
+    other = lambda k: "".join(r.choice(("bcdfghklmnprstvwz", "sch pf tz ch st br".split())[r.random() < 0.2]) + r.choice("aeiou") + r.choice(["", "n", "r", "t"]) for _ in range(k))
+    mixed = lambda k: _of(r, "GHJKMNPQRSTUVWXYZ", 1) + _of(r, _B64, max(k - 2, 0)) + _of(r, "GHJKMNPQRSTUVWXYZ", k > 1)
+    for k in range(n):
+        secret, sort = bool(k % 2), r.random()
+        left, right, name = "", "", r.choice(_WORDS_FOR)
+        name = r.choice([name, name, name.capitalize(), name.upper()])
+        if sort < 0.35:  # short, after a word for credentials
+            if secret:
+                left = name + r.choice([": ", " = ", "=", " is ", " ", ': "', ": '"])
+                value = r.choice([lambda: _of(r, _B64, r.randint(8, 15)), lambda: _of(r, _LOW + _NUM, r.randint(8, 15)), lambda: f"{word()}{r.randint(1, 99)}{word()}{r.randint(1, 9)}"[-15:], lambda: f"{other(2)}{r.randint(1, 99)}{other(2)}{r.randint(1, 9)}"[-15:], lambda: f"{other(2)}{r.randint(1, 9999)}"[-15:], lambda: word().capitalize() + str(r.randint(10, 9999))])()
+                value += _of(r, _NUM, max(0, SHORT - len(value)))
+                right = left[-1] if left[-1] in "\"'" else ""
+            else:
+                left = name + r.choice([" ", ": ", " to the ", " of ", " is ", " for ", ", ", " was ", ". ", "s and ", " page ", " number ", " on "])
+                value = r.choice([lambda: word() + word(), lambda: other(3), lambda: (word() + word()).capitalize(), lambda: f"{word()}-{word()}-{word()}", lambda: f"2024-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: _of(r, _NUM, r.randint(6, 12)), lambda: f"{word()}/{word()}"])()
+                value = (value + "ation")[:15] if len(value) < SHORT else value[:15]
+        elif sort < 0.6:  # no digit
+            if secret:
+                left, value = name + r.choice([": ", " = ", " is ", " ", ': "']), _of(r, _UP + _LOW, r.randint(20, 44))
+                right = '"' if left.endswith('"') else ""
+            else:
+                left = r.choice(["", "", name + " ", name + ": "])
+                value = r.choice([lambda: "_".join(word() for _ in range(4)), lambda: "/" + "/".join(word() for _ in range(4)), lambda: r.choice("-=_/+") * r.randint(16, 70), lambda: "".join(word() for _ in range(5)), lambda: other(8), lambda: "".join(word().capitalize() for _ in range(5)), lambda: "-".join(word() for _ in range(5)), lambda: "".join(word() for _ in range(4)).upper()])()
+                value += value[:1] * max(0, LEAST - len(value))
+        else:  # beside a span of hex digits
+            hexes, after = _of(r, "0123456789abcdef", r.choice([24, 24, 32, 40])), r.random() < 0.5
+            if secret:
+                left, value = r.choice(["", name + ": ", name + " "]), mixed(r.randint(3, 20))
+            else:
+                value = r.choice([lambda: f"{word()}/{word()}/", lambda: word() + "-", lambda: word() + "_", lambda: "/" + word() + "/", lambda: "sha" + r.choice(["1", "256"]) + "-", lambda: f"/commit/{word()}/" if r.random() < 0.3 else "/commit/"])()
+                value = value.rstrip("/-_") if after and value[-1] in "-_" else value
+                value = r.choice("/-_") + value.strip("/-_") if after else value
+            left, right = (left + hexes, right) if after else (left, hexes + right)
+            if not after and value[-1] in "0123456789abcdef":
+                value += "/"
+        before = _words(r, r.randint(0, 6)) + r.choice([" ", " ", ".\n", ", "])
+        text = before + left + value + right + r.choice([" ", ". ", "\n", ", "]) + _words(r, r.randint(0, 6))
+        s, e = len(before) + len(left), len(before) + len(left) + len(value)
+        if left.endswith("=") and e - s + len(left) >= LEAST:
+            s -= len(left)
+        out.append((text, s, e, max(0, s - CONTEXT), secret))
+    return out
+
+
 def labelled_windows(n: int, seed: int = 7) -> list[tuple[str, int, int, int, bool]]:
     """n windows of long runs: text, run, where the window begins, and whether it has (20 characters of) a secret."""
     r, out = random.Random(seed + 1), []
@@ -165,8 +255,9 @@ class Scanner:
 
 @functools.lru_cache(maxsize=4)
 def trained(sample: int = 3000, epochs: int = 8, recall: float = 0.95, seed: int = 7) -> Scanner:
-    """Trained on two thirds of ``sample`` labelled findings and as many windows of long runs, calibrated on the rest."""
-    data = [x for f, w in zip(labelled_findings(sample, seed), labelled_windows(sample, seed), strict=True) for x in ((f.text, f.start, f.end, max(0, f.start - CONTEXT), f.secret), w)]
+    """Trained on two thirds of ``sample`` labelled findings, as many windows of long runs and as many other candidates, calibrated on the rest."""
+    sorts = zip(labelled_findings(sample, seed), labelled_windows(sample, seed), labelled_rest(sample, seed), strict=True)
+    data = [x for f, *more in sorts for x in ((f.text, f.start, f.end, max(0, f.start - CONTEXT), f.secret), *more)]
     ids, marks = features([x[:4] for x in data])
     y = np.array([x[4] for x in data], np.float64)
     part = len(data) * 2 // 3
@@ -177,8 +268,9 @@ def trained(sample: int = 3000, epochs: int = 8, recall: float = 0.95, seed: int
     loss = [float(np.mean(np.logaddexp(0, -np.where(truth > 0, 1, -1) * logits / t))) for t in grid]
     t = float(grid[int(np.argmin(loss))])
     p = 1 / (1 + np.exp(-logits / t))
-    wanted = float(np.quantile(p[truth > 0], 1 - recall, method="lower")) if (truth > 0).any() else 1.0
-    return Scanner(model.p, t, wanted)
+    sort = np.arange(part, len(data)) % 3  # each sort of candidates is recalled
+    least = [float(np.quantile(x, 1 - recall, method="lower")) for k in range(3) if len(x := p[(truth > 0) & (sort == k)])]
+    return Scanner(model.p, t, min(least, default=1.0))
 
 
 def find(texts: list[str], model: CharCnn, scanner: Scanner) -> list[tuple[list[Span], list[Span]]]:
@@ -187,7 +279,7 @@ def find(texts: list[str], model: CharCnn, scanner: Scanner) -> list[tuple[list[
     for i, t in enumerate(texts):
         spans, runs = base_spans(t)
         base.append(spans)
-        asked += [(i, s, e) for s, e in runs if not any(b[1] < e and s < b[2] for b in spans)]
+        asked += [(i, s, e) for run in runs for s, e in uncovered(run, sorted((b for b in spans if b[1] < run[1] and run[0] < b[2]), key=lambda b: b[1:]))]
     added: list[list[Span]] = [[] for _ in texts]
     seen = [(k, a) for k, (i, s, e) in enumerate(asked) for a in views(len(texts[i]), s, e)]
     most = np.zeros(len(asked))

@@ -220,6 +220,23 @@ def test_secrets_at_the_end_of_long_runs():
     assert secrets.views(1000, 100, 130) == [72] and secrets.views(1000, 100, 200) == [72, 112, 152]
 
 
+def test_secrets_short_digit_free_and_beside_base_spans():
+    scanner = secrets.trained()
+    model = CharCnn(secrets.SIZE, params=scanner.params)
+    token, part, rest = "QwZrTyKpLmNbVcXzGhJkQwErTyUiOpAsDfGhJkLz", "3f9a1c7e5b2d8046af13ce79", "KxQ7vWz9TpLmR4"
+    rows = ["pwd: hunter2secret9 for the house", "key: a8F3k2Lm9Q and more", f"then bearer {token} was sent", f"key: {part}{rest} here"]
+    values = ["hunter2secret9", "a8F3k2Lm9Q", token, rest]
+    for t, v, (base, added) in zip(rows, values, secrets.find(rows, model, scanner)):
+        assert ("secret", t.index(v), t.index(v) + len(v)) in added
+        assert all(b[2] <= t.index(v) for b in base)
+    clean = ["the key question was whether the passage through the mountains", "access to the building is limited", "a line ------------------------------ and /usr/share/lib/documents", "log in to read the authorization of the government"] * 3
+    assert not any(added for _, added in secrets.find(clean, model, scanner))
+    held = secrets.labelled_rest(600, seed=99)
+    hit = np.array([any(a[1] < x[2] and x[1] < a[2] for a in added) for x, (_, added) in zip(held, secrets.find([x[0] for x in held], model, scanner))])
+    truth = np.array([x[4] for x in held])
+    assert hit[truth].mean() >= 0.8 and hit[~truth].mean() <= 0.05
+
+
 def test_secrets_are_masked(docs):
     rows = ['the token = "1eb9c654e721b4f812088970e66a6345cee33dd6" was here', "clean text", None]
     got = [r.text for r in secrets.redacted(docs(rows)).orderBy("doc_id").collect()]
