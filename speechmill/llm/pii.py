@@ -2,8 +2,9 @@
 
 Fixed patterns give base spans. The model adds what is written another way: it
 is trained in numpy from labelled spans and reads the text around every digit,
-at-sign or spelled-out "dot", without which none of the kinds is written.
-Windows overlap; each is decoded on its own, and of the spans that windows
+at-sign, spelled-out "dot" or bracketed "at", without which none of the kinds is
+written. Windows overlap; each is decoded on its own, a span that reaches a
+window's edge is decoded again in a wider window around it, and of the spans that windows
 propose for a document the set of disjoint ones with the greatest total
 confidence is chosen.
 """
@@ -25,14 +26,17 @@ from speechmill.llm.nets import LstmCrf, batch_ids
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
-WINDOW, STEP, REACH = 80, 40, 24
+#: Training texts have WINDOW characters. READ and STEP are of the windows that are read, NARROW is for short areas.
+WINDOW, READ, STEP, NARROW, REACH = 80, 240, 120, 160, 64
+#: An address has up to 254 characters, and more when it is spelled out.
+LONGEST = 400
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|\bdot\b")
+_TRIGGER = re.compile(r"[0-9@]+|\bdot\b|[\[({<]\x20*at\x20*[\])}>]", re.I)
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -92,6 +96,10 @@ def _found(r: random.Random, kind: str) -> str:
     """One labelled value, written as the patterns have it or otherwise."""
     if kind == "email":
         user, host, top = _ascii(r) + r.choice(["", ".", "_"]) + _ascii(r) + r.choice(["", _digits(r, 2)]), _ascii(r) + r.choice(["", _digits(r, 1)]), r.choice(["com", "org", "net", "de", "example.com", "co.uk"])
+        if r.random() < 0.5:  # longer ones, capitals, and every country
+            user, host, top = ".".join(_ascii(r) for _ in range(r.randint(2, 3))), r.choice(["", "", "-"]).join(_ascii(r) for _ in range(r.randint(1, 3))), r.choice([top, "edu", "info", *["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2))] * 3])
+            at, dot = r.choice(["at", "at", "AT", "At"]), r.choice(["dot", "dot", "DOT", "Dot"])
+            return r.choice([f"{user}@{host}.{top}", f"{user} ({at}) {host} {dot} {top}", f"{user} [{at}] {host} [{dot}] {top}", f"{user} {at} {host} {dot} {top}", f"{user} ({at}) {host}.{top}"])
         return r.choice([f"{user}@{host}.{top}"] * 2 + [f"{user} (at) {host} dot {top}", f"{user} [at] {host} [dot] {top}", f"{user} at {host} dot {top}", f"{user} @ {host}.{top}"])
     if kind == "ip":
         parts = [str(r.randint(0, 255)) for _ in range(4)]
@@ -160,7 +168,7 @@ def trained(sample: int = 4000, epochs: int = 10, seed: int = 7) -> LstmCrf:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all that lies within reach of a digit, an at-sign or "dot"."""
+    """Overlapping windows over all that lies within reach of a digit, an at-sign, "dot" or a bracketed "at"."""
     areas: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -170,17 +178,18 @@ def windows(text: str) -> list[tuple[int, int]]:
             areas.append([s, e])
     out = []
     for s, e in areas:
+        size = NARROW if e - s <= NARROW else READ
         while True:
-            out.append((s, min(s + WINDOW, len(text))))
-            if s + WINDOW >= e:
+            out.append((s, min(s + size, len(text))))
+            if s + size >= e:
                 break
             s += STEP
     return out
 
 
-def _proposed(text: str, start: int, end: int, tags: np.ndarray, sure: np.ndarray) -> list[tuple[float, Span]]:
-    """Spans of one window; one that touches an edge is left to the window that has it whole."""
-    out, i, n = [], 0, end - start
+def _proposed(text: str, start: int, end: int, tags: np.ndarray, sure: np.ndarray) -> tuple[list[tuple[float, Span]], list[tuple[int, int]]]:
+    """Spans of one window; and where it has one that touches an edge and may go on."""
+    out, cut, i, n = [], [], 0, end - start
     while i < n:
         t = int(tags[i])
         if t % 2 == 0:
@@ -191,8 +200,16 @@ def _proposed(text: str, start: int, end: int, tags: np.ndarray, sure: np.ndarra
             j += 1
         if (i > 0 or start == 0) and (j < n or end == len(text)):
             out.append((float(sure[i:j].min()), (KINDS[t // 2], start + i, start + j)))
+        else:
+            cut.append((start + i, start + j))
         i = j
-    return out
+    return out, cut
+
+
+def _wider(length: int, s: int, e: int) -> tuple[int, int]:
+    """A window with WINDOW characters at least on both sides of a span."""
+    a = max(0, s - WINDOW)
+    return a, min(length, a + -(-(e + WINDOW - a) // WINDOW) * WINDOW)
 
 
 def reconcile(proposed: list[tuple[float, Span]]) -> list[Span]:
@@ -221,7 +238,7 @@ def reconcile(proposed: list[tuple[float, Span]]) -> list[Span]:
 def _plausible(kind: str, value: str) -> bool:
     digits = len(_DIGIT.findall(value))
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", value)) and bool(re.search(r"\.|\bdot\b", value))
+        return bool(re.search(r"@|\bat\b", value, re.I)) and bool(re.search(r"\.|\bdot\b", value, re.I))
     return {"ip": 4 <= digits <= 12 and value.count(".") >= 3, "card": 13 <= digits <= 19, "phone": 9 <= digits <= 15 and not value.isdigit()}[kind]
 
 
@@ -230,11 +247,21 @@ def find(texts: list[str], model: LstmCrf, confidence: float) -> list[tuple[list
     base = [base_spans(t) for t in texts]
     where = [(i, s, e) for i, t in enumerate(texts) for s, e in windows(t)]
     proposed: list[list] = [[] for _ in texts]
-    for at in range(0, len(where), 512):
-        part = where[at : at + 512]
-        tags, sure = model.decode(batch_ids([texts[i][s:e] for i, s, e in part], WINDOW))
-        for (i, s, e), t, p in zip(part, tags, sure, strict=True):
-            proposed[i] += _proposed(texts[i], s, e, t, p)
+    asked = set(where)
+    while where:
+        wider: dict[tuple[int, int, int], None] = {}
+        where.sort(key=lambda x: -(-(x[2] - x[1]) // WINDOW))
+        for at in range(0, len(where), 256):
+            part = where[at : at + 256]
+            tags, sure = model.decode(batch_ids([texts[i][s:e] for i, s, e in part], max(-(-(e - s) // WINDOW) * WINDOW for _, s, e in part)))
+            for (i, s, e), t, p in zip(part, tags, sure, strict=True):
+                found, cut = _proposed(texts[i], s, e, t, p)
+                proposed[i] += found
+                for a, b in cut:
+                    if b - a <= LONGEST and not any(x[1] < b and a < x[2] for x in base[i]):
+                        wider[i, *_wider(len(texts[i]), a, b)] = None
+        where = [x for x in wider if x not in asked]
+        asked.update(where)
     out = []
     for t, b, p in zip(texts, base, proposed, strict=True):
         covered = bytearray(len(t) if p else 0)

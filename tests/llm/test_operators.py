@@ -154,6 +154,34 @@ def test_pii_adds_and_leaves_clean_text_alone():
     assert found >= 0.7 * wanted and wrong <= 0.02 * wanted
 
 
+def test_pii_long_spelled_out_addresses():
+    model = pii.trained()
+    r = random.Random(4)
+    part = lambda: "".join(r.choice("ther and on tion le re en der un que la ment es os con".split()) for _ in range(r.randint(2, 4)))
+    values = [f"{part()}.{part()} {at} {part()}{part()} {dot} com" for _ in range(50) for at, dot in (("(at)", "dot"), ("[AT]", "DOT"))]
+    values.append("maria.gonzalez (at) universidad dot de")
+    before = "the house was on the hill and the people were there "
+    texts = [f"{before}{v} was there and the people went on to the house" for v in values]
+    found = [("email", len(before), len(before) + len(v)) in added for v, (_, added) in zip(values, pii.find(texts, model, 0.7))]
+    assert found[-1] and np.mean(found) >= 0.7
+
+
+def test_pii_windows_hold_long_spans_whole(monkeypatch):
+    class Tagger:
+        """Tags all z as one email."""
+
+        def decode(self, ids):
+            z = ids == pii.batch_ids(["z"], 1)[0, 0]
+            return np.where(z, np.where(np.c_[np.zeros(len(z), bool), z[:, :-1]], 2, 1), 0), np.ones(ids.shape)
+
+    for long in (45, 90, 150, 300):
+        for shift in (0, 17, 100):
+            text = "1 " * (50 + shift) + "z" * long + " 1" * 100
+            wanted = ("email", 2 * (50 + shift), 2 * (50 + shift) + long)
+            monkeypatch.setattr(pii, "_plausible", lambda kind, x: True)
+            assert wanted in pii.find([text], Tagger(), 0.7)[0][1]
+
+
 def test_pii_gradient():
     from speechmill.llm.nets import LstmCrf
 
