@@ -41,14 +41,24 @@ class ByteBpe:
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         for s in self.specials:
             ranks.pop(s.encode(), None)
+        self.ranks = ranks
         self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
+    def sizes(self) -> np.ndarray:
+        """How many bytes each id stands for."""
+        out = np.zeros(max([*self.ranks.values(), *self.specials.values()]) + 1, np.int64)
+        for token, i in self.ranks.items():
+            out[i] = len(token)
+        for s, i in self.specials.items():
+            out[i] = len(s.encode())
+        return out
+
     def _plain(self, text: str) -> np.ndarray:
         return self.coder.encode_to_numpy(text, disallowed_special=())
 
     def encode(self, text: str) -> np.ndarray:
-        if self.split is None or "<" not in text or not self.split.search(text):
+        if not any(s in text for s in self.specials):
             return self._plain(text)
         parts, at = [], 0
         for m in self.split.finditer(text):
