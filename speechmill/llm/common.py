@@ -6,13 +6,14 @@ import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmill.sources.shared import cut
 
-__all__ = ["cut", "documents", "id_text", "join_skewed", "partitions", "rows_of", "single_threaded", "sized_groups", "tidy"]
+__all__ = ["cut", "documents", "groups_of", "id_text", "join_skewed", "packed", "partitions", "rows_of", "single_threaded", "sized_groups", "tidy", "unpacked"]
 
 #: Python's form of the ASCII white space class [\x20\x09-\x0D].
 WS_BYTES = b" \t\n\x0b\x0c\r"
@@ -60,16 +61,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_skewed(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, share: int = 1000) -> DataFrame:
+def join_skewed(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, share: int = 1000) -> DataFrame:
     """``rows`` joined with ``groups``, one row a key, whose column ``size`` tells how many rows a key has.
 
     Keys of more than one in ``share`` rows are fewer than ``share``, so they are
     broadcast; the others are shuffled, and no task gets a large group.
     """
+    keys = [on] if isinstance(on, str) else on
     hot = groups.where(F.col(size) * share > total)
     cold = groups.where(F.col(size) * share <= total)
-    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -85,3 +87,47 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
                 trim(0)
 
     return tidied
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length by byte planes, compressed. A sorted first column of 8 bytes is stored as differences."""
+    import zstandard
+
+    parts = []
+    for k, c in enumerate(columns):
+        c = np.ascontiguousarray(c)
+        if k == 0 and len(c):
+            c = np.r_[c[:1], np.diff(c)]
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts)) if len(columns[0]) else b""
+
+
+def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
+    import zstandard
+
+    if not blob:
+        return [np.zeros(0, t) for t in types]
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for k, (t, size) in enumerate(zip(types, sizes, strict=True)):
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        c = np.ascontiguousarray(planes.T).view(t).reshape(n)
+        out.append(np.cumsum(c, dtype=c.dtype) if k == 0 else c)
+        at += n * size
+    return out
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of a partition sorted by its key column, a key at a time."""
+    name, rows = None, []
+    for b in batches:
+        for i in range(b.num_rows):  # a row at a time: the blobs of a batch are not copied at once
+            row = tuple(c[i].as_py() for c in b.columns)
+            if rows and row[key] != name:
+                yield name, rows
+                rows = []
+            name = row[key]
+            rows.append(row)
+    if rows:
+        yield name, rows

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import cut, id_text, join_skewed, partitions, rows_of, tidy
+from speechmill.llm.common import cut, groups_of, id_text, join_skewed, packed, partitions, rows_of, tidy, unpacked
 from speechmill.llm.shingles import mix, shingle_set
 from speechmill.operators.components import connected_components
 from speechmill.sources.shared import release
@@ -40,35 +40,6 @@ def _entity(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s + i * np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64)], np.uint64))[0] >> np.uint64(2))
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Columns of one length by byte planes, compressed. A sorted first column of 8 bytes is stored as differences."""
-    import zstandard
-
-    parts = []
-    for k, c in enumerate(columns):
-        c = np.ascontiguousarray(c)
-        if k == 0 and len(c):
-            c = np.r_[c[:1], np.diff(c)]
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts)) if len(columns[0]) else b""
-
-
-def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
-    import zstandard
-
-    if not blob:
-        return [np.zeros(0, t) for t in types]
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = [np.dtype(t).itemsize for t in types]
-    n, at, out = len(data) // sum(sizes), 0, []
-    for k, (t, size) in enumerate(zip(types, sizes, strict=True)):
-        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
-        c = np.ascontiguousarray(planes.T).view(t).reshape(n)
-        out.append(np.cumsum(c, dtype=c.dtype) if k == 0 else c)
-        at += n * size
-    return out
-
-
 def _sets(k: int):
     """Kind 0: size and entity of each row. Kind 1: how many sets of a flush have a frequent gram. Kind 2: sets of a flush."""
 
@@ -162,26 +133,11 @@ def _parts(k: int, bits: int, dests: int, hot: np.ndarray, hot_count: np.ndarray
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of a partition sorted by its key column, a key at a time."""
-    name, rows = None, []
-    for b in batches:
-        for i in range(b.num_rows):  # a row at a time: the blobs of a batch are not copied at once
-            row = tuple(c[i].as_py() for c in b.columns)
-            if rows and row[key] != name:
-                yield name, rows
-                rows = []
-            name = row[key]
-            rows.append(row)
-    if rows:
-        yield name, rows
-
-
 def _shared(dests: int):
     """Shingles of a part that two entities or more have: (dest, blob of entity, shingle, frequency, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _groups(batches):
+        for part, rows in groups_of(batches):
             if part < 0:
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["dest", "blob"])
                 continue
@@ -223,7 +179,7 @@ def _prefixes(percent: int):
     """Entities whose prefix has shared shingles: (entity, n, prefix, grams in global order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        for _, rows in groups_of(batches):
             e, h, df, n = map(np.concatenate, zip(*[unpacked(r[1], "<i8", "<u8", "<u4", "<i4") for r in rows], strict=True))
             order = np.lexsort((h, e))
             e, h, df, n = e[order], h[order], df[order], n[order]
@@ -300,7 +256,7 @@ def spanning_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int, frag
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        for _, rows in groups_of(batches):
             ids = [r[1] for r in rows]
             links = spanning_links([np.frombuffer(r[3], "<u8") for r in rows], np.array([r[2] for r in rows], np.int64), percent)
             yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], ["src", "dst"])

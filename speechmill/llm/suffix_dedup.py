@@ -2,10 +2,13 @@
 
 Every window of ``length`` bytes has an anchor, the least hash among the
 ``ANCHOR``-byte strings inside it, so equal windows have equal anchors and lie
-equally around them. Runs of windows with one anchor are cut out as segments
-(each window is in exactly one) and dealt to shards by the anchor's hash. An
-anchor that only one segment has cannot repeat a window. The distinct segments
-of the others, weighted by how often they occur, are suffix-sorted in batches;
+equally around them. Runs of windows whose anchors have one hash are cut out as
+segments (each window is in exactly one) and dealt to shards by that hash; so a
+periodic stretch is one run, cut into pieces of a fixed size of which most are
+the same. An anchor that only one segment has, at one place, cannot repeat a
+window. The distinct segments of the others, weighted by how often they occur,
+are suffix-sorted in batches; a group too large for a batch is divided by what
+stands around its anchors;
 breadth-first backward extension on the transform of a batch gives the boundaries
 between suffixes that share fewer than ``length`` bytes, by increasing number of
 shared bytes, and stops there. What no boundary parts has a window in common.
@@ -20,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from speechmill.llm.common import cut, id_text, partitions, rows_of, tidy
-from speechmill.llm.jaccard import _groups, packed, unpacked
+from speechmill.llm.common import cut, groups_of, id_text, packed, partitions, rows_of, tidy, unpacked
 from speechmill.llm.shingles import _BASE, _BYTE, mix
 from speechmill.sources.shared import release
 
-ANCHOR, CHUNK, FLUSH, BATCH = 64, 1 << 20, 8_000_000, 600_000
+#: A run of more windows than PIECE is cut there.
+ANCHOR, CHUNK, FLUSH, BATCH, PIECE = 64, 1 << 20, 8_000_000, 600_000, 1024
+#: Set in a segment's size if its windows have anchors at several places.
+MANY = np.uint32(1 << 31)
 ROWS = "part long, p long, a binary, b binary"
 
 
@@ -46,11 +51,8 @@ def _gram_hashes(a: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, end, anchor's hash. ``a`` has at least ``length`` bytes.
-
-    Least hashes are small, so they are mixed again to be spread over the parts.
-    """
+def _least(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the place of its anchor, and all hashes. Of equal ones the first counts."""
     h = _gram_hashes(a, k)
     low = np.uint64(0xFFFFFFFF)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -60,9 +62,42 @@ def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
         size *= 2
     if size < w:
         m = np.minimum(m[: len(m) - (w - size)], m[w - size :])
-    at = (m & low).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return start, np.r_[start[1:], len(at)], mix(h[at[start]] + np.uint64(1))
+    return (m & low).astype(np.int64), h
+
+
+def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose anchors have one hash: first window, end, hash, and whether it has several places.
+
+    ``a`` has at least ``length`` bytes. Least hashes are small, so they are mixed
+    again to be spread over the parts.
+    """
+    at, h = _least(a, length, k)
+    key = h[at]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    end = np.r_[start[1:], len(at)]
+    if (end - start).max() > PIECE:
+        count = -(-(end - start) // PIECE)
+        first = np.cumsum(count) - count
+        start = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(first, count)) * PIECE
+        end = np.minimum(start + PIECE, np.repeat(end, count))
+    return start, end, mix(key[start] + np.uint64(1)), at[start] != at[end - 1]
+
+
+def divided(s: bytes, length: int, k: int, width: int) -> list[tuple[tuple[int, bytes], int, int]]:
+    """Runs of a segment's windows by where their anchor lies, ``width`` places at a time: key, first window, end.
+
+    The key has all bytes that every window with such an anchor has, so equal
+    windows have equal keys. With a width of 1 it is the window.
+    """
+    at, _ = _least(np.frombuffer(s, np.uint8), length, k)
+    band = (at - np.arange(len(at))) // width
+    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (band[1:] != band[:-1])])
+    out = []
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
+        j, p = int(band[lo]), int(at[lo])
+        left, right = j * width, max(length - k - (j * width + width - 1), 0)
+        out.append(((j, s[p - left : p + k + right]), lo, hi))
+    return out
 
 
 class Flush:
@@ -72,18 +107,19 @@ class Flush:
         self.ids, self.size = ids, np.array([len(d) for d in data], np.int64)
         self.begin = np.r_[0, np.cumsum(self.size)]
         self.buffer = np.frombuffer(b"".join(data), np.uint8)
-        starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        starts, ends, hashes, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for d in np.flatnonzero(self.size >= length):
             first, last = int(self.begin[d]), int(self.begin[d + 1]) - length + 1
             for c in range(first, last, CHUNK):
                 stop = min(c + CHUNK, last)
-                s, e, h = anchors(self.buffer[c : stop + length - 1], length, k)
+                s, e, h, m = anchors(self.buffer[c : stop + length - 1], length, k)
+                many.append(m)
                 starts.append(s + c)
                 ends.append(e + c)
                 hashes.append(h)
         start, end, h = map(np.concatenate, (starts, ends, hashes))
         order = np.argsort(h, kind="stable")
-        self.start, self.end, self.hash = start[order], end[order], h[order]
+        self.start, self.end, self.hash, self.many = start[order], end[order], h[order], np.concatenate(many)[order]
 
 
 def _zip(data: bytes) -> bytes:
@@ -136,7 +172,7 @@ def _segments(length: int, k: int, bits: int):
                     size = f.end[a:b] - f.start[a:b] + length - 1
                     ends = np.cumsum(size)
                     spot = np.arange(ends[-1], dtype=np.int32) + np.repeat((f.start[a:b] - (ends - size)).astype(np.int32), size)
-                    yield _batch([(part, p, packed(f.hash[a:b], size.astype(np.uint32)), _zip(f.buffer[spot].tobytes()))])
+                    yield _batch([(part, p, packed(f.hash[a:b], size.astype(np.uint32) | np.where(f.many[a:b], MANY, np.uint32(0))), _zip(f.buffer[spot].tobytes()))])
 
     return run
 
@@ -267,57 +303,87 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _matched(length: int):
+class Matcher:
+    """Runs of windows that occur elsewhere, for segments that are given a group at a time."""
+
+    def __init__(self, length: int, k: int, batch: int = BATCH) -> None:
+        self.length, self.k, self.batch = length, k, batch
+        self.found: dict[int, list[tuple[int, int]]] = {}
+        self.text: list[bytes] = []
+        self.weight: list[int] = []
+        self.members: list[list[tuple[int, int]]] = []
+        self.held = 0
+
+    def _mark(self, who: list[tuple[int, int]], runs: list[tuple[int, int]]) -> None:
+        for i, at in who:
+            self.found.setdefault(i, []).extend((at + lo, at + hi) for lo, hi in runs)
+
+    def settle(self) -> None:
+        if self.text:
+            for mask, who in zip(repeated(self.text, self.weight, self.length), self.members, strict=True):
+                if mask.any():
+                    self._mark(who, [(int(a), int(b)) for a, b in zip(*_runs(mask), strict=True)])
+        self.text, self.weight, self.members, self.held = [], [], [], 0
+
+    def add(self, group: dict[bytes, list[tuple[int, int]]], many: bool, width: int = 0) -> None:
+        """Distinct segments with one key and who has them; ``many``: one of them may repeat a window by itself."""
+        if len(group) == 1:
+            (s, who), = group.items()
+            if len(who) > 1:  # all alike: nothing to compare
+                return self._mark(who, [(0, len(s) - self.length + 1)])
+            if not many:
+                return None
+        size = sum(map(len, group))
+        if size > self.batch and width != 1:
+            return self._divide(group, 1 if width else max((self.length - self.k) // 8, 1))
+        if self.held and self.held + size > self.batch:
+            self.settle()
+        for s, who in group.items():
+            self.text.append(s)
+            self.weight.append(len(who))
+            self.members.append(who)
+        self.held += size
+        return None
+
+    def _divide(self, group: dict[bytes, list[tuple[int, int]]], width: int) -> None:
+        """A group too large for a batch, by smaller keys; a key of the smallest ones is a window, so none is too large again."""
+        parts: dict[tuple[int, bytes], dict[bytes, list[tuple[int, int]]]] = {}
+        for s, who in group.items():
+            for key, lo, hi in divided(s, self.length, self.k, width):
+                parts.setdefault(key, {}).setdefault(s[lo : hi + self.length - 1], []).extend((i, at + lo) for i, at in who)
+        for part in parts.values():
+            self.add(part, False, width)
+
+
+def _matched(length: int, k: int):
     """For each segment that a flush sent, the runs of its windows that occur elsewhere, in the order it sent them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _groups(batches):
+        for part, rows in groups_of(batches):
             heads = [unpacked(r[2], "<u8", "<u4") for r in rows]
             data = [_unzip(r[3]) for r in rows]
             count = np.array([len(h) for h, _ in heads])
-            h = np.concatenate([x for x, _ in heads])
-            size = np.concatenate([x for _, x in heads]).astype(np.int64)
+            h, size = (np.concatenate([x[j] for x in heads]) for j in (0, 1))
+            many, size = size >= MANY, (size & ~MANY).astype(np.int64)
             source = np.repeat(np.arange(len(rows)), count)
-            ends = np.concatenate([np.cumsum(x.astype(np.int64)) for _, x in heads])
+            ends = np.concatenate([np.cumsum(x) for x in np.split(size, np.cumsum(count)[:-1])])
             order = np.argsort(h, kind="stable")
             new = np.r_[True, h[order][1:] != h[order][:-1]]
-            shared = order[~(new & np.r_[new[1:], True])]
-            found: dict = {}  # runs of a segment
-            text, weight, members, batch = [], [], [], 0
-
-            def settle(text: list, weight: list, members: list) -> None:
-                for mask, who in zip(repeated(text, weight, length), members, strict=True):
-                    if mask.any():
-                        runs = [x.tolist() for x in _runs(mask)]
-                        for i in who:
-                            found[i] = runs
-
-            group: dict[bytes, list[int]] = {}
-            now = None
-            for i in [*shared.tolist(), -1]:
-                if i < 0 or h[i] != now:
-                    if len(group) == 1:  # all alike: nothing to compare
-                        (s, who), = group.items()
-                        runs = ([0], [len(s) - length + 1])
-                        for x in who:
-                            found[x] = runs
-                    else:
-                        for s, who in group.items():
-                            text.append(s)
-                            weight.append(len(who))
-                            members.append(who)
-                            batch += len(s)
-                    if text and (batch >= BATCH or i < 0):
-                        settle(text, weight, members)
-                        text, weight, members, batch = [], [], [], 0
-                    if i < 0:
-                        break
-                    group, now = {}, h[i]
+            shared = order[~(new & np.r_[new[1:], True]) | many[order]]
+            matcher = Matcher(length, k)
+            group: dict[bytes, list[tuple[int, int]]] = {}
+            some = False
+            for i, after in zip(shared.tolist(), [*shared[1:].tolist(), -1], strict=True):
                 e = int(ends[i])
-                group.setdefault(data[source[i]][e - int(size[i]) : e], []).append(i)
+                group.setdefault(data[source[i]][e - int(size[i]) : e], []).append((i, 0))
+                some = some or bool(many[i])
+                if after < 0 or h[after] != h[i]:
+                    matcher.add(group, some)
+                    group, some = {}, False
+            matcher.settle()
             out, at = [], 0
             for r, n in zip(rows, count.tolist(), strict=True):
-                hits = [(k, lo, hi) for k in range(n) if (f := found.get(at + k)) for lo, hi in zip(*f, strict=True)]
+                hits = [(j, lo, hi) for j in range(n) for lo, hi in matcher.found.get(at + j, ())]
                 who, a, b = np.array(hits, np.int64).reshape(-1, 3).T
                 out.append((r[1], part, packed(who.astype(np.uint64), a.astype(np.uint32), b.astype(np.uint32)), np.array([n, 0], np.int64).tobytes()))
                 at += n
@@ -328,7 +394,7 @@ def _matched(length: int):
 
 def _removed(length: int, k: int, bits: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        for _, rows in groups_of(batches):
             texts = [r for r in rows if r[1] == 0]
             if not texts:
                 continue
@@ -383,7 +449,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits, k = max(n - 1, 1).bit_length() + 1, min(anchor, length)
     segments = base.mapInArrow(tidy(_segments(length, k, bits)), ROWS)
-    matched = cut(segments.repartition(n, "part").sortWithinPartitions("part", "p").mapInArrow(tidy(_matched(length)), ROWS))
+    matched = cut(segments.repartition(n, "part").sortWithinPartitions("part", "p").mapInArrow(tidy(_matched(length, k)), ROWS))
     release(docs.sparkSession)
     texts = base.mapInArrow(tidy(_texts), ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
     back = texts.unionByName(matched.selectExpr("part as p", "1 as kind", "p as part", "a", "b"))
