@@ -129,14 +129,14 @@ class WordBpe:
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.symbols = byte_symbols()
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
         self.size = cache
 
-    def _word(self, w: str) -> tuple[bytes, str]:
+    def _word(self, w: str) -> bytes:
         ids = self.automaton.word("".join([self.symbols[b] for b in w.encode()]))
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.labels[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         found = self.words.findall(text.lower())
@@ -153,20 +153,25 @@ class WordBpe:
                         cache[w] = v
         return out
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the labels joined by blanks."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         parts, at = [], 0
-        if self.split_special and "<" in text:
+        if self.split_special and any(x in text for x in self.specials):
             for m in self.split_special.finditer(text):
                 parts += self._plain(text[at : m.start()])
-                parts.append((struct.pack("<I", self.specials[m[0]]), m[0]))
+                parts.append(struct.pack("<I", self.specials[m[0]]))
                 at = m.end()
         parts += self._plain(text[at:] if at else text)
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
         """Emits the arc labels; ids without a label emit nothing."""
-        return " ".join(self.labels[i] for (i,) in struct.iter_unpack("<I", ids) if i < len(self.labels) and self.labels[i])
+        numbers, labels = struct.unpack(f"<{len(ids) // 4}I", ids), self.labels
+        try:
+            out = [labels[i] for i in numbers]
+        except IndexError:
+            out = [labels[i] for i in numbers if i < len(labels)]
+        return " ".join(out if "" not in out else filter(None, out))
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +186,19 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
         coder = WordBpe(tokenizer_path)
         for ids, texts in rows_of(batches):
-            coded = [np.frombuffer(coder.encode(t)[0], "<u4").astype(np.int64) for t in texts]
+            coded = [np.frombuffer(coder.encode(t), "<u4").astype(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in coded], pa.int64()), pa.array(coded, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<long>")
 
 
 def bpe_decode(rows: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text): labels of ``ids``, joined by blanks; null ids decode to an empty text."""
+    """(doc_id, text): labels of ``ids``, joined by blanks.
+
+    Null or empty ids decode to an empty text, an id without a label to nothing.
+    Rows stay one to one, repeated rows and null row ids included; an empty table
+    gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordBpe(tokenizer_path)
@@ -201,17 +211,22 @@ def bpe_decode(rows: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): both directions in one pass, without the ids leaving it."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): both directions in one pass, without the ids leaving it.
+
+    The decoded text comes from the ids alone. A null or empty text has no ids.
+    Rows stay one to one, repeated rows and null ids included; an empty table
+    gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordBpe(tokenizer_path)
         for ids, texts in rows_of(batches):
             n, a, b = [], [], []
             for t in texts:
-                coded, labels = coder.encode(t)
+                coded = coder.encode(t)
                 n.append(len(coded) // 4)
                 a.append(hashlib.sha256(coded).hexdigest())
-                b.append(hashlib.sha256(labels.encode()).hexdigest())
+                b.append(hashlib.sha256(coder.decode(coded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
