@@ -42,19 +42,38 @@ def _blocks(size: int):
 
 
 def _named(keys: DataFrame, on: list[str], n: int) -> DataFrame:
-    """Adds ``name``: the rank of ``on`` within one of n partitions, times n, plus the partition."""
+    """Adds ``name``: the rank of ``on`` within one of n partitions, times n + 1, plus the partition."""
     shard = keys.withColumn("_shard", F.pmod(F.xxhash64(*on), F.lit(n)))
     rank = F.dense_rank().over(Window.partitionBy("_shard").orderBy(*on))
-    return shard.withColumn("name", rank.cast("long") * n + F.col("_shard")).drop("_shard")
+    return shard.withColumn("name", rank.cast("long") * (n + 1) + F.col("_shard")).drop("_shard")
 
 
-def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, key_col: str | None = None) -> DataFrame:
+def _named_blocks(blocks: DataFrame, n: int, share: int) -> DataFrame:
+    """(name, refs): blocks are named with their references, but those of more than one reference in ``share`` without them.
+
+    There are fewer than ``share`` such blocks; they are gathered alone, their names
+    have the remainder n, which no partition has, and are broadcast to the references.
+    """
+    held = blocks.select(F.xxhash64("block").alias("h"), F.size("refs").alias("held")).groupBy("h").agg(F.sum("held").alias("held")).agg(F.sum("held").alias("total"), F.max_by(F.struct("h", "held"), "held").alias("top"))
+    top = held.first()
+    if top["total"] is None or top["top"]["held"] * share <= top["total"] or top["top"]["held"] <= share:
+        return _named(blocks, ["block"], n).select("name", "refs")
+    counts = blocks.select(F.xxhash64("block").alias("h"), F.size("refs").alias("held")).groupBy("h").agg(F.sum("held").alias("held"))
+    hot = F.broadcast(counts.where((F.col("held") * share > top["total"]) & (F.col("held") > share)).select("h"))
+    keyed = blocks.withColumn("h", F.xxhash64("block"))
+    ranked = F.dense_rank().over(Window.orderBy("block"))  # fewer than ``share`` blocks
+    names = keyed.join(hot, "h", "left_semi").select("block").distinct().withColumn("name", ranked.cast("long") * (n + 1) + n)
+    cold = _named(keyed.join(hot, "h", "left_anti"), ["block"], n).select("name", "refs")
+    return cold.unionByName(keyed.join(hot, "h", "left_semi").join(F.broadcast(names), "block").select("name", "refs"))
+
+
+def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, key_col: str | None = None, share: int = 1000) -> DataFrame:
     """(doc_id, key, chars, text_sha256, level, name) of every row: equal (level, name), equal normalised text."""
     n = max(partitions(docs), 1)
     key = F.col(key_col).cast("long") if key_col else F.lit(None).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("key"))
     blocks = rows.mapInArrow(tidy(_blocks(block_bytes)), f"block binary, refs array<{REF}>")
-    names = cut(_named(blocks, ["block"], n).select(F.explode("refs").alias("r"), "name").select("r.row.*", "r.pos", "name"))
+    names = cut(_named_blocks(blocks, n, share).select(F.explode("refs").alias("r"), "name").select("r.row.*", "r.pos", "name"))
     row = ["id", "key", "sha", "chars"]  # rows alike in these are one text; "copies" tells how often the table has it
     level, most = 0, names.agg(F.max("n")).first()[0] or 1
     done = names.where("n = 1").select(*row, F.lit(0).alias("level"), "name")
@@ -67,8 +86,9 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.max(F.expr("cast((n + 1) div 2 as int)")).alias("n"),
             F.max("copies").alias("copies"),
         )
-        pairs = _named(half.select("a", "b").distinct(), ["a", "b"], n)
-        parts = cut(half.join(pairs, ["a", "b"]).select(*row, "n", "pos", "name", "copies"))
+        pairs = cut(_named(half.groupBy("a", "b").agg(F.count(F.lit(1)).alias("held")), ["a", "b"], n))
+        total = pairs.agg(F.sum("held")).first()[0] or 0
+        parts = cut(join_skewed(half, pairs, ["a", "b"], "held", total, share).select(*row, "n", "pos", "name", "copies"))
         done = done.unionByName(parts.where("n = 1").select(*row, F.lit(level).alias("level"), "name", F.explode(F.expr("sequence(1L, copies)")).alias("_")).drop("_"))
         parts = parts.where("n > 1")
     return done.select(F.col("id").alias("doc_id"), "key", "chars", F.col("sha").alias("text_sha256"), "level", "name")
@@ -99,6 +119,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class of equal texts, with all their columns.
 
+    Null, empty and blank texts are one class. Of ties the smallest id stays, a null
+    id last, then the first place; an empty table gives an empty result.
     ``docs`` must read the same rows in the same order each time, as a scan of
     files does: rows are told apart by their place.
     """
