@@ -28,11 +28,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 class Adam:
     def __init__(self, params: dict[str, np.ndarray], rate: float) -> None:
         self.p, self.rate, self.t = params, rate, 0
@@ -52,82 +47,87 @@ class Adam:
 
 
 class LstmCrf:
-    """Tags of characters. ``params`` is plain arrays, so a trained model is small and portable."""
+    """Tags of characters. ``params`` is plain arrays, so a trained model is small and portable.
+
+    Both directions run side by side: index 0 reads forwards, 1 backwards. Gates
+    are input, forget and output, then the candidate.
+    """
 
     def __init__(self, tags: int, embed: int = 12, hidden: int = 20, seed: int = 7, params: dict | None = None) -> None:
         r = np.random.default_rng(seed)
         self.tags, self.hidden = tags, hidden
-        small = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = params or {"e": small(SYMBOLS, embed) * 3, "wf": small(embed + hidden, 4 * hidden), "bf": np.zeros(4 * hidden, np.float32), "wb": small(embed + hidden, 4 * hidden), "bb": np.zeros(4 * hidden, np.float32), "o": small(2 * hidden, tags), "c": np.zeros(tags, np.float32), "t": np.zeros((tags, tags), np.float32)}
-
-    def _lstm(self, x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-        n, steps, _ = x.shape
-        h, c, out, kept, k = np.zeros((n, self.hidden), np.float32), np.zeros((n, self.hidden), np.float32), np.empty((n, steps, self.hidden), np.float32), [], self.hidden
+        small = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
+        self.p = params or {"e": small(SYMBOLS, embed) * 3, "x": small(2, embed, 4 * hidden), "h": small(2, hidden, 4 * hidden), "b": np.zeros((2, 1, 4 * hidden), np.float32), "o": small(2 * hidden, tags), "c": np.zeros(tags, np.float32), "t": np.zeros((tags, tags), np.float32)}
+        if params is None:
+            self.p["b"][:, :, hidden : 2 * hidden] = 1
+        self.scale = np.r_[np.full(3 * hidden, 0.5), np.ones(hidden)].astype(np.float32)
+
+    def _run(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden states (steps, 2, n, hidden), each direction in its own order, and what the gradient needs of every step."""
+        p, k = self.p, self.hidden
+        n, steps = ids.shape
+        one = p["e"][ids.T]  # steps, n, embed
+        x = np.stack([one, one[::-1]])
+        a = (np.matmul(x.reshape(2, steps * n, -1), p["x"]) + p["b"]).reshape(2, steps, n, 4 * k).transpose(1, 0, 2, 3) * self.scale
+        w = p["h"] * self.scale
+        gates = np.empty((steps, 2, n, 4 * k), a.dtype)
+        cells, hs = np.zeros((steps + 1, 2, n, k), a.dtype), np.zeros((steps + 1, 2, n, k), a.dtype)
         for s in range(steps):
-            z = np.concatenate([x[:, s], h], 1)
-            a = z @ w + b
-            i, f, o = _sigmoid(a[:, :k]), _sigmoid(a[:, k : 2 * k] + 1), _sigmoid(a[:, 2 * k : 3 * k])
-            g = np.tanh(a[:, 3 * k :])
-            before, c = c, f * c + i * g
-            tc = np.tanh(c)
-            h = o * tc
-            out[:, s] = h
-            kept.append((z, i, f, o, g, before, tc))
-        return out, kept
-
-    def _lstm_back(self, d: np.ndarray, kept: list, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, steps, k = d.shape
-        e = w.shape[0] - k
-        dx, dw, db = np.empty((n, steps, e), np.float32), np.zeros_like(w), np.zeros(4 * k, np.float32)
-        dh, dc = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-        for s in range(steps - 1, -1, -1):
-            z, i, f, o, g, before, tc = kept[s]
-            dh = dh + d[:, s]
-            dc = dc + dh * o * (1 - tc * tc)
-            da = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-            dw += z.T @ da
-            db += da.sum(0)
-            dz = da @ w.T
-            dx[:, s], dh, dc = dz[:, :e], dz[:, e:], dc * f
-        return dx, dw, db
+            g = np.tanh(a[s] + np.matmul(hs[s], w), out=gates[s])
+            g[:, :, : 3 * k] *= 0.5
+            g[:, :, : 3 * k] += 0.5
+            c = cells[s + 1]
+            np.multiply(g[:, :, k : 2 * k], cells[s], out=c)
+            c += g[:, :, :k] * g[:, :, 3 * k :]
+            np.multiply(g[:, :, 2 * k : 3 * k], np.tanh(c), out=hs[s + 1])
+        return x, gates, cells, hs
+
+    def _joined(self, hs: np.ndarray) -> np.ndarray:
+        return np.concatenate([hs[1:, 0], hs[:0:-1, 1]], 2)  # steps, n, 2 hidden
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        x = self.p["e"][ids]
-        a, _ = self._lstm(x, self.p["wf"], self.p["bf"])
-        b, _ = self._lstm(x[:, ::-1], self.p["wb"], self.p["bb"])
-        return np.concatenate([a, b[:, ::-1]], 2) @ self.p["o"] + self.p["c"]
-
-    def _forward_backward(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = self.p["t"]
-        n, steps, _ = em.shape
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        alpha[:, 0] = em[:, 0]
-        for s in range(1, steps):
-            alpha[:, s] = em[:, s] + _lse(alpha[:, s - 1, :, None] + t, 1)
-        for s in range(steps - 2, -1, -1):
-            beta[:, s] = _lse(t + (em[:, s + 1] + beta[:, s + 1])[:, None, :], 2)
-        return alpha, beta, _lse(alpha[:, -1], 1)
+        return (self._joined(self._run(ids)[3]) @ self.p["o"] + self.p["c"]).transpose(1, 0, 2)
+
+    def _forward_backward(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward and backward sums of (steps, n, tags), exponentials of the emissions, and log of the normaliser."""
+        t = np.exp(self.p["t"])
+        top = em.max(2, keepdims=True)
+        e = np.exp(em - top)
+        alpha, beta = np.empty_like(e), np.empty_like(e)
+        scale = np.empty(e.shape[:2], e.dtype)
+        now = e[0]
+        for s in range(len(e)):
+            if s:
+                now = (now @ t) * e[s]
+            scale[s] = now.sum(1)
+            now = now / scale[s][:, None]
+            alpha[s] = now
+        beta[-1] = 1
+        back = np.ascontiguousarray(t.T)
+        for s in range(len(e) - 2, -1, -1):
+            beta[s] = ((e[s + 1] * beta[s + 1]) @ back) / scale[s + 1][:, None]
+        return alpha, beta, e / scale[:, :, None], np.log(scale.astype(np.float64)).sum(0) + top[:, :, 0].sum(0)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags of each window, and the marginal probability of each of them."""
-        em = self.emissions(ids).astype(np.float64)
+        em = np.ascontiguousarray(self.emissions(ids).transpose(1, 0, 2)).astype(np.float64)
         t = self.p["t"].astype(np.float64)
-        n, steps, _ = em.shape
-        score, back = em[:, 0], np.empty(em.shape, np.int64)
+        steps, n, _ = em.shape
+        score, back = em[0], np.empty(em.shape, np.int8)
         for s in range(1, steps):
             every = score[:, :, None] + t
-            back[:, s] = every.argmax(1)
-            score = every.max(1) + em[:, s]
-        best = np.empty((n, steps), np.int64)
-        best[:, -1] = score.argmax(1)
+            back[s] = every.argmax(1)
+            score = every.max(1) + em[s]
+        best = np.empty((steps, n), np.int64)
+        best[-1] = score.argmax(1)
         rows = np.arange(n)
         for s in range(steps - 1, 0, -1):
-            best[:, s - 1] = back[rows, s, best[:, s]]
-        alpha, beta, z = self._forward_backward(em)
-        sure = np.exp(np.take_along_axis(alpha + beta, best[:, :, None], 2)[:, :, 0] - z[:, None])
-        return best, sure
+            best[s - 1] = back[s, rows, best[s]]
+        alpha, beta, _, _ = self._forward_backward(em)
+        sure = np.take_along_axis(alpha * beta, best[:, :, None], 2)[:, :, 0]
+        return best.T, np.minimum(sure.T, 1.0)
 
-    def train(self, ids: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 48, rate: float = 0.01, seed: int = 7) -> None:
+    def train(self, ids: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.01, seed: int = 7) -> None:
         adam, r = Adam(self.p, rate), np.random.default_rng(seed)
         for epoch in range(epochs):
             adam.rate = rate * (1 - epoch / epochs) + 1e-4
@@ -136,29 +136,49 @@ class LstmCrf:
                 pick = order[at : at + batch]
                 adam.step(self._gradient(ids[pick], tags[pick]))
 
+    def loss(self, ids: np.ndarray, tags: np.ndarray) -> float:
+        """Mean negative log-likelihood of the tags."""
+        em = self.emissions(ids).transpose(1, 0, 2)
+        z = self._forward_backward(em)[3]
+        path = np.take_along_axis(em, tags.T[:, :, None], 2).sum((0, 2)) + self.p["t"][tags[:, :-1], tags[:, 1:]].sum(1)
+        return float((z - path).mean())
+
     def _gradient(self, ids: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
-        p, n = self.p, len(ids)
-        x = p["e"][ids]
-        a, ka = self._lstm(x, p["wf"], p["bf"])
-        b, kb = self._lstm(np.ascontiguousarray(x[:, ::-1]), p["wb"], p["bb"])
-        h = np.concatenate([a, b[:, ::-1]], 2)
+        p, n, steps, k = self.p, *ids.shape, self.hidden
+        x, gates, cells, hs = self._run(ids)
+        h = self._joined(hs)
         em = h @ p["o"] + p["c"]
-        alpha, beta, z = self._forward_backward(em)
-        d = np.exp(alpha + beta - z[:, None, None])
-        np.put_along_axis(d, tags[:, :, None], np.take_along_axis(d, tags[:, :, None], 2) - 1, 2)
+        alpha, beta, e, _ = self._forward_backward(em)
+        d = alpha * beta
+        now, rows = tags.T, np.arange(n)[None]
+        pair = np.exp(p["t"]) * (alpha[:-1].reshape(-1, self.tags).T @ (e[1:] * beta[1:]).reshape(-1, self.tags))
+        np.subtract.at(pair, (now[:-1], now[1:]), 1)
+        d[np.arange(steps)[:, None], rows, now] -= 1
         d /= n
-        pair = np.zeros_like(p["t"])
-        for s in range(1, em.shape[1]):
-            pair += np.exp(alpha[:, s - 1, :, None] + p["t"] + (em[:, s] + beta[:, s])[:, None, :] - z[:, None, None]).sum(0)
-        np.subtract.at(pair, (tags[:, :-1], tags[:, 1:]), 1)
-        d = d.astype(np.float32)
         dh = d @ p["o"].T
-        k = self.hidden
-        dxa, dwf, dbf = self._lstm_back(dh[:, :, :k], ka, p["wf"])
-        dxb, dwb, dbb = self._lstm_back(dh[:, ::-1, k:], kb, p["wb"])
+        both = np.stack([dh[:, :, :k], dh[::-1, :, k:]], 1)  # steps, 2, n, hidden
+        c = np.tanh(cells[1:])
+        i, f, o, u = (gates[..., j * k : (j + 1) * k] for j in range(4))
+        into = o * (1 - c * c)  # from a state to its cell
+        parts = np.stack([u * i * (1 - i), cells[:-1] * f * (1 - f), c * o * (1 - o), i * (1 - u * u)], 3)
+        da = np.empty_like(parts)
+        back = np.ascontiguousarray(p["h"].transpose(0, 2, 1))
+        gh, gc = np.zeros_like(cells[0]), np.zeros_like(cells[0])
+        held = np.empty_like(parts[0])
+        for s in range(steps - 1, -1, -1):
+            gh += both[s]
+            gc += gh * into[s]
+            held[:] = gc[:, :, None]
+            held[:, :, 2] = gh
+            np.multiply(parts[s], held, out=da[s])
+            gh = np.matmul(da[s].reshape(2, n, 4 * k), back)
+            gc *= f[s]
+        flat = da.transpose(1, 0, 2, 3, 4).reshape(2, steps * n, 4 * k)
+        dx = np.matmul(flat, p["x"].transpose(0, 2, 1)).reshape(2, steps, n, -1)
         de = np.zeros_like(p["e"])
-        np.add.at(de, ids, dxa + dxb[:, ::-1])
-        return {"e": de, "wf": dwf, "bf": dbf, "wb": dwb, "bb": dbb, "o": np.einsum("nsh,nst->ht", h, d), "c": d.sum((0, 1)), "t": (pair / n).astype(np.float32)}
+        np.add.at(de, ids.T, dx[0] + dx[1, ::-1])
+        before = hs[:-1].transpose(1, 0, 2, 3).reshape(2, steps * n, k)
+        return {"e": de, "x": np.matmul(x.reshape(2, steps * n, -1).transpose(0, 2, 1), flat), "h": np.matmul(before.transpose(0, 2, 1), flat), "b": flat.sum(1, keepdims=True), "o": h.reshape(-1, 2 * k).T @ d.reshape(-1, self.tags), "c": d.sum((0, 1)), "t": (pair / n).astype(p["t"].dtype)}
 
 
 class CharCnn:

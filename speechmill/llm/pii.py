@@ -27,7 +27,9 @@ from speechmill.llm.nets import LstmCrf, batch_ids
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 #: Training texts have WINDOW characters. READ and STEP are of the windows that are read, NARROW is for short areas.
-WINDOW, READ, STEP, NARROW, REACH = 80, 240, 120, 160, 64
+WINDOW, READ, STEP, NARROW, REACH = 160, 320, 160, 160, 64
+#: Units of the network in each direction.
+HIDDEN = 28
 #: An address has up to 254 characters, and more when it is spelled out.
 LONGEST = 400
 
@@ -83,6 +85,8 @@ def base_spans(text: str) -> list[Span]:
 
 _SYLLABLES = "the on er an re ti th ha en ou st es tion der und le la ment que os con ci ver lich un ai é ö ñ ing of".split()
 
+_SMALL = "to a of in is it at we you for from by or and not with was on this und der die an zu le de la les et y en al con il per do no me us my mail write contact".split()
+
 
 def _word(r: random.Random) -> str:
     return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
@@ -95,12 +99,13 @@ def _digits(r: random.Random, n: int) -> str:
 def _found(r: random.Random, kind: str) -> str:
     """One labelled value, written as the patterns have it or otherwise."""
     if kind == "email":
-        user, host, top = _ascii(r) + r.choice(["", ".", "_"]) + _ascii(r) + r.choice(["", _digits(r, 2)]), _ascii(r) + r.choice(["", _digits(r, 1)]), r.choice(["com", "org", "net", "de", "example.com", "co.uk"])
-        if r.random() < 0.5:  # longer ones, capitals, and every country
-            user, host, top = ".".join(_ascii(r) for _ in range(r.randint(2, 3))), r.choice(["", "", "-"]).join(_ascii(r) for _ in range(r.randint(1, 3))), r.choice([top, "edu", "info", *["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2))] * 3])
-            at, dot = r.choice(["at", "at", "AT", "At"]), r.choice(["dot", "dot", "DOT", "Dot"])
-            return r.choice([f"{user}@{host}.{top}", f"{user} ({at}) {host} {dot} {top}", f"{user} [{at}] {host} [{dot}] {top}", f"{user} {at} {host} {dot} {top}", f"{user} ({at}) {host}.{top}"])
-        return r.choice([f"{user}@{host}.{top}"] * 2 + [f"{user} (at) {host} dot {top}", f"{user} [at] {host} [dot] {top}", f"{user} at {host} dot {top}", f"{user} @ {host}.{top}"])
+        user = r.choice([".", ".", "_", "-", ""]).join(_name(r) for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6]))) + r.choice(["", "", _digits(r, 2)])
+        host = r.choice(["-", "-", "", "."]).join(_name(r) for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6]))) + r.choice(["", "", _digits(r, 1)])
+        top = r.choice(["com", "com", "org", "net", "de", "edu", "info", "example.com", "co.uk", *["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2))] * 4])
+        at, dot = r.choice(["at", "at", "at", "AT", "At"]), r.choice(["dot", "dot", "dot", "DOT", "Dot"])
+        if r.random() < 0.3:  # every dot is spelled out
+            host, top = host.replace(".", f" {dot} "), top.replace(".", f" {dot} ")
+        return r.choice([f"{user}@{host}.{top}", f"{user} ({at}) {host} {dot} {top}", f"{user} [{at}] {host} [{dot}] {top}", f"{user} {at} {host} {dot} {top}", f"{user} ({at}) {host}.{top}", f"{user} [{at}] {host}.{top}", f"{user}[{at}]{host}[{dot}]{top}", f"{user} @ {host}.{top}"])
     if kind == "ip":
         parts = [str(r.randint(0, 255)) for _ in range(4)]
         return r.choice([".".join(parts)] * 3 + ["[.]".join(parts)])
@@ -116,12 +121,30 @@ def _ascii(r: random.Random) -> str:
     return "".join(c for c in _word(r) if c.isascii()) or "on"
 
 
+def _name(r: random.Random) -> str:
+    """A part of an address: syllables as in running text, syllables of any letters, or letters at random."""
+    kind = r.random()
+    if kind < 0.3:
+        return _ascii(r)
+    if kind < 0.8:
+        onset, vowel, coda = "b c d f g h j k l m n p r s t v w y z br ch cl dr fr gr kr mc ph pr qu sch sh st th tr zw".split(), "a e i o u ai ee ei ie oa ou y".split(), " n r s l m t ck ng nd ld rt ss tz x".split(" ")
+        return "".join(r.choice(onset) + r.choice(vowel) + r.choice([*coda, "", "", "", ""]) for _ in range(r.randint(1, 4)))
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 12)))
+
+
+def _running(r: random.Random) -> str:
+    """A word of running text."""
+    x = r.random()
+    w = r.choice(_SMALL) if x < 0.3 else _word(r) if x < 0.65 else _name(r)
+    return w.capitalize() if r.random() < 0.15 else w
+
+
 def _clean(r: random.Random) -> str:
     """A value with digits or words that is nobody's data."""
     return r.choice([
         lambda: f"version {r.randint(1, 9)}.{r.randint(0, 20)}", lambda: str(r.randint(1, 9999)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}",
         lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(1, 999)},{_digits(r, 3)}", lambda: f"{_digits(r, 2)}:{_digits(r, 2)}:{_digits(r, 2)}",
-        lambda: f"{_word(r)} at {_word(r)}", lambda: f"dot {_word(r)}", lambda: hashlib.md5(_digits(r, 6).encode()).hexdigest(), lambda: f"{r.randint(0, 99)}.{r.randint(0, 99)} %",
+        lambda: f"{_word(r)} at {_word(r)}", lambda: f"{_name(r)} at {_name(r)}. {_name(r)}", lambda: f"{_name(r)}-{_name(r)}.{_name(r)}", lambda: f"dot {_word(r)}", lambda: hashlib.md5(_digits(r, 6).encode()).hexdigest(), lambda: f"{r.randint(0, 99)}.{r.randint(0, 99)} %",
         lambda: f"Apache License, Version {r.randint(1, 3)}.0", lambda: f"@{_ascii(r)}", lambda: _digits(r, r.randint(5, 8)), lambda: _digits(r, r.randint(20, 26)),
         lambda: f'token = "{hashlib.sha1(_digits(r, 6).encode()).hexdigest()}"',
     ])()
@@ -133,17 +156,22 @@ def labelled_spans(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     for _ in range(n):
         text, spans = "", []
         while len(text) < WINDOW + 10:
-            text += " ".join(_word(r) for _ in range(r.randint(1, 5))) + r.choice([" ", " ", ", ", ". ", "&&& ", "\n"])
+            text += " ".join(_running(r) for _ in range(r.randint(1, 5))) + r.choice([" ", " ", " ", ", ", ". ", ": ", "&&& ", "\n"])
             x = r.random()
             if x < 0.4:
                 kind = r.choice(KINDS)
                 value = _found(r, kind)
                 spans.append((kind, len(text), len(text) + len(value)))
-                text += value + r.choice([" ", " ", ". ", ", ", "$$$ "])
+                text += value + r.choice([" ", " ", " ", ". ", ", ", " . ", "\n", "$$$ "])
             elif x < 0.7:
                 text += _clean(r) + " "
-        cut = r.randint(0, 10)
-        out.append((text[cut : cut + WINDOW], [(k, s - cut, e - cut) for k, s, e in spans if s >= cut and e <= cut + WINDOW]))
+        cut, end = r.randint(0, 10), WINDOW
+        if r.random() < 0.4:  # a text that ends before its window does, but not inside a value
+            end = r.randint(WINDOW // 4, WINDOW)
+            end = next((e - cut for _, s, e in spans if s < cut + end < e), end)
+        if end > WINDOW or any(s < cut < e for _, s, e in spans):
+            cut, end = 0, WINDOW
+        out.append((text[cut : cut + end], [(k, s - cut, min(e - cut, end)) for k, s, e in spans if cut <= s < cut + end]))
     return out
 
 
@@ -159,10 +187,10 @@ def _tags(texts: list[tuple[str, list[Span]]]) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=4)
-def trained(sample: int = 4000, epochs: int = 10, seed: int = 7) -> LstmCrf:
+def trained(sample: int = 5000, epochs: int = 12, seed: int = 7) -> LstmCrf:
     """The model, trained on ``sample`` labelled texts. The same arguments give the same model."""
     data = labelled_spans(sample, seed)
-    model = LstmCrf(1 + 2 * len(KINDS), seed=seed)
+    model = LstmCrf(1 + 2 * len(KINDS), hidden=HIDDEN, seed=seed)
     model.train(batch_ids([t for t, _ in data], WINDOW), _tags(data), epochs, seed=seed)
     return model
 
@@ -276,7 +304,7 @@ def told(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = 0.7, sample: int = 4000, epochs: int = 10) -> DataFrame:
+def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = 0.7, sample: int = 5000, epochs: int = 12) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
 
     Counts are of base spans; ``spans`` has the base ones and those that the
@@ -288,7 +316,7 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confide
     params = {k: np.asarray(v) for k, v in trained(sample, epochs).p.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LstmCrf(1 + 2 * len(KINDS), params=params)
+        model = LstmCrf(1 + 2 * len(KINDS), hidden=HIDDEN, params=params)
         for ids, texts in rows_of(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
             shas, spans = [], []
