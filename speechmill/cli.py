@@ -150,7 +150,7 @@ def cross_validate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Transcribes each fold that is not done yet, into a folder that belongs to these inputs; then merges the folds."""
     labels_path = os.path.join(a.work, "labels.jsonl")
     inputs = [os.path.join(d, n) for d, _, names in os.walk(labels_path) for n in names if n.startswith("part-")] or [labels_path]
-    fingerprint.claim(a.out, fingerprint.digest(inputs, {"recognizer": a.recognizer, "seed": a.seed, "percent": a.percent, "column": a.column}))
+    fingerprint.claim(a.out, fingerprint.digest(spark, inputs, {"recognizer": a.recognizer, "seed": a.seed, "percent": a.percent, "column": a.column}))
     labels = files.read_jsonl(spark, labels_path, schemas.LABELS)
     for fold in fingerprint.pending(a.out, range(a.folds)):
         rows = transcribed(labels.where(F.col("fold") == fold), recognizer(a), a.column)
@@ -164,7 +164,7 @@ def label(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _utterances(spark, a.work)
     names = sorted(n for n in os.listdir(a.work) if n.startswith("hyp_") and n.endswith(".json"))
     if f"hyp_{consensus.PRIMARY}.json" not in names:
-        raise SystemExit(f"hyp_{consensus.PRIMARY}.json is missing; run hypotheses first")
+        raise SystemExit(f"no transcripts of {consensus.PRIMARY!r} in {a.work}: the command hypotheses makes them")
     hyps = None
     for n in names:
         one = files.read_system(spark, f"{n[4:-5]}={os.path.join(a.work, n)}").drop("ord")
@@ -197,6 +197,7 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
         hyps = one if hyps is None else hyps.unionByName(one)
     hyps = scoring.merged_systems(hyps)
     if a.common:
+        scoring.missing(rows, hyps, systems).orderBy("system").show(truncate=False)
         rows = scoring.complete(rows, hyps, systems)
     else:
         scoring.require_complete(rows, hyps, systems)
@@ -206,7 +207,7 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     rates = scoring.subset_rates(cells, with_status=not a.manifest)
     rates.orderBy("subset", "system").show(100, truncate=False)
     if len(systems) > 1:
-        scoring.differences(rates, systems[0]).join(scoring.bootstrap(cells, systems[0]).select("system", F.col("low").alias("low_all"), F.col("high").alias("high_all")), "system").orderBy("subset", "system").show(100, truncate=False)
+        scoring.differences(rates, systems[0]).join(scoring.subset_intervals(cells, systems[0], with_status=not a.manifest), ["subset", "system"], "left").orderBy("subset", "system").show(100, truncate=False)
     if a.errors:
         files.write_report(files.error_blocks(scoring.wrong_cells(cells)), a.errors)
     cells.unpersist()

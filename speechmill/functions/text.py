@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,23 @@ def simplified_table(spark: SparkSession) -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def score_tokens(text: Column, script: tuple[str, str] | None = None) -> Column:
+@functools.lru_cache(maxsize=1)
+def _table(application: str) -> tuple[str, str]:
+    return simplified_table(SparkSession.active())
+
+
+def simplified(text: Column) -> Column:
+    """The text in simplified characters; one without CJK characters is left as it is."""
+    return F.when(text.rlike(f"[{CJK}]"), F.translate(text, *_table(SparkSession.active().sparkContext.applicationId))).otherwise(text)
+
+
+def score_tokens(text: Column, script: bool = True) -> Column:
     """Tokens that an error rate counts: each CJK character, each run of Latin letters, digits and apostrophes.
 
-    Case is ignored and markup tags are dropped. ``script`` is a table of
-    :func:`simplified_table` for texts in traditional characters. Null stays null.
+    Case is ignored, markup tags are dropped, and traditional characters count as
+    the simplified ones, unless ``script`` is off. Null stays null.
     """
-    s = F.translate(text, *script) if script else text
+    s = simplified(text) if script else text
     s = F.regexp_replace(F.lower(s), "<[^>]*>", "")
     return F.regexp_extract_all(s, F.lit(f"({TOKEN})"), F.lit(1))
 
@@ -118,7 +130,7 @@ def corpus_text(have: list[str]) -> Column:
 
 
 def speaker(have: list[str]) -> Column:
-    """Whoever or whatever recording a corpus row belongs to; null if the corpus does not say."""
+    """Key that ties rows of one voice together: a speaker column, else a part of a session or row id, else null."""
     parts = [F.col(f"`{c}`").cast("string") for c in SPEAKER_COLUMNS if c in have]
     if "sid" in have:
         sid = F.nullif(F.col("sid"), F.lit(""))

@@ -61,7 +61,7 @@ def corpus_names(paths: list[str]) -> list[str]:
         if name in names and len(parts) > 1:
             name = f"{parts[-2]}-{name}"
         if name in names:
-            raise ValueError(f"two corpora would both be called {name}: rename one of the files")
+            raise ValueError(f"corpus name {name!r} is taken twice; give the files different names")
         names.append(name)
     return names
 

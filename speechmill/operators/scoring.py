@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from speechmill.functions import text as tx
 from speechmill.functions.distance import error_counts
 from speechmill.functions.portable import draw
+from speechmill.operators.sampling import dense
+
+#: Sums of so many groups are broadcast, some 40 bytes a group and system.
+FEW_GROUPS = 200_000
 
 
 def merged_systems(files: DataFrame) -> DataFrame:
@@ -32,11 +36,11 @@ def complete(labels: DataFrame, hyps: DataFrame, systems: list[str]) -> DataFram
 
 
 def require_complete(labels: DataFrame, hyps: DataFrame, systems: list[str]) -> None:
-    """Raises if a transcript is missing: that is an error of the run, not of the model."""
+    """Raises ValueError unless every system has a transcript of every label."""
     found = missing(labels, hyps, systems).collect()  # a row for each system
     if found:
-        told = "; ".join(f"{r['system']}: no transcript for {r['missing']} of {r['total']} utterances, e.g. {r['example']}" for r in found)
-        raise ValueError(f"transcripts are missing: {told}")
+        told = "; ".join(f"{r['system']} lacks {r['missing']} of {r['total']} (first: {r['example']})" for r in found)
+        raise ValueError(f"incomplete systems: {told}")
 
 
 def without_digits(labels: DataFrame, hyps: DataFrame) -> DataFrame:
@@ -45,10 +49,10 @@ def without_digits(labels: DataFrame, hyps: DataFrame) -> DataFrame:
     return labels.where(F.size(tx.score_tokens(F.col("text"))) > 0).join(wrote, "id", "left_anti")
 
 
-def cells(labels: DataFrame, hyps: DataFrame, script: tuple[str, str] | None = None) -> DataFrame:
+def cells(labels: DataFrame, hyps: DataFrame) -> DataFrame:
     """(system, id, errors, tokens) and the label's columns, one row for each system and label."""
     both = labels.join(hyps.select("system", "id", "hyp"), "id")
-    counted = both.withColumn("_c", error_counts(tx.score_tokens(F.col("text"), script), tx.score_tokens(F.col("hyp"), script)))
+    counted = both.withColumn("_c", error_counts(tx.score_tokens(F.col("text")), tx.score_tokens(F.col("hyp"))))
     return counted.withColumn("errors", F.col("_c.errors")).withColumn("tokens", F.col("_c.tokens")).drop("_c")
 
 
@@ -98,23 +102,38 @@ def bootstrap(cells_: DataFrame, first: str, rounds: int = 2000, seed: int = 0,
     per = cells_.groupBy("group", "system").agg(F.sum("errors").alias("e"), F.sum("tokens").alias("t"))
     base = per.where(F.col("system") == first).select("group", F.col("e").alias("ea"), F.col("t").alias("ta"))
     both = per.where(F.col("system") != first).join(base, "group")
-    # group ranks are dense; the window runs over one row per group, not over utterances
-    ranks = base.select("group", (F.row_number().over(Window.orderBy("group")) - 1).cast("bigint").alias("g"))
+    n = base.count()
+    if n <= FEW_GROUPS:
+        ranks = base.select("group", (F.row_number().over(Window.orderBy("group")) - 1).cast("bigint").alias("g"))  # a bounded number of rows
+    else:
+        ranks = dense(base.select("group"), "group", name="g")
     sums = both.join(ranks, "group").select("system", "g", "e", "t", "ea", "ta")
-    n = ranks.count()
     if exact:
         rng = random.Random(seed)
         drawn = spark.createDataFrame([(r, g) for r in range(rounds) for g in rng.choices(range(n), k=n)], "round bigint, g bigint")
     else:
         drawn = spark.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("round"), draw(max(n, 1), seed, F.col("id")).alias("g"))
-    counts = drawn.groupBy("round", "g").agg(F.count(F.lit(1)).alias("k"))
-    rated = counts.join(sums, "g").groupBy("system", "round").agg(
-        (100.0 * F.sum(F.col("e") * F.col("k")) / F.greatest(F.sum(F.col("t") * F.col("k")), F.lit(1)) - 100.0 * F.sum(F.col("ea") * F.col("k")) / F.greatest(F.sum(F.col("ta") * F.col("k")), F.lit(1))).alias("d")
-    )
-    ordered = rated.groupBy("system").agg(F.sort_array(F.collect_list("d")).alias("d"))
+    if n <= FEW_GROUPS:  # draws meet the sums where they are made, and only sums of rounds are shuffled
+        met = drawn.join(F.broadcast(sums), "g").withColumn("k", F.lit(1))
+    else:
+        met = drawn.groupBy("round", "g").agg(F.count(F.lit(1)).alias("k")).join(sums, "g")
+    total = lambda c: F.sum(F.col(c) * F.col("k"))
+    rated = met.groupBy("system", "round").agg((100.0 * total("e") / F.greatest(total("t"), F.lit(1)) - 100.0 * total("ea") / F.greatest(total("ta"), F.lit(1))).alias("d"))
+    ordered = rated.groupBy("system").agg(F.sort_array(F.collect_list("d")).alias("d"))  # a value for each round
     return ordered.select("system", F.get("d", F.lit(int(0.025 * rounds))).alias("low"), F.get("d", F.lit(int(0.975 * rounds) - 1)).alias("high"))
 
 
+def subset_intervals(cells_: DataFrame, first: str, rounds: int = 2000, seed: int = 0, exact: bool = False, with_status: bool = True) -> DataFrame:
+    """(subset, system, low, high): :func:`bootstrap` of each subset over the groups that it has."""
+    tagged = cells_.withColumn("_tags", subset_tags(F.col("text"), F.col("status") if with_status else None))
+    names = ["all", "corrected", "latin", "no latin"] if with_status else ["all"]
+    out = None
+    for name in names:
+        one = bootstrap(tagged.where(F.array_contains("_tags", name)), first, rounds, seed, exact).select(F.lit(name).alias("subset"), "system", "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def term_hits(labels: DataFrame, hyps: DataFrame, terms: DataFrame, systems: list[str]) -> DataFrame:
     """(pos, term, said, one column a system) and a last row of totals with null pos and term.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from speechmill.functions.distance import intern_tokens, near
 from speechmill.operators.components import connected_components
+from speechmill.sources.shared import cut
 
 
 def forms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -17,12 +21,12 @@ def forms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return both.select("pos", F.explode("forms").alias("form"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tokens: str = "form") -> DataFrame:
-    """(i, j), i > j: keys of which two forms are within ``threshold`` of the longer one's tokens.
+def _similar_forms(rows: DataFrame, threshold: float, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of distinct forms that are similar, and (form_id, member) of all keys; a form's id is its least key.
 
-    Exact. Equal forms are joined once. A pair within the threshold shares a token
-    among each side's rarest ``len - ceil((1 - threshold) len) + 1`` numbered tokens
-    (repeats are told apart), so only those are joined, never all pairs.
+    A pair within the threshold shares a token among each side's rarest ``len -
+    ceil((1 - threshold) len) + 1`` numbered tokens (repeats are told apart), and
+    lies in one band of lengths or in two neighbours, so only those meet.
     """
     distinct = rows.where(F.size(tokens) > 0).select(F.col(tokens).alias("form"), key).distinct()
     uniq = distinct.groupBy("form").agg(F.min(key).alias("form_id"))
@@ -35,16 +39,36 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tok
     rank = F.row_number().over(Window.partitionBy("form_id").orderBy("df", "token"))
     shared = F.ceil(F.lit(1 - threshold) * F.col("len") - F.lit(1e-9))
     prefix = token.join(rarity, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("len") - shared + 1).select("form_id", "len", "token")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    prefix = prefix.withColumn("band", F.floor(F.log("len") / -math.log(1 - threshold - 1e-6)))
+    a = prefix.alias("a")
+    b = prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
     fits = F.abs(F.col("a.len") - F.col("b.len")) <= F.lit(float(threshold)) * F.greatest("a.len", "b.len")
-    candidates = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.form_id") > F.col("b.form_id")) & fits).select(F.col("a.form_id").alias("x"), F.col("b.form_id").alias("y")).distinct()
+    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.form_id") > F.col("b.form_id")) & fits
+    candidates = a.join(b, met).select(F.col("a.form_id").alias("x"), F.col("b.form_id").alias("y")).distinct()
     code = coded.select("form_id", "coded")
     found = candidates.join(code.toDF("x", "cx"), "x").join(code.toDF("y", "cy"), "y").where(near(F.col("cx"), F.col("cy"), threshold)).select("x", "y")
-    linked = found.unionByName(uniq.select(F.col("form_id").alias("x"), F.col("form_id").alias("y")))
-    pairs = linked.join(members.toDF("x", "mx"), "x").join(members.toDF("y", "my"), "y")
+    return found, members
+
+
+def similar_pairs(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tokens: str = "form") -> DataFrame:
+    """(i, j), i > j: keys of which two forms are within ``threshold`` of the longer one's tokens.
+
+    Exact. Distinct forms are compared once; what is returned are all pairs of keys,
+    members of one form included. For groups :func:`similar_links` is enough.
+    """
+    found, members = _similar_forms(rows, threshold, key, tokens)
+    ids = members.select(F.col("form_id").alias("x"), F.col("form_id").alias("y")).distinct()
+    pairs = found.unionByName(ids).join(members.toDF("x", "mx"), "x").join(members.toDF("y", "my"), "y")
     return pairs.where("mx <> my").select(F.greatest("mx", "my").alias("i"), F.least("mx", "my").alias("j")).distinct()
 
 
+def similar_links(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tokens: str = "form") -> DataFrame:
+    """(src, dst) with the components of :func:`similar_pairs`: a link for each pair of similar forms, and one for each member of a form."""
+    found, members = _similar_forms(rows, threshold, key, tokens)
+    own = members.where("form_id <> member").select(F.col("form_id").alias("src"), F.col("member").alias("dst"))
+    return found.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(own)
+
+
 def group_labels(rows: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Adds ``group``: the smallest ``pos`` of all rows joined by session or by similar forms.
 
@@ -52,8 +76,7 @@ def group_labels(rows: DataFrame, threshold: float = 0.3) -> DataFrame:
     row: only the closure matters.
     """
     star = rows.select(F.col("pos").alias("src"), F.min("pos").over(Window.partitionBy("session")).alias("dst"))
-    alike = similar_pairs(forms(rows), threshold).select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    found = connected_components(star.unionByName(alike))
+    found = connected_components(star.unionByName(cut(similar_links(forms(rows), threshold))))
     return rows.join(found.withColumnRenamed("node", "pos"), "pos", "left").withColumn("group", F.coalesce("component", "pos")).drop("component")
 
 
@@ -74,24 +97,31 @@ def exact_group_roots(edges: list[tuple[int, int]], n: int) -> list[int]:
 def balanced_folds(rows: DataFrame, k: int, seed: int = 0, order: list | None = None) -> DataFrame:
     """Adds ``fold``: groups by falling seconds, each to the lightest fold (the first of equals).
 
-    One row per group is folded in one ordered pass, as each step needs the loads
-    that the one before left; rows never are. Ties in seconds are broken by a hash
-    of seed and group, or by ``order``, a list of groups, where a given order has
-    to be repeated.
+    Each step needs the loads that the one before left, so one row a group, sorted
+    by Spark, streams through one task that holds k loads; rows never do. Ties in
+    seconds are broken by a hash of seed and group, or by ``order``, a list of
+    groups, where a given order has to be repeated. Loads are summed as decimals,
+    so their order does not matter.
     """
     from speechmill.functions.portable import order_key
 
     tie = order_key(seed, F.col("group")) if order is None else F.format_string("%010d", F.array_position(F.array(*map(F.lit, order)), F.col("group")))
-    load = rows.groupBy("group").agg(F.sum("seconds").alias("load"))
-    queue = load.agg(F.array_sort(F.collect_list(F.struct((-F.col("load")).alias("neg"), tie.alias("tie"), "group"))).alias("q"))
-    start = F.struct(F.array_repeat(F.lit(0.0), k).alias("load"), F.array().cast("array<struct<group:bigint,fold:int>>").alias("out"))
-
-    def step(acc, g):
-        lightest = (F.array_position(acc["load"], F.array_min(acc["load"])) - 1).cast("int")
-        loads = F.transform(acc["load"], lambda v, i: F.when(i == lightest, v - g["neg"]).otherwise(v))
-        return F.struct(loads.alias("load"), F.concat(acc["out"], F.array(F.struct(g["group"].cast("bigint").alias("group"), lightest.alias("fold")))).alias("out"))
-
-    dealt = queue.select(F.explode(F.aggregate("q", start, step)["out"]).alias("g")).select("g.group", "g.fold")
+    load = rows.groupBy("group").agg(F.sum(F.col("seconds").cast("decimal(28,9)")).cast("double").alias("load"))
+    queue = load.select("group", F.coalesce("load", F.lit(0.0)).alias("load"), tie.alias("tie")).repartition(1).sortWithinPartitions(F.desc("load"), "tie", "group")
+
+    def deal(batches):
+        import pyarrow as pa
+
+        loads = [0.0] * k
+        for b in batches:
+            folds = []
+            for x in b.column(1).to_pylist():
+                fold = loads.index(min(loads))
+                loads[fold] += x
+                folds.append(fold)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(folds, pa.int32())], ["group", "fold"])
+
+    dealt = queue.select("group", "load").mapInArrow(deal, T.StructType([load.schema["group"], T.StructField("fold", T.IntegerType())]))
     return rows.join(dealt, "group")
 
 

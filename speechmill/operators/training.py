@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmill.functions import text as tx
-from speechmill.functions.portable import draw, uniform
+from speechmill.functions.portable import draw, order_key, uniform
 from speechmill.operators.sampling import sampled
 
 LONGEST_PAIR = 20.0
@@ -66,31 +66,35 @@ def epoch(train: DataFrame, seed: int, number: int, hard: int = 3, pairs: float
 
 
 def batches(rows: DataFrame, max_cells: int = 480, max_items: int = 24, seed: int = 0, jitter: bool = True, shards: int = 1) -> DataFrame:
-    """(batch, pos, length): items by length with some jitter; a batch closes before its padded cells or items exceed a limit.
+    """(shard, batch, turn, pos, length): items by length with some jitter; a batch closes before its padded cells or items exceed a limit.
 
-    Each batch depends on the one before, so a shard is folded in one ordered pass
-    over plain (length, pos) numbers. ``shards`` > 1 deals items out by hash first:
-    the passes are then independent and bounded, at the price of one unfilled
-    batch each.
+    Each batch depends on the one before, so a shard, sorted by Spark, streams
+    through one task that holds the open batch's size. ``shards`` > 1 deals items
+    out by hash first: the passes are then independent, at the price of one
+    unfilled batch each. ``turn`` is a sort key that shuffles the batches.
     """
     key = F.col("length") + (uniform(seed, F.col("pos")) if jitter else F.lit(0.0))
     shard = F.pmod(F.xxhash64("pos"), F.lit(shards)).cast("int")
-    queue = rows.select(shard.alias("shard"), F.struct(key.alias("key"), "pos", "length").alias("x")).groupBy("shard").agg(F.array_sort(F.collect_list("x")).alias("q"))
+    queue = rows.select(shard.alias("shard"), key.alias("key"), F.col("pos").cast("bigint").alias("pos"), F.col("length").cast("bigint").alias("length"))
+    queue = queue.repartition(shards, "shard").sortWithinPartitions("shard", "key", "pos").select("shard", "pos", "length")
 
     def run(batches_):
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in batches_:
-            for s, q in zip(frame["shard"], frame["q"], strict=True):
-                number, held, out = -1, 0, []
-                for x in q:
-                    if number < 0 or x["length"] * (held + 1) > max_cells or held >= max_items:
-                        number, held = number + 1, 0
-                    held += 1
-                    out.append((s, number, x["pos"], x["length"]))
-                yield pd.DataFrame(out, columns=["shard", "batch", "pos", "length"])
+        now, number, held = None, -1, 0
+        for b in batches_:
+            numbers = []
+            for s, length in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if s != now:
+                    now, number, held = s, 0, 0
+                elif length * (held + 1) > max_cells or held >= max_items:
+                    number, held = number + 1, 0
+                held += 1
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int32()), b.column(1), b.column(2)], ["shard", "batch", "pos", "length"])
 
-    return queue.mapInPandas(run, "shard int, batch int, pos bigint, length bigint")
+    dealt = queue.mapInArrow(run, "shard int, batch int, pos bigint, length bigint")
+    return dealt.select("shard", "batch", order_key(seed, "batch", F.col("shard"), F.col("batch")).alias("turn"), "pos", "length")
 
 
 def mixed(base: DataFrame, tuned: DataFrame, weight: float) -> DataFrame:
@@ -114,11 +118,27 @@ def lora_merge(w: DataFrame, a: DataFrame, b: DataFrame, scale: float) -> DataFr
     return w.join(delta, ["i", "j"], "left").select("i", "j", (F.col("value") + F.lit(float(scale)) * F.coalesce("_d", F.lit(0.0))).alias("value"))
 
 
-def top_blocks(names: DataFrame, n: int, prefix: str = "encoders.") -> DataFrame:
-    """Names under the last n blocks; ``names`` has name and block, the block's place, null outside of blocks."""
-    ranked = names.where(F.col("block").isNotNull() & F.col("name").startswith(prefix))
-    last = ranked.select("block").distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.desc("block")))).where(F.col("_r") <= n)
-    return ranked.join(last.select("block"), "block", "left_semi")
+#: Families of blocks in order with the number of blocks, and what is always trained, or from 21 blocks on.
+FAMILIES = (("encoder.encoders0.", 1), ("encoder.encoders.", 49), ("encoder.tp_encoders.", 20))
+ALWAYS, FROM_21 = ("ctc.", "encoder.tp_norm"), ("encoder.after_norm",)
+
+
+def block_place(name: Column) -> Column:
+    """A parameter's place among all blocks, from 0; null outside of them."""
+    place, before = F.lit(None).cast("int"), 0
+    for prefix, count in FAMILIES:
+        number = F.regexp_extract(name, "^" + prefix.replace(".", r"\.") + r"([0-9]+)\.", 1).try_cast("int")
+        place, before = F.when(number < count, number + before).otherwise(place), before + count
+    return place
+
+
+def top_blocks(names: DataFrame, n: int) -> DataFrame:
+    """Rows whose ``name`` is trained when the last n blocks are: those blocks, the output layer and the norms that follow."""
+    total = sum(count for _, count in FAMILIES)
+    chosen = F.coalesce(block_place(F.col("name")) >= total - n, F.lit(False)) if n else F.lit(False)
+    for prefix in ALWAYS + (FROM_21 if n > 20 else ()):
+        chosen = chosen | F.startswith(F.col("name"), F.lit(prefix))
+    return names.where(chosen)
 
 
 def trainable(text_ids: Column, frames: Column) -> Column:

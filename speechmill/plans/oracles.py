@@ -145,7 +145,39 @@ def ends(w: str) -> str:
 WAVES = "w AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS wave FROM embeddings)"
 WIDE = r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}，。？！、；：“”‘’（）《》"
 
+FRAMES = f"{WAVES}, f AS (SELECT vec_id, list_transform(range(len(wave) // 4), lambda t: wave[t * 4 + 1 : t * 4 + 4]) AS fr FROM w)"
+SPACES = r"[\s\x0B\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def scripted(text: str) -> str:
+    """A text with the characters of ``script_rates`` in simplified form."""
+    return f"translate({text}, '臺灣說話', '台湾说话')"
+
+
 ORACLES: dict[str, str] = {
+    "normalized_documents": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^{SPACES}|{SPACES}$', '', 'g'), ' {{2,}}', ' ', 'g')) AS digest FROM documents",
+    "script_rates": f"""WITH {U}{HALL}, tk AS (SELECT h.system, {tokens(scripted("replace(u.text, 'th', '臺灣說話')"))} AS a, {tokens("replace(h.hyp, 'th', '台湾说话')")} AS b FROM u JOIN h USING (id)),
+      tv AS MATERIALIZED (SELECT *, list_distinct(list_concat(a, b)) AS v FROM tk)
+      SELECT system, sum(len(a))::BIGINT AS tokens, sum({distance('a', 'b')})::BIGINT AS errors FROM tv GROUP BY system""",
+    "subset_intervals": f"""{CELLS}{SUBSETS}, per AS (SELECT subset, grp, system, sum(errors) AS e, sum(tokens) AS t FROM s GROUP BY ALL),
+      base AS (SELECT subset, grp, e AS ea, t AS ta, row_number() OVER (PARTITION BY subset ORDER BY grp) - 1 AS g, count(*) OVER (PARTITION BY subset) AS n FROM per WHERE system = 'small'),
+      d AS (SELECT subset, id // n AS round, {draw('n', "'0:' || id")} AS g FROM (SELECT subset, n, unnest(range(2000 * n)) AS id FROM (SELECT DISTINCT subset, n FROM base))),
+      x AS (SELECT subset, p.system, d.round, 100.0::DOUBLE * sum(p.e) / greatest(sum(p.t), 1) - 100.0::DOUBLE * sum(b.ea) / greatest(sum(b.ta), 1) AS v
+        FROM d JOIN base b USING (subset, g) JOIN per p USING (subset, grp) WHERE p.system <> 'small' GROUP BY ALL)
+      SELECT subset, system, round(list_sort(list(v))[51], 6) AS low, round(list_sort(list(v))[1950], 6) AS high FROM x GROUP BY subset, system""",
+    "jsonl_round_trip": f"WITH {U} SELECT row_number() OVER (ORDER BY pos) - 1 AS place, id, md5(text) AS digest, CASE WHEN continues THEN grade END AS grade FROM u",
+    "map_files": f"WITH {U}{HALL} SELECT 'mine' AS system, id, md5(CASE WHEN continues THEN lower(hyp) ELSE hyp END) AS digest FROM h JOIN u USING (id) WHERE system = 'small'",
+    "review_file": f"WITH {U} SELECT id, grade, CASE WHEN grade = 'X' THEN '' ELSE text END AS text FROM (SELECT id, text, (['A', 'B', 'X'])[{draw(3, "'verdict:' || id")} + 1] AS grade FROM u WHERE {draw(10, "'review:' || id")} = 0)",
+    "term_file": f"SELECT pos, term FROM (SELECT unnest(range({len(TERMS)})) + 1 AS pos, {squash(f'unnest({list(TERMS)})')} AS term) UNION ALL SELECT {len(TERMS) + 2}, 'mixedcase'",
+    "manifest_grades": "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(source, doc_id::VARCHAR) ELSE doc_id::VARCHAR END AS \"group\", CASE WHEN doc_id % 5 = 0 THEN coalesce(lang, '-') ELSE '-' END AS grade FROM documents",
+    "wave_files": f"WITH {WAVES}, s AS (SELECT vec_id, list_transform(wave, lambda x: greatest(-32768, least(32767, round_even(x * 32768, 0)))::BIGINT) AS s FROM w) SELECT vec_id, len(s)::DOUBLE AS samples, list_sum(s)::BIGINT AS total, list_max(s) AS top, count(*) OVER () AS files FROM s",
+    "span_mask": f"WITH {FRAMES}, m AS (SELECT vec_id, flatten(list_transform(fr, lambda x, t: CASE WHEN t - 1 >= vec_id % 7 AND t - 1 < vec_id % 7 + vec_id % 5 THEN [0.0, 0.0, 0.0, 0.0]::DOUBLE[] ELSE x END)) AS f FROM f) SELECT vec_id, {ends('f')} FROM m",
+    "piece_texts": f"WITH {FRAMES} SELECT vec_id, trim(replace(array_to_string(list_transform(fr, lambda x: (['▁so', 'und', '▁', 's'])[list_position(x, list_max(x))]), ''), '▁', ' ')) AS text FROM f",
+    "trainable_items": f"WITH {U} SELECT id, len({tokens('text')}) > 0 AND floor(seconds * 3) >= len({tokens('text')}) AS usable FROM u",
+    "block_choice": """WITH p AS (SELECT vec_id, vec_id % 6 AS kind, vec_id % 50 AS k FROM embeddings),
+      q AS (SELECT *, (['encoder.encoders0.0.', 'encoder.encoders.' || k || '.', 'encoder.tp_encoders.' || k || '.', 'ctc.', 'encoder.tp_norm.', 'encoder.after_norm.'])[kind + 1] || vec_id AS name FROM p)
+      SELECT name, n::INTEGER AS n FROM q, (VALUES (20), (35)) t(n)
+      WHERE (kind = 2 AND k < 20 AND 50 + k >= 70 - n) OR (kind = 1 AND k < 49 AND 1 + k >= 70 - n) OR kind IN (3, 4) OR (kind = 5 AND n > 20)""",
     "score_tokens_profile": f"SELECT lang, count(*) AS documents, sum(len(t))::BIGINT AS tokens, sum(len(list_distinct(t)))::BIGINT AS kinds, max(len(t)) AS longest FROM (SELECT lang, {tokens('text')} AS t FROM documents) GROUP BY lang",
     "squashed_lengths": f"SELECT doc_id, length({squash('text')}) AS n, md5({squash('text')}) AS digest FROM documents",
     "markup_strip": f"SELECT page_id, len({tokens('html')}) AS tokens, md5(array_to_string({tokens('html')}, ' ')) AS digest FROM pages",
@@ -198,7 +230,7 @@ ORACLES: dict[str, str] = {
     "batch_plan": f"""WITH RECURSIVE {U}, q AS MATERIALIZED (SELECT pos, length, row_number() OVER (ORDER BY length + {uniform("'0:' || pos")}, pos) AS k FROM (SELECT pos, greatest(len(string_split(text, ' ')), 1) AS length FROM u)),
       b AS (SELECT 0::BIGINT AS batch, 1::BIGINT AS s, (SELECT max(k) FROM q WHERE k <= 24 AND (k = 1 OR length * k <= 480)) AS e
         UNION ALL SELECT b.batch + 1, b.e + 1, (SELECT max(k) FROM q WHERE k > b.e AND k <= b.e + 24 AND (k = b.e + 1 OR length * (k - b.e) <= 480)) FROM b WHERE b.e < (SELECT max(k) FROM q))
-      SELECT pos, batch, length FROM q JOIN b ON k BETWEEN s AND e""",
+      SELECT pos, batch, md5('0:batch:0:' || batch) AS turn, length FROM q JOIN b ON k BETWEEN s AND e""",
     "ctc_greedy": f"""WITH {WAVES}, f AS (SELECT vec_id, list_transform(range(len(wave) // 4), lambda t: wave[t * 4 + 1 : t * 4 + 4]) AS fr FROM w), p AS (SELECT vec_id, list_transform(fr, lambda x: list_position(x, list_max(x)) - 1) AS path FROM f), t AS (SELECT vec_id, path[1:4] AS rich, path[5:] AS rest FROM p)
       SELECT vec_id, array_to_string(rich, ',') AS rich, array_to_string(list_filter(list_transform(rest, lambda v, i: CASE WHEN v <> 0 AND (i = 1 OR v <> rest[i - 1]) THEN v END), lambda x: x IS NOT NULL), ',') AS text FROM t""",
     "lfr_stack": f"WITH {WAVES}, s AS (SELECT vec_id, unnest(range((len(wave) // 2 - 7) // 6 + 1)) AS t, wave FROM w), f AS (SELECT vec_id, t, wave[t * 12 + 1 : t * 12 + 14] AS f FROM s) SELECT vec_id, t, len(f) AS n, round(list_sum(f), 6) AS total, round(f[1], 6) AS first, round(f[-1], 6) AS last FROM f",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmill.functions import signal, text as tx
 from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
 from speechmill.plans import adapters as ad
+from speechmill.sources import audio, files
+from speechmill.sources.shared import checkpoint_dir
 
 FIRST = "small"
 ROUND = 6
@@ -66,8 +70,24 @@ def joined_turns(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session", F.size("parts").cast("bigint").alias("parts"), F.md5(tx.join_texts(F.col("parts"), False)).alias("separate"), F.md5(tx.join_texts(F.col("parts"), True)).alias("continued"))
 
 
+def normalized_documents(spark: SparkSession, d: str) -> DataFrame:
+    return ad.table(spark, d, "documents").select("doc_id", F.md5(tx.app_normalize(F.concat(F.lit("  "), F.col("text"), F.lit(" \n")))).alias("digest"))
+
+
 # scoring
 
+def script_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Labels in traditional characters, transcripts in simplified ones: only the words that differ count."""
+    rows = ad.utterances(spark, d)
+    hyps = ad.hypotheses(rows, lossy=False).withColumn("hyp", F.regexp_replace("hyp", "th", "台湾说话"))
+    c = scoring.cells(rows.withColumn("text", F.regexp_replace("text", "th", "臺灣說話")), hyps)
+    return c.groupBy("system").agg(F.sum("tokens").alias("tokens"), F.sum("errors").cast("bigint").alias("errors"))
+
+
+def subset_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.subset_intervals(_cells(spark, d), FIRST).select("subset", "system", _r("low").alias("low"), _r("high").alias("high"))
+
+
 def error_rate_by_subset(spark: SparkSession, d: str) -> DataFrame:
     r = scoring.subset_rates(_cells(spark, d))
     return r.select("subset", "system", F.col("utterances").cast("bigint").alias("utterances"), F.col("tokens").cast("bigint").alias("tokens"), _r("rate").alias("rate"), F.col("wrong").cast("bigint").alias("wrong"))
@@ -242,11 +262,87 @@ def epoch_plan(spark: SparkSession, d: str) -> DataFrame:
 def batch_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = ad.utterances(spark, d).select("pos", F.greatest(F.size(F.split("text", " ")), F.lit(1)).cast("bigint").alias("length"))
     b = training.batches(rows)
-    return b.select("pos", F.col("batch").cast("bigint").alias("batch"), "length")
+    return b.select("pos", F.col("batch").cast("bigint").alias("batch"), "turn", "length")
+
+
+# files: what a query writes into the shared folder and reads back
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/queries-{uuid.uuid4().hex}"
+
+
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = ad.utterances(spark, d), _folder(spark)
+    files.write_jsonl(rows.select("pos", "id", "text", F.when(F.col("continues"), F.col("grade")).alias("grade")), path, "pos")
+    back = files.numbered(spark, path, "id STRING, text STRING, grade STRING")
+    return sampling.dense(back, "seq", name="place").select("place", "id", F.md5("text").alias("digest"), "grade")
+
+
+def map_files(spark: SparkSession, d: str) -> DataFrame:
+    """A system of two map files, the second of which overrides the first."""
+    rows, path = ad.utterances(spark, d), _folder(spark)
+    heard = ad.hypotheses(rows, lossy=False).where("system = 'small'")
+    files.write_map(heard, f"{path}/a")
+    files.write_map(heard.join(rows.where("continues").select("id"), "id", "left_semi").withColumn("hyp", F.lower("hyp")), f"{path}/b")
+    merged = scoring.merged_systems(files.read_system(spark, f"mine={path}/a,{path}/b"))
+    return merged.select("system", "id", F.md5("hyp").alias("digest"))
+
+
+def review_file(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = ad.reviewed(ad.utterances(spark, d)), _folder(spark)
+    rows.select(F.concat_ws("\t", "id", "grade", F.when(F.col("grade") != "X", F.concat(F.lit("  "), F.col("text"), F.lit(" "))).otherwise("")).alias("value")).write.text(path)
+    return files.read_reviewed(spark, path).select("id", "grade", "text")
+
+
+def term_file(spark: SparkSession, d: str) -> DataFrame:
+    lines, path = ["# terms", *ad.TERMS, "", " Mixed Case "], _folder(spark)
+    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
+    return files.read_terms(spark, path)
+
+
+def manifest_grades(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a manifest; some rows name a group or a grade of their own."""
+    path, own = _folder(spark), lambda k, c: F.when(F.col("doc_id") % k == 0, F.col(c))
+    docs = ad.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("a.wav").alias("audio"), "text", own(3, "source").alias("group"), own(5, "lang").alias("grade"))
+    docs.write.json(path)
+    return files.manifest(spark, path).select("id", "group", "grade")
+
+
+def wave_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as 16-bit waves and read again: sums of their steps."""
+    rows, path = ad.waves(spark, d).select(F.col("vec_id").cast("string").alias("name"), "wave"), _folder(spark)
+    written = audio.write_waves(rows, path.removeprefix("file:")).agg(F.count(F.lit(1))).first()[0]
+    read = audio.read_waves(spark, path)
+    steps = F.transform("wave", lambda v: F.round(v.cast("double") * 32768).cast("bigint"))
+    return read.select(F.regexp_extract("path", "([^/]+)[.]wav$", 1).cast("bigint").alias("vec_id"), _r(F.col("seconds") * audio.RATE).alias("samples"), F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.array_max(steps).alias("top"), F.lit(written).cast("bigint").alias("files"))
 
 
 # arrays
 
+def span_mask(spark: SparkSession, d: str) -> DataFrame:
+    rows = ad.frames(spark, d).select("vec_id", signal.mask_spans(F.col("frames"), (F.col("vec_id") % 7).cast("int"), (F.col("vec_id") % 5).cast("int")).alias("f"))
+    return rows.select("vec_id", F.flatten("f").alias("w")).select("vec_id", *_ends("w"))
+
+
+def piece_texts(spark: SparkSession, d: str) -> DataFrame:
+    pieces = F.array(*map(F.lit, ["▁so", "und", "▁", "s"]))
+    rows = ad.frames(spark, d).select("vec_id", F.transform("frames", signal.best_symbol).alias("path"))
+    return rows.select("vec_id", tx.decode_pieces(F.col("path"), pieces).alias("text"))
+
+
+def trainable_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = ad.utterances(spark, d).select("id", tx.score_tokens(F.col("text")).alias("labels"), F.floor(F.col("seconds") * 3).cast("int").alias("frames"))
+    return rows.select("id", training.trainable(F.col("labels"), F.col("frames")).alias("usable"))
+
+
+def block_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of all families, and what is trained of them for two sizes."""
+    kind, k = F.col("vec_id") % 6, (F.col("vec_id") % 50).cast("string")
+    prefixes = [F.lit("encoder.encoders0.0."), F.concat(F.lit("encoder.encoders."), k, F.lit(".")), F.concat(F.lit("encoder.tp_encoders."), k, F.lit(".")), F.lit("ctc."), F.lit("encoder.tp_norm."), F.lit("encoder.after_norm.")]
+    names = ad.table(spark, d, "embeddings").select(F.concat(F.get(F.array(*prefixes), kind.cast("int")), F.col("vec_id").cast("string")).alias("name"))
+    return training.top_blocks(names, 20).withColumn("n", F.lit(20)).unionByName(training.top_blocks(names, 35).withColumn("n", F.lit(35)))
+
+
 def ctc_greedy(spark: SparkSession, d: str) -> DataFrame:
     rows = ad.frames(spark, d).select("vec_id", F.transform("frames", signal.best_symbol).alias("path"))
     both = rows.select("vec_id", signal.rich_and_text(F.col("path")).alias("r"))
@@ -312,6 +408,7 @@ QUERIES = {
         bootstrap_ci, wrong_utterances, completeness_report, common_only, no_digits_rate, term_hits, merged_systems, agreement_counts, export_identity, session_status, session_positions,
         status_counts_minutes, continuation_chain, consensus_grade, label_counts, review_report, near_duplicate_pairs, duplicate_groups, balanced_folds, fold_report, leak_check,
         test_dev_split, replay_sample, held_out_split, training_items, epoch_plan, batch_plan, ctc_greedy, lfr_stack, cmvn, gain_clip, peak_norm, step_shift, feature_mask, lr_schedule,
-        weight_mix, lora_merge,
+        weight_mix, lora_merge, normalized_documents, script_rates, subset_intervals, jsonl_round_trip, map_files, review_file, term_file, manifest_grades, wave_files, span_mask, piece_texts,
+        trainable_items, block_choice,
     )
 }

@@ -9,7 +9,7 @@ UTTERANCES = "id STRING, session STRING, audio STRING, seconds DOUBLE, `index` I
 HYPOTHESES = "system STRING, id STRING, hyp STRING"
 REVIEWED = "id STRING, grade STRING, text STRING"
 LABELS = "id STRING, session STRING, audio STRING, seconds DOUBLE, text STRING, grade STRING, source STRING, joins ARRAY<STRING>, `group` INT, fold INT"
-MANIFEST = "id STRING, audio STRING, text STRING, `group` STRING"
+MANIFEST = "id STRING, audio STRING, text STRING, `group` STRING, grade STRING"
 REPLAY = "id STRING, audio STRING, text STRING, seconds DOUBLE"
 TERMS = "pos BIGINT, term STRING"
 WEIGHTS = "name STRING, is_float BOOLEAN, values ARRAY<FLOAT>"

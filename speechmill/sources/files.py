@@ -43,7 +43,7 @@ def _stem(prefix: str) -> Column:
 
 def read_maps(spark: SparkSession, paths: str | list[str], prefix: str = "hyp_") -> DataFrame:
     """(system, id, hyp) of files that hold one JSON object each, id to transcript; the file's name tells the system."""
-    whole = spark.read.option("wholetext", True).text(paths).select(_stem(prefix).alias("system"), F.from_json("value", "map<string,string>").alias("m"))
+    whole = spark.read.text(paths, wholetext=True).select(_stem(prefix).alias("system"), F.from_json("value", "map<string,string>").alias("m"))
     return whole.select("system", F.explode("m").alias("id", "hyp"))
 
 
@@ -54,7 +54,7 @@ def read_system(spark: SparkSession, spec: str) -> DataFrame:
         raise ValueError(f"not a system: {spec!r}; it takes name=path[,path...]")
     parts = None
     for k, path in enumerate(paths.split(",")):
-        one = spark.read.option("wholetext", True).text(path).select(F.lit(name).alias("system"), F.lit(k).alias("ord"), F.explode(F.from_json("value", "map<string,string>")).alias("id", "hyp"))
+        one = spark.read.text(path, wholetext=True).select(F.lit(name).alias("system"), F.lit(k).alias("ord"), F.explode(F.from_json("value", "map<string,string>")).alias("id", "hyp"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
@@ -73,22 +73,22 @@ def read_reviewed(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.select(F.get(cells, F.lit(0)).alias("id"), F.get(cells, F.lit(1)).alias("grade"), tx.unicode_trim(F.coalesce(F.get(cells, F.lit(2)), F.lit(""))).alias("text"))
     bad = rows.where(~F.coalesce(F.col("grade").isin("A", "B", "X"), F.lit(False)) | ((F.col("grade") != "X") & (F.col("text") == ""))).select("id").limit(1).collect()
     if bad:
-        raise ValueError(f"{path}: bad line for {bad[0][0]}")
+        raise ValueError(f"{path}: grade or text of {bad[0][0]} cannot be used")
     twice = rows.groupBy("id").count().where("count > 1").select("id").limit(1).collect()
     if twice:
-        raise ValueError(f"{path}: {twice[0][0]} appears twice")
+        raise ValueError(f"{path}: more than one verdict on {twice[0][0]}")
     return rows
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """(pos, term): squashed lines that are no comments, in file order, repeats kept."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     return lines.where(~F.col("line").startswith("#") & (tx.unicode_trim(F.col("line")) != "")).select(F.col("pos").cast("bigint").alias("pos"), tx.squash(F.col("line")).alias("term"))
 
 
 def read_cmvn(spark: SparkSession, path: str) -> DataFrame:
     """(k, values): the vectors of a normalisation file, the shift first and then the scale."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     rows = whole.where(F.trim("value").startswith("<LearnRateCoef>")).select("line", F.split(F.trim("value"), r"\s+").alias("c"))
     values = F.transform(F.slice("c", 4, F.size("c") - 4), lambda v: v.cast("double"))
     return rows.select((F.row_number().over(Window.orderBy("line")) - 1).alias("k"), values.alias("values"))  # two lines
@@ -107,9 +107,9 @@ def error_blocks(wrong: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a manifest in file order; ``group`` defaults to the id and ``grade`` to "-"."""
+    """Rows of a manifest in file order; where a row has none, ``group`` is the id and ``grade`` is "-"."""
     rows = numbered(spark, path, schemas.MANIFEST).withColumnRenamed("seq", "pos")
-    return rows.withColumn("group", F.coalesce("group", "id")).withColumn("grade", F.lit("-"))
+    return rows.withColumn("group", F.coalesce("group", "id")).withColumn("grade", F.coalesce("grade", F.lit("-")))
 
 
 def token_table(pieces: list[str]) -> str:

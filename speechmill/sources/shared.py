@@ -13,6 +13,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="speechmill-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
@@ -25,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that Spark wrote, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the checkpoint of a result of :func:`cut` that nothing reads any more."""
+    found = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if found.isDefined():
+        delete(df.sparkSession, found.get())
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -44,7 +44,7 @@ def test_reviews_and_terms(spark, tmp_path):
     path = tmp_path / "r.tsv"
     path.write_text('# note\na\tA\t "x" \n\nb\tX\n')
     assert {tuple(r) for r in files.read_reviewed(spark, str(path)).collect()} == {("a", "A", '"x"'), ("b", "X", "")}
-    for bad, why in (("a\tC\tx\n", "bad line for a"), ("a\tA\t \n", "bad line for a"), ("a\tA\tx\na\tB\ty\n", "a appears twice")):
+    for bad, why in (("a\tC\tx\n", "cannot be used"), ("a\tA\t \n", "cannot be used"), ("a\tA\tx\na\tB\ty\n", "more than one verdict on a")):
         path.write_text(bad)
         with pytest.raises(ValueError, match=why):
             files.read_reviewed(spark, str(path))
@@ -63,12 +63,12 @@ def test_archive(tmp_path):
         return str(path)
 
     for name in ("../x", "/x", "a/../../x", "c:/x", "a//b"):
-        with pytest.raises(ValueError, match="unsafe"):
+        with pytest.raises(ValueError, match="no relative paths"):
             archive.extract(pack("fine", name), str(tmp_path / "out"))
         assert not (tmp_path / "out" / "fine").exists()  # all is checked before the first is written
-    with pytest.raises(ValueError, match="larger"):
+    with pytest.raises(ValueError, match="allowed"):
         archive.extract(pack("a", "b"), str(tmp_path / "out"), most_files=1)
-    with pytest.raises(ValueError, match="larger"):
+    with pytest.raises(ValueError, match="allowed"):
         archive.extract(pack("a", data=b"12345"), str(tmp_path / "out"), most_bytes=4)
     os.symlink(str(tmp_path), str(tmp_path / "out" / "link"))
     with pytest.raises(ValueError, match="link"):
@@ -97,10 +97,10 @@ def test_recognizers(spark):
     assert got == {str(i): "a b c d e" for i in range(40)}
 
 
-def test_fingerprints(tmp_path):
+def test_fingerprints(spark, tmp_path):
     (tmp_path / "a").write_text("x")
-    one = fingerprint.digest([str(tmp_path / "a")], {"k": 1})
-    assert one == fingerprint.digest([str(tmp_path / "a")], {"k": 1}) != fingerprint.digest([str(tmp_path / "a")], {"k": 2})
+    one = fingerprint.digest(spark, [str(tmp_path / "a")], {"k": 1})
+    assert one == fingerprint.digest(spark, [str(tmp_path / "a")], {"k": 1}) != fingerprint.digest(spark, [str(tmp_path / "a")], {"k": 2})
     fingerprint.claim(str(tmp_path / "run"), one)
     fingerprint.claim(str(tmp_path / "run"), one)
     with pytest.raises(ValueError, match="other inputs"):
@@ -141,7 +141,7 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["prepare", str(export), work])
     rows = files.read_jsonl(spark, f"{work}/utterances.jsonl", schemas.UTTERANCES).collect()
     assert sorted(r.id for r in rows) == [f"s{i}-00" for i in range(4)]
-    with pytest.raises(SystemExit, match="run hypotheses"):
+    with pytest.raises(SystemExit, match="no transcripts"):
         cli.main(["label", work])
     cli.main(["hypotheses", work, "--percent", "0"])
     cli.main(["label", work, "--folds", "2"])
@@ -149,7 +149,7 @@ def test_commands(spark, tmp_path, capsys):
     assert len(labels) == 4 and {r.grade for r in labels} == {"A"} and {r.fold for r in labels} == {0, 1}
     part = tmp_path / "part.json"
     part.write_text(json.dumps({f"s{i}-00": texts[i] for i in range(3)}))
-    with pytest.raises(ValueError, match="no transcript for 1 of 4"):
+    with pytest.raises(ValueError, match="lacks 1 of 4"):
         cli.main(["score", work, f"x={work}/hyp_small.json", f"y={part}"])
     cli.main(["score", work, f"x={work}/hyp_small.json", f"y={part}", "--common", "--errors", str(tmp_path / "errors")])
     (tmp_path / "terms").write_text("thing\n")

@@ -22,8 +22,8 @@ def test_app_normalize(spark, raw, shown):
 
 def test_score_tokens(spark):
     assert column(spark, ["Wi-Fi 很好, don't", "<b>Bold</b>１é2", "", None], tx.score_tokens) == [["wi", "fi", "很", "好", "don't"], ["bold", "2"], [], None]
-    table = tx.simplified_table(spark)
-    assert column(spark, ["後來"], lambda c: tx.score_tokens(c, table)) == [["后", "来"]]
+    assert column(spark, ["後來 a"], tx.score_tokens) == [["后", "来", "a"]]
+    assert column(spark, ["後來"], lambda c: tx.score_tokens(c, script=False)) == [["後", "來"]]
 
 
 def test_small_functions(spark):
