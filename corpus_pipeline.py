@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir). Between stages the rows are written as
 Parquet and read again, so a lost executor costs one stage at most and no plan
-grows. All stages but the last return the columns of ``documents``, whatever other
+grows; a stage's folder is deleted once its successor is written. All stages but the last return the columns of ``documents``, whatever other
 columns there are.
 
 Defined cases: a null, empty or blank text has no words and goes with the quality
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from speechmill.llm import exact_dedup, jaccard, packing, quality, secrets
 from speechmill.llm.queries import tokenizer
-from speechmill.sources.shared import checkpoint_dir
+from speechmill.sources.shared import checkpoint_dir, delete
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
