@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Null ends and loops are ignored, repeated edges and their direction do not
     matter; without edges the result is empty.
     """
-    now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(f"{src} is not null and {dst} is not null").where("u <> v").distinct()
+    ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    now = ends.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
     now = cut(now)
     before, told, rounds = None, _sum(now), 0
     while told != before:
