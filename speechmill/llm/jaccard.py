@@ -8,12 +8,14 @@
    first and need not be kept: an entity whose prefix holds none that are shared
    is linked with nothing.
 3. What shares a prefix shingle and fits in size is chained into groups, a
-   superset of the wanted components. The sets of a group meet in one task; a large
-   group is dealt to blocks that share some leaders, and only what those leave
-   unlinked is compared with every block. In a task the order is
-   cut into fragments; overlaps are counted fragment by fragment and summed per
-   pair, and pairs that cannot reach the threshold any more are left out. Only
-   links that join something new leave the task, never all pairs.
+   superset of the wanted components. The global order is cut into fragments, and
+   overlaps are counted fragment by fragment and summed for each pair; a pair that
+   cannot reach the threshold any more is left out. The sets of a small group meet
+   in one task, which does so by itself. The sets of a large group are compared
+   with a few leaders first: fragments of blocks of sets are dealt to tasks, and
+   partial overlaps are summed by a shuffle. Only what that leaves outside of a
+   group's largest part is compared with every block. Links that join something
+   new leave a task, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from speechmill.operators.components import connected_components
 from speechmill.sources.shared import release
 
 FLUSH, HOT, HOT_LEAST = 4_000_000, 128, 1000
+#: So many rows of keys, some 40 bytes each, may be broadcast.
+FEW = 200_000
 
 
 def _entity(s: np.ndarray) -> int:
@@ -282,26 +286,86 @@ def _candidates(kept: DataFrame, percent: int) -> DataFrame:
     return edges.unionByName(beside).distinct()
 
 
+def _with_grams(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """``rows`` with the grams of their entities; few of them, counted, go to where the grams are, which then are not shuffled."""
+    rows = cut(rows)
+    return kept.join(F.broadcast(rows) if rows.count() <= FEW else rows, "entity")
+
+
 def _compared(units: DataFrame, kept: DataFrame, percent: int, n: int) -> DataFrame:
     """(src, dst): links found in each unit; ``units`` is (unit, entity)."""
-    rows = units.distinct().join(kept, "entity").select("unit", "entity", "n", "grams")
+    rows = _with_grams(units.distinct(), kept).select("unit", "entity", "n", "grams")
     return cut(rows.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(tidy(_linked(percent)), "src long, dst long"))
 
 
-def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, leaders: int, n: int) -> DataFrame:
-    """Links of groups that do not fit in one unit; ``large`` is (component, entity, blocks, mine).
+def _fragments(parts: int):
+    """Each row once for each fragment of the global order, with the grams it has there; rows are (key, lead, entity, n, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, lead, entity, n, grams = (c.to_pylist() for c in b.columns)
+            out: list[list] = [[], [], [], [], [], []]
+            for row in zip(key, lead, entity, n, grams, strict=True):
+                g = np.sort(np.frombuffer(row[4], "<u8"))
+                at = np.searchsorted(g, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts))
+                for f, x in enumerate(np.split(g, at)):
+                    for c, v in zip(out, (row[0] * parts + f, *row[1:4], len(g) - len(x), x.tobytes()), strict=True):
+                        c.append(v)
+            types = (pa.decimal128(38), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["unit", "lead", "entity", "n", "elsewhere", "grams"])
+
+    return run
+
+
+def _partial(percent: int):
+    """Partial overlaps of a fragment: those of each set with each leader, unless the pair cannot reach the threshold any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups_of(batches):
+            ids, n, elsewhere = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
+            grams = [np.frombuffer(r[5], "<u8") for r in rows]
+            owner, every = np.repeat(np.arange(len(rows)), [len(g) for g in grams]), np.concatenate(grams)
+            out: list[tuple] = []
+            for k in (k for k, r in enumerate(rows) if r[1]):
+                mine = grams[k]
+                slot = np.minimum(np.searchsorted(mine, every), max(len(mine) - 1, 0))
+                got = np.bincount(owner[mine[slot] == every], minlength=len(rows)) if len(mine) else np.zeros(len(rows), np.int64)
+                need = -(-percent * (n + n[k]) // (100 + percent))
+                can = (ids != ids[k]) & (got + np.minimum(elsewhere, elsewhere[k]) >= need) & (got > 0)
+                out += [(int(ids[x]), int(ids[k]), int(got[x]), int(need[x])) for x in np.flatnonzero(can)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["src", "dst", "got", "need"])
+
+    return run
+
 
-    First every block is compared within itself and with a few leaders that all
-    blocks of the group get. What that leaves outside of a group's largest part is
-    then compared with every block: a few members at most in a group of copies,
-    while nothing that could link is left out.
+def _led(large: DataFrame, kept: DataFrame, percent: int, leaders: int, fragments: int, n: int) -> DataFrame:
+    """(src, dst): links of the sets of large groups with a few leaders of their group, by vertical partitioning.
+
+    The global order of shingles is cut into fragments. A task gets one fragment of
+    a block of sets and of the leaders, and counts overlaps there; the counts of
+    all fragments are summed for each pair.
     """
     least = large.groupBy("component", "mine").agg(F.min("entity").alias("entity"), F.first("blocks").alias("blocks"))
-    led = least.groupBy("component").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_list("entity")), 1, leaders).alias("l"))
+    led = least.groupBy("component").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_list("entity")), 1, leaders).alias("l"))  # an id for each block
     everywhere = led.select("component", F.explode("l").alias("entity"), "blocks").select("component", "entity", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mine"))
-    within = large.select("component", "entity", "mine").unionByName(everywhere)
-    first = _compared(within.select(F.xxhash64("component", "mine").alias("unit"), "entity"), kept, percent, n)
+    both = large.select("component", "entity", "mine", F.lit(False).alias("lead")).unionByName(everywhere.withColumn("lead", F.lit(True)))
+    both = _with_grams(both.groupBy("component", "mine", "entity").agg(F.max("lead").alias("lead")), kept)
+    key = F.xxhash64("component", "mine").cast("decimal(38,0)").alias("key")
+    cutup = both.select(key, "lead", "entity", "n", "grams").mapInArrow(tidy(_fragments(fragments)), "unit decimal(38,0), lead boolean, entity long, n long, elsewhere long, grams binary")
+    counted = cutup.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(tidy(_partial(percent)), "src long, dst long, got long, need long")
+    pairs = counted.groupBy("src", "dst").agg(F.sum("got").alias("got"), F.first("need").alias("need"))
+    return cut(pairs.where("got >= need").select("src", "dst"))
+
 
+def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, leaders: int, fragments: int, n: int) -> DataFrame:
+    """Links of groups that do not fit in one unit; ``large`` is (component, entity, blocks, mine).
+
+    First every set is compared with a few leaders of its group. What that leaves
+    outside of a group's largest part is then compared with every block: a few
+    members at most in a group of copies, while nothing that could link is left out.
+    """
+    first = _led(large, kept, percent, leaders, fragments, n)
     parts = connected_components(first).withColumnRenamed("node", "entity").withColumnRenamed("component", "sub")
     known = cut(large.join(parts, "entity", "left").withColumn("sub", F.coalesce("sub", "entity")))
     main = known.groupBy("component", "sub").agg(F.count(F.lit(1)).alias("size")).groupBy("component").agg(F.max_by("sub", F.struct("size", "sub")).alias("main"))
@@ -314,7 +378,7 @@ def _large_groups(large: DataFrame, kept: DataFrame, percent: int, block: int, l
     return first.unionByName(_compared(members.unionByName(guests), kept, percent, n))
 
 
-def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 3000, leaders: int = 32, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 512, leaders: int = 8, fragments: int = 4, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(src, dst): entities linked so that the components of all links come out; see ``entities`` for their rows.
 
     ``hot`` has frequent shingles and their counts, if they are known already.
@@ -332,7 +396,7 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     dealt = cut(groups.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")))
     links = _compared(dealt.where("blocks = 1").select(F.col("component").alias("unit"), "entity"), kept, percent, n)
     large = dealt.where("blocks > 1")
-    return links if large.isEmpty() else links.unionByName(_large_groups(large, kept, percent, block, leaders, n))
+    return links if large.isEmpty() else links.unionByName(_large_groups(large, kept, percent, block, leaders, fragments, n))
 
 
 def entities(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
