@@ -2,11 +2,11 @@
 
 Fixed patterns give base spans. The model adds what is written another way: it
 is trained in numpy from labelled spans and reads the text around every digit,
-at-sign, spelled-out "dot" or bracketed "at", without which none of the kinds is
-written. Windows overlap; each is decoded on its own, a span that reaches a
-window's edge is decoded again in a wider window around it, and of the spans that windows
-propose for a document the set of disjoint ones with the greatest total
-confidence is chosen.
+at-sign, the word "dot" and a bracketed "at"; what is spelled out with other
+words alone is not read. Windows overlap; each is decoded on its own, a span that
+reaches a window's edge is decoded again in a wider window around it, and of the
+spans that windows propose for a document the set of disjoint ones with the
+greatest total confidence is chosen.
 """
 
 from __future__ import annotations

@@ -212,6 +212,22 @@ def test_pii_long_spelled_out_addresses():
     assert found[-1] and np.mean(found) >= 0.7
 
 
+def test_pii_spans_of_20_to_120_characters_with_unseen_names():
+    model = pii.trained()
+    r = random.Random(31)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts, wanted = [], []
+    for size in (20, 30, 45, 60, 80, 100, 120):
+        for form in ("{} (at) {} dot {}", "{} [at] {} [dot] {}", "{} (at) {}.{}") * 12:
+            k = max(4, (size - 14) // 2)
+            v = form.format(f"{letters(k // 2)}.{letters(k - k // 2)}", letters(max(3, size - 14 - k)), r.choice(["com", "de", "es", "fr", "co.uk", "org"]))
+            before = r.choice(["the house was there ", "contact: ", "Bitte an "])
+            texts.append(f"{before}{v}{r.choice([' was there and the people went on', '. ', ' or call us'])}")
+            wanted.append(("email", len(before), len(before) + len(v)))
+    found = [w in added for w, (_, added) in zip(wanted, pii.find(texts, model, 0.7))]
+    assert np.mean(found) >= 0.9
+
+
 def test_pii_windows_hold_long_spans_whole(monkeypatch):
     class Tagger:
         """Tags all z as one email."""

@@ -54,7 +54,22 @@ def test_stages(spark, docs, stage):
     out = stage(spark, d, "")
     if stage is not corpus_pipeline.sequences:
         assert out.columns == d.columns
-    assert out.count() >= 0
+        kept = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+        every = sorted((i is None, i or 0) for i, _ in ROWS)
+        assert all(kept.count(x) <= every.count(x) for x in kept)
+        if stage is corpus_pipeline.quality_rules:
+            assert (True, 0) not in kept and (False, 1) not in kept and (False, 2) not in kept  # too few words
+        elif stage is corpus_pipeline.exact_copies:
+            assert kept.count((False, 9)) == 1 and (False, 8) not in kept and (False, 3) in kept and (False, 5) in kept
+        elif stage is corpus_pipeline.near_copies:
+            assert kept.count((False, 9)) == 1 and (False, 8) not in kept and {(False, 1), (False, 2), (False, 3), (False, 5)} <= set(kept)
+        else:
+            assert kept == every
+    else:
+        by: dict = {}
+        for p in out.collect():
+            by.setdefault(p.doc_id, []).append(p.length)
+        assert set(by) == {i for i, _ in ROWS} and by[1] == by[2] == [1]  # the end id alone
     assert stage(spark, docs([(1, "a")]).where("doc_id < 0"), "").count() == 0
 
 
