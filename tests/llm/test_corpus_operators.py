@@ -371,6 +371,42 @@ def test_packing_covers_every_id_once(docs, corpus):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+@pytest.mark.parametrize(("near", "share"), [(True, 0.5), (False, 0.2)], ids=["near copies", "one subject"])
+def test_packing_brings_related_documents_together(docs, near, share):
+    """Pairs lie far apart in the input, in other partitions; their tails meet in one sequence far beyond chance (65 and 35 % when written)."""
+    r = random.Random(4)
+    subjects = [[word(r) for _ in range(120)] for _ in range(300)]
+    first = [[r.choice(s) for _ in range(200)] for s in subjects]
+    second = [[word(r) if r.random() < 0.05 else w for w in f] if near else [r.choice(s) for _ in f] for f, s in zip(first, subjects, strict=True)]
+    pieces = packing.pack(docs([" ".join(d) for d in first + second]).repartition(4, "doc_id"), P.path("byte_bpe_50k.json"), shard_rows=32).collect()
+    held = collections.defaultdict(set)
+    for p in pieces:
+        held[p.doc_id].add(p.sequence_id)
+    met = sum(bool(held[i] & held[i + 300]) for i in range(300))
+    assert met >= 300 * share, met  # of 600 documents in sequences of three or four, chance brings about one in a hundred pairs together
+
+
+def test_packing_pads_little(docs, corpus):
+    pieces = packing.pack(docs(corpus * 3), P.path("byte_bpe_50k.json")).collect()
+    size = collections.Counter()
+    for p in pieces:
+        size[p.sequence_id] += p.length
+    assert all(n & (n - 1) == 0 for n in size.values())  # full, or a power of two, which needs no padding
+
+
+@pytest.mark.parametrize("spread", [3, 2000])
+def test_bm25_equals_the_formula_for_frequent_and_rare_terms(spread):
+    r = np.random.default_rng(2)
+    rows = [r.integers(0, spread, r.integers(1, 80)).astype(np.uint32) for _ in range(50)]
+    idf = r.random(spread)
+    got = packing.Bm25(rows, idf, 30.0)
+    for q in (0, 7, 49):
+        for d in range(50):
+            tf = collections.Counter(rows[d].tolist())
+            wanted = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(rows[d]) / 30.0)) for t in set(rows[q].tolist()))
+            assert abs(got.scores(q)[d] - wanted) < 1e-9
+
+
 def test_bm25_finds_the_nearest():
     r = np.random.default_rng(1)
     rows = [r.integers(0, 1000, 50).astype(np.uint32) for _ in range(20)]
