@@ -120,10 +120,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, one of each class of equal texts, with all their columns.
 
     Null, empty and blank texts are one class. Of ties the smallest id stays, a null
-    id last, then the first place; an empty table gives an empty result.
+    id last, then the first place; an empty table gives an empty result. Very long
+    texts are read whole; columns may have any names.
     ``docs`` must read the same rows in the same order each time, as a scan of
     files does: rows are told apart by their place.
     """
-    keyed = docs.withColumn("_place", F.monotonically_increasing_id())
-    stay = exact_dedup(keyed, id_col, text_col, block_bytes, "_place").where("kept").select(F.col("key").alias("_place"))
-    return keyed.join(stay, "_place", "left_semi").drop("_place")
+    keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
+    read = keyed.select("place", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    stay = exact_dedup(read, "id", "text", block_bytes, "place").where("kept").select(F.col("key").alias("place"))
+    return keyed.join(stay, "place", "left_semi").select("row.*")

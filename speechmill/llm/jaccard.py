@@ -299,31 +299,36 @@ def _compared(units: DataFrame, kept: DataFrame, percent: int, n: int) -> DataFr
 
 
 def _fragments(parts: int):
-    """Each row once for each fragment of the global order, with the grams it has there; rows are (key, lead, entity, n, grams)."""
+    """Each row once for each fragment of the global order, with the grams it has there; rows are (key, lead, home, entity, n, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, lead, entity, n, grams = (c.to_pylist() for c in b.columns)
-            out: list[list] = [[], [], [], [], [], []]
-            for row in zip(key, lead, entity, n, grams, strict=True):
-                g = np.sort(np.frombuffer(row[4], "<u8"))
+            key, lead, home, entity, n, grams = (c.to_pylist() for c in b.columns)
+            out: list[list] = [[], [], [], [], [], [], []]
+            for row in zip(key, lead, home, entity, n, grams, strict=True):
+                g = np.sort(np.frombuffer(row[5], "<u8"))
                 at = np.searchsorted(g, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts))
                 for f, x in enumerate(np.split(g, at)):
-                    for c, v in zip(out, (row[0] * parts + f, *row[1:4], len(g) - len(x), x.tobytes()), strict=True):
+                    for c, v in zip(out, (row[0] * parts + f, *row[1:5], len(g) - len(x), x.tobytes()), strict=True):
                         c.append(v)
-            types = (pa.decimal128(38), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["unit", "lead", "entity", "n", "elsewhere", "grams"])
+            types = (pa.decimal128(38), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["unit", "lead", "home", "entity", "n", "elsewhere", "grams"])
 
     return run
 
 
 def _partial(percent: int):
-    """Partial overlaps of a fragment: those of each set with each leader, unless the pair cannot reach the threshold any more."""
+    """Partial overlaps of a fragment: those of each set with each leader, unless the pair cannot reach the threshold any more.
+
+    A leader is in every block of its group; it counts as a set in its own block
+    alone, so that each pair has one overlap a fragment.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups_of(batches):
-            ids, n, elsewhere = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
-            grams = [np.frombuffer(r[5], "<u8") for r in rows]
+            home = np.array([r[2] for r in rows], bool)
+            ids, n, elsewhere = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+            grams = [np.frombuffer(r[6], "<u8") for r in rows]
             owner, every = np.repeat(np.arange(len(rows)), [len(g) for g in grams]), np.concatenate(grams)
             out: list[tuple] = []
             for k in (k for k, r in enumerate(rows) if r[1]):
@@ -331,7 +336,7 @@ def _partial(percent: int):
                 slot = np.minimum(np.searchsorted(mine, every), max(len(mine) - 1, 0))
                 got = np.bincount(owner[mine[slot] == every], minlength=len(rows)) if len(mine) else np.zeros(len(rows), np.int64)
                 need = -(-percent * (n + n[k]) // (100 + percent))
-                can = (ids != ids[k]) & (got + np.minimum(elsewhere, elsewhere[k]) >= need) & (got > 0)
+                can = home & (ids != ids[k]) & (got + np.minimum(elsewhere, elsewhere[k]) >= need) & (got > 0)
                 out += [(int(ids[x]), int(ids[k]), int(got[x]), int(need[x])) for x in np.flatnonzero(can)]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["src", "dst", "got", "need"])
@@ -349,10 +354,10 @@ def _led(large: DataFrame, kept: DataFrame, percent: int, leaders: int, fragment
     least = large.groupBy("component", "mine").agg(F.min("entity").alias("entity"), F.first("blocks").alias("blocks"))
     led = least.groupBy("component").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_list("entity")), 1, leaders).alias("l"))  # an id for each block
     everywhere = led.select("component", F.explode("l").alias("entity"), "blocks").select("component", "entity", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mine"))
-    both = large.select("component", "entity", "mine", F.lit(False).alias("lead")).unionByName(everywhere.withColumn("lead", F.lit(True)))
-    both = _with_grams(both.groupBy("component", "mine", "entity").agg(F.max("lead").alias("lead")), kept)
+    both = large.select("component", "entity", "mine", F.lit(False).alias("lead"), F.lit(True).alias("home")).unionByName(everywhere.withColumns({"lead": F.lit(True), "home": F.lit(False)}))
+    both = _with_grams(both.groupBy("component", "mine", "entity").agg(F.max("lead").alias("lead"), F.max("home").alias("home")), kept)
     key = F.xxhash64("component", "mine").cast("decimal(38,0)").alias("key")
-    cutup = both.select(key, "lead", "entity", "n", "grams").mapInArrow(tidy(_fragments(fragments)), "unit decimal(38,0), lead boolean, entity long, n long, elsewhere long, grams binary")
+    cutup = both.select(key, "lead", "home", "entity", "n", "grams").mapInArrow(tidy(_fragments(fragments)), "unit decimal(38,0), lead boolean, home boolean, entity long, n long, elsewhere long, grams binary")
     counted = cutup.repartition(n, "unit").sortWithinPartitions("unit", "entity").mapInArrow(tidy(_partial(percent)), "src long, dst long, got long, need long")
     pairs = counted.groupBy("src", "dst").agg(F.sum("got").alias("got"), F.first("need").alias("need"))
     return cut(pairs.where("got >= need").select("src", "dst"))
@@ -428,12 +433,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
 def representatives(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the smallest id, then the first place.
 
-    Rows without shingles stay. ``docs`` must read the same rows in the same order
-    each time, as a scan of files does: rows are told apart by their place.
+    Rows whose text is null, empty or blank have no shingles and stay; a null id
+    comes after all others; of repeated rows one stays; very long texts are read
+    whole; an empty table gives an empty result. Columns may have any names.
+    ``docs`` must read the same rows in the same order each time, as a scan of
+    files does: rows are told apart by their place.
     """
-    keyed = docs.withColumn("_place", F.monotonically_increasing_id())
-    found = jaccard_components(keyed, k, percent, "_place", text_col).select(F.col("doc_id").alias("_place"), "component_id")
-    ids = keyed.select("_place", F.col(id_col).alias("_id"))
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_place").alias("place"))
-    stay = ids.join(found, "_place").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.place").alias("_place"))
-    return keyed.join(stay, "_place", "left_semi").drop("_place")
+    keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
+    found = jaccard_components(keyed.select("place", F.col(f"row.`{text_col}`").alias("text")), k, percent, "place").select(F.col("doc_id").alias("place"), "component_id")
+    ids = keyed.select("place", F.col(f"row.`{id_col}`").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("place").alias("place"))
+    stay = ids.join(found, "place").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.place").alias("place"))
+    return keyed.join(stay, "place", "left_semi").select("row.*")

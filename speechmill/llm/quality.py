@@ -117,5 +117,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, in the same pass."""
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, in the same pass.
+
+    Null, empty and blank texts go, as they have too few words; ids are not read,
+    so null ids, ties and repeated rows are judged row by row; very long texts are
+    read whole; an empty table gives an empty result. Columns may have any names.
+    """
     return judged(docs, id_col, text_col, rules, min_words, max_repeat_percent).where("kept and place >= 0").select("row.*")

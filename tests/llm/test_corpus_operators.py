@@ -785,6 +785,34 @@ def test_jaccard_chains_over_blocks(docs, monkeypatch):
     assert len({c for _, c in got.values()}) == 3
 
 
+def overlapping(pairs, r, own=14, common=70):
+    """Pairs of about 0.9 that share 0.6 to 0.84 with each other: all their shingles are also others'."""
+    shared = [f"c{i}" for i in range(common)]
+    out = []
+    for p in range(pairs):
+        words = shared[: r.randint(common - 12, common)] + [f"p{p}w{i}" for i in range(own)]
+        out += [" ".join(words), " ".join([*words, f"q{p}"])]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 3, 4, 6])
+def test_jaccard_leaders_are_not_counted_twice(docs, monkeypatch, block):
+    """Leaders meet each other in every block of their group; each pair's overlap counts once."""
+    texts = overlapping(16, random.Random(31))
+    real = jaccard.jaccard_links
+    monkeypatch.setattr(jaccard, "jaccard_links", lambda *a, **k: real(*a, **k, block=block))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(texts)).collect()}
+    want = brute_components(texts)
+    assert got == want and len({c for _, c in want.values()}) > 1
+
+
+def test_jaccard_groups_above_a_block_in_production_form(docs):
+    texts = overlapping(400, random.Random(32))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(texts)).collect()}
+    assert got == brute_components(texts) and len({c for _, c in got.values()}) == 400
+
+
 def test_jaccard_threshold_is_inclusive(docs):
     words = [f"w{i}" for i in range(103)]  # 100 shingles
     other = words[:-8] + [f"x{i}" for i in range(8)]  # 92 shared, 108 in all: 85.185 %

@@ -24,7 +24,7 @@ OPS = {
     "op9": lambda d: pitman_yor.lm_scores(d),
     "op10": lambda d: jaccard.jaccard_components(d),
 }
-NAMES = ["row", "key", "name", "part", "p", "words", "lines", "kept", "entity", "place", "block"]
+NAMES = ["row", "key", "name", "part", "p", "words", "lines", "kept", "entity", "place", "_place", "block"]
 
 
 @pytest.mark.parametrize("op", OPS)
@@ -50,10 +50,12 @@ def test_only_nulls(docs):
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, docs, stage):
-    d = docs(ROWS).withColumn("row", F.lit(1)).withColumn("place", F.lit(2))
+    d = docs(ROWS)
+    for n in ["row", "place", "_place", "key", "_id", "component_id", "entity", "id", "kept", "words", "lines"]:
+        d = d.withColumn(n, F.lit(n))
     out = stage(spark, d, "")
     if stage is not corpus_pipeline.sequences:
-        assert out.columns == d.columns
+        assert out.columns == d.columns and all(r._place == "_place" and r.place == "place" and r.row == "row" for r in out.collect())
         kept = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
         every = sorted((i is None, i or 0) for i, _ in ROWS)
         assert all(kept.count(x) <= every.count(x) for x in kept)
