@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from speechmill.llm import bpe, exact_dedup, jaccard, packing, pii, pitman_yor, quality, secrets, suffix_dedup, token_counts
-from speechmill.llm.common import documents
+from speechmill.llm import bpe, chat_forest, conversation_repair, exact_dedup, fill_in_middle, jaccard, packing, pii, pitman_yor, quality, secrets, suffix_dedup, token_counts
+from speechmill.llm.common import conversations, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir)
+    return conversation_repair.repair_audits(conversation_repair.damaged(rows), every=rows.select("conv_id").distinct())
+
+
+def op12_chat_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_forest.round_trip(rows.unionByName(more))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -71,4 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_chat_forest": op12_chat_forest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
