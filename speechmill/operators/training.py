@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechmill.functions import text as tx
 from speechmill.functions.portable import draw, order_key, uniform
 from speechmill.operators.sampling import sampled
+from speechmill.sources.shared import cut
 
 LONGEST_PAIR = 20.0
 
@@ -65,33 +67,120 @@ def epoch(train: DataFrame, seed: int, number: int, hard: int = 3, pairs: float
     return made.drop("hard")
 
 
+def _closes(lengths: np.ndarray, held: int, max_cells: int, max_items: int) -> int:
+    """How many of these items an open batch of ``held`` items takes before it closes; all if it stays open."""
+    ahead = lengths[: max(max_items - held, 0)]
+    over = np.flatnonzero(ahead * (held + 1 + np.arange(len(ahead))) > max_cells)
+    if held == 0:
+        over = over[over > 0]  # a batch has one item at least
+    return int(over[0]) if len(over) else min(len(ahead), len(lengths))
+
+
+def _runs(shards: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.flatnonzero(np.r_[shards[1:] != shards[:-1], True]) + 1
+    return list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True))
+
+
+def _walked(lengths: np.ndarray, held: int, max_cells: int, max_items: int, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """(items in the batch open at the end, batches closed) if ``held`` items are in the open batch at the start.
+
+    ``known`` has the same for a batch that begins at a place: walks soon meet one
+    that was there before, so all of them together are little more than one.
+    """
+    if not len(lengths):
+        return held, 0
+    at = _closes(lengths, held, max_cells, max_items)
+    if at == len(lengths):
+        return held + at, 0
+    path = []
+    while at not in known:
+        path.append(at)
+        took = _closes(lengths[at:], 0, max_cells, max_items)
+        if at + took == len(lengths):
+            known[at] = took, 0
+            break
+        at += took
+    for place in reversed(path):
+        if place not in known:
+            known[place] = known[at][0], known[at][1] + 1
+        at = place
+    return known[at][0], known[at][1] + 1
+
+
+def _read(batches_) -> tuple[np.ndarray, ...]:
+    cols = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches_]
+    return tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else ()
+
+
 def batches(rows: DataFrame, max_cells: int = 480, max_items: int = 24, seed: int = 0, jitter: bool = True, shards: int = 1) -> DataFrame:
     """(shard, batch, turn, pos, length): items by length with some jitter; a batch closes before its padded cells or items exceed a limit.
 
-    Each batch depends on the one before, so a shard, sorted by Spark, streams
-    through one task that holds the open batch's size. ``shards`` > 1 deals items
-    out by hash first: the passes are then independent, at the price of one
-    unfilled batch each. ``turn`` is a sort key that shuffles the batches.
+    Where a batch ends depends on where it began, but all that a range of the sorted
+    items needs to know of those before is how many items the open batch has: at
+    most ``max_items``. So each range, in parallel, says for each such number what
+    it leaves behind, these small maps are applied one after another on the driver
+    (``max_items`` numbers a partition), and each range numbers its batches. The
+    result is that of one pass over all items. ``shards`` > 1 deals items out by hash
+    first, and each shard has batches of its own. ``turn`` is a sort key that shuffles
+    the batches. Lengths have to be positive.
     """
+    if max_items < 1:
+        raise ValueError("a batch holds one item at least")
     key = F.col("length") + (uniform(seed, F.col("pos")) if jitter else F.lit(0.0))
     shard = F.pmod(F.xxhash64("pos"), F.lit(shards)).cast("int")
     queue = rows.select(shard.alias("shard"), key.alias("key"), F.col("pos").cast("bigint").alias("pos"), F.col("length").cast("bigint").alias("length"))
-    queue = queue.repartition(shards, "shard").sortWithinPartitions("shard", "key", "pos").select("shard", "pos", "length")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the ranges are drawn from a sample, so what they came out as is written down before it is read twice
+    queue = cut(queue.repartitionByRange(n, "shard", "key", "pos").sortWithinPartitions("shard", "key", "pos").select("shard", "pos", "length"))
+    queue = queue.select(F.spark_partition_id().alias("part"), "shard", "pos", "length")
+
+    def told(batches_):
+        import pyarrow as pa
+
+        found = _read(batches_)
+        if found:
+            part, shard_, _, lengths = found
+            ends = _runs(shard_)
+            first = lengths[: ends[0][1]]
+            known: dict = {}
+            maps = [_walked(first, held, max_cells, max_items, known) for held in range(max_items + 1)]
+            last = _walked(lengths[ends[-1][0] :], 0, max_cells, max_items, {}) if len(ends) > 1 else None
+            values = [[int(part[0])], [int(shard_[0])], [int(shard_[-1])], [[x for m in ([last] if last else maps) for x in m]]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["part", "first", "last", "state"])
+
+    starts: dict[int, tuple[int, int]] = {}
+    now, held, number = None, 0, 0
+    for r in sorted(queue.mapInArrow(told, "part int, first int, last int, state array<bigint>").collect()):  # a row for each partition
+        if r["first"] != now:
+            held, number = 0, 0
+        starts[r["part"]] = held, number
+        if r["first"] == r["last"]:
+            held, number = r["state"][2 * held], number + r["state"][2 * held + 1]
+        else:
+            held, number = r["state"]
+        now = r["last"]
 
     def run(batches_):
         import pyarrow as pa
 
-        now, number, held = None, -1, 0
+        now = None
         for b in batches_:
-            numbers = []
-            for s, length in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if s != now:
-                    now, number, held = s, 0, 0
-                elif length * (held + 1) > max_cells or held >= max_items:
-                    number, held = number + 1, 0
-                held += 1
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int32()), b.column(1), b.column(2)], ["shard", "batch", "pos", "length"])
+            part, shard_, pos, lengths = _read([b])
+            if not len(part):
+                continue
+            if now is None:
+                now, (held, number) = shard_[0], starts[int(part[0])]
+            numbers = np.empty(len(part), np.int64)
+            for a, e in _runs(shard_):
+                if shard_[a] != now:
+                    now, held, number = shard_[a], 0, 0
+                while a < e:
+                    took = _closes(lengths[a:e], held, max_cells, max_items)
+                    numbers[a : a + took] = number
+                    a, held = a + took, held + took
+                    if a < e:
+                        held, number = 0, number + 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard_, pa.int32()), pa.array(numbers, pa.int32()), pa.array(pos, pa.int64()), pa.array(lengths, pa.int64())], ["shard", "batch", "pos", "length"])
 
     dealt = queue.mapInArrow(run, "shard int, batch int, pos bigint, length bigint")
     return dealt.select("shard", "batch", order_key(seed, "batch", F.col("shard"), F.col("batch")).alias("turn"), "pos", "length")

@@ -231,6 +231,27 @@ def test_batches(spark, shards):
     assert all(len(b) <= 24 and (len(b) == 1 or max(b) * len(b) <= 480) for b in by.values())
 
 
+@pytest.mark.parametrize(("n", "shards", "cells", "items"), [(10**6, 1, 480, 24), (5000, 3, 480, 24), (300, 1, 1, 1), (300, 1, 10**9, 7), (3, 1, 480, 24)])
+def test_batches_equal_one_pass(spark, n, shards, cells, items):
+    rows = spark.range(n).select(F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(300)) + 1).alias("length"))
+    made = training.batches(rows, cells, items, shards=shards)
+    got = made.withColumn("key", F.col("length") + training.uniform(0, F.col("pos"))).select("shard", "key", "pos", "length", "batch").toPandas().sort_values(["shard", "key", "pos"])
+    now, want = None, []
+    for s, length in zip(got["shard"], got["length"], strict=True):
+        if s != now:
+            now, number, held = s, 0, 0
+        elif length * (held + 1) > cells or held >= items:
+            number, held = number + 1, 0
+        held += 1
+        want.append(number)
+    assert len(got) == n and got["batch"].tolist() == want
+
+
+def test_batches_have_no_stage_of_one_task(spark):
+    plan = training.batches(spark.range(1000).select(F.col("id").alias("pos"), F.col("id").alias("length")))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and training.batches(spark.range(0).select(F.col("id").alias("pos"), F.col("id").alias("length"))).collect() == []
+
+
 def test_weights(spark):
     base = spark.createDataFrame([("w", True, [1.0, 2.0]), ("n", False, [5.0]), ("only", True, [1.0])], "name string, is_float boolean, values array<double>")
     tuned = spark.createDataFrame([("w", [3.0, 2.0]), ("n", [9.0]), ("new", [0.0])], "name string, values array<double>")
