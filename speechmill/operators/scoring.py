@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechmill.functions import text as tx
 from speechmill.functions.distance import error_counts
-from speechmill.functions.portable import draw
-from speechmill.operators.sampling import dense
-
-#: Sums of so many groups are broadcast, some 40 bytes a group and system.
-FEW_GROUPS = 200_000
+from speechmill.operators.resampling import intervals
 
 
 def merged_systems(files: DataFrame) -> DataFrame:
@@ -90,48 +84,16 @@ def wrong_cells(cells_: DataFrame) -> DataFrame:
 
 
 def bootstrap(cells_: DataFrame, first: str, rounds: int = 2000, seed: int = 0, exact: bool = False) -> DataFrame:
-    """(system, low, high): 95 % interval of the difference to ``first``, resampling groups.
-
-    The rate is a ratio of sums, so each group is reduced to its sums first; a
-    round draws as many groups as there are, with replacement. Bounds are the
-    values at places int(0.025 rounds) and int(0.975 rounds) - 1 of the sorted
-    differences. Draws come from a hash of the round, or with ``exact`` from
-    Python's own generator over the sorted groups, for few groups.
-    """
-    spark = cells_.sparkSession
-    per = cells_.groupBy("group", "system").agg(F.sum("errors").alias("e"), F.sum("tokens").alias("t"))
-    base = per.where(F.col("system") == first).select("group", F.col("e").alias("ea"), F.col("t").alias("ta"))
-    both = per.where(F.col("system") != first).join(base, "group")
-    n = base.count()
-    if n <= FEW_GROUPS:
-        ranks = base.select("group", (F.row_number().over(Window.orderBy("group")) - 1).cast("bigint").alias("g"))  # a bounded number of rows
-    else:
-        ranks = dense(base.select("group"), "group", name="g")
-    sums = both.join(ranks, "group").select("system", "g", "e", "t", "ea", "ta")
-    if exact:
-        rng = random.Random(seed)
-        drawn = spark.createDataFrame([(r, g) for r in range(rounds) for g in rng.choices(range(n), k=n)], "round bigint, g bigint")
-    else:
-        drawn = spark.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("round"), draw(max(n, 1), seed, F.col("id")).alias("g"))
-    if n <= FEW_GROUPS:  # draws meet the sums where they are made, and only sums of rounds are shuffled
-        met = drawn.join(F.broadcast(sums), "g").withColumn("k", F.lit(1))
-    else:
-        met = drawn.groupBy("round", "g").agg(F.count(F.lit(1)).alias("k")).join(sums, "g")
-    total = lambda c: F.sum(F.col(c) * F.col("k"))
-    rated = met.groupBy("system", "round").agg((100.0 * total("e") / F.greatest(total("t"), F.lit(1)) - 100.0 * total("ea") / F.greatest(total("ta"), F.lit(1))).alias("d"))
-    ordered = rated.groupBy("system").agg(F.sort_array(F.collect_list("d")).alias("d"))  # a value for each round
-    return ordered.select("system", F.get("d", F.lit(int(0.025 * rounds))).alias("low"), F.get("d", F.lit(int(0.975 * rounds) - 1)).alias("high"))
+    """(system, low, high): 95 % interval of the difference to ``first``, resampling groups; see ``resampling.intervals``."""
+    tagged = cells_.select(F.lit("all").alias("subset"), "group", "system", "errors", "tokens")
+    return intervals(tagged, first, rounds, seed, exact).drop("subset")
 
 
 def subset_intervals(cells_: DataFrame, first: str, rounds: int = 2000, seed: int = 0, exact: bool = False, with_status: bool = True) -> DataFrame:
-    """(subset, system, low, high): :func:`bootstrap` of each subset over the groups that it has."""
-    tagged = cells_.withColumn("_tags", subset_tags(F.col("text"), F.col("status") if with_status else None))
-    names = ["all", "corrected", "latin", "no latin"] if with_status else ["all"]
-    out = None
-    for name in names:
-        one = bootstrap(tagged.where(F.array_contains("_tags", name)), first, rounds, seed, exact).select(F.lit(name).alias("subset"), "system", "low", "high")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(subset, system, low, high): :func:`bootstrap` of each subset over the groups that it has, all in one pass over the cells."""
+    tags = subset_tags(F.col("text"), F.col("status") if with_status else None)
+    tagged = cells_.select(F.explode(tags).alias("subset"), "group", "system", "errors", "tokens")
+    return intervals(tagged, first, rounds, seed, exact)
 
 
 def term_hits(labels: DataFrame, hyps: DataFrame, terms: DataFrame, systems: list[str]) -> DataFrame:

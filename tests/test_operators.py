@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from speechmill.functions.text import score_tokens
-from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
+from speechmill.operators import consensus, resampling, sampling, scoring, sessions, similarity, training
 from speechmill.operators.components import connected_components
 
 LOG = "seq long, v int, type string, id string, session string, audio string, seconds double, text string, dictated string, continues boolean"
@@ -174,6 +175,50 @@ def test_exact_bootstrap_repeats_pythons_draws(spark):
     assert (got.low, got.high) == (diffs[7], diffs[291])
 
 
+def many_groups(spark, n):
+    """(subset, group, system, errors, tokens) of n groups, and of a third of them."""
+    r = random.Random(9)
+    rows = [(tag, g, s, r.randint(0, 5), r.randint(1, 30)) for g in range(n) for s in ("x", "y", "z") for tag in (("all", "third") if g % 3 == 0 else ("all",))]
+    return spark.createDataFrame(rows, "subset string, group long, system string, errors int, tokens int").repartition(5)
+
+
+def test_blocks_of_groups_give_the_same_intervals(spark, monkeypatch):
+    """The two ways of drawing differ as two seeds do; neither depends on partitions, and all groups may be in one block."""
+    tagged = many_groups(spark, 900)
+    told = lambda rows: {(r.subset, r.system): (r.low, r.high) for r in rows.collect()}
+    few = [told(resampling.intervals(tagged, "x", 2000, seed)) for seed in (0, 1)]
+    monkeypatch.setattr(resampling, "FEW_GROUPS", 10)
+    for block in (64, 1 << 16):
+        monkeypatch.setattr(resampling, "BLOCK", block)
+        many = told(resampling.intervals(tagged, "x", 2000, 0))
+        assert many == told(resampling.intervals(tagged.repartition(2), "x", 2000, 0)) and many.keys() == few[0].keys()
+        for k, (low, high) in many.items():
+            width = few[0][k][1] - few[0][k][0]
+            assert abs(low - few[0][k][0]) < 0.12 * width and abs(high - few[0][k][1]) < 0.12 * width
+            assert abs(few[1][k][0] - few[0][k][0]) < 0.12 * width
+    monkeypatch.setattr(resampling, "FEW_GROUPS", 700)  # 300 of "third" are few, 900 are not
+    mixed = told(resampling.intervals(tagged, "x", 2000, 0))
+    assert {k: v for k, v in mixed.items() if k[0] == "third"} == {k: v for k, v in few[0].items() if k[0] == "third"}
+    with pytest.raises(ValueError, match="at most"):
+        resampling.intervals(tagged, "x", 10, exact=True)
+
+
+def test_draws_of_blocks_are_multinomial():
+    n, size, rounds = 1000, 64, 4000
+    counts = np.stack([resampling.falls(3, "all", n, rounds, b, size) for b in range(16)])
+    assert (counts.sum(0) == n).all()
+    for b in range(16):
+        p = (min((b + 1) * size, n) - b * size) / n
+        assert abs(counts[b].mean() - n * p) < 5 * (n * p * (1 - p) / rounds) ** 0.5
+        assert abs(counts[b].var() / (n * p * (1 - p)) - 1) < 0.12
+    assert (resampling.falls(3, "all", 5, 7, 0, 64) == 5).all()
+
+
+def test_bootstrap_of_nothing(spark):
+    none = many_groups(spark, 2).where("group > 5")
+    assert resampling.intervals(none, "x").collect() == [] and scoring.bootstrap(none, "x").columns == ["system", "low", "high"]
+
+
 def test_terms(spark):
     labels, hyps = scored(spark)
     terms = spark.createDataFrame([(0, "two"), (1, "好吗"), (2, "zz")], "pos long, term string")
