@@ -175,7 +175,7 @@ def label(spark: SparkSession, a: argparse.Namespace) -> None:
         raise SystemExit(f"the review names utterances that are not in the export: {unknown}")
     judged = consensus.graded(rows.join(consensus.hypothesis_lists(hyps), "id"), review)
     labels = sessions.chains(judged.where("outcome in ('A', 'B')")).withColumn("tokens", score_tokens(F.col("text")))
-    grouped = similarity.balanced_folds(similarity.group_labels(labels), a.folds, a.seed)
+    grouped = similarity.balanced_folds(similarity.label_groups(labels), a.folds, a.seed)
     out = grouped.select("pos", "id", "session", "audio", "seconds", "text", "grade", "source", "joins", F.col("group").cast("int").alias("group"), "fold")
     files.write_jsonl(out, os.path.join(a.work, "labels.jsonl"), "pos")
     files.write_report(consensus.review_blocks(judged), os.path.join(a.work, "review.txt"))
@@ -189,7 +189,7 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         work, specs = a.args[0], a.args[1:]
         labels = files.numbered(spark, os.path.join(work, "labels.jsonl"), schemas.LABELS).withColumnRenamed("seq", "pos")
-        rows = labels.where(F.instr(F.lit(a.grade), F.col("grade")) > 0).join(_utterances(spark, work).select("id", "status"), "id")
+        rows = scoring.with_status(labels.where(F.instr(F.lit(a.grade), F.col("grade")) > 0), _utterances(spark, work))
     systems = [s.partition("=")[0] for s in specs]
     hyps = None
     for s in specs:

@@ -31,17 +31,26 @@ def error_counts(ref: Column, hyp: Column) -> Column:
     return F.struct(token_distance(ref, hyp).alias("errors"), F.size(ref).alias("tokens"))
 
 
+#: So many distinct tokens of a table can be told apart as characters, numbered in so many buckets.
+CHARACTERS, BUCKETS = 0x100000, 64
+
+
+def few_tokens(rows: DataFrame, tokens: str) -> bool:
+    """Whether :func:`intern_tokens` has a character for every distinct token."""
+    words = rows.select(F.explode(tokens).alias("token")).distinct().groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return ((words.agg(F.max("n")).first()[0] or 0) + 1) * BUCKETS <= CHARACTERS
+
+
 def intern_tokens(rows: DataFrame, key: str, tokens: str, out: str = "coded") -> DataFrame:
     """(key, tokens, coded): every distinct token of the table is one character of ``coded``.
 
     The dictionary is numbered by rank within hash buckets, so no task sees it
-    whole. At most about a million distinct tokens can be told apart; more raise
-    an error when the result is read.
+    whole. At most about a million distinct tokens can be told apart, see
+    :func:`few_tokens`; more raise an error when the result is read.
     """
-    buckets = 64
-    words = rows.select(F.explode(tokens).alias("token")).distinct().withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    ranked = words.withColumn("number", F.row_number().over(Window.partitionBy("bucket").orderBy("token")).cast("bigint") * buckets + F.col("bucket"))
-    ranked = ranked.withColumn("letter", F.when(F.col("number") < 0x100000, _character(F.col("number"))).otherwise(F.raise_error(F.lit("more distinct tokens than characters"))))
+    words = rows.select(F.explode(tokens).alias("token")).distinct().withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)))
+    ranked = words.withColumn("number", F.row_number().over(Window.partitionBy("bucket").orderBy("token")).cast("bigint") * BUCKETS + F.col("bucket"))
+    ranked = ranked.withColumn("letter", F.when(F.col("number") < CHARACTERS, _character(F.col("number"))).otherwise(F.raise_error(F.lit("more distinct tokens than characters"))))
     placed = rows.select(key, F.posexplode(tokens).alias("at", "token")).join(ranked.select("token", "letter"), "token")
     coded = placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "letter"))), lambda x: x["letter"]), "").alias(out))
     return rows.join(coded, key, "left").withColumn(out, F.coalesce(out, F.lit("")))

@@ -37,6 +37,14 @@ def require_complete(labels: DataFrame, hyps: DataFrame, systems: list[str]) ->
         raise ValueError(f"incomplete systems: {told}")
 
 
+def with_status(labels: DataFrame, utterances: DataFrame, most: int = 5) -> DataFrame:
+    """Labels with the ``status`` of their utterance; raises ValueError if one has none, naming the first ``most`` by ``pos``."""
+    lost = [r[0] for r in labels.join(utterances, "id", "left_anti").select("id", "pos").orderBy("pos").limit(most).collect()]
+    if lost:
+        raise ValueError(f"labels without an utterance: {', '.join(map(str, lost))}")
+    return labels.join(utterances.select("id", "status"), "id")
+
+
 def without_digits(labels: DataFrame, hyps: DataFrame) -> DataFrame:
     """Labels with a token whose transcripts, in every system, have no digit."""
     wrote = hyps.where(tx.has_digit(F.col("hyp"))).select("id").distinct()

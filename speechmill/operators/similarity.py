@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechmill.functions.distance import intern_tokens, near
+from speechmill.functions.distance import few_tokens, intern_tokens, near, token_distance
 from speechmill.operators.components import connected_components
 from speechmill.sources.shared import cut
 
@@ -21,35 +19,103 @@ def forms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return both.select("pos", F.explode("forms").alias("form"))
 
 
-def _similar_forms(rows: DataFrame, threshold: float, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
-    """(x, y) of distinct forms that are similar, and (form_id, member) of all keys; a form's id is its least key.
+#: A power of two: forms that one key may have. A form's id is that times its least key, and a number.
+FORMS = 16
+#: Pairs of a frequent piece that one task compares at most.
+PAIRS = 5_000_000
+
+
+def _pieces(uniq: DataFrame) -> DataFrame:
+    """(form_id, len, kind, at, piece): every token (kind 0) and every two neighbours (kind 1 at even places, 2 at odd ones) of a form, hashed."""
+    at = F.posexplode("form").alias("at", "token")
+    token = uniq.select("form_id", "len", "form", at)
+    following = F.get("form", F.col("at") + 1)
+    both = F.array(
+        F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit(1), "token").alias("piece")),
+        F.struct((F.col("at") % 2 + 1).alias("kind"), F.xxhash64(F.lit(2), "token", following).alias("piece")),
+    )
+    return token.select("form_id", "len", "at", F.explode(F.filter(both, lambda x: (x["kind"] == 0) | following.isNotNull())).alias("p")).select("form_id", "len", "at", "p.kind", "p.piece")
+
 
-    A pair within the threshold shares a token among each side's rarest ``len -
-    ceil((1 - threshold) len) + 1`` numbered tokens (repeats are told apart), and
-    lies in one band of lengths or in two neighbours, so only those meet.
+def _signatures(pieces: DataFrame, threshold: float) -> DataFrame:
+    """(form_id, len, most, at, piece, times) of the index: ``most`` + 1 pieces of each form that do not overlap.
+
+    ``most`` edits touch ``most`` of them, so a form within that distance has one
+    of them unchanged. Any such pieces will do: of the tokens, the pairs at even and
+    those at odd places, a form takes those whose most + 1 rarest ones are rarest in all.
     """
+    most = F.floor(F.lit(float(threshold)) * F.col("len")).cast("int")
+    dear = F.coalesce("times", F.when(F.col("kind") == 0, 2).otherwise(1).cast("bigint"))
+    forms_ = pieces.withColumn("most", most).where("most > 0").groupBy("form_id", "len", "most").agg(F.collect_list(F.struct(dear.alias("dear"), "at", "piece", "times", "kind")).alias("all"))  # of one form
+
+    def best(kind: int) -> Column:
+        return F.slice(F.array_sort(F.filter("all", lambda x: x["kind"] == kind)), 1, F.col("most") + 1)
+
+    ways = F.array(*[F.struct(F.aggregate(F.transform(best(k), lambda x: x["dear"]), F.lit(0).cast("bigint"), lambda t, x: t + x).alias("dear"), F.lit(-k).alias("kind"), best(k).alias("chosen")) for k in range(3)])
+    chosen = F.array_min(F.filter(ways, lambda w: F.size(w["chosen"]) > F.col("most")))["chosen"]
+    return forms_.select("form_id", "len", "most", F.explode(chosen).alias("p")).select("form_id", "len", "most", "p.at", "p.piece", "p.times")
+
+
+def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
+    """(x, y, piece, row, col) of forms that have a piece of x's signature in common, at places that so few edits allow; x is the longer one.
+
+    Pieces that more than one in ``share`` places have are few enough to be broadcast
+    with their numbers. Forms avoid them where they can. Where they cannot, the
+    signatures and the places of such a piece are the rows and columns of a grid whose
+    cells, of ``PAIRS`` pairs at most, are dealt to tasks; where no signature has it
+    its places are left out.
+    """
+    pieces = _pieces(uniq)
+    counts = cut(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times")))
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    often = counts.where((F.col("times") * share > total) & (F.col("times") > 1))  # at most ``share`` rows
+    index = cut(_signatures(pieces.join(F.broadcast(often), "piece", "left"), threshold))
+    taken = index.where("times is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("signed"), F.first("times").alias("times"))
+    cells = F.ceil(F.col("signed") * F.col("times") / F.lit(float(min(max(total // 1000, 1000), PAIRS))))
+    cols = F.least(F.ceil(F.sqrt(cells * F.col("times") / F.col("signed"))), cells)
+    grid = cut(taken.select("piece", F.ceil(cells / cols).cast("int").alias("rows"), cols.cast("int").alias("cols")))
+    idle = often.join(grid, "piece", "left_anti").select("piece")
+
+    def dealt(rows: DataFrame, id_: str, at: str, own: str, other: str) -> DataFrame:
+        """A row's own line of the grid, and every line that crosses it."""
+        one = lambda c: F.coalesce(c, F.lit(1))
+        placed = rows.join(F.broadcast(grid), "piece", "left").withColumn(own, F.pmod(F.xxhash64(id_, at), one(F.col(f"{own}s"))).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), one(F.col(f"{other}s")) - 1))).drop("rows", "cols")
+
+    signed = dealt(index.drop("times"), "form_id", "at", "row", "col")
+    probes = pieces.join(F.broadcast(idle), "piece", "left_anti").select(F.col("form_id").alias("y"), F.col("len").alias("m"), F.col("at").alias("q"), "piece")
+    met = signed.join(dealt(probes, "y", "q", "col", "row"), ["piece", "row", "col"])
+    longer = (F.col("len") > F.col("m")) | ((F.col("len") == F.col("m")) & (F.col("form_id") > F.col("y")))
+    shift, gap = F.col("at") - F.col("q"), F.col("len") - F.col("m")
+    fits = (gap <= F.col("most")) & (F.abs(shift) + F.abs(gap - shift) <= F.col("most"))  # edits before the piece, and after it
+    return met.where(longer & fits).select(F.col("form_id").alias("x"), "y", "piece", "row", "col")
+
+
+def _similar_forms(rows: DataFrame, threshold: float, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of distinct forms that are similar, and (form_id, member) of all keys; see :func:`least_key` for a form's id."""
     distinct = rows.where(F.size(tokens) > 0).select(F.col(tokens).alias("form"), key).distinct()
-    uniq = distinct.groupBy("form").agg(F.min(key).alias("form_id"))
+    least = distinct.groupBy("form").agg(F.min(key).alias("least"))
+    nth = F.row_number().over(Window.partitionBy("least").orderBy("form")) - 1  # a key has two forms: its own and the whole sentence
+    number = F.when(nth < FORMS, F.col("least") * FORMS + nth).otherwise(F.raise_error(F.lit("a key has too many forms")))
+    uniq = cut(least.select("form", number.cast("bigint").alias("form_id"), F.size("form").alias("len")))
     members = distinct.join(uniq, "form").select("form_id", F.col(key).alias("member"))
-    coded = intern_tokens(uniq, "form_id", "form").withColumn("len", F.size("form"))
-    token = coded.select("form_id", "len", F.posexplode("form").alias("at", "token"))
-    nth = F.row_number().over(Window.partitionBy("form_id", "token").orderBy("at"))
-    token = token.withColumn("token", F.concat_ws("#", "token", nth.cast("string")))
-    rarity = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("form_id").orderBy("df", "token"))
-    shared = F.ceil(F.lit(1 - threshold) * F.col("len") - F.lit(1e-9))
-    prefix = token.join(rarity, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("len") - shared + 1).select("form_id", "len", "token")
-    prefix = prefix.withColumn("band", F.floor(F.log("len") / -math.log(1 - threshold - 1e-6)))
-    a = prefix.alias("a")
-    b = prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
-    fits = F.abs(F.col("a.len") - F.col("b.len")) <= F.lit(float(threshold)) * F.greatest("a.len", "b.len")
-    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.form_id") > F.col("b.form_id")) & fits
-    candidates = a.join(b, met).select(F.col("a.form_id").alias("x"), F.col("b.form_id").alias("y")).distinct()
-    code = coded.select("form_id", "coded")
-    found = candidates.join(code.toDF("x", "cx"), "x").join(code.toDF("y", "cy"), "y").where(near(F.col("cx"), F.col("cy"), threshold)).select("x", "y")
+    candidates = _met(uniq, threshold).select("x", "y").distinct()
+    if few_tokens(uniq, "form"):
+        code = intern_tokens(uniq, "form_id", "form").select("form_id", "coded")
+        close = near(F.col("cx"), F.col("cy"), threshold)
+    else:  # more than there are characters: each pair is interned by itself
+        code = uniq.select("form_id", F.col("form").alias("coded"))
+        longest = F.greatest(F.size("cx"), F.size("cy"))
+        close = token_distance(F.col("cx"), F.col("cy")) <= F.floor(F.lit(float(threshold)) * longest)
+    found = candidates.join(code.toDF("x", "cx"), "x").join(code.toDF("y", "cy"), "y").where(close).select("x", "y")
     return found, members
 
 
+def least_key(form_id: Column) -> Column:
+    """The least key of those that have a form."""
+    return F.shiftright(form_id, FORMS.bit_length() - 1)
+
+
 def similar_pairs(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tokens: str = "form") -> DataFrame:
     """(i, j), i > j: keys of which two forms are within ``threshold`` of the longer one's tokens.
 
@@ -65,8 +131,8 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tok
 def similar_links(rows: DataFrame, threshold: float = 0.3, key: str = "pos", tokens: str = "form") -> DataFrame:
     """(src, dst) with the components of :func:`similar_pairs`: a link for each pair of similar forms, and one for each member of a form."""
     found, members = _similar_forms(rows, threshold, key, tokens)
-    own = members.where("form_id <> member").select(F.col("form_id").alias("src"), F.col("member").alias("dst"))
-    return found.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(own)
+    own = members.select(least_key(F.col("form_id")).alias("src"), F.col("member").alias("dst"))
+    return found.select(least_key(F.col("x")).alias("src"), least_key(F.col("y")).alias("dst")).unionByName(own).where("src <> dst")
 
 
 def group_labels(rows: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -94,6 +160,19 @@ def exact_group_roots(edges: list[tuple[int, int]], n: int) -> list[int]:
     return [root(i) for i in range(n)]
 
 
+def label_groups(rows: DataFrame, threshold: float = 0.3, exact_rows: int = 2000) -> DataFrame:
+    """:func:`group_labels`, whose ids up to ``exact_rows`` rows are places in the order of ``pos`` as unions in row-major order leave them."""
+    places = [r[0] for r in rows.select("pos").orderBy("pos").limit(exact_rows + 1).collect()]
+    if len(places) > exact_rows:
+        return group_labels(rows, threshold)
+    at = {p: i for i, p in enumerate(places)}
+    together = rows.select("session", F.col("pos").alias("i")).join(rows.select("session", F.col("pos").alias("j")), "session").where("i > j").select("i", "j")
+    edges = similar_pairs(forms(rows), threshold).unionByName(together).distinct().collect()  # of so few rows
+    roots = exact_group_roots([(at[e["i"]], at[e["j"]]) for e in edges], len(places))
+    named = rows.sparkSession.createDataFrame(list(zip(places, roots, strict=True)), "pos long, group long")
+    return rows.join(F.broadcast(named), "pos")
+
+
 def balanced_folds(rows: DataFrame, k: int, seed: int = 0, order: list | None = None) -> DataFrame:
     """Adds ``fold``: groups by falling seconds, each to the lightest fold (the first of equals).
 

@@ -211,6 +211,12 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return similarity.group_labels(rows).select("pos", "group")
 
 
+def utterance_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of all utterances, by session or by what was said, alone or with the parts that it carries on."""
+    rows = sessions.chains(ad.utterances(spark, d)).withColumn("tokens", tx.score_tokens(F.col("text")))
+    return similarity.group_labels(rows.select("pos", "id", "session", "joins", "tokens")).select("pos", "group")
+
+
 def _folded(spark: SparkSession, d: str) -> DataFrame:
     return similarity.balanced_folds(ad.utterances(spark, d), 5)
 
@@ -409,6 +415,6 @@ QUERIES = {
         status_counts_minutes, continuation_chain, consensus_grade, label_counts, review_report, near_duplicate_pairs, duplicate_groups, balanced_folds, fold_report, leak_check,
         test_dev_split, replay_sample, held_out_split, training_items, epoch_plan, batch_plan, ctc_greedy, lfr_stack, cmvn, gain_clip, peak_norm, step_shift, feature_mask, lr_schedule,
         weight_mix, lora_merge, normalized_documents, script_rates, subset_intervals, jsonl_round_trip, map_files, review_file, term_file, manifest_grades, wave_files, span_mask, piece_texts,
-        trainable_items, block_choice,
+        trainable_items, block_choice, utterance_groups,
     )
 }

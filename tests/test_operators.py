@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from speechmill.functions import distance
 from speechmill.functions.text import score_tokens
 from speechmill.operators import consensus, resampling, sampling, scoring, sessions, similarity, training
 from speechmill.operators.components import connected_components
@@ -119,6 +120,60 @@ def test_similar_pairs_and_groups(spark):
     assert similarity.exact_group_roots([(3, 0), (3, 1)], 4)[3] == 1  # the last union decides the root
 
 
+def spoken(n, r, common=1):
+    """Sentences that all begin with the same tokens, near copies among them, some carried on by the next."""
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for i in range(n):
+        if out and r.random() < 0.3:
+            tokens = [w if r.random() > 0.15 else r.choice(words) for w in r.choice(out)[2]]
+            tokens = tokens[: r.randint(max(len(tokens) - 2, 1), len(tokens))]
+        else:
+            tokens = ["the"] * common + [r.choice(words) for _ in range(r.choice([0, 1, 2, 3, 5, 9, 14, 22]))]
+        out.append((i, f"s{i // 3}", tokens, [f"{i - 1}"] if i % 3 and r.random() < 0.4 else []))
+    return [(i, str(i), s, t, j) for i, s, t, j in out]
+
+
+ROWS = "pos long, id string, session string, tokens array<string>, joins array<string>"
+
+
+def brute_pairs(rows, threshold=0.3):
+    by = {r[1]: r[3] for r in rows}
+    every = [[r[3], [w for j in r[4] for w in by[j]] + r[3]] for r in rows]
+    return {(i, j) for i in range(len(rows)) for j in range(i) if any((n := max(len(a), len(b))) and abs(len(a) - len(b)) <= threshold * n and brute_distance(a, b) <= threshold * n for a in every[i] for b in every[j])}
+
+
+@pytest.mark.parametrize(("common", "few"), [(1, True), (6, True), (2, False)])
+def test_similar_sentences_with_joins_and_a_token_in_all_rows(spark, monkeypatch, common, few):
+    rows = spoken(150, random.Random(common), common)
+    if not few:
+        monkeypatch.setattr(distance, "CHARACTERS", 64)  # the dictionary does not fit: pairs are interned by themselves
+    df = spark.createDataFrame(rows, ROWS)
+    real = similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda u, t: real(u, t, 20))  # pieces of a twentieth of all places are split
+    expected = brute_pairs(rows)
+    assert {(x.i, x.j) for x in similarity.similar_pairs(similarity.forms(df)).collect()} == expected and len(expected) > 30
+    near_ = expected | {(i, j) for i in range(150) for j in range(i) if rows[i][2] == rows[j][2]}
+    roots = similarity.exact_group_roots(sorted(near_), len(rows))
+    assert [r.group for r in similarity.label_groups(df).orderBy("pos").collect()] == roots
+    groups = [r.group for r in similarity.label_groups(df, exact_rows=10).orderBy("pos").collect()]
+    least = {}
+    for i, x in enumerate(roots):
+        least.setdefault(x, i)
+    assert groups == [least[x] for x in roots]
+
+
+def test_no_task_gets_all_places_of_a_frequent_token(spark):
+    """A token that all rows begin with, and many rows of nothing but frequent tokens."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    lists = [["the", "a"] + [r.choice(words) for _ in range(r.randint(2, 12))] for _ in range(3000)] + [["the"] * n for n in range(4, 40)]
+    uniq = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lists)], "form_id long, form array<string>, len int")
+    met = similarity._met(uniq, 0.3).groupBy("piece", "row", "col").agg(F.count(F.lit(1)).alias("n")).collect()
+    pairs = sum(x.n for x in met)
+    assert max(x.n for x in met) < 0.02 * max(pairs, 5000) and pairs < 3000 * 30  # of 4.6 million pairs
+
+
 def test_joined_forms_group(spark):
     rows = spark.createDataFrame([(0, "a-00", "a", "one two".split(), []), (1, "a-01", "a", "three four".split(), ["a-00"]), (2, "b-00", "b", "one two three four".split(), []), (3, "c-00", "c", "quite other".split(), [])], "pos long, id string, session string, tokens array<string>, joins array<string>")
     assert {r.pos: r.group for r in similarity.group_labels(rows).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
@@ -175,6 +230,16 @@ def test_exact_bootstrap_repeats_pythons_draws(spark):
     assert (got.low, got.high) == (diffs[7], diffs[291])
 
 
+def test_a_label_without_an_utterance_is_refused(spark):
+    labels = spark.createDataFrame([(i, f"u{i}", "t") for i in range(9)], "pos long, id string, text string")
+    utterances = spark.createDataFrame([(f"u{i}", "accepted", "t") for i in range(12)], "id string, status string, text string")
+    assert scoring.with_status(labels, utterances).columns == ["id", "pos", "text", "status"] and scoring.with_status(labels, utterances).count() == 9
+    with pytest.raises(ValueError, match="u0, u2, u3$"):
+        scoring.with_status(labels, utterances.where("id not in ('u0', 'u2', 'u3')"))
+    with pytest.raises(ValueError, match="u0, u1, u2, u3, u4$"):
+        scoring.with_status(labels, utterances.where("id = 'u11'"))
+
+
 def many_groups(spark, n):
     """(subset, group, system, errors, tokens) of n groups, and of a third of them."""
     r = random.Random(9)
