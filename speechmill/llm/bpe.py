@@ -111,6 +111,59 @@ class MergeAutomaton:
         return path
 
 
+def plain_lower(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
+
+
+class Characters:
+    """Lower case and classes of characters as the tokenizer's library has them, which goes by a Unicode version of its own.
+
+    The library is asked once for every character that turns up. Texts of
+    characters that Python's tables treat alike are left to these.
+    """
+
+    #: What stands for a letter, a number, white space and anything else where classes differ.
+    STANDS = ("é", "٣", " ", "¤")
+
+    def __init__(self, path: str) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.own = [regex.compile(x) for x in (r"\p{L}", r"\p{N}", f"[{SPACE}]")]
+        self.lowered, self.known = set(map(chr, range(128))), set(map(chr, range(128)))
+        self.strange: set[str] = set()  # not lowered or composed alike
+        self.odd: dict[int, str] = {}  # classed otherwise
+
+    def normalized(self, text: str) -> str:
+        """The text composed and in lower case."""
+        found = set(text)
+        for c in found - self.lowered:
+            if unicodedata.category(c) == "Cn" or self.normalize(c) != (" " if self.own[2].match(c) else plain_lower(c)):
+                self.strange.add(c)
+        self.lowered |= found
+        return plain_lower(text) if self.strange.isdisjoint(found) else self.normalize(text)
+
+    def kinds(self, text: str) -> str:
+        """The text itself, or one in which each character that is classed otherwise is one of its class."""
+        found = set(text)
+        for c in found - self.known:
+            kind = self.kind(c)
+            if kind != next((k for k, x in enumerate(self.own) if x.match(c)), 3):
+                self.odd[ord(c)] = self.STANDS[kind]
+        self.known |= found
+        return text.translate(self.odd) if any(chr(c) in found for c in self.odd) else text
+
+    def kind(self, c: str) -> int:
+        """0 a letter, 1 a number, 2 white space, 3 anything else: by how the library splits it."""
+        if not self.split(c):
+            return 2
+        if len(self.split("a" + c)) == 1:
+            return 0
+        return 1 if len(self.split(c + c)) == 2 else 3
+
+
 class WordBpe:
     """A tokenizer file with white space dropped, lower case and an end-of-word suffix."""
 
@@ -128,6 +181,7 @@ class WordBpe:
             self.labels[i] = s
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.characters = Characters(path)
         self.symbols = byte_symbols()
         self.cache: dict[str, bytes] = {}
         self.size = cache
@@ -137,9 +191,12 @@ class WordBpe:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> list[bytes]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
-        found = self.words.findall(text.lower())
+        if text.isascii():
+            found = self.words.findall(text.lower())
+        else:
+            text = self.characters.normalized(text)
+            kinds = self.characters.kinds(text)
+            found = self.words.findall(text) if kinds is text else [text[m.start() : m.end()] for m in self.words.finditer(kinds)]
         out = list(map(self.cache.get, found))
         if None in out:
             cache = self.cache

@@ -470,6 +470,18 @@ def test_bpe_equals_the_library(corpus):
     assert mine.decode(np.array([1 << 30, 5], "<u4").tobytes()) == library.decode([5], skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    """Assigned or not, between two letters, after a number, doubled, and with combining marks."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), bpe.WordBpe(path)
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c >= 0xE0000 and c < 0xE0400 or c % 61 == 0)]
+    for at in range(0, len(every), 500):
+        text = " ".join(f"a{chr(c)}B 1{chr(c)}{chr(c)}\u0301" for c in every[at : at + 500])
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(every[at])
+
+
 def test_bpe_round_trip_frames(docs, corpus):
     path = P.path("word_bpe_49k.json")
     coded = bpe.bpe_encode(docs(corpus[:10]), path)
