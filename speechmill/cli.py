@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from speechmill import schemas
 from speechmill.functions.text import score_tokens
 from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
-from speechmill.sources import archive, audio, files, fingerprint
+from speechmill.sources import archive, audio, files, fingerprint, zipped
 from speechmill.sources.recognizers import FakeRecognizer, transcribed
 
 
@@ -27,7 +27,9 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
-    root = os.path.realpath(a.source) if os.path.isdir(a.source) else archive.extract(a.source, os.path.join(a.work, "export"))
+    root = os.path.realpath(a.source if os.path.isdir(a.source) else os.path.join(a.work, "export"))
+    if not os.path.isdir(a.source):
+        zipped.unpack(spark, a.source, root)
     log = _log(spark, os.path.join(root, "log.jsonl"))
     there = archive.listed(spark, root).where(sessions.inside(F.col("audio")))
     kept, dropped = sessions.utterances(log, there)

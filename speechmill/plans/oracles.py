@@ -171,6 +171,10 @@ ORACLES: dict[str, str] = {
     "term_file": f"SELECT pos, term FROM (SELECT unnest(range({len(TERMS)})) + 1 AS pos, {squash(f'unnest({list(TERMS)})')} AS term) UNION ALL SELECT {len(TERMS) + 2}, 'mixedcase'",
     "manifest_grades": "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(source, doc_id::VARCHAR) ELSE doc_id::VARCHAR END AS \"group\", CASE WHEN doc_id % 5 = 0 THEN coalesce(lang, '-') ELSE '-' END AS grade FROM documents",
     "wave_files": f"WITH {WAVES}, s AS (SELECT vec_id, list_transform(wave, lambda x: greatest(-32768, least(32767, round_even(x * 32768, 0)))::BIGINT) AS s FROM w) SELECT vec_id, len(s)::DOUBLE AS samples, list_sum(s)::BIGINT AS total, list_max(s) AS top, count(*) OVER () AS files FROM s",
+    "phrase_texts": """WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark), p AS (SELECT DISTINCT array_to_string(w[1:k], ' ') AS phrase FROM w, range(1, 4) r(k)),
+      q AS (SELECT '(' || string_agg(regexp_escape(phrase), '|' ORDER BY length(phrase) DESC, phrase) || ')' AS pattern FROM p WHERE phrase <> '')
+      SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(text, pattern, '[\\1]', 'g') AS t FROM documents, q)""",
+    "zip_files": "SELECT doc_id // 500 AS archive, 'texts/' || source || '/' || doc_id || '.txt' AS name, octet_length(encode(text)) AS bytes, md5(text) AS digest FROM documents",
     "span_mask": f"WITH {FRAMES}, m AS (SELECT vec_id, flatten(list_transform(fr, lambda x, t: CASE WHEN t - 1 >= vec_id % 7 AND t - 1 < vec_id % 7 + vec_id % 5 THEN [0.0, 0.0, 0.0, 0.0]::DOUBLE[] ELSE x END)) AS f FROM f) SELECT vec_id, {ends('f')} FROM m",
     "piece_texts": f"WITH {FRAMES} SELECT vec_id, trim(replace(array_to_string(list_transform(fr, lambda x: (['▁so', 'und', '▁', 's'])[list_position(x, list_max(x))]), ''), '▁', ' ')) AS text FROM f",
     "trainable_items": f"WITH {U} SELECT id, len({tokens('text')}) > 0 AND floor(seconds * 3) >= len({tokens('text')}) AS usable FROM u",

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmill.functions import signal, text as tx
-from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
+from speechmill.operators import consensus, frontend, phrases, sampling, scoring, sessions, similarity, training
 from speechmill.plans import adapters as ad
-from speechmill.sources import audio, files
+from speechmill.sources import audio, files, zipped
 from speechmill.sources.shared import checkpoint_dir
 
 FIRST = "small"
@@ -74,6 +74,15 @@ def normalized_documents(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "documents").select("doc_id", F.md5(tx.app_normalize(F.concat(F.lit("  "), F.col("text"), F.lit(" \n")))).alias("digest"))
 
 
+def phrase_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which the first word, two and three words of every benchmark text are put in brackets, the longest where several fit."""
+    first = F.split("text", " ")
+    heads = ad.table(spark, d, "benchmark").select(F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.array_join(F.slice(first, F.lit(1), k), " "))).alias("phrase"))
+    table = heads.select("phrase", F.concat(F.lit("["), "phrase", F.lit("]")).alias("replacement"))
+    done = phrases.converted(ad.table(spark, d, "documents").select("doc_id", "text"), table)
+    return done.select("doc_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
+
+
 # scoring
 
 def script_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +297,8 @@ def map_files(spark: SparkSession, d: str) -> DataFrame:
     """A system of two map files, the second of which overrides the first."""
     rows, path = ad.utterances(spark, d), _folder(spark)
     heard = ad.hypotheses(rows, lossy=False).where("system = 'small'")
-    files.write_map(heard, f"{path}/a")
-    files.write_map(heard.join(rows.where("continues").select("id"), "id", "left_semi").withColumn("hyp", F.lower("hyp")), f"{path}/b")
+    files.write_map(heard, f"{path}/a", single=False)
+    files.write_map(heard.join(rows.where("continues").select("id"), "id", "left_semi").withColumn("hyp", F.lower("hyp")), f"{path}/b", single=False)
     merged = scoring.merged_systems(files.read_system(spark, f"mine={path}/a,{path}/b"))
     return merged.select("system", "id", F.md5("hyp").alias("digest"))
 
@@ -317,12 +326,33 @@ def manifest_grades(spark: SparkSession, d: str) -> DataFrame:
 def wave_files(spark: SparkSession, d: str) -> DataFrame:
     """Vectors written as 16-bit waves and read again: sums of their steps."""
     rows, path = ad.waves(spark, d).select(F.col("vec_id").cast("string").alias("name"), "wave"), _folder(spark)
-    written = audio.write_waves(rows, path.removeprefix("file:")).agg(F.count(F.lit(1))).first()[0]
+    written = audio.write_waves(rows, path).agg(F.count(F.lit(1))).first()[0]
     read = audio.read_waves(spark, path)
     steps = F.transform("wave", lambda v: F.round(v.cast("double") * 32768).cast("bigint"))
     return read.select(F.regexp_extract("path", "([^/]+)[.]wav$", 1).cast("bigint").alias("vec_id"), _r(F.col("seconds") * audio.RATE).alias("samples"), F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.array_max(steps).alias("top"), F.lit(written).cast("bigint").alias("files"))
 
 
+def zip_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed into archives of up to 500 texts and read back, entry by entry."""
+    docs, path = ad.table(spark, d, "documents"), _folder(spark)
+    rows = docs.select(F.expr("doc_id div 500").alias("archive"), F.concat(F.lit("texts/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.col("text").alias("content"))
+    zipped.write_archives(rows, path).agg(F.count(F.lit(1))).collect()
+    read = zipped.read_entries(spark, path)
+    return read.select(F.regexp_extract("archive", "([0-9]+)[.]zip$", 1).cast("bigint").alias("archive"), "name", "bytes", F.md5("content").alias("digest"))
+
+
+def wave_features(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as stereo files of 8 kHz, resampled, turned into log-mel frames, stacked and normalised: sums of all frames."""
+    rows, path = ad.waves(spark, d).select(F.col("vec_id").cast("string").alias("name"), F.flatten(F.array_repeat("wave", 60)).alias("wave")), _folder(spark)
+    audio.write_waves(rows, path, rate=8000, channels=2).agg(F.count(F.lit(1))).collect()
+    read = audio.read_waves(spark, path, convert=True).select(F.regexp_extract("path", "([^/]+)[.]wav$", 1).cast("bigint").alias("vec_id"), "seconds", "wave")
+    made = frontend.log_mel(read, "wave", "mel")
+    shift, scale = (F.transform(F.sequence(F.lit(1), F.lit(560)), lambda i: i / F.lit(x)) for x in (560.0, 1120.0))
+    stacked = made.select("vec_id", F.col("seconds"), F.size("mel").cast("bigint").alias("frames"), F.explode(signal.lfr_stack(F.col("mel"))).alias("f"))
+    summed = stacked.select("vec_id", "seconds", "frames", F.aggregate(signal.cmvn(F.col("f"), shift, scale), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    return summed.groupBy("vec_id", "frames").agg(F.round(F.max("seconds"), 3).alias("seconds"), F.count(F.lit(1)).alias("stacked"), F.round(F.sum("s"), 1).alias("total"))
+
+
 # arrays
 
 def span_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -415,6 +445,6 @@ QUERIES = {
         status_counts_minutes, continuation_chain, consensus_grade, label_counts, review_report, near_duplicate_pairs, duplicate_groups, balanced_folds, fold_report, leak_check,
         test_dev_split, replay_sample, held_out_split, training_items, epoch_plan, batch_plan, ctc_greedy, lfr_stack, cmvn, gain_clip, peak_norm, step_shift, feature_mask, lr_schedule,
         weight_mix, lora_merge, normalized_documents, script_rates, subset_intervals, jsonl_round_trip, map_files, review_file, term_file, manifest_grades, wave_files, span_mask, piece_texts,
-        trainable_items, block_choice, utterance_groups,
+        trainable_items, block_choice, utterance_groups, zip_files, wave_features, phrase_texts,
     )
 }

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechmill import schemas
 from speechmill.functions import text as tx
+from speechmill.sources.objects import read_objects
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -37,14 +39,11 @@ def write_jsonl(rows: DataFrame, path: str, order: str | None = None) -> None:
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def _stem(prefix: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), f"^{prefix}(.*)\\.json$", 1)
-
-
 def read_maps(spark: SparkSession, paths: str | list[str], prefix: str = "hyp_") -> DataFrame:
     """(system, id, hyp) of files that hold one JSON object each, id to transcript; the file's name tells the system."""
-    whole = spark.read.text(paths, wholetext=True).select(_stem(prefix).alias("system"), F.from_json("value", "map<string,string>").alias("m"))
-    return whole.select("system", F.explode("m").alias("id", "hyp"))
+    found = read_objects(spark, [paths] if isinstance(paths, str) else paths)
+    stem = F.regexp_extract(F.regexp_extract("path", f"{re.escape(prefix)}[^/]*\\.json", 0), f"^{re.escape(prefix)}(.*)\\.json$", 1)
+    return found.select(stem.alias("system"), F.col("key").alias("id"), F.col("value").alias("hyp"))
 
 
 def read_system(spark: SparkSession, spec: str) -> DataFrame:
@@ -54,16 +53,29 @@ def read_system(spark: SparkSession, spec: str) -> DataFrame:
         raise ValueError(f"not a system: {spec!r}; it takes name=path[,path...]")
     parts = None
     for k, path in enumerate(paths.split(",")):
-        one = spark.read.text(path, wholetext=True).select(F.lit(name).alias("system"), F.lit(k).alias("ord"), F.explode(F.from_json("value", "map<string,string>")).alias("id", "hyp"))
+        one = read_objects(spark, [path]).select(F.lit(name).alias("system"), F.lit(k).alias("ord"), F.col("key").alias("id"), F.col("value").alias("hyp"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
 
-def write_map(rows: DataFrame, path: str, id_: str = "id", text: str = "hyp", pos: str | None = None) -> None:
-    """One JSON object, id to transcript: what the engine's map readers take, and so one file and one row by its format."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(pos or id_).alias("o"), F.col(id_).alias("k"), F.coalesce(text, F.lit("")).alias("v"))))
-    whole = rows.agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"], e["v"])))).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+def write_map(rows: DataFrame, path: str, id_: str = "id", text: str = "hyp", pos: str | None = None, single: bool = True) -> None:
+    """A JSON object, id to transcript, with an entry a line; ids have to be distinct.
+
+    With ``single`` one task writes all lines, in the order of the ids (of ``pos``, if
+    given), as one file; else each file of the folder has a range of them, and all of
+    them, one after another, are the object. No task holds more than a line.
+    """
+    key = F.col(pos or id_)
+    quoted = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)  # noqa: E731 - of an array of one text
+    told = rows.select(key.alias("o"), F.to_json(F.array(F.col(id_).cast("string"))).alias("k"), F.to_json(F.array(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("v"))
+    told = told.select("o", F.concat(quoted(F.col("k")), F.lit(": "), quoted(F.col("v"))).alias("value"))
+    spark, n = rows.sparkSession, 1 if single else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = told.agg(F.min("o").alias("least"))
+    lines = told.crossJoin(F.broadcast(least)).select(F.lit(1).alias("part"), "o", F.concat(F.when(F.col("o") == F.col("least"), "").otherwise(","), "value").alias("value"))  # one row
+    ends = spark.createDataFrame([(0, "{"), (2, "}")], "part int, value string").select("part", F.lit(None).cast(told.schema["o"].dataType).alias("o"), "value")
+    every = lines.unionByName(ends)
+    dealt = every.coalesce(1).sortWithinPartitions("part", "o") if single else every.repartitionByRange(n, "part", "o").sortWithinPartitions("part", "o")
+    dealt.select("value").write.mode("overwrite").text(path)
 
 
 def read_reviewed(spark: SparkSession, path: str) -> DataFrame:

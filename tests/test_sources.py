@@ -1,5 +1,7 @@
 import json
 import os
+import random
+import struct
 import zipfile
 
 import numpy as np
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechmill import cli, schemas
-from speechmill.sources import archive, audio, files, fingerprint
+from speechmill.operators import frontend, phrases
+from speechmill.sources import archive, audio, features, files, fingerprint, objects, store, zipped
 from speechmill.sources.recognizers import FakeRecognizer, transcribed
 from speechmill.streaming.status import live_states, log_stream
 
@@ -77,6 +80,162 @@ def test_archive(tmp_path):
     assert (tmp_path / "good" / "d" / "e.txt").read_bytes() == b"x" and root.endswith("good")
 
 
+def test_archives_are_read_where_tasks_run(spark, tmp_path):
+    rows = [(a, f"d/{k:03d}.txt", bytes([a]) * k) for a in (1, 2) for k in range(200)] + [(3, "only.bin", None), (None, "lost", b"x")]
+    made = zipped.write_archives(spark.createDataFrame(rows, "archive int, name string, content binary"), str(tmp_path / "z"))
+    assert {(r.archive, r.entries) for r in made.collect()} == {("1", 200), ("2", 200), ("3", 1)}
+    read = zipped.read_entries(spark, str(tmp_path / "z"), limit=60)
+    assert read.rdd.getNumPartitions() > 20
+    got = {(int(r.archive[-5]), r.name, bytes(r.content), r.bytes) for r in read.collect()}
+    assert got == {(a, n, c or b"", len(c or b"")) for a, n, c in rows if a}
+    listing = zipped.read_entries(spark, str(tmp_path / "z" / "2.zip"), content=False).collect()
+    assert len(listing) == 200 and all(r.content is None and r.bytes == int(r.name[2:5]) for r in listing)
+    whole = spark.createDataFrame([("x/1.zip", (tmp_path / "z" / "1.zip").read_bytes())], "path string, content binary").mapInArrow(zipped._whole(True, (1000, 10**6)), zipped.SCHEMA)
+    assert {(r.name, bytes(r.content)) for r in whole.collect()} == {(n, c) for a, n, c in rows if a == 1}
+    assert zipped.unpack(spark, str(tmp_path / "z" / "1.zip"), str(tmp_path / "out")) == 200
+    assert (tmp_path / "out" / "d" / "007.txt").read_bytes() == b"\x01" * 7
+    assert not store.reaches("nosuch://host/a.zip") and store.reaches(f"file:{tmp_path}/z")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    assert zipped.read_entries(spark, str(tmp_path / "none.zip")).collect() == []
+
+
+def test_archives_that_are_refused(spark, tmp_path):
+    def pack(*names):
+        with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+            for n in names:
+                z.writestr(n, b"12345")
+        return str(tmp_path / "a.zip")
+
+    for names, limits in ((("fine", "../x"), {}), (("/x",), {}), (("a", "b"), {"most_files": 1}), (("a", "b"), {"most_bytes": 9})):
+        with pytest.raises(Exception, match="not an export"):
+            zipped.unpack(spark, pack(*names), str(tmp_path / "out"), **limits)
+        assert not (tmp_path / "out").exists()  # all is judged before the first is written
+    (tmp_path / "out").mkdir()
+    os.symlink(str(tmp_path), str(tmp_path / "out" / "link"))
+    with pytest.raises(Exception, match="links lead out"):
+        zipped.unpack(spark, pack("link/x"), str(tmp_path / "out"))
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    data[data.index(b"12345")] = 0x39
+    (tmp_path / "a.zip").write_bytes(bytes(data))
+    with pytest.raises(Exception, match="CRC|checksum"):
+        zipped.read_entries(spark, str(tmp_path / "a.zip")).collect()
+
+
+TEXT = ["a", '"', "\\", ",", ":", "{", "}", " ", "é", "🙂", "\n", '", "', '": "', "null", ']:[', "[x]"]
+
+
+def test_objects_in_ranges_of_any_size():
+    r = random.Random(1)
+    some = lambda: "".join(r.choice(TEXT) for _ in range(r.randint(0, 12)))
+    for _ in range(600):
+        d = {some() + str(i): r.choice([some(), some(), None]) for i in range(r.randint(0, 6))}
+        text = json.dumps(d, ensure_ascii=r.random() < 0.5, indent=r.choice([None, 0, 2]), separators=r.choice([None, (",", ":")])).encode()
+        for limit in (1, 3, 7, 1000):
+            got, state = [], objects.PLAIN
+            for a in range(0, len(text), limit):
+                step = r.choice([1, 2, 5, 100])
+                got += objects.entries(iter([text[x : x + step] for x in range(a, len(text), step)]), state, min(limit, len(text) - a))
+                state = objects.ends_in(text[a : a + limit], state)
+            assert got == list(d.items()) and state == objects.PLAIN
+    for bad in (b'{"a": 1, "b": "c"}', b'["a", "b"]', b'{"a": {"b": "c"}}', b'{"a": "b'):
+        with pytest.raises(ValueError):
+            list(objects.entries(iter([bad]), objects.PLAIN, len(bad)))
+
+
+def test_large_maps_without_a_row_that_holds_them(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    rows = [(f"{r.choice(TEXT)}{i}", None if i % 50 == 0 else r.choice(TEXT) + r.choice(TEXT), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, hyp string, pos long").repartition(7)
+    for single in (False, True):
+        path = str(tmp_path / f"hyp_m{single}.json")
+        files.write_map(df, path, pos="pos", single=single)
+        parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
+        assert (len(parts) == 1) == single
+        text = "".join(open(os.path.join(path, p), encoding="utf-8").read() for p in parts)
+        assert list(json.loads(text).items()) == [(i, h or "") for i, h, _ in rows]
+        assert {(x.system, x.id, x.hyp) for x in files.read_maps(spark, path).collect()} == {(f"m{single}", i, h or "") for i, h, _ in rows}
+    (tmp_path / "one.json").write_text(text, encoding="utf-8")
+    got = objects.read_objects(spark, [str(tmp_path / "one.json")], 1000)
+    assert got.rdd.getNumPartitions() > 20 and {(x.key, x.value) for x in got.collect()} == {(i, h or "") for i, h, _ in rows}
+    monkeypatch.setattr(objects.store, "reaches", lambda path: False)
+    assert {(x.id, x.hyp) for x in files.read_system(spark, f"s={tmp_path}/one.json").collect()} == {(i, h or "") for i, h, _ in rows}
+    files.write_map(df.where("pos < 0"), str(tmp_path / "none.json"), single=False)
+    assert files.read_system(spark, f"s={tmp_path}/none.json").collect() == []
+
+
+def riff(tag, channels, rate, bits, data, extended=False):
+    head = struct.pack("<HHIIHH", 0xFFFE if extended else tag, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+    head += struct.pack("<HHIH14s", 22, bits, 0, tag, b"\0" * 14) if extended else b""
+    body = b"WAVE" + b"LIST" + struct.pack("<I", 3) + b"odd\0" + b"fmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_waves_of_any_width_and_rate(spark, tmp_path):
+    x = np.round(np.sin(np.arange(800) / 9) * 100) / 128
+    forms = {
+        "u8": riff(1, 1, 8000, 8, (x * 128 + 128).astype(np.uint8).tobytes()), "i16": riff(1, 2, 8000, 16, np.repeat((x * 32768).astype("<i2"), 2).tobytes()),
+        "i24": riff(1, 1, 8000, 24, b"".join(int(v * 2**23).to_bytes(3, "little", signed=True) for v in x), True), "i32": riff(1, 1, 8000, 32, (x * 2**31).astype("<i4").tobytes()),
+        "f32": riff(3, 1, 8000, 32, x.astype("<f4").tobytes()), "f64": riff(3, 1, 8000, 64, x.astype("<f8").tobytes(), True),
+    }
+    for name, data in forms.items():
+        got, rate = audio.decode_any(data)
+        assert rate == 8000 and np.allclose(got, x, atol=1e-6), name
+        (tmp_path / f"{name}.wav").write_bytes(data)
+    for bad in (b"", b"RIFF", riff(7, 1, 8000, 8, b"x"), riff(1, 1, 8000, 12, b"xxxx"), riff(1, 0, 8000, 16, b""), b"RIFF\0\0\0\0WAVEdata\0\0\0\0"):
+        with pytest.raises(ValueError):
+            audio.decode_any(bad)
+    read = audio.read_waves(spark, str(tmp_path), convert=True).collect()
+    assert len(read) == 6 and all(len(r.wave) == 1600 and r.seconds == 0.1 for r in read)
+    assert np.ptp([r.wave for r in read], axis=0).max() < 1e-5  # all forms of one wave
+    with pytest.raises(Exception, match="8000 Hz"):
+        audio.read_waves(spark, str(tmp_path)).collect()
+
+
+def test_front_end_in_the_plan(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(0, 0.1, int(n)).tolist(), [0.9, 1.0, 1.1][i % 3]) for i, n in enumerate(r.integers(100, 9000, 40))] + [(99, None, 1.0)]
+    df = spark.createDataFrame(rows, "pos long, wave array<float>, factor double")
+    made = {x.pos: x.mel for x in frontend.log_mel(df).collect()}
+    for i, x, _ in rows:
+        want = None if x is None else features.log_mel(np.array(x, np.float32))
+        assert (made[i] is None) == (want is None) and (want is None or (len(made[i]) == len(want) and (not len(want) or np.allclose(made[i], want))))
+    fast = {x.pos: x.wave for x in frontend.at_speed(df.where("pos < 99"), "factor").collect()}
+    assert all(np.allclose(fast[i], features.speed(np.array(x, np.float32), f)) for i, x, f in rows if x)
+    prompt = np.full((4, 80), 2.0, np.float32)
+    seen = []
+    for b in frontend.padded_batches(frontend.log_mel(df), prompt, frames="mel").collect():
+        cells = np.frombuffer(b.data, "<f4").reshape(len(b.keys), -1, b.width)
+        assert len(b.keys) <= 24 and (len(b.keys) == 1 or len(b.keys) * (cells.shape[1] - 4) <= 480) and cells.shape[1] == max(b.lengths)
+        for k, n, m in zip(b.keys, b.lengths, cells, strict=True):
+            seen.append(k)
+            assert n == len(made[k]) + 4 and np.allclose(m[:4], 2.0) and np.allclose(m[4:n], made[k]) and not m[n:].any()
+    assert sorted(seen) == sorted(i for i, m in made.items() if m)
+
+
+def test_phrases_against_a_plain_longest_match(spark):
+    r = random.Random(4)
+    table = {"".join(r.choice("abc軟體") for _ in range(r.randint(1, 5))): "".join(r.choice("xyz软件") for _ in range(r.randint(0, 3))) for _ in range(40)}
+    texts = ["".join(r.choice("abc軟體 d") for _ in range(r.randint(0, 40))) for _ in range(300)] + [None, "", "計程車"]
+
+    def plain(t):
+        out, at = "", 0
+        while at < len(t):
+            n = next((n for n in range(len(t) - at, 0, -1) if t[at : at + n] in table), 0)
+            out += table[t[at : at + n]] if n else t[at]
+            at += n or 1
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("more", F.lit(1))
+    given = spark.createDataFrame([*table.items(), *list(table.items())[:3], (None, "x"), ("", "y")], "phrase string, replacement string")
+    got = phrases.converted(rows, given)
+    assert got.columns == ["id", "text", "more"]
+    assert {x.id: x.text for x in got.collect()} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="more than one replacement"):
+        phrases.converted(rows, given.unionByName(spark.createDataFrame([(next(iter(table)), "other")], "phrase string, replacement string")))
+    assert phrases.converted(rows, given.where("false")).where("id = 302").first().text == "計程車"
+
+
 def test_waves(spark, tmp_path):
     x = np.round(np.sin(np.arange(16000) / 9) * 8000) / 32768
     (tmp_path / "a.wav").write_bytes(audio.encode_wav(x))
@@ -85,7 +244,7 @@ def test_waves(spark, tmp_path):
     assert len(got) == 1 and got[0].seconds == 1.0 and np.allclose(got[0].wave, x)
     with pytest.raises(Exception):
         audio.read_waves(spark, str(tmp_path / "b.wav")).collect()
-    with pytest.raises(ValueError, match="16 kHz"):
+    with pytest.raises(ValueError, match="8000 Hz"):
         audio.decode_wav(audio.encode_wav(x, 8000))
     out = audio.write_waves(spark.createDataFrame([("n", [0.5, -0.5])], "name string, wave array<double>"), str(tmp_path / "w")).collect()
     assert np.allclose(audio.decode_wav(open(out[0].audio, "rb").read()), [0.5, -0.5])
