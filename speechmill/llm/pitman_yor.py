@@ -6,11 +6,10 @@ restaurant, whose base is uniform over the vocabulary and one unknown token. A
 word u2 that is more than one in ``HOT`` tokens has not one restaurant but a few,
 dealt by u1, so that no task gets all that follows it; how many, exact counts say.
 
-Seatings are sampled by Gibbs. In a sweep all customers of a dish leave and are
-seated again, one after another, given the other dishes as the sweep found them;
-the tables of (u1, u2) are the customers of u2. Every draw is a hash of the dish,
-the sweep and the step, so a score does not depend on partitions, nor on the
-order of rows. While the sweeps run, the unigram restaurant stands as if every
+Seatings are sampled by Gibbs. In a sweep the number of tables of each dish is drawn
+from its conditional, given the other dishes as the sweep found them (``seating``);
+the tables of (u1, u2) are the customers of u2. Every draw is a hash of the dish
+and the sweep, so a score does not depend on partitions, nor on the order of rows. While the sweeps run, the unigram restaurant stands as if every
 token had its own table: exact for words of more than one in ``FREQUENT`` tokens,
 whose counts are broadcast, and by the mean of the others for those. It is then
 seated from the tables of all restaurants, for each sample anew. The predictive
@@ -33,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from speechmill.llm.common import cut, groups_of, id_text, packed, partitions, rows_of, tidy, unpacked
+from speechmill.llm.seating import tables
 from speechmill.llm.shingles import mix, word_hashes
 from speechmill.sources.shared import discard, release
 
@@ -189,53 +189,15 @@ def _frequent(n: int):
     return run
 
 
-def drawn(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Binomial numbers by inversion of uniform ones; where more than 30 are expected, rounded normal ones."""
-    k = np.zeros(len(u), np.int64)
-    mean = n * p
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmf = np.exp(n * np.log1p(-p))
-        odds = p / (1 - p)
-    cdf = pmf.copy()
-    live = np.flatnonzero((u > cdf) & (mean <= 30) & (p < 1))
-    while len(live):
-        k[live] += 1
-        pmf[live] *= (n[live] - k[live] + 1) / k[live] * odds[live]
-        cdf[live] += pmf[live]
-        live = live[(u[live] > cdf[live]) & (k[live] < n[live])]
-    wide = np.flatnonzero((mean > 30) & (p < 1))
-    if len(wide):  # the sum of twelve uniform numbers, from the bits of one
-        m = mix(np.repeat((u[wide] * 2.0**53).astype(np.uint64), 12).reshape(-1, 12) + np.arange(1, 13, dtype=np.uint64) * _STEP)
-        z = (m >> np.uint64(11)).astype(np.float64).sum(1) * 2.0**-53 - 6
-        k[wide] = np.clip(np.rint(mean[wide] + z * np.sqrt(mean[wide] * (1 - p[wide]))), 0, n[wide]).astype(np.int64)
-    k[p >= 1] = n[p >= 1]
-    return k
-
-
 def seated(key: np.ndarray, c: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, sweep: int) -> np.ndarray:
-    """Tables after seating c customers of one dish one after another.
+    """Tables of dishes with c customers each, drawn from their conditional; see ``seating.tables``.
 
     ``others`` are the tables of the restaurant's other dishes, ``parent`` is the
-    probability of the dish above. A customer opens a table with the mass
-    (strength + discount * tables) * parent against what those before hold. After
-    32 customers a step takes a thirty-second of those seated.
+    probability of the dish above. The draw is a hash of the dish and the sweep.
     """
-    t = (c > 0).astype(np.int64)
-    live = np.flatnonzero(c > 1)
-    sat, step = np.ones(len(live), np.int64), 0
-    fixed = strength + discount * others
-    while len(live):
-        more = np.minimum(np.maximum(sat // 32, 1), c[live] - sat)
-        now = t[live]
-        a = (fixed[live] + discount * now) * parent[live]
-        p = a / (a + sat - discount * now)
-        turn = np.uint64(((sweep + 1) * int(_SWEEP) + (step + 1) * int(_STEP)) % 2**64)
-        u = (mix(key[live] + turn) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        t[live] = now + np.where(more > 1, drawn(u, more, p), u < p)
-        sat = sat + more
-        left = sat < c[live]
-        live, sat, step = live[left], sat[left], step + 1
-    return t
+    turn = np.uint64(((sweep + 1) * int(_SWEEP) + int(_STEP)) % 2**64)
+    u = (mix(key + turn) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return tables(u, np.asarray(c, np.int64), strength + discount * np.asarray(others, np.float64), np.asarray(parent, np.float64), discount)
 
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from speechmill.llm import bpe, exact_dedup, jaccard, packing, pii, pitman_yor, quality, secrets, suffix_dedup, token_counts
+from speechmill.llm import bpe, exact_dedup, jaccard, packing, pii, pitman_yor, quality, seating, secrets, suffix_dedup, token_counts
 from speechmill.llm.nets import CharCnn
 from speechmill.llm.shingles import shingle_set, word_hashes
 
@@ -621,16 +621,30 @@ def plain_model(rows, d, s, burn, samples):
             key = plain_mix((key + (plain_mix((u1 + sweep_) & M) & (buckets - 1)) + 1) & M)
         return key
 
+    ways = {}
+
+    def divide(c, disc):
+        """Logarithms of the ways to divide c customers over 1 to c tables, by the recurrence."""
+        if (disc, c) not in ways:
+            row = ways.get((disc, c - 1)) or [0.0]
+            start = max((k for x, k in ways if x == disc and k < c), default=1)
+            row = ways.setdefault((disc, start), [0.0] if start == 1 else row)
+            for k in range(start + 1, c + 1):
+                stay = [x + math.log(k - 1 - disc * (i + 1)) for i, x in enumerate(row)]
+                row = [np.logaddexp(stay[i] if i < len(stay) else -math.inf, row[i - 1] if i else -math.inf) for i in range(k)]
+                ways[disc, k] = row
+        return ways[disc, c]
+
     def seat(key, c, others, parent, disc, strength, sweep):
-        t, sat, k = 1, 1, 0
-        while sat < c:
-            more = min(max(sat // 32, 1), c - sat)
-            a = (strength + disc * (others + t)) * parent
-            p = a / (a + sat - disc * t)
-            u = (plain_mix((key + (sweep + 1) * sweep_ + (k + 1) * step) & M) >> 11) * 2.0**-53
-            t += int(u < p) if more == 1 else int(pitman_yor.drawn(np.array([u]), np.array([more]), np.array([p]))[0])
-            sat, k = sat + more, k + 1
-        return t
+        u = (plain_mix((key + (sweep + 1) * sweep_ + step) & M) >> 11) * 2.0**-53
+        if c > seating.EXACT:
+            return seating.many(u, c, strength + disc * others, parent, disc)
+        log, weights = 0.0, []
+        for t, x in enumerate(divide(c, disc)):
+            log += math.log((strength + disc * (others + t)) * parent)
+            weights.append(log + x)
+        weights = np.exp(np.array(weights) - max(weights))
+        return 1 + int((np.cumsum(weights)[:-1] <= u * weights.sum()).sum())
 
     c3 = collections.Counter()
     for t in train:
@@ -733,17 +747,52 @@ def test_pitman_yor_is_the_same_for_any_partitioning(spark, docs, corpus, parts,
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def stirling_row(c, d):
+    """The recurrence in whole fractions, for tests of any size."""
+    row = np.zeros(1)
+    for k in range(2, c + 1):
+        row = np.logaddexp(np.r_[row + np.log(k - 1 - d * np.arange(1, k)), -np.inf], np.r_[-np.inf, row])
+    return row
+
+
+@pytest.mark.parametrize(("c", "others", "parent", "d"), [(20, 50, 0.1, 0.8), (30, 200, 0.05, 0.8), (20, 5, 0.01, 0.85), (2, 3, 0.5, 0.5), (300, 40, 0.2, 0.85), (3000, 50, 0.1, 0.85), (3000, 20000, 0.05, 0.6), (3000, 2, 1e-4, 0.8), (3000, 10**6, 0.3, 0.8)])
+def test_mean_tables_equal_enumeration(c, others, parent, d):
+    t = np.arange(1, c + 1)
+    w = np.cumsum(np.log((1.0 + d * (others + t - 1)) * parent)) + stirling_row(c, d)
+    p = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    n = 40000 if c <= seating.EXACT else 400
+    got = seating.tables((np.arange(n) + 0.5) / n, np.full(n, c), np.full(n, 1.0 + d * others), np.full(n, parent), d)
+    mean, deviation = (p * t).sum(), ((p * t * t).sum() - (p * t).sum() ** 2) ** 0.5
+    assert abs(got.mean() - mean) < 0.01 * mean and abs(got.std() - deviation) < 0.05 * deviation + 0.02
+
+
+def test_seating_by_enumeration_of_all_partitions():
+    """Every way to seat six customers, each one's table chosen by its probability, against the draws."""
+    c, others, parent, d, s = 6, 4, 0.3, 0.7, 1.5
+    weight = collections.Counter()
+
+    def seat(sizes, left, w):
+        if not left:
+            weight[len(sizes)] += w
+            return
+        seat([*sizes, 1], left - 1, w * (s + d * (others + len(sizes))) * parent)
+        for k, x in enumerate(sizes):
+            seat([*sizes[:k], x + 1, *sizes[k + 1 :]], left - 1, w * (x - d))
+
+    seat([], c, 1.0)
+    n = 100_000
+    got = collections.Counter(seating.tables((np.arange(n) + 0.5) / n, np.full(n, c), np.full(n, s + d * others), np.full(n, parent), d).tolist())
+    assert all(abs(got[t] / n - weight[t] / sum(weight.values())) < 2e-5 for t in range(1, c + 1))
+
+
 def test_seating():
     c = np.array([0, 1, 2, 50, 5000, 10**6])
-    key = np.arange(6, dtype=np.uint64)
-    one = lambda k, c, parent=0.5: pitman_yor.seated(k, c, np.full(len(c), 3.0), np.full(len(c), parent), 0.5, 2.0, 0)
-    t = one(key, c)
+    t = pitman_yor.seated(np.arange(6, dtype=np.uint64), c, np.full(6, 3), np.full(6, 0.5), 0.5, 2.0, 0)
     assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and (t <= c).all()
-    mean = one(np.arange(40000, dtype=np.uint64), np.full(40000, 2)).mean()
-    assert abs(mean - (1 + 2.0 / 2.5)) < 0.01  # the second customer opens a table with a / (a + 1 - 0.5), a = (2 + 0.5 * 4) * 0.5
-    for n, p in ((5, 0.3), (40, 0.02), (400, 0.5)):
-        k = pitman_yor.drawn(np.random.default_rng(1).random(40000), np.full(40000, n), np.full(40000, p))
-        assert abs(k.mean() - n * p) < 0.05 * n * p and abs(k.var() - n * p * (1 - p)) < 0.1 * n * p
+    exact = stirling_row(2000, 0.7) + np.array([math.lgamma(x + 1) for x in range(1, 2001)]) + np.arange(1, 2001) * math.log(0.7) - math.lgamma(2001)
+    off = seating.log_sums(2000, np.arange(1, 2001), 0.7) - exact
+    assert np.abs(off[: int(1.5 * 2000**0.7)]).max() < 1e-8  # the integral
+    assert np.abs(off).max() < 0.12 and np.abs(np.diff(off))[:-40].max() < 1e-3  # the saddle point: off by a factor that hardly changes from t to t
 
 
 # 10
