@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from speechmill import schemas
 from speechmill.functions.text import score_tokens
-from speechmill.operators import consensus, sampling, scoring, sessions, similarity, training
+from speechmill.operators import consensus, passes, sampling, scoring, sessions, similarity, training
 from speechmill.sources import archive, audio, files, fingerprint, zipped
 from speechmill.sources.recognizers import FakeRecognizer, transcribed
 
@@ -154,12 +154,43 @@ def cross_validate(spark: SparkSession, a: argparse.Namespace) -> None:
     inputs = [os.path.join(d, n) for d, _, names in os.walk(labels_path) for n in names if n.startswith("part-")] or [labels_path]
     fingerprint.claim(a.out, fingerprint.digest(spark, inputs, {"recognizer": a.recognizer, "seed": a.seed, "percent": a.percent, "column": a.column}))
     labels = files.read_jsonl(spark, labels_path, schemas.LABELS)
-    for fold in fingerprint.pending(a.out, range(a.folds)):
-        rows = transcribed(labels.where(F.col("fold") == fold), recognizer(a), a.column)
-        whole = rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "hyp")))))).first()[0]  # one fold of one speaker's labels, as its file holds it
-        fingerprint.finish(a.out, fold, whole)
-    merged = {k: v for fold in range(a.folds) for k, v in json.load(open(os.path.join(a.out, f"fold{fold}.json"), encoding="utf-8")).items()}
-    print(f"{len(merged)} transcripts of {a.folds} folds")
+    folds = sorted({int(k) for k in a.only.split(",")}) if a.only else list(range(a.folds))
+    for fold in fingerprint.pending(a.out, folds):
+        files.write_object(transcribed(labels.where(F.col("fold") == fold), recognizer(a), a.column), os.path.join(a.out, f"fold{fold}.json"))
+    paths = [os.path.join(a.out, f"fold{fold}.json") for fold in folds]
+    print(f"{files.read_system(spark, 'all=' + ','.join(paths)).count()} transcripts of {len(folds)} folds")
+    if a.stock:
+        rows = files.numbered(spark, labels_path, schemas.LABELS).withColumnRenamed("seq", "pos").where(F.col("grade") == "A")
+        hyps = scoring.merged_systems(files.read_system(spark, f"stock={a.stock}").unionByName(files.read_system(spark, f"fine-tuned={','.join(paths)}")))
+        if a.only:  # with some folds only their ids were transcribed, on purpose
+            rows = scoring.complete(rows, hyps, ["stock", "fine-tuned"])
+        else:
+            scoring.require_complete(rows, hyps, ["stock", "fine-tuned"])
+        scoring.subset_rates(scoring.cells(rows, hyps), with_status=False).orderBy("subset", "system").show(truncate=False)
+
+
+def train(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The plan of a training: all epochs, batch by batch with their learning rates, and the options; ``--trainer`` is then given both."""
+    training.train_spec(a.train)
+    labels = files.numbered(spark, os.path.join(a.work, "labels.jsonl"), schemas.LABELS).withColumnRenamed("seq", "pos")
+    made = training.items(training.selected(labels, a.grades, a.holdout), a.holdout).persist()
+    rows = made.where("split = 'train'").withColumn("first", F.element_at("ids", 1)).withColumn("n", F.size("ids")).withColumnRenamed("pos", "at")
+    rows = sampling.dense(rows, "at", "n", "first").drop("at", "n", "first", "split")
+    pool = spark.read.schema(schemas.REPLAY).json(a.replay) if a.replay else None
+    plan = passes.training_plan(rows, a.epochs, a.seed, a.hard, a.pairs, pool, a.replay_ratio, a.max_cells).withColumn("lr", F.col("factor") * a.lr)
+    plan.write.mode("overwrite").partitionBy("epoch").parquet(os.path.join(a.out, "plan"))
+    made.where("split = 'held'").write.mode("overwrite").parquet(os.path.join(a.out, "held"))
+    counts = {r["split"]: r for r in made.groupBy("split").agg(F.count(F.lit(1)).alias("n"), (F.sum("seconds") / 60).alias("minutes")).collect()}
+    made.unpersist()
+    known, held = (counts.get(k) for k in ("train", "held"))
+    print(f"{known['n'] if known else 0} items to train on ({known['minutes'] if known else 0:.1f} min), {held['n'] if held else 0} held out, {pool.count() if pool is not None else 0} to rehearse")
+    evaluated = sorted({int(e) for e in a.eval_epochs.split(",") if e} | {a.epochs})
+    options = {k: v for k, v in vars(a).items() if k not in ("run", "command")} | {"items": known["n"] if known else 0, "evaluated": evaluated}
+    with open(os.path.join(a.out, "train.json"), "w", encoding="utf-8") as f:
+        json.dump(options, f, indent=1, ensure_ascii=False)
+    if a.trainer:
+        module, _, name = a.trainer.partition(":")
+        getattr(importlib.import_module(module), name)(spark, plan, options)
 
 
 def label(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -256,7 +287,14 @@ def parser() -> argparse.ArgumentParser:
     command(mix, word("base"), word("tuned"), (("weight",), {"type": float}), word("out"))
     command(check_export, word("pairs", nargs="+"), word("--tokens", help="two token files that have to be the same, joined by a comma"))
     command(check_phone, word("work"), model)
-    command(cross_validate, word("work"), word("out"), number("--folds", 5), word("--column", default="text"), model)
+    real = lambda n, d: ((n,), {"type": float, "default": d})
+    flag = lambda n: ((n,), {"action": "store_true"})
+    command(
+        train, word("work"), word("out"), number("--holdout", -1), number("--epochs", 8), real("--lr", 2e-4), word("--train", default="lora:16"), flag("--no-augment"), real("--pairs", 0.15), number("--hard", 3),
+        word("--replay"), real("--replay-ratio", 2.0), word("--eval-epochs", default=""), flag("--save"), word("--extra-eval", nargs="*", default=[]), word("--grades", default="AB"), number("--max-cells", 480),
+        number("--seed", 0), word("--trainer", help="module:name of a function of session, plan and options"),
+    )
+    command(cross_validate, word("work"), word("out"), number("--folds", 5), word("--only", help="folds, joined by commas"), word("--stock", help="transcripts to score against"), word("--column", default="text"), model)
     command(label, word("work"), word("--manual"), number("--folds", 5), number("--seed", 0))
     command(score, word("args", nargs="+"), word("--manifest"), word("--grade", default="A"), word("--errors"), word("--no-digits", action="store_true"), word("--common", action="store_true"))
     command(terms, word("work"), word("terms"), word("specs", nargs="+"))

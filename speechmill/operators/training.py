@@ -230,6 +230,16 @@ def top_blocks(names: DataFrame, n: int) -> DataFrame:
     return names.where(chosen)
 
 
+def train_spec(text: str) -> tuple[str, int]:
+    """(kind, number) of "all", "lora:<rank>" or "top:<blocks>"; anything else raises."""
+    kind, _, number = text.partition(":")
+    if kind == "all" and not number:
+        return kind, 0
+    if kind not in ("lora", "top") or not number.isascii() or not number.isdigit() or (kind == "lora" and int(number) == 0):
+        raise ValueError(f"what is trained is all, lora:<rank> or top:<blocks>, not {text!r}")
+    return kind, int(number)
+
+
 def trainable(text_ids: Column, frames: Column) -> Column:
     """Whether an item can be trained on: a target, and at least as many frames as labels."""
     return (F.size(text_ids) > 0) & (frames >= F.size(text_ids))

@@ -171,6 +171,11 @@ ORACLES: dict[str, str] = {
     "term_file": f"SELECT pos, term FROM (SELECT unnest(range({len(TERMS)})) + 1 AS pos, {squash(f'unnest({list(TERMS)})')} AS term) UNION ALL SELECT {len(TERMS) + 2}, 'mixedcase'",
     "manifest_grades": "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(source, doc_id::VARCHAR) ELSE doc_id::VARCHAR END AS \"group\", CASE WHEN doc_id % 5 = 0 THEN coalesce(lang, '-') ELSE '-' END AS grade FROM documents",
     "wave_files": f"WITH {WAVES}, s AS (SELECT vec_id, list_transform(wave, lambda x: greatest(-32768, least(32767, round_even(x * 32768, 0)))::BIGINT) AS s FROM w) SELECT vec_id, len(s)::DOUBLE AS samples, list_sum(s)::BIGINT AS total, list_max(s) AS top, count(*) OVER () AS files FROM s",
+    "rich_targets": f"""WITH {WAVES}, f AS (SELECT vec_id, list_transform(range(least(len(wave) // 4, vec_id % 12 + 5)), lambda t: wave[t * 4 + 1 : t * 4 + 4]) AS fr FROM w), p AS (SELECT vec_id, list_transform(fr, lambda x: list_position(x, list_max(x)) - 1) AS path FROM f), t AS (SELECT vec_id, path[1:4] AS rich, path[5:] AS rest FROM p)
+      SELECT vec_id, array_to_string(rich, ',') AS rich, array_to_string(list_filter(list_transform(rest, lambda v, i: CASE WHEN v <> 0 AND (i = 1 OR v <> rest[i - 1]) THEN v END), lambda x: x IS NOT NULL), ',') AS text FROM t""",
+    "passes_report": f"""WITH {U}{HALL.replace(", h AS (", ", h0 AS (")}, h AS (SELECT system, id, CASE WHEN pos % 11 = 0 THEN text ELSE hyp END AS hyp FROM h0 JOIN u USING (id)){_cells('u')},
+      e AS (SELECT list_position({NAMES}, system) AS pass, 'grade ' || grade AS manifest, count(*) AS utterances, sum(tokens)::BIGINT AS tokens, sum(errors)::BIGINT AS errors, count(*) FILTER (errors > 0) AS wrong, 100.0::DOUBLE * sum(errors) / greatest(sum(tokens), 1) AS rate FROM c GROUP BY ALL)
+      SELECT pass::INTEGER AS pass, manifest, utterances, tokens, errors, wrong, round(rate, 6) AS rate, round(avg(rate) OVER w, 6) AS mean_rate, rate <= min(rate) OVER w AS best FROM e WINDOW w AS (PARTITION BY manifest ORDER BY pass)""",
     "phrase_texts": """WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark), p AS (SELECT DISTINCT array_to_string(w[1:k], ' ') AS phrase FROM w, range(1, 4) r(k)),
       q AS (SELECT '(' || string_agg(regexp_escape(phrase), '|' ORDER BY length(phrase) DESC, phrase) || ')' AS pattern FROM p WHERE phrase <> '')
       SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(text, pattern, '[\\1]', 'g') AS t FROM documents, q)""",

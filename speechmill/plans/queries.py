@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmill.functions import signal, text as tx
-from speechmill.operators import consensus, frontend, phrases, sampling, scoring, sessions, similarity, training
+from speechmill.functions.portable import draw
+from speechmill.operators import consensus, frontend, passes, phrases, sampling, scoring, sessions, similarity, training
 from speechmill.plans import adapters as ad
 from speechmill.sources import audio, files, zipped
 from speechmill.sources.shared import checkpoint_dir
@@ -280,6 +281,40 @@ def batch_plan(spark: SparkSession, d: str) -> DataFrame:
     return b.select("pos", F.col("batch").cast("bigint").alias("batch"), "turn", "length")
 
 
+def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What a trainer of three epochs reads: size, longest item and factor of each batch."""
+    rows = ad.labels(spark, d)
+    train = sampling.dense(rows.select(F.col("pos").alias("at"), F.array("id").alias("ids"), F.array("audio").alias("audio"), "text", "seconds", (F.col("source") == "reviewed").alias("hard")), "at").drop("at")
+    plan = passes.training_plan(train, 3, pairs=0.0)
+    return plan.groupBy("epoch").agg(F.count(F.lit(1)).alias("items"), F.sum("seconds").alias("seconds"), F.count_distinct("step").alias("steps"), F.max("step").alias("last"), _r(F.min("factor")).alias("least"), _r(F.max("factor")).alias("most"))
+
+
+def rich_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of different lengths in padded batches, read by a provider; each item's leading symbols and labels."""
+    rows = ad.frames(spark, d).select("vec_id", F.slice("frames", F.lit(1), (F.col("vec_id") % 12 + 5).cast("int")).alias("frames"))
+    heard = passes.frame_labels(frontend.padded_batches(rows, key="vec_id"), passes.Identity)
+    return heard.select(F.col("pos").alias("vec_id"), F.array_join("rich", ",").alias("rich"), F.array_join("labels", ",").alias("text"))
+
+
+def passes_report(spark: SparkSession, d: str) -> DataFrame:
+    """Three passes of one system; a fiftieth of the transcripts comes late, and some come again."""
+    rows = ad.utterances(spark, d)
+    hyps = ad.hypotheses(rows, lossy=False)
+    lost, again = draw(50, "lost", F.col("id")) == 0, F.col("pos") % 11 == 0
+    marked = hyps.join(rows.select("id", lost.alias("lost"), again.alias("again"), F.col("text").alias("said")), "id")
+    first = marked.where("not lost").select("system", "id", "hyp")
+    late = marked.where("lost or again").select("system", "id", F.when(F.col("again"), F.col("said")).otherwise(F.col("hyp")).alias("hyp"))
+    number = F.array_position(F.array(*map(F.lit, ad.SYSTEMS)), F.col("system")).cast("int")
+
+    def told(hyps_: DataFrame, order: int) -> DataFrame:
+        c = scoring.cells(rows.select("id", "text", "grade"), hyps_)
+        return c.select(number.alias("pass"), F.concat(F.lit("grade "), "grade").alias("manifest"), F.lit("mine").alias("system"), "id", F.lit(order).alias("ord"), "errors", "tokens")
+
+    known = told(first, 0)
+    merged = passes.running(passes.merged_sums(passes.evaluation_sums(known), known, told(late, 1)))
+    return merged.select("pass", "manifest", "utterances", "tokens", "errors", "wrong", _r("rate").alias("rate"), _r("mean_rate").alias("mean_rate"), "best")
+
+
 # files: what a query writes into the shared folder and reads back
 
 def _folder(spark: SparkSession) -> str:
@@ -445,6 +480,6 @@ QUERIES = {
         status_counts_minutes, continuation_chain, consensus_grade, label_counts, review_report, near_duplicate_pairs, duplicate_groups, balanced_folds, fold_report, leak_check,
         test_dev_split, replay_sample, held_out_split, training_items, epoch_plan, batch_plan, ctc_greedy, lfr_stack, cmvn, gain_clip, peak_norm, step_shift, feature_mask, lr_schedule,
         weight_mix, lora_merge, normalized_documents, script_rates, subset_intervals, jsonl_round_trip, map_files, review_file, term_file, manifest_grades, wave_files, span_mask, piece_texts,
-        trainable_items, block_choice, utterance_groups, zip_files, wave_features, phrase_texts,
+        trainable_items, block_choice, utterance_groups, zip_files, wave_features, phrase_texts, epoch_batches, rich_targets, passes_report,
     )
 }

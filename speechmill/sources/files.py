@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from speechmill import schemas
 from speechmill.functions import text as tx
+from speechmill.sources import store
 from speechmill.sources.objects import read_objects
 
 
@@ -58,6 +60,26 @@ def read_system(spark: SparkSession, spec: str) -> DataFrame:
     return parts
 
 
+def write_object(rows: DataFrame, path: str, id_: str = "id", text: str = "hyp") -> int:
+    """Writes one file with a JSON object, id to transcript, in the order of the ids; one task streams it, line by line. Returns its entries."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n = 0
+        with store.created(path) as out:
+            out.write(b"{")
+            for b in batches:
+                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    out.write(f"{',' if n else ''}\n{json.dumps(k, ensure_ascii=False)}: {json.dumps(v, ensure_ascii=False)}".encode())
+                    n += 1
+            out.write(b"\n}\n")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    told = rows.select(F.col(id_).cast("string").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    return told.repartition(1).sortWithinPartitions("id").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+
+
 def write_map(rows: DataFrame, path: str, id_: str = "id", text: str = "hyp", pos: str | None = None, single: bool = True) -> None:
     """A JSON object, id to transcript, with an entry a line; ids have to be distinct.
 

@@ -47,7 +47,7 @@ def test_against_duckdb(spark, duck, name):
 
 
 def test_queries_without_an_oracle_are_known():
-    assert set(QUERIES) - set(ORACLES) == {"error_rate_documents", "utterance_groups", "wave_features"}
+    assert set(QUERIES) - set(ORACLES) == {"error_rate_documents", "utterance_groups", "wave_features", "epoch_batches"}
 
 
 def test_utterance_groups_against_all_pairs(spark):
@@ -112,6 +112,13 @@ def test_wave_features_against_a_direct_transform(spark):
         assert r.stacked == (len(frames) - 7) // 6 + 1 and abs(total - r.total) < 1e-4 * abs(total) + 1
 
 
+def test_epoch_batches(spark):
+    rows = QUERIES["epoch_batches"](spark, SF).orderBy("epoch").collect()
+    n = adapters.labels(spark, SF).agg(F.count_if(F.floor(F.col("seconds") * 1000 / 60) > 0) + 2 * F.count_if((F.col("source") == "reviewed") & (F.floor(F.col("seconds") * 1000 / 60) > 0))).first()[0]
+    assert [r.epoch for r in rows] == [1, 2, 3] and all(r["items"] == n and r.steps == r["last"] + 1 for r in rows)
+    assert len({r.seconds for r in rows}) == 1 and rows[0].least == 0.01 and rows[0].most > rows[1].most > rows[2].most >= rows[2].least >= 0.1
+
+
 def test_entry(spark):
     import __spark_entry__
 

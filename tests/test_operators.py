@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechmill.functions import distance
 from speechmill.functions.text import score_tokens
-from speechmill.operators import consensus, resampling, sampling, scoring, sessions, similarity, training
+from speechmill.operators import consensus, frontend, passes, resampling, runs, sampling, scoring, sessions, similarity, training
 from speechmill.operators.components import connected_components
 
 LOG = "seq long, v int, type string, id string, session string, audio string, seconds double, text string, dictated string, continues boolean"
@@ -362,6 +363,153 @@ def test_batches_have_no_stage_of_one_task(spark):
     assert "SinglePartition" not in plan and training.batches(spark.range(0).select(F.col("id").alias("pos"), F.col("id").alias("length"))).collect() == []
 
 
+def test_rich_targets_do_not_depend_on_batches(spark):
+    class Wobble:
+        """Scores that would betray what is beyond an item's length."""
+
+        def scores(self, cells, lengths):
+            inside = np.arange(cells.shape[1])[None, :, None] < lengths[:, None, None]
+            return np.where(inside, np.sin(cells * 7), np.nan)
+
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=(int(n), 5)).round(1).tolist()) for i, n in enumerate(r.integers(0, 40, 300))]
+    padded = frontend.padded_batches(spark.createDataFrame(rows, "pos long, frames array<array<float>>"))
+    got = {x.pos: (x.rich, x.labels) for x in passes.frame_labels(padded, Wobble).collect()}
+    want = {}
+    for i, frames in rows:
+        if frames:
+            path = np.sin(np.array(frames, np.float32) * 7).argmax(-1).tolist()
+            rest = path[4:]
+            want[i] = (path[:4], [v for k, v in enumerate(rest) if v != 0 and (k == 0 or v != rest[k - 1])])
+    assert got == want
+
+
+def test_training_plan(spark):
+    train = spark.range(400).select(F.col("id").alias("pos"), F.array(F.col("id").cast("string")).alias("ids"), F.array(F.lit("a")).alias("audio"), F.col("id").cast("string").alias("text"), ((F.col("id") * 7) % 90 / 10.0).alias("seconds"), (F.col("id") % 10 == 0).alias("hard"))
+    pool = spark.range(50).select(F.concat(F.lit("r"), F.col("id")).alias("id"), F.lit("r.wav").alias("audio"), F.lit("r").alias("text"), F.lit(3.0).alias("seconds"))
+    plan = passes.training_plan(train, 2, replay=pool, ratio=0.1).collect()
+    frames = lambda x: int(x.seconds * 1000 / 60)
+    for e in (1, 2):
+        mine = [x for x in plan if x.epoch == e]
+        steps = sorted({x.step for x in mine})
+        assert steps == list(range(len(steps)))
+        whole = training.epoch(train, 0, e, replay=pool, ratio=0.1)
+        assert sorted((x.kind, x.ids) for x in mine) == sorted((x.kind, x.ids) for x in whole.collect() if frames(x) > 0)
+        sizes = []
+        for step in steps:
+            batch = [x for x in mine if x.step == step]
+            longest = max(map(frames, batch))
+            assert len(batch) <= 24 and (len(batch) == 1 or longest * len(batch) <= 480)
+            p = (e - 1 + step / len(steps)) / 2
+            factor = max(p / 0.1, 0.01) if p < 0.1 else 0.1 + 0.9 * 0.5 * (1 + np.cos(np.pi * (p - 0.1) / 0.9))
+            assert all(abs(x.factor - factor) < 1e-12 for x in batch)
+            sizes.append(longest)
+        assert sizes != sorted(sizes)  # batches are shuffled
+
+
+def test_evaluations_merge_late_transcripts(spark):
+    r = random.Random(8)
+    cell = lambda o: (r.randint(0, 3), r.choice(["dev", "test"]), r.choice("xy"), f"u{r.randint(0, 30)}", o, r.randint(0, 4), r.randint(0, 9))
+    schema = "pass int, manifest string, system string, id string, ord int, errors int, tokens int"
+    parts = [[cell(o) for _ in range(120)] for o in range(4)]
+    parts = [list({x[:4]: x for x in p}.values()) for p in parts]
+    made = [spark.createDataFrame(p, schema) for p in parts]
+    sums, known = passes.evaluation_sums(passes.latest(made[0])), made[0]
+    for late in made[1:]:
+        sums, known = passes.merged_sums(sums, known, late), known.unionByName(late)
+    want = {}
+    for p in parts:
+        want |= {x[:4]: x[5:] for x in p}
+    told = {}
+    for (n, m, s, _), (e, t) in want.items():
+        held = told.setdefault((n, m, s), [0, 0, 0, 0])
+        for k, v in enumerate((1, t, e, int(e > 0))):
+            held[k] += v
+    assert {(x["pass"], x.manifest, x.system): [x.utterances, x.tokens, x.errors, x.wrong] for x in sums.collect()} == told
+    rates = {}
+    for x in passes.running(sums).orderBy("pass").collect():
+        mine = rates.setdefault((x.manifest, x.system), [])
+        mine.append(100 * x.errors / max(x.tokens, 1))
+        assert abs(x.rate - mine[-1]) < 1e-9 and abs(x.mean_rate - sum(mine) / len(mine)) < 1e-9 and x.best == (mine[-1] <= min(mine))
+    losses = spark.createDataFrame([(1, 0, 4.0), (1, 1, 2.0), (2, 0, 1.0), (2, 1, None)], "pass int, batch int, loss double")
+    assert [tuple(x) for x in passes.loss_means(losses).orderBy("pass").collect()] == [(1, 3.0, 2, 3.0), (2, 1.0, 1, 7 / 3)]
+
+
+class EchoTrainer:
+    """Writes down what it was given, and says texts back with a word missing in some."""
+
+    def __init__(self, fail=()):
+        self.fail, self.done = set(fail), []
+
+    def _note(self, step, fold):
+        if (step, fold) in self.fail:
+            raise RuntimeError("killed")
+        self.done.append((step, fold))
+
+    def train(self, labels, fold, folder):
+        self._note("train", fold)
+        assert labels.where(F.col("fold") == fold).isEmpty()
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, "fold"), "w") as f:
+            f.write(str(fold))
+
+    def export(self, folder, out):
+        fold = int(open(os.path.join(folder, "fold")).read())
+        self._note("export", fold)
+        os.makedirs(out, exist_ok=True)
+        with open(os.path.join(out, "fold"), "w") as f:
+            f.write(str(fold))
+
+    def transcribe(self, rows, folder):
+        fold = int(open(os.path.join(folder, "fold")).read())
+        self._note("transcribe", fold)
+        return rows.select("id", F.regexp_replace("text", f"w{fold} ", "").alias("hyp"))
+
+
+def test_fold_runs(spark, tmp_path):
+    rows = [(i, f"u{i}", f"w0 w1 w2 end{i % 3}", i % 4, "A", "corrected" if i % 2 else "accepted") for i in range(40)]
+    labels = spark.createDataFrame(rows, "pos long, id string, text string, fold int, grade string, status string")
+    stock = labels.select("id", F.lit("w0 w1").alias("hyp"))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    whole = runs.cross_validated(spark, labels, EchoTrainer(), str(tmp_path / "whole"), range(4))
+    unbroken = told(runs.fold_score(spark, labels, stock, whole, 4))
+    killed = EchoTrainer([("export", 2)])
+    with pytest.raises(RuntimeError, match="killed"):
+        runs.cross_validated(spark, labels, killed, str(tmp_path / "b"), range(4), 3600)
+    state = {(r.fold, r.step): r.state for r in runs.FoldRuns(str(tmp_path / "b"), range(4)).table(spark).collect()}
+    assert state[1, "transcribe"] == runs.DONE and state[2, "train"] == runs.DONE and state[2, "export"] == runs.CLAIMED and state[2, "transcribe"] == runs.WAITING and state[3, "train"] == runs.READY
+    other = EchoTrainer()
+    half = runs.cross_validated(spark, labels, other, str(tmp_path / "b"), range(4), 3600)  # the dead run's claim still holds
+    assert other.done == [(s, 3) for s in runs.STEPS] and not half.complete()
+    with pytest.raises(ValueError, match="not all folds"):
+        runs.fold_score(spark, labels, stock, half, 4)
+    os.utime(str(tmp_path / "b" / "fold2" / "export.claim"), (0, 0))
+    last = EchoTrainer()
+    resumed = runs.cross_validated(spark, labels, last, str(tmp_path / "b"), range(4), 3600)
+    assert last.done == [("export", 2), ("transcribe", 2)]
+    assert told(runs.fold_score(spark, labels, stock, resumed, 4)) == unbroken
+    some = runs.FoldRuns(str(tmp_path / "b"), [1, 2])
+    common = runs.fold_score(spark, labels, stock, some, 4).where("subset = 'all'").collect()
+    assert {r.utterances for r in common} == {20} and len(common) == 2
+    with pytest.raises(ValueError, match="incomplete"):
+        runs.fold_score(spark, labels, stock.where("id <> 'u3'"), resumed, 4)
+
+
+def test_a_step_has_one_owner(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    every = [runs.FoldRuns(str(tmp_path), range(3), stale) for stale in [3600.0] * 12]
+    done = []
+    with ThreadPoolExecutor(12) as pool:
+        list(pool.map(lambda r: [r.run(lambda *a: done.append(a[:2])) for _ in range(4)], every))
+    assert sorted(done) == sorted((k, s) for k in range(3) for s in runs.STEPS) and every[0].complete()
+    old = [runs.FoldRuns(str(tmp_path / "x"), [0], 10.0) for _ in range(12)]
+    assert old[0].claim(0, "train")
+    os.utime(str(tmp_path / "x" / "fold0" / "train.claim"), (0, 0))
+    with ThreadPoolExecutor(12) as pool:
+        assert sum(pool.map(lambda r: r.claim(0, "train"), old)) == 1
+
+
 def test_weights(spark):
     base = spark.createDataFrame([("w", True, [1.0, 2.0]), ("n", False, [5.0]), ("only", True, [1.0])], "name string, is_float boolean, values array<double>")
     tuned = spark.createDataFrame([("w", [3.0, 2.0]), ("n", [9.0]), ("new", [0.0])], "name string, values array<double>")

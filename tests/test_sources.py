@@ -358,6 +358,35 @@ def test_weights_exports_and_folds(spark, tmp_path):
     assert set(json.loads("".join(p.read_text() for p in (tmp_path / "hyp.json").glob("part-*")))) == {"i0", "i2", "i4"}
 
 
+def test_training_and_scored_folds(spark, tmp_path, capsys):
+    work = tmp_path / "work"
+    work.mkdir()
+    said = "one two three four five six seven eight nine ten".split()
+    rows = [{"id": f"s-{i:02d}", "session": "s", "audio": f"{i}.wav", "seconds": 2.0 + i, "text": " ".join(said[: i + 1]), "grade": "A", "source": "reviewed" if i == 3 else "agreed", "joins": [f"s-{i - 1:02d}"] if i == 5 else [], "group": i, "fold": i % 3} for i in range(9)]
+    (work / "labels.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (work / "replay.jsonl").write_text("\n".join(json.dumps({"id": f"r{i}", "audio": "r.wav", "text": "re", "seconds": 3.0}) for i in range(40)))
+    cli.main(["train", str(work), str(tmp_path / "run"), "--holdout", "0", "--epochs", "2", "--pairs", "0", "--replay", str(work / "replay.jsonl"), "--replay-ratio", "0.5", "--eval-epochs", "0,1", "--train", "top:20"])
+    plan = spark.read.parquet(str(tmp_path / "run" / "plan")).collect()
+    kinds = {e: sorted(r.kind for r in plan if r.epoch == e) for e in (1, 2)}
+    # six of the labels, a whole sentence whose parts are both in folds that train, and half as many to rehearse; the reviewed one is held out
+    whole = [r for r in plan if r.epoch == 1 and r.kind == "item" and len(r.ids) == 2]
+    assert [r.ids for r in whole] == [["s-04", "s-05"]] and kinds[1] == kinds[2] == ["item"] * 7 + ["replay"] * 4
+    assert all(0 < r.lr <= 2e-4 for r in plan) and {r.epoch for r in plan} == {1, 2}
+    told = json.loads((tmp_path / "run" / "train.json").read_text())
+    assert told["evaluated"] == [0, 1, 2] and told["items"] == 7 and told["train"] == "top:20" and "7 items to train on" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "run" / "held")).count() == 3
+    for bad in ("top", "lora:0", "lora:x", "half"):
+        with pytest.raises(ValueError, match="what is trained"):
+            cli.main(["train", str(work), str(tmp_path / "bad"), "--train", bad])
+    (work / "stock.json").write_text(json.dumps({r["id"]: "one" for r in rows}))
+    for only, n in (([], 9), (["--only", "0,2"], 6)):
+        cli.main(["cross-validate", str(work), str(tmp_path / f"cv{n}"), "--folds", "3", "--percent", "0", "--stock", str(work / "stock.json"), *only])
+        shown = [[c.strip() for c in line.split("|")[1:-1]] for line in capsys.readouterr().out.splitlines() if line.startswith("|")]
+        got = {x[1]: (x[2], float(x[4])) for x in shown if x[0] == "all"}
+        words = sum(i + 1 for i in range(9) if not only or i % 3 in (0, 2))
+        assert got["fine-tuned"] == (str(n), 0.0) and got["stock"][0] == str(n) and abs(got["stock"][1] - 100 * (words - n) / words) < 1e-6
+
+
 def test_phone_conditions(spark, tmp_path, capsys):
     export = tmp_path / "work" / "export"
     export.mkdir(parents=True)
