@@ -61,13 +61,9 @@ def corrupted(system: str, key: str = "id", text: str = "text"):
 
 def hypotheses(rows: DataFrame, lossy: bool = True) -> DataFrame:
     """(system, id, hyp) of three systems; one of them lacks some ids."""
-    every = None
-    for s in SYSTEMS:
-        one = rows.select(F.lit(s).alias("system"), "id", corrupted(s).alias("hyp"))
-        if lossy and s == "other":
-            one = one.where(draw(50, "lost", F.col("id")) > 0)
-        every = one if every is None else every.unionByName(one)
-    return every
+    said = F.array(*[F.struct(F.lit(s).alias("system"), corrupted(s).alias("hyp")) for s in SYSTEMS])
+    every = rows.select("id", F.explode(said).alias("h")).select("h.system", "id", "h.hyp")
+    return every.where((F.col("system") != "other") | (draw(50, "lost", F.col("id")) > 0)) if lossy else every
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +87,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ``benchmark`` text and what three systems make of it; two texts are a session."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("item_id").cast("string").alias("id"), "text")
-    every = b.select((F.col("item_id") * 4).alias("pos"), "text")
-    for k, s in enumerate(SYSTEMS, 1):
-        every = every.unionByName(b.select((F.col("item_id") * 4 + k).alias("pos"), corrupted(s).alias("text")))
+    every = b.select("item_id", F.posexplode(F.array("text", *[corrupted(s) for s in SYSTEMS])).alias("k", "text")).select((F.col("item_id") * 4 + F.col("k")).alias("pos"), "text")
     return every.select("pos", F.col("pos").cast("string").alias("id"), F.expr("cast(pos div 8 as string)").alias("session"), "text", F.array().cast("array<string>").alias("joins"))
 
 
