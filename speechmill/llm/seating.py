@@ -24,14 +24,17 @@ CELLS, POINTS = 1_000_000, 500
 
 
 @functools.lru_cache(maxsize=8)
-def stirling(d: float, most: int = EXACT) -> list[np.ndarray]:
-    """Logarithms of S(c, 1) to S(c, c) for c from 0 to ``most``."""
-    rows = [np.zeros(0), np.zeros(1)]
+def stirling(d: float, most: int = EXACT) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of S(c, t + 1) at [t, c] for c up to ``most``, and S(c, t + 2) / S(c, t + 1)."""
+    ways = np.full((most, most + 1), -np.inf)
+    ways[0, 1] = 0.0
     for c in range(2, most + 1):
         t = np.arange(1, c)
-        stay = np.r_[rows[-1] + np.log(c - 1 - d * t), -np.inf]
-        rows.append(np.logaddexp(stay, np.r_[-np.inf, rows[-1]]))
-    return rows
+        ways[: c - 1, c] = ways[: c - 1, c - 1] + np.log(c - 1 - d * t)
+        ways[1:c, c] = np.logaddexp(ways[1:c, c], ways[: c - 1, c - 1])
+    with np.errstate(invalid="ignore"):
+        ratio = np.exp(np.diff(ways[: SMALL + 1], axis=0))
+    return ways, np.nan_to_num(ratio, nan=0.0)
 
 
 def _cut(n: int, t: np.ndarray, d: float) -> np.ndarray:
@@ -77,13 +80,21 @@ def _log_weights(c: int, t: np.ndarray, fixed: float, parent: float, d: float) -
 
 
 def many(u: float, c: int, fixed: float, parent: float, d: float) -> int:
-    """Tables of c customers, by inversion over a grid that is made finer where the probability is."""
-    t, end = np.unique(np.rint(np.geomspace(1, c, POINTS)).astype(np.int64)), c + 1  # a point stands for those up to the next one
-    for _ in range(2):
-        w = _log_weights(c, t, fixed, parent, d)
-        near = np.flatnonzero(w + np.log(np.diff(np.r_[t, end])) > w.max() - 32)
-        low, end = int(t[max(near[0] - 1, 0)]), int(np.r_[t, end, end][near[-1] + 2])
-        t = np.arange(low, end) if end - low <= 2 * POINTS else np.unique(np.rint(np.linspace(low, end - 1, 2 * POINTS)).astype(np.int64))
+    """Tables of c customers, by inversion over all t if few can matter, else over a grid that is made finer where the probability is.
+
+    Without the customers' number t - 1 is negative binomial, and c customers make large
+    t less likely still, so what is 12 deviations above that mean is left out.
+    """
+    mean = (fixed / d + 1) * parent / max(1 - parent, 1e-12)
+    most = min(c, int(31 + mean + 12 * math.sqrt(mean / max(1 - parent, 1e-12))))
+    t, end = np.arange(1, most + 1), most + 1
+    if most > POINTS:
+        t = np.unique(np.rint(np.geomspace(1, most, POINTS)).astype(np.int64))  # a point stands for those up to the next one
+        for _ in range(2):
+            w = _log_weights(c, t, fixed, parent, d)
+            near = np.flatnonzero(w + np.log(np.diff(np.r_[t, end])) > w.max() - 32)
+            low, end = int(t[max(near[0] - 1, 0)]), int(np.r_[t, end, end][near[-1] + 2])
+            t = np.arange(low, end) if end - low <= 2 * POINTS else np.unique(np.rint(np.linspace(low, end - 1, 2 * POINTS)).astype(np.int64))
     w = _log_weights(c, t, fixed, parent, d)
     width = np.diff(np.r_[t, end])
     sums = np.cumsum(np.exp(w - w.max()) * width)
@@ -92,33 +103,43 @@ def many(u: float, c: int, fixed: float, parent: float, d: float) -> int:
     return int(t[spot] + min(int(inside * width[spot]), width[spot] - 1))
 
 
+def _most(c: np.ndarray, fixed: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
+    """How many tables c customers can have but for a probability that does not matter; see :func:`many`."""
+    rest = np.maximum(1 - parent, 1e-12)
+    mean = (fixed / d + 1) * parent / rest
+    return np.minimum(c, 31 + mean + 12 * np.sqrt(mean / rest)).astype(np.int64)
+
+
 def tables(u: np.ndarray, c: np.ndarray, fixed: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
-    """Tables of dishes with c customers each, one uniform number u a dish; ``fixed`` is strength + d * tables of the other dishes."""
+    """Tables of dishes with c customers each, one uniform number u a dish; ``fixed`` is strength + d * tables of the other dishes.
+
+    Dishes that can have about as many tables are drawn together.
+    """
     t = (c > 0).astype(np.int64)
-    order = np.argsort(c, kind="stable")
-    at = int(np.searchsorted(c[order], 2))
-    rows = stirling(d)
-    while at < len(order):
-        n = int(c[order[at]])
-        end = int(np.searchsorted(c[order], n, side="right"))
-        if n > EXACT:
-            for i in order[at:]:
-                t[i] = many(float(u[i]), int(c[i]), float(fixed[i]), float(parent[i]), d)
-            break
-        step = max(CELLS // n, 1)
-        for some in (order[k : min(k + step, end)] for k in range(at, end, step)):
-            f, p = fixed[some], parent[some]
-            if n <= SMALL:
-                ratio = np.exp(np.diff(rows[n]))
-                sums, w = np.empty((n, len(some))), np.ones(len(some))
+    ways, ratio = stirling(d)
+    for i in np.flatnonzero(c > EXACT):
+        t[i] = many(float(u[i]), int(c[i]), float(fixed[i]), float(parent[i]), d)
+    some = np.flatnonzero((c > 1) & (c <= EXACT))
+    most = _most(c[some], fixed[some], parent[some], d)
+    order = np.argsort(most, kind="stable")
+    some, most = some[order], most[order]
+    at = 0
+    while at < len(some):
+        m = int(most[at])
+        m = min(m if m < 5 else m + m // 4, EXACT)
+        end = int(np.searchsorted(most, m, side="right"))
+        for k in range(at, end, step := max(CELLS // m, 1)):
+            j = some[k : min(k + step, end)]
+            n, f, p = c[j], fixed[j], parent[j]
+            if m <= SMALL:
+                sums, w = np.empty((m, len(j))), np.ones(len(j))
                 sums[0] = 1.0
-                for k in range(1, n):
-                    w = w * ((f + d * k) * p * ratio[k - 1])
-                    sums[k] = sums[k - 1] + w
+                for i in range(1, m):
+                    w = w * ((f + d * i) * p * ratio[i - 1, n])
+                    np.add(sums[i - 1], w, out=sums[i])
             else:
-                k = np.arange(n)[:, None]
-                w = np.cumsum(np.log((f + d * k) * p), 0) + rows[n][:, None]
+                w = np.cumsum(np.log((f + d * np.arange(m)[:, None]) * p), 0) + ways[:m, n]
                 sums = np.cumsum(np.exp(w - w.max(0)), 0)
-            t[some] = 1 + (sums[:-1] <= u[some] * sums[-1]).sum(0)
+            t[j] = 1 + (sums[:-1] <= u[j] * sums[-1]).sum(0)
         at = end
     return t
