@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from speechmill.llm.common import cut, groups_of, id_text, packed, partitions, rows_of, tidy, unpacked
 from speechmill.llm.shingles import _BASE, _BYTE, mix
@@ -29,6 +30,8 @@ from speechmill.sources.shared import release
 
 #: A run of more windows than PIECE is cut there.
 ANCHOR, CHUNK, FLUSH, BATCH, PIECE = 64, 1 << 20, 8_000_000, 600_000, 1024
+#: A string around more than one in SHARE anchors, and at least LEAST of them, of one in EVERY documents is frequent.
+SHARE, LEAST, EVERY = 1000, 8, 16
 #: Set in a segment's size if its windows have anchors at several places.
 MANY = np.uint32(1 << 31)
 ROWS = "part long, p long, a binary, b binary"
@@ -51,11 +54,30 @@ def _gram_hashes(a: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def _least(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window the place of its anchor, and all hashes. Of equal ones the first counts."""
+class Often:
+    """Strings that are anchors only of windows that have no others: found often, so their windows would meet in one task."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where in ``h`` they are."""
+        some = np.flatnonzero(self.table[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+        return some[self.hashes[at] == h[some]]
+
+
+def _least(a: np.ndarray, length: int, k: int, often: Often | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the place of its anchor, and all hashes. Of equal ones the first counts; frequent strings come after all others."""
     h = _gram_hashes(a, k)
     low = np.uint64(0xFFFFFFFF)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    if often is not None:
+        late = often.places(h)
+        m = ((h >> np.uint64(1)) & ~low) | np.arange(len(h), dtype=np.uint64)
+        m[late] |= np.uint64(1 << 63)
     w, size = length - k + 1, 1
     while size * 2 <= w:
         m = np.minimum(m[:-size], m[size:])
@@ -65,13 +87,13 @@ def _least(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (m & low).astype(np.int64), h
 
 
-def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(a: np.ndarray, length: int, k: int, often: Often | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows whose anchors have one hash: first window, end, hash, and whether it has several places.
 
     ``a`` has at least ``length`` bytes. Least hashes are small, so they are mixed
     again to be spread over the parts.
     """
-    at, h = _least(a, length, k)
+    at, h = _least(a, length, k, often)
     key = h[at]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[start[1:], len(at)]
@@ -103,7 +125,7 @@ def divided(s: bytes, length: int, k: int, width: int) -> list[tuple[tuple[int,
 class Flush:
     """The texts of a flush as one buffer, and its segments in the order of their anchors."""
 
-    def __init__(self, ids: list, data: list[bytes], length: int, k: int) -> None:
+    def __init__(self, ids: list, data: list[bytes], length: int, k: int, often: Often | None = None) -> None:
         self.ids, self.size = ids, np.array([len(d) for d in data], np.int64)
         self.begin = np.r_[0, np.cumsum(self.size)]
         self.buffer = np.frombuffer(b"".join(data), np.uint8)
@@ -112,7 +134,7 @@ class Flush:
             first, last = int(self.begin[d]), int(self.begin[d + 1]) - length + 1
             for c in range(first, last, CHUNK):
                 stop = min(c + CHUNK, last)
-                s, e, h, m = anchors(self.buffer[c : stop + length - 1], length, k)
+                s, e, h, m = anchors(self.buffer[c : stop + length - 1], length, k, often)
                 many.append(m)
                 starts.append(s + c)
                 ends.append(e + c)
@@ -162,10 +184,57 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["part", "p", "a", "b"])
 
 
-def _segments(length: int, k: int, bits: int):
+def _frequent(length: int, k: int):
+    """(hash, n) of the strings that frequent anchors of a flush have around them, with estimates of how many windows' anchors they would be; (null, n) are all anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _flushes(batches):
+            pieces = [np.frombuffer(d, np.uint8)[c : c + CHUNK + length - 1] for d in data if len(d) >= length for c in range(0, len(d) - length + 1, CHUNK)]
+            places, keys = [], []
+            for a in pieces:
+                at, h = _least(a, length, k)
+                key = h[at]
+                runs = np.r_[True, key[1:] != key[:-1]]
+                places.append(at[runs])
+                keys.append(key[runs])
+            if not pieces:
+                continue
+            _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            hot = (count * SHARE > len(inverse)) & (count > 3)
+            near = [np.zeros(0, np.uint64)]
+            for a, at, mine in zip(pieces, places, np.split(hot[inverse], np.cumsum([len(x) for x in places])[:-1]), strict=True):
+                if mine.any():
+                    h, at = _gram_hashes(a, k), at[mine]
+                    for some in np.split(at, range(4096, len(at), 4096)):
+                        around = some[:, None] + np.arange(-(length - k), length - k + 1)
+                        near.append(h[around[(around >= 0) & (around < len(h))]])
+            h, n = np.unique(np.concatenate(near), return_counts=True)
+            often = n * SHARE > len(inverse)
+            h, n = h[often], n[often]
+            yield pa.RecordBatch.from_arrays([pa.array([None, *h.view(np.int64).tolist()], pa.int64()), pa.array([len(inverse), *n.tolist()], pa.int64())], ["hash", "n"])
+
+    return run
+
+
+def frequent_strings(base: DataFrame, length: int, k: int) -> Often | None:
+    """Strings that would be anchors of more than one in ``SHARE`` runs of windows.
+
+    Told from one in ``EVERY`` documents: which strings these are decides only in
+    which task windows meet, never what is removed. Their number is bounded by
+    ``SHARE`` times the strings around an anchor.
+    """
+    some = base.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(EVERY)) == 0)
+    counts = some.mapInArrow(tidy(_frequent(length, k)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    total = counts.where("hash is null").agg(F.sum("n")).first()[0] or 0
+    found = [r[0] for r in counts.where((F.col("hash").isNotNull()) & (F.col("n") * SHARE > total) & (F.col("n") >= LEAST)).select("hash").collect()]  # bounded, see above
+    return Often(np.array(found, np.int64).view(np.uint64)) if found else None
+
+
+def _segments(length: int, k: int, bits: int, often: Often | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, ids, data in _flushes(batches):
-            f = Flush(ids, data, length, k)
+            f = Flush(ids, data, length, k, often)
             at = _bounds(f.hash, bits)
             for part, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 if a < b:
@@ -392,7 +461,7 @@ def _matched(length: int, k: int):
     return run
 
 
-def _removed(length: int, k: int, bits: int, with_text: bool):
+def _removed(length: int, k: int, bits: int, with_text: bool, often: Often | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups_of(batches):
             texts = [r for r in rows if r[1] == 0]
@@ -401,7 +470,7 @@ def _removed(length: int, k: int, bits: int, with_text: bool):
             _, ids, size, none = unpacked(texts[0][3], "|u1", "<i8", "<i8", "|u1")
             whole = _unzip(texts[0][4])
             at = np.r_[0, np.cumsum(size)]
-            f = Flush([], [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], length, k)
+            f = Flush([], [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], length, k, often)
             cuts = _bounds(f.hash, bits)
             change = np.zeros(len(whole) + 1, np.int32)
             for r in rows:
@@ -448,10 +517,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     """
     base, n = id_text(docs, id_col, text_col), max(partitions(docs), 1)
     bits, k = max(n - 1, 1).bit_length() + 1, min(anchor, length)
-    segments = base.mapInArrow(tidy(_segments(length, k, bits)), ROWS)
+    often = frequent_strings(base, length, k)
+    segments = base.mapInArrow(tidy(_segments(length, k, bits, often)), ROWS)
     matched = cut(segments.repartition(n, "part").sortWithinPartitions("part", "p").mapInArrow(tidy(_matched(length, k)), ROWS))
     release(docs.sparkSession)
     texts = base.mapInArrow(tidy(_texts), ROWS).selectExpr("p", "0 as kind", "part", "a", "b")
     back = texts.unionByName(matched.selectExpr("part as p", "1 as kind", "p as part", "a", "b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return back.repartition(n, "p").sortWithinPartitions("p", "kind").mapInArrow(tidy(_removed(length, k, bits, with_text)), schema)
+    return back.repartition(n, "p").sortWithinPartitions("p", "kind").mapInArrow(tidy(_removed(length, k, bits, with_text, often)), schema)

@@ -88,6 +88,36 @@ def test_groups_too_large_for_a_batch_are_divided():
         assert got == [x[1] for x in brute_removed(texts, length)]
 
 
+@pytest.mark.parametrize("length", [40, 200])
+def test_frequent_passages_are_no_anchors(docs, length, monkeypatch):
+    """Short and long passages in most texts, in different surroundings and at the ends: the same result, and no anchor that all have."""
+    r = random.Random(13)
+    k = min(64, length)
+    short, long = text(30, r)[: length // 2 + k // 2], text(200, r)[: 3 * length]
+    noise = lambda: "".join(r.choice("abcdefgh \n") for _ in range(r.randint(0, 2 * length)))
+    texts = [noise() + r.choice([short, long, short + long]) + noise() for _ in range(150)] + [long, short, long + long, "", None, *[noise() for _ in range(20)]]
+    monkeypatch.setattr(suffix_dedup, "EVERY", 1)
+    monkeypatch.setattr(suffix_dedup, "SHARE", 30)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.suffix_dedup(docs(texts), length).collect()}
+    assert got == dict(enumerate(brute_removed(texts, length)))
+
+
+def test_a_passage_in_half_of_all_texts_meets_in_no_task(spark):
+    r = np.random.default_rng(14)
+    passage = bytes(r.integers(97, 123, 100, dtype=np.uint8))
+    noise = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8))
+    data = [noise(300) + (passage if i % 2 else noise(100)) + noise(300) for i in range(6000)]
+    base = spark.createDataFrame([(i, d.decode()) for i, d in enumerate(data)], "doc_id long, text string")
+    often = suffix_dedup.frequent_strings(base, 200, 64)
+    inside = {int(x) for x in suffix_dedup._gram_hashes(np.frombuffer(passage, np.uint8), 64)}
+    assert {int(x) for x in often.hashes} == inside
+    largest = {}
+    for name, some in (("as they come", None), ("often", often)):
+        f = suffix_dedup.Flush(list(range(len(data))), data, 200, 64, some)
+        largest[name] = np.unique(f.hash, return_counts=True)[1].max() / len(f.hash)
+    assert largest["often"] < 0.003 and 5 * largest["often"] < largest["as they come"]  # strings that reach a letter beyond the passage stay: a 26th of it
+
+
 def test_periodic_texts_of_five_megabytes():
     """Segments stay about as large as the text, and the peak of memory is far from an executor's."""
     import tracemalloc
