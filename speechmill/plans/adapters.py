@@ -53,8 +53,10 @@ def corrupted(system: str, key: str = "id", text: str = "text"):
     drop, swap, twice = SYSTEMS[system]
 
     def word(w, i):
-        r = draw(100, system, F.col(key), i)
-        return F.when(r < drop, F.lit(None).cast("string")).when(r < swap, F.concat(F.lit("xh"), (r % 3).cast("string"))).when(r < twice, F.concat_ws(" ", w, w)).otherwise(w)
+        def drawn(r):  # bound once: each reference would compute the draw again
+            return F.when(r < drop, F.lit(None).cast("string")).when(r < swap, F.concat(F.lit("xh"), (r % 3).cast("string"))).when(r < twice, F.concat_ws(" ", w, w)).otherwise(w)
+
+        return F.get(F.transform(F.array(draw(100, system, F.col(key), i)), drawn), F.lit(0))
 
     return F.array_join(F.transform(F.split(text, " "), word), " ")
 
