@@ -76,7 +76,7 @@ def _decoded(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.parquet(path).withColumn("_key", F.monotonically_increasing_id())
     column = "context" if "context" in raw.columns else "audio"
     clips = raw.select(F.col("_key").cast("string").alias("path"), F.col(f"{column}.bytes").alias("content")).where("content is not null")
-    return raw.join(audio.waves(clips).withColumnRenamed("path", "_k"), F.col("_key").cast("string") == F.col("_k")).drop("_k")
+    return raw.join(audio.waves(clips, convert=True).withColumnRenamed("path", "_k"), F.col("_key").cast("string") == F.col("_k")).drop("_k")
 
 
 def public(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -171,6 +171,15 @@ ORACLES: dict[str, str] = {
     "term_file": f"SELECT pos, term FROM (SELECT unnest(range({len(TERMS)})) + 1 AS pos, {squash(f'unnest({list(TERMS)})')} AS term) UNION ALL SELECT {len(TERMS) + 2}, 'mixedcase'",
     "manifest_grades": "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(source, doc_id::VARCHAR) ELSE doc_id::VARCHAR END AS \"group\", CASE WHEN doc_id % 5 = 0 THEN coalesce(lang, '-') ELSE '-' END AS grade FROM documents",
     "wave_files": f"WITH {WAVES}, s AS (SELECT vec_id, list_transform(wave, lambda x: greatest(-32768, least(32767, round_even(x * 32768, 0)))::BIGINT) AS s FROM w) SELECT vec_id, len(s)::DOUBLE AS samples, list_sum(s)::BIGINT AS total, list_max(s) AS top, count(*) OVER () AS files FROM s",
+    "epoch_batches": f"""WITH RECURSIVE {LABELS}, t AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, seconds, source = 'reviewed' AS hard FROM lab),
+      i AS (SELECT 'item' AS kind, pos, id, seconds FROM t UNION ALL SELECT 'repeat', pos, id, seconds FROM t, range(2) WHERE hard),
+      n AS (SELECT ep, seconds, floor(seconds * {1000 / 60!r}::DOUBLE)::BIGINT AS frames, row_number() OVER (PARTITION BY ep ORDER BY kind, pos, id) - 1 AS place FROM i, range(1, 4) r(ep) WHERE floor(seconds * {1000 / 60!r}::DOUBLE) > 0),
+      q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY frames + {uniform("ep || ':' || place")}, place) AS k FROM n),
+      b AS (SELECT ep, 0::BIGINT AS batch, 1::BIGINT AS s, (SELECT max(k) FROM q WHERE q.ep = r.ep AND k <= 24 AND (k = 1 OR frames * k <= 480)) AS e FROM range(1, 4) r(ep)
+        UNION ALL SELECT b.ep, b.batch + 1, b.e + 1, (SELECT max(k) FROM q WHERE q.ep = b.ep AND k > b.e AND k <= b.e + 24 AND (k = b.e + 1 OR frames * (k - b.e) <= 480)) FROM b WHERE b.e < (SELECT max(k) FROM q WHERE q.ep = b.ep)),
+      c AS (SELECT ep, batch, (ep - 1 + batch / (count(*) OVER (PARTITION BY ep))::DOUBLE) / 3.0::DOUBLE AS p FROM b),
+      f AS (SELECT ep, count(*) AS steps, max(batch) AS last, min(x) AS least, max(x) AS most FROM (SELECT *, CASE WHEN p < 0.1::DOUBLE THEN greatest(p / 0.1::DOUBLE, 0.01::DOUBLE) ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least(1.0::DOUBLE, (p - 0.1::DOUBLE) / 0.9::DOUBLE))) END AS x FROM c) GROUP BY ep)
+      SELECT f.ep::INTEGER AS epoch, count(*) AS items, sum(seconds) AS seconds, any_value(steps) AS steps, any_value(last) AS last, round(any_value(least), 6) AS least, round(any_value(most), 6) AS most FROM f JOIN n ON n.ep = f.ep GROUP BY f.ep""",
     "rich_targets": f"""WITH {WAVES}, f AS (SELECT vec_id, list_transform(range(least(len(wave) // 4, vec_id % 12 + 5)), lambda t: wave[t * 4 + 1 : t * 4 + 4]) AS fr FROM w), p AS (SELECT vec_id, list_transform(fr, lambda x: list_position(x, list_max(x)) - 1) AS path FROM f), t AS (SELECT vec_id, path[1:4] AS rich, path[5:] AS rest FROM p)
       SELECT vec_id, array_to_string(rich, ',') AS rich, array_to_string(list_filter(list_transform(rest, lambda v, i: CASE WHEN v <> 0 AND (i = 1 OR v <> rest[i - 1]) THEN v END), lambda x: x IS NOT NULL), ',') AS text FROM t""",
     "passes_report": f"""WITH {U}{HALL.replace(", h AS (", ", h0 AS (")}, h AS (SELECT system, id, CASE WHEN pos % 11 = 0 THEN text ELSE hyp END AS hyp FROM h0 JOIN u USING (id)){_cells('u')},
