@@ -182,9 +182,10 @@ def _distinct(paths: DataFrame) -> DataFrame:
 
 
 def _forest(rows: DataFrame, distinct: DataFrame, window: int, tokenizer: str | None) -> DataFrame:
-    order = _order(distinct, window)
-    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "digest")) - 1)
-    new = numbered.join(order, F.col("conv_id").eqNullSafe(F.col("representative"))).where("place >= shared")
+    named = lambda c: (F.col(c).isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("own"))  # noqa: E731 - keys that equal each other, so that turns are numbered and joined in one shuffle
+    order = _order(distinct, window).select(*named("representative"), "*")
+    numbered = rows.select(*named("conv_id"), "turn", "head", "body", "digest", "loss").withColumn("place", F.row_number().over(Window.partitionBy("none", "own").orderBy(F.col("turn").asc_nulls_first(), "digest")) - 1)
+    new = numbered.join(order, ["none", "own"]).where("place >= shared")
     dealt = new.repartition(max(partitions(rows), 1), "sequence").sortWithinPartitions("sequence", "start", "place")
     return dealt.select("sequence", F.col("place").cast("int"), "head", "body", "loss", "representative", "turns", "key").mapInArrow(tidy(_emit(tokenizer)), EMITTED)
 
