@@ -23,22 +23,20 @@ def forms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
 FORMS = 16
 #: Pairs of a frequent piece that one task compares at most.
 PAIRS = 5_000_000
+#: So many hashes of tokens may be broadcast.
+FEW = 200_000
 
 
 def _pieces(uniq: DataFrame) -> DataFrame:
     """(form_id, len, kind, at, piece): every token (kind 0) and every two neighbours (kind 1 at even places, 2 at odd ones) of a form, hashed."""
-    at = F.posexplode("form").alias("at", "token")
-    token = uniq.select("form_id", "len", "form", at)
-    following = F.get("form", F.col("at") + 1)
-    both = F.array(
-        F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit(1), "token").alias("piece")),
-        F.struct((F.col("at") % 2 + 1).alias("kind"), F.xxhash64(F.lit(2), "token", following).alias("piece")),
-    )
-    return token.select("form_id", "len", "at", F.explode(F.filter(both, lambda x: (x["kind"] == 0) | following.isNotNull())).alias("p")).select("form_id", "len", "at", "p.kind", "p.piece")
+    piece = lambda kind, at, *tokens: F.struct(kind.alias("kind"), at.alias("at"), F.xxhash64(F.lit(len(tokens)), *tokens).alias("piece"))
+    alone = F.transform("form", lambda t, i: piece(F.lit(0), i, t))
+    pairs = F.transform("form", lambda t, i: F.when(i + 1 < F.col("len"), piece(i % 2 + 1, i, t, F.get("form", i + 1))))
+    return uniq.select("form_id", "len", F.explode(F.concat(alone, F.array_compact(pairs))).alias("p")).select("form_id", "len", "p.at", "p.kind", "p.piece")
 
 
 def _signatures(pieces: DataFrame, threshold: float) -> DataFrame:
-    """(form_id, len, most, at, piece, times) of the index: ``most`` + 1 pieces of each form that do not overlap.
+    """(form_id, len, most, at, piece, times, kind) of the index: ``most`` + 1 pieces of each form that do not overlap.
 
     ``most`` edits touch ``most`` of them, so a form within that distance has one
     of them unchanged. Any such pieces will do: of the tokens, the pairs at even and
@@ -53,7 +51,7 @@ def _signatures(pieces: DataFrame, threshold: float) -> DataFrame:
 
     ways = F.array(*[F.struct(F.aggregate(F.transform(best(k), lambda x: x["dear"]), F.lit(0).cast("bigint"), lambda t, x: t + x).alias("dear"), F.lit(-k).alias("kind"), best(k).alias("chosen")) for k in range(3)])
     chosen = F.array_min(F.filter(ways, lambda w: F.size(w["chosen"]) > F.col("most")))["chosen"]
-    return forms_.select("form_id", "len", "most", F.explode(chosen).alias("p")).select("form_id", "len", "most", "p.at", "p.piece", "p.times")
+    return forms_.select("form_id", "len", "most", F.explode(chosen).alias("p")).select("form_id", "len", "most", "p.at", "p.piece", "p.times", "p.kind")
 
 
 def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
@@ -65,10 +63,11 @@ def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
     cells, of ``PAIRS`` pairs at most, are dealt to tasks; where no signature has it
     its places are left out.
     """
-    pieces = _pieces(uniq)
-    counts = cut(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times")))
-    total = counts.agg(F.sum("times")).first()[0] or 0
-    often = counts.where((F.col("times") * share > total) & (F.col("times") > 1))  # at most ``share`` rows
+    n = int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = _pieces(uniq.repartition(n, "form_id"))  # so that a form's pieces need not be shuffled to choose among them
+    total = uniq.agg(F.sum(2 * F.col("len") - 1)).first()[0] or 0
+    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
+    often = cut(counts.where((F.col("times") * share > total) & (F.col("times") > 1)))  # at most ``share`` rows
     index = cut(_signatures(pieces.join(F.broadcast(often), "piece", "left"), threshold))
     taken = index.where("times is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("signed"), F.first("times").alias("times"))
     cells = F.ceil(F.col("signed") * F.col("times") / F.lit(float(min(max(total // 1000, 1000), PAIRS))))
@@ -82,8 +81,10 @@ def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
         placed = rows.join(F.broadcast(grid), "piece", "left").withColumn(own, F.pmod(F.xxhash64(id_, at), one(F.col(f"{own}s"))).cast("int"))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), one(F.col(f"{other}s")) - 1))).drop("rows", "cols")
 
-    signed = dealt(index.drop("times"), "form_id", "at", "row", "col")
-    probes = pieces.join(F.broadcast(idle), "piece", "left_anti").select(F.col("form_id").alias("y"), F.col("len").alias("m"), F.col("at").alias("q"), "piece")
+    signed = dealt(index.drop("times", "kind"), "form_id", "at", "row", "col")
+    tokens = cut(index.where("kind = 0").select("piece").distinct())  # single tokens are rarely what a form takes
+    single = pieces.where("kind = 0").join(F.broadcast(tokens) if tokens.count() <= FEW else tokens, "piece", "left_semi")
+    probes = pieces.where("kind > 0").unionByName(single.select(pieces.columns)).join(F.broadcast(idle), "piece", "left_anti").select(F.col("form_id").alias("y"), F.col("len").alias("m"), F.col("at").alias("q"), "piece")
     met = signed.join(dealt(probes, "y", "q", "col", "row"), ["piece", "row", "col"])
     longer = (F.col("len") > F.col("m")) | ((F.col("len") == F.col("m")) & (F.col("form_id") > F.col("y")))
     shift, gap = F.col("at") - F.col("q"), F.col("len") - F.col("m")
