@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from speechmill.functions.distance import few_tokens, intern_tokens, near, token_distance
 from speechmill.operators.components import connected_components
-from speechmill.sources.shared import cut
+from speechmill.sources.shared import cut, release
 
 
 def forms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -69,6 +69,7 @@ def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
     counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
     often = cut(counts.where((F.col("times") * share > total) & (F.col("times") > 1)))  # at most ``share`` rows
     index = cut(_signatures(pieces.join(F.broadcast(often), "piece", "left"), threshold))
+    release(uniq.sparkSession)
     taken = index.where("times is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("signed"), F.first("times").alias("times"))
     cells = F.ceil(F.col("signed") * F.col("times") / F.lit(float(min(max(total // 1000, 1000), PAIRS))))
     cols = F.least(F.ceil(F.sqrt(cells * F.col("times") / F.col("signed"))), cells)
@@ -100,9 +101,11 @@ def _similar_forms(rows: DataFrame, threshold: float, key: str, tokens: str) ->
     number = F.when(nth < FORMS, F.col("least") * FORMS + nth).otherwise(F.raise_error(F.lit("a key has too many forms")))
     uniq = cut(least.select("form", number.cast("bigint").alias("form_id"), F.size("form").alias("len")))
     members = distinct.join(uniq, "form").select("form_id", F.col(key).alias("member"))
-    candidates = _met(uniq, threshold).select("x", "y").distinct()
+    candidates = cut(_met(uniq, threshold).select("x", "y").distinct())
+    release(rows.sparkSession)
     if few_tokens(uniq, "form"):
-        code = intern_tokens(uniq, "form_id", "form").select("form_id", "coded")
+        code = cut(intern_tokens(uniq, "form_id", "form").select("form_id", "coded"))
+        release(rows.sparkSession)
         close = near(F.col("cx"), F.col("cy"), threshold)
     else:  # more than there are characters: each pair is interned by itself
         code = uniq.select("form_id", F.col("form").alias("coded"))
