@@ -29,10 +29,20 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return good, parsed.where("r._corrupt is not null").select("value")
 
 
+#: Rows that one task can number; a split's number is above.
+LINES = 1 << 33
+
+
 def numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON Lines with ``seq``, the order of lines over all splits: file, then byte offset order of Spark's scan."""
-    rows = read_jsonl(spark, path, schema)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    """JSON Lines with ``seq``, which grows with the order of lines: by file name, then by the place in the file.
+
+    Spark scans splits by falling size, so a row's number is that of its split in
+    the order of names and offsets, and then its place in its task.
+    """
+    rows = read_jsonl(spark, path, schema).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    splits = rows.select("_file", "_start").distinct().withColumn("_split", F.row_number().over(Window.orderBy("_file", "_start")) - 1)  # a row for each split
+    placed = rows.withColumn("_row", F.monotonically_increasing_id() % LINES).join(F.broadcast(splits), ["_file", "_start"])
+    return placed.withColumn("seq", F.col("_split") * F.lit(LINES) + F.col("_row")).drop("_file", "_start", "_split", "_row")
 
 
 def write_jsonl(rows: DataFrame, path: str, order: str | None = None) -> None:

@@ -29,6 +29,22 @@ def test_jsonl(spark, tmp_path):
     assert [r.id for r in good.collect()] == ["a"] and [r.value for r in bad.collect()] == ["not json"]
 
 
+def test_lines_are_numbered_by_file_and_offset_not_by_size(spark, tmp_path):
+    """The later files are the larger ones, which Spark scans first; the largest is cut into splits, the last of which is small."""
+    want = []
+    for k, n in enumerate((3, 40, 500, 20_000)):
+        rows = [(f"{k}-{i}", "x" * (i % 50)) for i in range(n)]
+        (tmp_path / f"part-{k:05d}.json").write_text("".join(json.dumps({"id": a, "text": b}) + "\n" for a, b in rows))
+        want += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = files.numbered(spark, str(tmp_path), "id string, text string").orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.id, r.text) for r in got] == want and len({r.seq for r in got}) == len(want)
+
+
 def test_maps(spark, tmp_path):
     (tmp_path / "hyp_x.json").write_text('{"a": "one", "b": "two"}')
     (tmp_path / "later.json").write_text('{"b": "new"}')
