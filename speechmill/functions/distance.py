@@ -56,6 +56,11 @@ def intern_tokens(rows: DataFrame, key: str, tokens: str, out: str = "coded") ->
     return rows.join(coded, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
+def hashed(tokens: Column) -> Column:
+    """A text with a character for each token, from its hash; two forms can look nearer than they are, never farther."""
+    return F.array_join(F.transform(tokens, lambda t: _character(F.pmod(F.xxhash64(t), F.lit(CHARACTERS)))), "")
+
+
 def near(a: Column, b: Column, threshold: float = 0.3) -> Column:
     """Whether two interned forms are within ``threshold`` of the longer one; two empty ones are not."""
     longest = F.greatest(F.char_length(a), F.char_length(b))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechmill.functions.distance import few_tokens, intern_tokens, near, token_distance
+from speechmill.functions.distance import hashed, near, token_distance
 from speechmill.operators.components import connected_components
-from speechmill.sources.shared import cut, release
+from speechmill.sources.shared import cut, delete, release, stored
 
 
 def forms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -25,14 +25,24 @@ FORMS = 16
 PAIRS = 5_000_000
 #: So many hashes of tokens may be broadcast.
 FEW = 200_000
+#: Pieces that a partition of a shuffle gets in one pass, about.
+PIECES = 400_000
+#: Pieces are first counted by so many buckets.
+BUCKETS = 1 << 18
 
 
-def _pieces(uniq: DataFrame) -> DataFrame:
-    """(form_id, len, kind, at, piece): every token (kind 0) and every two neighbours (kind 1 at even places, 2 at odd ones) of a form, hashed."""
+def _passes(pieces: int, partitions: int) -> int:
+    return max(1, -(-pieces // (PIECES * partitions)))
+
+
+def _pieces(uniq: DataFrame, kinds: tuple = (0, 1, 2)) -> DataFrame:
+    """(form_id, len, at, kind, piece): every token (kind 0) and every two neighbours (kind 1 at even places, 2 at odd ones) of a form, hashed; and ``coded``, if a form has it."""
     piece = lambda kind, at, *tokens: F.struct(kind.alias("kind"), at.alias("at"), F.xxhash64(F.lit(len(tokens)), *tokens).alias("piece"))
     alone = F.transform("form", lambda t, i: piece(F.lit(0), i, t))
-    pairs = F.transform("form", lambda t, i: F.when(i + 1 < F.col("len"), piece(i % 2 + 1, i, t, F.get("form", i + 1))))
-    return uniq.select("form_id", "len", F.explode(F.concat(alone, F.array_compact(pairs))).alias("p")).select("form_id", "len", "p.at", "p.kind", "p.piece")
+    pairs = F.array_compact(F.transform("form", lambda t, i: F.when(i + 1 < F.col("len"), piece(i % 2 + 1, i, t, F.get("form", i + 1)))))
+    made = ([alone] if 0 in kinds else []) + ([pairs] if 1 in kinds else [])
+    own = ["form_id", "len", *(["coded"] if "coded" in uniq.columns else [])]
+    return uniq.select(*own, F.explode(F.concat(*made)).alias("p")).select(*own, "p.at", "p.kind", "p.piece")
 
 
 def _signatures(pieces: DataFrame, threshold: float) -> DataFrame:
@@ -55,7 +65,7 @@ def _signatures(pieces: DataFrame, threshold: float) -> DataFrame:
 
 
 def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
-    """(x, y, piece, row, col) of forms that have a piece of x's signature in common, at places that so few edits allow; x is the longer one.
+    """(x, y, piece, row, col), and both texts ``cx`` and ``cy`` if forms have ``coded``, of forms that have a piece of x's signature in common, at places that so few edits allow; x is the longer one.
 
     Pieces that more than one in ``share`` places have are few enough to be broadcast
     with their numbers. Forms avoid them where they can. Where they cannot, the
@@ -63,13 +73,19 @@ def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
     cells, of ``PAIRS`` pairs at most, are dealt to tasks; where no signature has it
     its places are left out.
     """
-    n = int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = _pieces(uniq.repartition(n, "form_id"))  # so that a form's pieces need not be shuffled to choose among them
+    spark, plain = uniq.sparkSession, uniq.select("form_id", "form", "len")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces, bucket = _pieces(plain), F.pmod("piece", F.lit(BUCKETS)).alias("bucket")
     total = uniq.agg(F.sum(2 * F.col("len") - 1)).first()[0] or 0
-    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
+    full = cut(pieces.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total).select("bucket"))  # at most ``share`` rows
+    counts = pieces.select("piece", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
     often = cut(counts.where((F.col("times") * share > total) & (F.col("times") > 1)))  # at most ``share`` rows
-    index = cut(_signatures(pieces.join(F.broadcast(often), "piece", "left"), threshold))
-    release(uniq.sparkSession)
+    index, count = None, _passes(total, n)
+    for k in range(count):  # what a pass sorts is a share of all pieces
+        some = plain.where(F.pmod(F.xxhash64("form_id"), F.lit(count)) == k).repartition(n, "form_id")  # so that a form's pieces need not be shuffled to choose among them
+        one = cut(_signatures(_pieces(some).join(F.broadcast(often), "piece", "left"), threshold))
+        index = one if index is None else index.unionByName(one)
+        release(spark)
     taken = index.where("times is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("signed"), F.first("times").alias("times"))
     cells = F.ceil(F.col("signed") * F.col("times") / F.lit(float(min(max(total // 1000, 1000), PAIRS))))
     cols = F.least(F.ceil(F.sqrt(cells * F.col("times") / F.col("signed"))), cells)
@@ -82,36 +98,46 @@ def _met(uniq: DataFrame, threshold: float, share: int = 10_000) -> DataFrame:
         placed = rows.join(F.broadcast(grid), "piece", "left").withColumn(own, F.pmod(F.xxhash64(id_, at), one(F.col(f"{own}s"))).cast("int"))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), one(F.col(f"{other}s")) - 1))).drop("rows", "cols")
 
-    signed = dealt(index.drop("times", "kind"), "form_id", "at", "row", "col")
+    carried = "coded" in uniq.columns
+    signed = index.drop("times", "kind")
+    if carried:
+        signed = signed.join(uniq.select("form_id", F.col("coded").alias("cx")), "form_id")
+    signed = dealt(signed, "form_id", "at", "row", "col")
     tokens = cut(index.where("kind = 0").select("piece").distinct())  # single tokens are rarely what a form takes
-    single = pieces.where("kind = 0").join(F.broadcast(tokens) if tokens.count() <= FEW else tokens, "piece", "left_semi")
-    probes = pieces.where("kind > 0").unionByName(single.select(pieces.columns)).join(F.broadcast(idle), "piece", "left_anti").select(F.col("form_id").alias("y"), F.col("len").alias("m"), F.col("at").alias("q"), "piece")
+    single = _pieces(uniq, (0,)).join(F.broadcast(tokens) if tokens.count() <= FEW else tokens, "piece", "left_semi")
+    pairs = _pieces(uniq, (1, 2))
+    probes = pairs.unionByName(single.select(pairs.columns)).join(F.broadcast(idle), "piece", "left_anti").select(F.col("form_id").alias("y"), F.col("len").alias("m"), F.col("at").alias("q"), "piece", *([F.col("coded").alias("cy")] if carried else []))
     met = signed.join(dealt(probes, "y", "q", "col", "row"), ["piece", "row", "col"])
     longer = (F.col("len") > F.col("m")) | ((F.col("len") == F.col("m")) & (F.col("form_id") > F.col("y")))
     shift, gap = F.col("at") - F.col("q"), F.col("len") - F.col("m")
     fits = (gap <= F.col("most")) & (F.abs(shift) + F.abs(gap - shift) <= F.col("most"))  # edits before the piece, and after it
-    return met.where(longer & fits).select(F.col("form_id").alias("x"), "y", "piece", "row", "col")
+    return met.where(longer & fits).select(F.col("form_id").alias("x"), "y", "piece", "row", "col", *(["cx", "cy"] if carried else []))
 
 
 def _similar_forms(rows: DataFrame, threshold: float, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """(x, y) of distinct forms that are similar, and (form_id, member) of all keys; see :func:`least_key` for a form's id."""
-    distinct = rows.where(F.size(tokens) > 0).select(F.col(tokens).alias("form"), key).distinct()
+    spark = rows.sparkSession
+    distinct, told = stored(rows.where(F.size(tokens) > 0).select(F.col(tokens).alias("form"), key).distinct())
+    release(spark)
     least = distinct.groupBy("form").agg(F.min(key).alias("least"))
     nth = F.row_number().over(Window.partitionBy("least").orderBy("form")) - 1  # a key has two forms: its own and the whole sentence
     number = F.when(nth < FORMS, F.col("least") * FORMS + nth).otherwise(F.raise_error(F.lit("a key has too many forms")))
-    uniq = cut(least.select("form", number.cast("bigint").alias("form_id"), F.size("form").alias("len")))
-    members = distinct.join(uniq, "form").select("form_id", F.col(key).alias("member"))
-    candidates = cut(_met(uniq, threshold).select("x", "y").distinct())
-    release(rows.sparkSession)
-    if few_tokens(uniq, "form"):
-        code = cut(intern_tokens(uniq, "form_id", "form").select("form_id", "coded"))
-        release(rows.sparkSession)
-        close = near(F.col("cx"), F.col("cy"), threshold)
-    else:  # more than there are characters: each pair is interned by itself
-        code = uniq.select("form_id", F.col("form").alias("coded"))
-        longest = F.greatest(F.size("cx"), F.size("cy"))
-        close = token_distance(F.col("cx"), F.col("cy")) <= F.floor(F.lit(float(threshold)) * longest)
-    found = candidates.join(code.toDF("x", "cx"), "x").join(code.toDF("y", "cy"), "y").where(close).select("x", "y")
+    uniq, path = stored(least.select("form", number.cast("bigint").alias("form_id"), F.size("form").alias("len"), hashed(F.col("form")).alias("coded")))
+    release(spark)
+    members = cut(distinct.join(uniq.select("form", "form_id"), "form").select("form_id", F.col(key).alias("member")))
+    delete(spark, told)
+    release(spark)
+    met, seen = _met(uniq, threshold), None
+    count = _passes(uniq.agg(F.sum(2 * F.col("len") - 1)).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(count):  # the pieces of a pass meet where the texts are compared, so that candidates are never written
+        one = cut(met.where((F.pmod("piece", F.lit(count)) == k) & near(F.col("cx"), F.col("cy"), threshold)).select("x", "y").distinct())
+        seen = one if seen is None else seen.unionByName(one)
+        release(spark)
+    form = uniq.select(F.col("form_id"), F.col("form"))
+    both = seen.distinct().join(form.toDF("x", "fx"), "x").join(form.toDF("y", "fy"), "y")
+    found = cut(both.where(token_distance(F.col("fx"), F.col("fy")) <= F.floor(F.lit(float(threshold)) * F.greatest(F.size("fx"), F.size("fy")))).select("x", "y"))
+    release(spark)
+    delete(spark, path)
     return found, members
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table written to the shared folder as Parquet, which takes less than a checkpoint, and where it is; see :func:`delete`."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that Spark wrote, on whatever file system it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

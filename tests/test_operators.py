@@ -1,3 +1,4 @@
+import glob
 import os
 import random
 
@@ -9,6 +10,7 @@ from speechmill.functions import distance
 from speechmill.functions.text import score_tokens
 from speechmill.operators import consensus, frontend, passes, resampling, runs, sampling, scoring, sessions, similarity, training
 from speechmill.operators.components import connected_components
+from speechmill.sources import shared
 
 LOG = "seq long, v int, type string, id string, session string, audio string, seconds double, text string, dictated string, continues boolean"
 
@@ -164,6 +166,19 @@ def test_similar_sentences_with_joins_and_a_token_in_all_rows(spark, monkeypatch
     assert groups == [least[x] for x in roots]
 
 
+def test_pieces_meet_in_passes(spark, monkeypatch):
+    """Many passes, texts of tokens whose characters often collide: the same pairs, and nothing is left in the shared folder."""
+    monkeypatch.setattr(similarity, "PIECES", 100)
+    monkeypatch.setattr(distance, "CHARACTERS", 64)
+    rows = spoken(100, random.Random(3))
+    uniq = spark.createDataFrame([(i, r[3], len(r[3])) for i, r in enumerate(rows)], "form_id long, form array<string>, len int")
+    assert similarity._passes(uniq.agg(F.sum(2 * F.col("len") - 1)).first()[0], 4) > 2
+    folder = shared.checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/tables-*"))
+    assert {(x.i, x.j) for x in similarity.similar_pairs(similarity.forms(spark.createDataFrame(rows, ROWS))).collect()} == brute_pairs(rows)
+    assert set(glob.glob(f"{folder}/tables-*")) == before
+
+
 def test_no_task_gets_all_places_of_a_frequent_token(spark):
     """A token that all rows begin with, and many rows of nothing but frequent tokens."""
     r = random.Random(5)
